@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, secrets
+from . import langid, pii, secrets, warc
 from .common import held_out, table
 
 
@@ -28,6 +28,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(spark, table(spark, sf_dir, "pages"))
+    c = F.col("capture")
+    return found.select(warc.page_id(c["id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["digest"].alias("payload_digest"), c["type"].alias("record_type"), warc.page_id(c["refers_to"]).alias("refers_to"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -38,5 +44,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS sha FROM p),
+f AS (SELECT sha, min(page_id) AS first FROM d GROUP BY sha),
+b AS (SELECT page_id, n, d.sha, first, list_transform(range(4), lambda k: ('0x' || substr(d.sha, (1 + 10 * k)::INT, 10))::UBIGINT) AS w FROM d JOIN f ON d.sha = f.sha)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((w[1 + i // 8] >> (35 - 5 * (i % 8))::UBIGINT) & 31))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k.lower().removesuffix("_sql").replace("op7", "op7_warc"): v for k, v in globals().items() if k.startswith("OP")}
