@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, pii, secrets, warc
+from . import jaccard, langid, pii, secrets, vector_dedup, warc
 from .common import held_out, table
 
 
@@ -45,6 +45,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.neighbours(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -77,5 +81,18 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.
 """
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda t: t * t))) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda t: t IS NULL OR isnan(t) OR isinf(t))) = 0 AND len(list_filter(embedding, lambda t: t <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, m AS component_id, vec_id = m AS kept FROM embeddings JOIN c ON a = vec_id LEFT JOIN n ON x = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op10_vectors": OP10_SQL}
