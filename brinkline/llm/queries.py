@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, pii, secrets, vector_dedup, warc
+from . import decontaminate, jaccard, langid, pii, secrets, sentencepiece_nbest, toxicity, vector_dedup, warc
 from .common import held_out, table
 
 
@@ -22,6 +23,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def piece_model() -> str:
+    """Place of the public piece vocabulary; a parameter of the operator."""
+    return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_nbest.encode(table(spark, sf_dir, "documents"), piece_model(), n=3)
+    return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "score", "alternatives", "round_trip")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_words", "n_equal", "doc_at", "item_at")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, train=~held_out())
@@ -39,6 +55,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(warc.page_id(c["id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["digest"].alias("payload_digest"), c["type"].alias("record_type"), warc.page_id(c["refers_to"]).alias("refers_to"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~held_out("id"))
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "neighbours")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
