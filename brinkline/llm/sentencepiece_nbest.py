@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,27 +32,29 @@ from .common import small_batches
 MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 BYTE_LOSS = 10.0
-REMEMBERED = 300_000
+UNRANKED = -1e8  # scores below are those of pieces without rank
+REMEMBERED = 180_000
 
 
 @dataclass
 class Pieces:
-    id_of: dict[str, int]
+    id_of: dict[str, int]  # by piece, with blanks for marks
     score: list[float]
     text: list[bytes]  # what a piece decodes to
     byte_id: list[int]
     longest: int
     unknown: float
+    joined: frozenset[str]  # neighbouring characters inside some piece
 
 
 def load(model_file: str) -> Pieces:
-    """Read a model; its pieces may hold marks only in front or alone."""
+    """Read a model; its pieces may hold marks only in front or alone.  Pieces without rank
+    (a score below ``UNRANKED``) count a little less than the last of the ranked ones."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    n = model.vocab_size()
     id_of, score, text, byte_id = {}, [], [], [0] * 256
-    for i in range(n):
+    for i in range(model.vocab_size()):
         piece = model.id_to_piece(i)
         score.append(model.get_score(i))
         if model.is_byte(i):
@@ -62,91 +65,171 @@ def load(model_file: str) -> Pieces:
         else:
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"piece {piece!r} reaches across words")
-            id_of[piece] = i
+            id_of[piece.replace(MARK, " ")] = i
             text.append(piece.replace(MARK, " ").encode("utf-8"))
-    return Pieces(id_of, score, text, byte_id, max(map(len, id_of)), min((score[i] for i in id_of.values() if score[i] > -1e8), default=0.0) - BYTE_LOSS)
-
-
-def lattice(p: Pieces, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-    """For each place, the arcs that end there: (start, score, piece ids).  ``chunk`` has blanks
-    for marks; a literal mark has no piece."""
-    n = len(chunk)
-    into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-    for start in range(n):
-        own = False
-        for end in range(start + 1, min(n, start + p.longest) + 1):
-            part = chunk[start:end]
-            if MARK in part:
-                break
-            i = p.id_of.get(part.replace(" ", MARK))
-            if i is not None:
-                into[end].append((start, p.score[i], (i,)))
-                own = own or end == start + 1
-        if not own:
-            spelt = tuple(p.byte_id[b] for b in chunk[start].encode("utf-8", "surrogatepass"))
-            into[start + 1].append((start, p.unknown * len(spelt), spelt))
-    return into
+    last = min((score[i] for i in id_of.values() if score[i] > UNRANKED), default=0.0)
+    score = [s if s > UNRANKED else last - 1.0 for s in score]
+    joined = frozenset(piece[k : k + 2] for piece in id_of for k in range(len(piece) - 1))
+    return Pieces(id_of, score, text, byte_id, max(map(len, id_of)), last - BYTE_LOSS, joined)
 
 
 def n_best(p: Pieces, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The ``n`` best segmentations of a chunk, best first."""
-    into = lattice(p, chunk)
-    best = [0.0] + [float("-inf")] * len(chunk)
-    for end in range(1, len(chunk) + 1):
-        best[end] = max(best[start] + s for start, s, _ in into[end])
-    agenda, out, count = [(-best[-1], (), len(chunk), 0.0, None)], [], 0
+    """The ``n`` best segmentations of a chunk, best first.
+
+    Blanks stand for marks; a literal mark has no piece.  Forward: for each
+    place the arcs that end there, by the best score of a path through them.
+    Backward: a hypothesis is an arc and what follows it; taking it off the
+    agenda puts on its next best rival and the best arc before it (the newest of equals first).
+    """
+    size, longest, id_of, score = len(chunk), p.longest, p.id_of, p.score
+    into: list[list] = [[] for _ in range(size + 1)]
+    best = [0.0] * (size + 1)
+    for at in range(size):
+        if at:
+            into[at].sort(reverse=True)
+            best[at] = into[at][0][0]
+        here, own = best[at], False
+        for end in range(at + 1, min(size, at + longest) + 1):
+            i = id_of.get(chunk[at:end])
+            if i is not None:
+                into[end].append((here + score[i], -i, at, score[i], (i,)))
+                own = own or end == at + 1
+        if not own:
+            spelt = tuple(p.byte_id[b] for b in chunk[at].encode("utf-8", "surrogatepass"))
+            into[at + 1].append((here + p.unknown * len(spelt), 0, at, p.unknown * len(spelt), spelt))
+    into[size].sort(reverse=True)
+    agenda, out, count = [(-into[size][0][0], 0, size, 0, 0.0, None)], [], 0
     while agenda and len(out) < n:
-        total, tie, at, tail, rest = heapq.heappop(agenda)
-        if at == 0:
-            ids = []
-            while rest is not None:
-                ids.extend(rest[0])
-                rest = rest[1]
-            out.append((tail, tuple(ids)))
-            continue
-        for start, s, ids in into[at]:
-            count += 1
-            heapq.heappush(agenda, (-(best[start] + s + tail), (*tie[:8], ids), start, s + tail, (ids, rest)))
+        _, _, end, k, tail, rest = heapq.heappop(agenda)
+        arcs = into[end]
+        _, _, at, s, ids = arcs[k]
+        if k + 1 < len(arcs):
+            count -= 1
+            heapq.heappush(agenda, (-(arcs[k + 1][0] + tail), count, end, k + 1, tail, rest))
+        after = (ids, rest)
+        if at:
+            count -= 1
+            heapq.heappush(agenda, (-(into[at][0][0] + s + tail), count, at, 0, s + tail, after))
+        else:
+            found = []
+            while after is not None:
+                found.extend(after[0])
+                after = after[1]
+            out.append((s + tail, tuple(found)))
     return out
 
 
+def viterbi(p: Pieces, chunk: str) -> tuple[float, tuple[int, ...], float]:
+    """(score, ids, loss of the second best segmentation) of a chunk.
+
+    The second best leaves the best path, seen from the end, at one of its
+    places by the next best arc there and follows best arcs before it.
+    """
+    size, longest, get, score = len(chunk), p.longest, p.id_of.get, p.score
+    low = float("-inf")
+    best, second, back = [low] * (size + 1), [low] * (size + 1), [(0, 0)] * (size + 1)
+    best[0] = 0.0
+    for at in range(size):
+        here, own = best[at], False
+        for end in range(at + 1, min(size, at + longest) + 1):
+            i = get(chunk[at:end])
+            if i is not None:
+                own = own or end == at + 1
+                value = here + score[i]
+                if value > best[end] or (value == best[end] and i < back[end][1]):
+                    second[end], best[end], back[end] = best[end], value, (at, i)
+                elif value > second[end]:
+                    second[end] = value
+        if not own:
+            loss = p.unknown * len(chunk[at].encode("utf-8", "surrogatepass"))
+            value, end = here + loss, at + 1
+            if value >= best[end]:
+                second[end], best[end], back[end] = best[end], value, (at, 0)
+            elif value > second[end]:
+                second[end] = value
+    ids, at, loss = [], size, float("inf")
+    while at:
+        loss = min(loss, best[at] - second[at])
+        before, i = back[at]
+        ids.append((i,) if i else tuple(p.byte_id[b] for b in chunk[before].encode("utf-8", "surrogatepass")))
+        at = before
+    return best[size], tuple(x for part in reversed(ids) for x in part), loss
+
+
+class Memory:
+    """A map of bounded size that keeps what was used of late (two generations)."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Encoder:
     """N-best segmentation of whole texts, words remembered up to a bound."""
 
     def __init__(self, pieces: Pieces, n: int):
-        self.p, self.n, self.seen = pieces, n, {}
-
-    def chunk(self, text: str):
-        got = self.seen.get(text)
+        self.p, self.n = pieces, n
+        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+
+    def cuts(self, text: str):
+        """The parts of a chunk between neighbours that no piece holds side by side."""
+        joined, at = self.p.joined, 0
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in joined:
+                yield text[at:k]
+                at = k
+        yield text[at:]
+
+    def chunk(self, text: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids, loss of the second best) of a chunk."""
+        got = self.words.get(text)
         if got is None:
-            found = n_best(self.p, text, self.n)
-            got = (found[0][0], found[0][1], [found[0][0] - s for s, _ in found[1:]], [ids for _, ids in found[1:]])
+            total, ids, loss = 0.0, (), float("inf")
+            for part in self.cuts(text):
+                own = self.parts.get(part)
+                if own is None:
+                    own = viterbi(self.p, part)
+                    if len(part) <= 40:
+                        self.parts.put(part, own)
+                total, ids, loss = total + own[0], ids + own[1] if ids else own[1], min(loss, own[2])
+            got = (total, ids, loss)
             if len(text) <= 40:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[text] = got
+                self.words.put(text, got)
         return got
 
+    def rivals(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the other N - 1 best of a chunk, by A-star over its parts."""
+        found = [(0.0, ())]
+        for part in self.cuts(text):
+            own = n_best(self.p, part, self.n)
+            found = sorted(((s + t, a + b) for s, a in found for t, b in own), key=lambda x: -x[0])[: self.n]
+        return [(found[0][0] - s, ids) for s, ids in found[1:]]
+
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """(ids, score, alternatives); an alternative is its score and edits (start, length, ids) of the best ids."""
         if not text:
             return [], 0.0, []
-        ids: list[int] = []
-        total, losses, seen, chunk = 0.0, [], self.seen, self.chunk
-        limit = float("inf")
-        for k, part in enumerate(CHUNK.findall(" " + text)):
-            got = seen.get(part) or chunk(part)
-            total += got[0]
-            if got[2] and got[2][0] < limit:
-                for j, loss in enumerate(got[2]):
-                    heapq.heappush(losses, (-loss, -k, -j, len(ids), len(got[1]), got[3][j]))
-                    if len(losses) > self.n - 1:
-                        heapq.heappop(losses)
-                if len(losses) == self.n - 1:
-                    limit = -losses[0][0]
-            ids += got[1]
-        single = sorted((-a, -k, -j, start, length, other) for a, k, j, start, length, other in losses)
-        return ids, total, self.combine(total, single)
+        parts, known, chunk = CHUNK.findall(" " + text), self.words.new, self.chunk
+        found = [known.get(x) or chunk(x) for x in parts]
+        total = sum([x[0] for x in found])
+        ids = list(chain.from_iterable([x[1] for x in found]))
+        few = heapq.nsmallest(self.n - 1, zip([x[2] for x in found], range(len(found)), strict=True))
+        single = []
+        for loss, k in few:
+            if loss < float("inf"):
+                start = sum(len(x[1]) for x in found[:k])
+                single += [(lost, k, j, start, len(found[k][1]), other) for j, (lost, other) in enumerate(self.rivals(parts[k]))]
+        return ids, total, self.combine(total, sorted(single)[: self.n - 1])
 
     def combine(self, total: float, single: list) -> list:
         """The best sets of single changes, one for a word at most."""
@@ -176,6 +259,17 @@ def apply_edits(ids: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -
     return out + ids[at:]
 
 
+_KEPT: dict[tuple[str, int], Encoder] = {}
+
+
+def kept_encoder(pieces: Pieces, model_file: str, n: int) -> Encoder:
+    """The encoder of this Python worker, which later tasks use again."""
+    if (model_file, n) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model_file, n] = Encoder(pieces, n)
+    return _KEPT[model_file, n]
+
+
 EDITS = "array<struct<score:double,edits:array<struct<start:int,length:int,ids:array<int>>>>>"
 
 
@@ -191,7 +285,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
 
     def run(batches):
         p = shared.value
-        encoder = Encoder(p, n)
+        encoder = kept_encoder(p, model_file, n)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             offsets, flat, scores, more, same = [0], [], [], [], []
