@@ -1,9 +1,484 @@
-"""Registered queries over the driver tables, with the SQL that checks them."""
+"""Registered queries over the driver tables, with the SQL that checks them.
+
+Each query is a function of (spark, sf_dir); its SQL, where it has one, is
+the entry of the same name in ``SQL``.  Doubles are rounded to six places on
+both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions import binning, code_metrics, status, text
+from ..operators import forest, regression, similarity, summary, threshold
+from ..sources import tasks
+from .enrich import enrich
+
+#: Words that the driver's prose has, in place of the instruction lexicon.
+FIXTURE_LEXICON = {"if": ("the", "of"), "conditional": ("la", "le"), "loop": ("de", "and"), "collection": ("in",), "class": ("der", "die"), "func": ("el", "que"), "logic": ("is", "it")}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def whole(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts as BIGINT."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+# --- scans, text, status -------------------------------------------------
+
+
+def text_features_documents(spark, sf_dir):
+    f = read(spark, sf_dir, "documents").select("doc_id", text.instruction_features(F.col("text"), FIXTURE_LEXICON).alias("f")).select("doc_id", "f.*")
+    counts = [c for c in f.columns if c not in ("doc_id", "inst_avg_word_len")]
+    return rounded(whole(f, *counts), "inst_avg_word_len")
+
+
+def lexicon_features_pages(spark, sf_dir):
+    f = read(spark, sf_dir, "pages").select("page_id", text.instruction_features(F.col("html")).alias("f"))
+    return whole(f.select("page_id", "f.inst_class_count", "f.inst_collection_count", "f.inst_func_count"), "inst_class_count", "inst_collection_count", "inst_func_count")
+
+
+def token_stats(spark, sf_dir):
+    t = F.col("text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.token_count(t).cast("long").alias("n_tokens"), r6(text.mean_token_length(t)).alias("mean_len"))
+
+
+def intent_scores(spark, sf_dir):
+    f = read(spark, sf_dir, "documents").select("doc_id", text.intent_features(F.col("text")).alias("f")).select("doc_id", "f.*")
+    return rounded(whole(f, "nesting_intent", "algo_intent"), "instruction_complexity_score")
+
+
+def pass_rate_list(spark, sf_dir):
+    """"user" turns stand for passed checks."""
+    role = F.when(F.col("role") == "user", "PASSED").otherwise(F.col("role"))
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(role).alias("status"))
+    rate = status.list_pass_rate(F.col("status"))
+    return rows.select("conv_id", r6(rate).alias("pass_rate"), status.success(rate).alias("is_success"))
+
+
+STATUS_ROWS = [None, "[]", "pass", "passed", "not passed", "'pass'", "['pass','fail']", "('pass',)", '["pass", null]', '["fail", null]', " ['pass']", "1", "true", "['PASS', 'bypass', 3, 'x']"]
+STATUS_RATES = [None, 0.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.5]
+
+
+def pass_rate_string(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(STATUS_ROWS)), "id long, status string")
+    return rows.select("id", status.string_pass_rate("status").alias("pass_rate"))
+
+
+def json_flatten(spark, sf_dir):
+    record = F.parse_json("props")
+    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(record, "$.k", "long").alias("k"))
+
+
+def defaults_fill(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return docs.select("doc_id", "lang").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("kappa"), F.coalesce("toxic", F.lit(0)).alias("is_success"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
+
+
+def success_split(spark, sf_dir):
+    rows = read(spark, sf_dir, "labels").withColumn("is_success", F.col("quality"))
+    good = summary.successes(rows).agg(F.count("*").alias("n"), F.avg("toxic").alias("mean_toxic")).withColumn("side", F.lit("success"))
+    bad = summary.failures(rows).agg(F.count("*").alias("n"), F.avg("toxic").alias("mean_toxic")).withColumn("side", F.lit("failure"))
+    return rounded(good.unionByName(bad), "mean_toxic")
+
+
+def load_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumn("kappa", F.col("n_chars") / 100.0)
+    return rounded(summary.load_report(rows, "quality", "toxic", "n_chars", "kappa"), "success_rate", "mean_pass_rate", "mean_actual", "mean_predicted")
+
+
+def fake_simple_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").withColumn("n_tokens", text.token_count(F.col("text")))
+    rows = rows.select((1 - F.col("toxic")).alias("kappa_actual"), F.col("quality").alias("is_success"), "n_tokens")
+    return rounded(whole(summary.spread_report(summary.fake_simple(rows), "n_tokens"), "max"), "mean", "median")
+
+
+# --- views and bins ------------------------------------------------------
+
+
+def regime_report(spark, sf_dir):
+    return rounded(summary.regime_report(read(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", 6.5), "mean_low", "mean_high", "difference")
+
+
+def naive_view(spark, sf_dir):
+    return rounded(summary.naive_view(read(spark, sf_dir, "lineitem"), "l_quantity", "l_discount"), "mean_outcome")
+
+
+def naive_view_clipped(spark, sf_dir):
+    return rounded(summary.naive_view(read(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", 1, 12), "mean_outcome")
+
+
+def _predicted(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").withColumn("predicted", F.col("l_quantity") / 2)
+
+
+def corrected_view(spark, sf_dir):
+    return rounded(summary.corrected_view(_predicted(spark, sf_dir), "predicted", "l_discount"), "mean_outcome")
+
+
+def corrected_view_clipped(spark, sf_dir):
+    return rounded(summary.corrected_view(_predicted(spark, sf_dir), "predicted", "l_discount", (1, 12)), "mean_outcome")
+
+
+def observed_labels(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").filter(F.col("l_quantity").between(1, 8))
+    return rows.groupBy(binning.observed_label(F.col("l_quantity").cast("int")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def equal_width_bins(spark, sf_dir):
+    rows = binning.equal_width(read(spark, sf_dir, "lineitem"), "l_extendedprice", 15, "bin")
+    return rows.groupBy(F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
+def explicit_bins_flow(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).withColumn("observed", F.col("l_tax") * 100 + 1)
+    return whole(summary.flow(rows, "predicted", "observed"), "pred_bin", "obs_bin", "wrong")
+
+
+def flow_labels(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).withColumn("observed", F.col("l_tax") * 100 + 1)
+    return summary.flow_labels(whole(summary.flow(rows, "predicted", "observed"), "pred_bin"), "pred_bin")
+
+
+def phase_cells(spark, sf_dir):
+    return rounded(whole(summary.phase_cells(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", 15, 15), "k_bin", "e_bin"), "mean_outcome")
+
+
+def phase_pivot(spark, sf_dir):
+    out = summary.phase_pivot(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", 6, 3)
+    return out.select(F.col("k_bin").cast("long").alias("k_bin"), *[r6(f"`{i}`").alias(f"e{i}") for i in (1, 2, 3)])
+
+
+def phase_labelled(spark, sf_dir):
+    return rounded(whole(summary.phase_cells(read(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", 12, 8, labels=True), "k_bin", "e_bin"), "mean_outcome")
+
+
+def binned_trend(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").withColumn("y", F.col("o_custkey") * 1.0)
+    return rounded(whole(summary.binned_trend(rows, "o_totalprice", "y"), "bin"), "mean_kappa", "mean_pass", "se", "low", "high")
+
+
+def violin_stats(spark, sf_dir):
+    return rounded(summary.violin(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_extendedprice"), "min", "q1", "median", "q3", "max", "mean")
+
+
+def corr_failures(spark, sf_dir):
+    return rounded(summary.correlation(read(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'"), "l_quantity", "l_extendedprice"), "corr")
+
+
+# --- regressions ---------------------------------------------------------
+
+
+def ols_simple(spark, sf_dir):
+    fit = regression.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return spark.createDataFrame([(round(float(fit.coef[0]), 4), round(float(fit.coef[1]), 6), round(fit.r2, 6), int(fit.n))], "intercept double, slope double, r2 double, n long")
+
+
+def ols_multi_hc1(spark, sf_dir):
+    return regression.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], robust=True).frame(spark)
+
+
+def iv_single(spark, sf_dir):
+    fit = regression.two_stage(_lines(spark, sf_dir), "y", "kappa", [], ["z1"])
+    return spark.createDataFrame([(round(fit.of("kappa")[0], 4), int(fit.n))], "slope double, n long")
+
+
+def _lines(spark, sf_dir):
+    """Lines with an endogenous regressor ``kappa`` and instruments, one of them the sum of two others."""
+    lines = read(spark, sf_dir, "lineitem")
+    noise = F.conv(F.substring(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("z1"), (F.col("l_partkey") % 7).cast("double").alias("z2"), (F.col("l_quantity") + F.col("l_partkey") % 7).alias("z3"), F.col("l_discount"), F.col("l_tax"), (F.col("l_quantity") + 20 * noise).alias("kappa"), (F.col("l_extendedprice") / 1000 + 30 * noise).alias("y"))
+
+
+def iv_2sls(spark, sf_dir):
+    return regression.two_stage(_lines(spark, sf_dir), "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"]).frame(spark)
+
+
+def first_stage(spark, sf_dir):
+    fit = regression.two_stage(_lines(spark, sf_dir), "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"])
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in fit.info.items()), "name string, value double")
+
+
+def hausman(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    out = [(name, *regression.hausman(rows, "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"], corrected=c)) for name, c in (("fitted", False), ("corrected", True))]
+    return spark.createDataFrame(out, "variant string, h double, p double")
+
+
+# --- threshold -----------------------------------------------------------
+
+
+def _search(spark, sf_dir, controls=(), rows=None) -> threshold.Search:
+    lines = read(spark, sf_dir, "lineitem") if rows is None else rows
+    return threshold.search(lines, "l_extendedprice", "l_quantity", list(controls))
+
+
+def threshold_curve(spark, sf_dir):
+    return rounded(_search(spark, sf_dir).frame(spark), "f_stat")
+
+
+def threshold_best(spark, sf_dir):
+    return summary.top(threshold_curve(spark, sf_dir).filter("f_stat is not null"), "f_stat", "gamma")
+
+
+def threshold_controls(spark, sf_dir):
+    return rounded(_search(spark, sf_dir, ("l_discount", "l_tax")).frame(spark), "f_stat")
+
+
+def figure_threshold(spark, sf_dir):
+    g = threshold.figure_threshold(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_discount"])
+    return spark.createDataFrame([(g,)], "gamma double")
+
+
+def wild_bootstrap(spark, sf_dir):
+    found = threshold.search(_orders(spark, sf_dir), "y", "kappa", [])
+    return rounded(threshold.draws_frame(spark, threshold.wild_bootstrap(found, F.col("key"), 5)), "sup_f")
+
+
+def _orders(spark, sf_dir):
+    """Orders, whose key is unique: complexity from the key, outcome from the price."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 17 + 0.25).alias("kappa"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
+def placebo(spark, sf_dir):
+    found = threshold.search(_orders(spark, sf_dir), "y", "kappa", [])
+    return rounded(threshold.draws_frame(spark, threshold.placebo(found, F.col("key"), 5)), "sup_f")
+
+
+def resampling_report(spark, sf_dir):
+    found = threshold.search(_orders(spark, sf_dir), "y", "kappa", [])
+    boot = threshold.wild_bootstrap(found, F.col("key"), 20)
+    p = threshold.share_at_least(boot, found.sup)
+    fake = threshold.compare(found, threshold.placebo(found, F.col("key"), 20))
+    return spark.createDataFrame([(found.gamma, found.sup, p, threshold.verdict(p), fake["z"], fake["p"], fake["verdict"])], "gamma double, sup_f double, p double, significance string, z double, placebo_p double, verdict string")
+
+
+def draw_report(spark, sf_dir):
+    return rounded(summary.draw_report(read(spark, sf_dir, "lineitem"), "l_extendedprice"), "mean", "sd", "median", "p05", "p95")
+
+
+# --- samples, folds, forest, similarity ----------------------------------
+
+
+def exact_sample(spark, sf_dir):
+    return tasks.exact_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
+
+
+def kfold_sizes(spark, sf_dir):
+    rows = forest.folds(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 10)
+    return rows.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+def cv_metrics(spark, sf_dir):
+    rows = forest.folds(read(spark, sf_dir, "orders"), "o_orderkey", 10).select("fold", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") / 10.0).alias("p"))
+    return rounded(summary.cv_report(rows, "y", "p"), "mean_r2", "sd_r2", "min_r2", "max_r2", "mean_mae", "oof_r2")
+
+
+def _forest_rows(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", text.instruction_features(F.col("text"), FIXTURE_LEXICON).alias("f"), "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return rows.select(F.col("doc_id").alias("id"), "f.*", F.log(F.col("n_chars") + 1.0).alias("kappa_actual"), F.col("quality").alias("is_success"))
+
+
+SMALL = Settings(trees=10, depth=4, folds=3)
+FOREST_FEATURES = ["inst_tokens", "inst_if_count", "inst_loop_count", "inst_avg_word_len"]
+
+
+def forest_oof(spark, sf_dir):
+    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, "id", settings=SMALL)
+    return out.scored.select("id", "kappa_predicted", "kappa_predicted_oof")
+
+
+def forest_importance(spark, sf_dir):
+    return forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, "id", settings=SMALL).importances
+
+
+def forest_sensitivity(spark, sf_dir):
+    rows = _forest_rows(spark, sf_dir)
+    model = forest.train(rows, FOREST_FEATURES, "id", settings=SMALL).model
+    scores, corr = forest.sensitivity(rows, model, FOREST_FEATURES, "id", settings=SMALL)
+    return scores.crossJoin(corr)  # one row each
+
+
+def tfidf_max_cosine(spark, sf_dir):
+    out = similarity.max_similarity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return rounded(out, "similarity")
+
+
+SNIPPETS = [
+    ("python", "def f(x):\n    if x:\n        return 1\n    elif x > 2:\n        return 2\n    for i in x:\n        pass\n"),
+    ("python", "class A:\n    def g(self):\n        try:\n            with x as y:\n                return a and b or c\n        except E:\n            return [i for i in z if i]\n"),
+    ("python", "def broken(:\n    if x\n"),
+    ("python", ""),
+    ("java", "class A {}"),
+]
+
+
+def ast_metrics(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SNIPPETS)], "id long, lang string, code string")
+    return rows.select("id", code_metrics.gated_code_metrics(F.col("code"), F.col("lang")).alias("gated"), code_metrics.code_metrics(F.col("code")).alias("plain"))
+
+
+def enrich_records(spark, sf_dir):
+    """The whole extractor over records made from conversations."""
+    turns = read(spark, sf_dir, "conversations")
+    rows = turns.groupBy("conv_id").agg(F.collect_list("role").alias("status"), F.min("text").alias("input"))
+    records = rows.select(F.parse_json(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "input", "status", F.lit("python").alias("lang"), F.lit("x = 1 if y else 2").alias("code_cleaned"), F.lit(3).alias("extra")))).alias("record"))
+    out = enrich(records)
+    return out.select(F.variant_get("record", "$.id", "string").alias("id"), "pass_rate", "is_success", F.col("iv_features.inst_tokens").alias("inst_tokens"), F.col("ast_features.ast_cyclomatic").alias("ast_cyclomatic"), "json")
+
+
+WORDS = "[^\\p{L}\\p{N}_]+"
+
+
+def _hits(words: tuple[str, ...], column: str = "text") -> str:
+    """Whole-word matches in SQL; of two words in a row, their pairs."""
+    parts = f"regexp_split_to_array(lower({column}), '{WORDS}')"
+    single = [w for w in words if " " not in w]
+    out = [f"len(list_filter({parts}, lambda x: x IN ({', '.join(repr(w) for w in single)})))"] if single else []
+    for w in words:
+        if " " in w:
+            out.append(f"len(regexp_extract_all(lower({column}), '(^|{WORDS[:-1]}){w}($|{WORDS[:-1]})'))")
+    return "(" + " + ".join(out) + ")"
+
+
+def _features_sql() -> str:
+    n = {k: _hits(v) for k, v in FIXTURE_LEXICON.items()}
+    counts = ", ".join(f"{n[k]}::BIGINT AS inst_{k}_count" for k in n)
+    return f"""SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::BIGINT AS inst_tokens, {counts},
+      ({n['if']} + {n['loop']} + {n['class']} + {n['func']})::BIGINT AS inst_total_structural,
+      round(CASE WHEN len(regexp_extract_all(text, '\\S+')) > 0 THEN length(regexp_replace(text, '\\s', '', 'g')) / len(regexp_extract_all(text, '\\S+')) ELSE 0 END, 6) AS inst_avg_word_len FROM documents"""
+
+
+def _edges_sql(column: str, table: str, bins: int, to: str) -> str:
+    """Right-closed equal-width bin as a scalar expression over the columns lo_ and hi_."""
+    return f"""(SELECT count(*) FROM range(0, {bins + 1}) e(i) WHERE CASE WHEN i = 0 THEN lo_{to} - 0.001::DOUBLE * (hi_{to} - lo_{to}) WHEN i = {bins} THEN hi_{to} ELSE lo_{to} + i * ((hi_{to} - lo_{to}) / {bins}) END < {column})"""
+
+
+def _range_sql(column: str, table: str, to: str) -> str:
+    return f"(SELECT min({column}) AS lo_{to}, max({column}) AS hi_{to} FROM {table})"
+
+
+def _cut_sql(column: str, edges: list[float]) -> str:
+    inner = " ".join(f"WHEN {column} <= {e} THEN {i}" for i, e in enumerate(edges[1:], 1))
+    return f"CASE WHEN {column} <= {edges[0]} THEN NULL {inner} END"
+
+
+FLOW_SQL = f"""WITH b AS (SELECT {_cut_sql('l_quantity / 2', summary.PRED_EDGES)}::BIGINT AS pred_bin, {_cut_sql('(l_tax * 100 + 1)', summary.OBS_EDGES)}::BIGINT AS obs_bin FROM lineitem),
+f AS (SELECT pred_bin, obs_bin, count(*) AS "count" FROM b WHERE pred_bin IS NOT NULL AND obs_bin IS NOT NULL GROUP BY ALL HAVING count(*) > 50)
+SELECT *, (obs_bin = 1 AND pred_bin <> 1)::BIGINT AS wrong FROM f"""
+
+
+def _phase_sql(k: int, e: int) -> str:
+    return f"""SELECT {_edges_sql('l_quantity', 'lineitem', k, 'k')}::BIGINT AS k_bin, {_edges_sql('l_extendedprice', 'lineitem', e, 'e')}::BIGINT AS e_bin, avg(l_discount) AS m
+      FROM lineitem, {_range_sql('l_quantity', 'lineitem', 'k')}, {_range_sql('l_extendedprice', 'lineitem', 'e')} GROUP BY ALL"""
+
+
+def _ssr(y: str, x: str, where: str) -> str:
+    return f"(regr_syy({y}, {x}) FILTER ({where}) - coalesce(regr_sxy({y}, {x}) FILTER ({where}) ** 2 / nullif(regr_sxx({y}, {x}) FILTER ({where}), 0), 0))"
+
+
+def _curve_sql(source: str, y: str, x: str, group: str = "") -> str:
+    """F statistic per grid point without controls (k = 2)."""
+    by = f"{group}, " if group else ""
+    return f"""WITH g AS (SELECT (2.0 + 0.5 * i)::DOUBLE AS gamma FROM range(26) r(i)), t AS ({source}),
+a AS (SELECT {by}gamma, count(*) AS n, count(*) FILTER ({x} <= gamma) AS nl, count(*) FILTER ({x} > gamma) AS nh, {_ssr(y, x, 'true')} AS s, {_ssr(y, x, f'{x} <= gamma')} AS sl, {_ssr(y, x, f'{x} > gamma')} AS sh FROM t, g GROUP BY {by}gamma),
+c AS (SELECT {by}gamma, CASE WHEN nl >= 100 AND nh >= 100 THEN ((s - sl - sh) / 2) / ((sl + sh) / (n - 4)) END AS f FROM a)"""
+
+
+ORDERS = "SELECT o_orderkey AS key, o_orderkey % 17 + 0.25::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders"
+BOOT = f"""WITH o AS ({ORDERS}), b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM o)
+  SELECT iter, x, b0 + b1 * x + (y - b0 - b1 * x) * CASE WHEN substr(md5(key::VARCHAR || '-' || iter::VARCHAR), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN 1 ELSE -1 END AS y FROM o, b, range(1, 6) i(iter)"""
+PLACEBO = f"""WITH o AS ({ORDERS}), p AS (SELECT x AS moved, row_number() OVER (ORDER BY md5(key::VARCHAR || '-0')) AS k FROM o),
+  d AS (SELECT iter, y, row_number() OVER (PARTITION BY iter ORDER BY md5(key::VARCHAR || '-' || iter::VARCHAR)) AS k FROM o, range(1, 6) i(iter)) SELECT iter, moved AS x, y FROM d JOIN p USING (k)"""
+SUP = "SELECT iter::INT AS iter, round(max(f), 6) AS sup_f, arg_max(gamma, round(f, 9) - gamma * 1e-12) AS gamma FROM c WHERE f IS NOT NULL GROUP BY iter"
+FOLDS = "SELECT *, (row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '-42')) - 1) % 10 AS fold FROM orders"
+
+
+def _grams_sql(table: str, key: str) -> str:
+    return f"""SELECT {key} AS id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS term
+      FROM (SELECT {key}, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2) AS w FROM {table})"""
+
+
+TFIDF_SQL = f"""WITH q AS (SELECT id, term, count(*) AS tf FROM ({_grams_sql('documents', 'doc_id')}) GROUP BY ALL), p AS (SELECT id, term, count(*) AS tf FROM ({_grams_sql('benchmark', 'item_id')}) GROUP BY ALL),
+n AS (SELECT count(*) + 2.0::DOUBLE AS n FROM benchmark), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT q.*, f.df, ln(n / (coalesce(f.df, 0) + 2.0::DOUBLE)) + 1 AS i1 FROM q LEFT JOIN f USING (term), n), na AS (SELECT id, sum((tf * i1) ** 2) AS na FROM s GROUP BY id),
+t AS (SELECT p.*, ln(n / (f.df + 1.0::DOUBLE)) + 1 AS i0 FROM p JOIN f USING (term), n), nb AS (SELECT id, sum((tf * i0) ** 2) AS nb FROM t GROUP BY id),
+d AS (SELECT s.id AS a, t.id AS b, sum(s.tf * t.tf * i1 ** 2) AS dot, sum(t.tf ** 2 * (i1 ** 2 - i0 ** 2)) AS fix FROM s JOIN t USING (term) GROUP BY ALL),
+m AS (SELECT a, max(dot / sqrt(na * (nb + fix))) AS s FROM d JOIN na ON na.id = a JOIN nb ON nb.id = b GROUP BY a)
+SELECT doc_id, round(coalesce(s, 0), 6) AS similarity FROM documents LEFT JOIN m ON a = doc_id"""
+
+SQL: dict[str, str] = {
+    "text_features_documents": _features_sql(),
+    "lexicon_features_pages": "SELECT page_id, " + ", ".join(f"{_hits(Settings().lexicon[k], 'html')}::BIGINT AS inst_{k}_count" for k in ("class", "collection", "func")) + " FROM pages",
+    "token_stats": "SELECT conv_id, turn, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_tokens, round(CASE WHEN len(regexp_extract_all(text, '\\S+')) > 0 THEN length(regexp_replace(text, '\\s', '', 'g')) / len(regexp_extract_all(text, '\\S+')) ELSE 0 END, 6) AS mean_len FROM conversations",
+    "intent_scores": "SELECT doc_id, ("
+    + " + ".join(f"contains(lower(text), '{p}')::BIGINT" for p in text.NESTING)
+    + ")::BIGINT AS nesting_intent, ("
+    + " + ".join(f"contains(lower(text), '{p}')::BIGINT" for p in text.ALGORITHMS)
+    + ")::BIGINT AS algo_intent, round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / ln(len(w) + 1) ELSE 0 END, 6) AS instruction_complexity_score FROM (SELECT *, regexp_extract_all(lower(text), '\\S+') AS w FROM documents)",
+    "pass_rate_list": "SELECT conv_id, round(avg((role = 'user')::INT), 6) AS pass_rate, (avg((role = 'user')::INT) >= 0.8)::INT AS is_success FROM conversations GROUP BY conv_id",
+    "pass_rate_string": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if r is None else r}::DOUBLE)" for i, r in enumerate(STATUS_RATES)) + ") t(id, pass_rate)",
+    "json_flatten": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
+    "defaults_fill": "SELECT doc_id, coalesce(quality, 1) AS kappa, coalesce(toxic, 0) AS is_success, coalesce(lang, 'unknown') AS lang FROM documents LEFT JOIN labels USING (doc_id)",
+    "success_split": "SELECT count(*) AS n, round(avg(toxic), 6) AS mean_toxic, CASE WHEN quality = 1 THEN 'success' ELSE 'failure' END AS side FROM labels GROUP BY side",
+    "load_report": "SELECT count(*) AS n, round(avg(quality), 6) AS success_rate, round(avg(toxic), 6) AS mean_pass_rate, round(avg(n_chars), 6) AS mean_actual, round(avg(n_chars / 100.0::DOUBLE), 6) AS mean_predicted FROM documents JOIN labels USING (doc_id)",
+    "fake_simple_report": "SELECT count(*) AS n, round(avg(t), 6) AS mean, round(median(t), 6) AS median, max(t)::BIGINT AS max FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND quality = 0)",
+    "regime_report": "SELECT count(*) FILTER (l_quantity <= 6.5) AS n_low, count(*) FILTER (l_quantity > 6.5) AS n_high, round(avg(l_discount) FILTER (l_quantity <= 6.5), 6) AS mean_low, round(avg(l_discount) FILTER (l_quantity > 6.5), 6) AS mean_high, round(avg(l_discount) FILTER (l_quantity <= 6.5) - avg(l_discount) FILTER (l_quantity > 6.5), 6) AS difference FROM lineitem",
+    "naive_view": "SELECT l_quantity AS kappa, round(avg(l_discount), 6) AS mean_outcome, count(*) AS n FROM lineitem WHERE l_quantity <= 15 GROUP BY 1",
+    "naive_view_clipped": "SELECT l_quantity AS kappa, round(avg(l_discount), 6) AS mean_outcome, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 12 GROUP BY 1",
+    "corrected_view": "SELECT round_even(l_quantity / 2, 0)::DOUBLE AS kappa, round(avg(l_discount), 6) AS mean_outcome, count(*) AS n FROM lineitem GROUP BY 1 HAVING kappa <= 15",
+    "corrected_view_clipped": "SELECT greatest(1, least(12, round_even(l_quantity / 2, 0)))::DOUBLE AS kappa, round(avg(l_discount), 6) AS mean_outcome, count(*) AS n FROM lineitem GROUP BY 1",
+    "observed_labels": "SELECT 'κ_obs = ' || l_quantity::INT::VARCHAR AS label, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 8 GROUP BY 1",
+    "equal_width_bins": f"SELECT {_edges_sql('l_extendedprice', 'lineitem', 15, 'x')}::BIGINT AS bin, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem, {_range_sql('l_extendedprice', 'lineitem', 'x')} GROUP BY 1",
+    "explicit_bins_flow": FLOW_SQL,
+    "flow_labels": f"SELECT DISTINCT pred_bin FROM ({FLOW_SQL})",
+    "phase_cells": f"SELECT k_bin, e_bin, round(m, 6) AS mean_outcome FROM ({_phase_sql(15, 15)})",
+    "phase_pivot": f"SELECT k_bin, " + ", ".join(f"round(max(m) FILTER (e_bin = {i}), 6) AS e{i}" for i in (1, 2, 3)) + f" FROM ({_phase_sql(6, 3)}) GROUP BY k_bin",
+    "phase_labelled": "SELECT k_bin, e_bin, round(m, 6) AS mean_outcome, ["
+    + ", ".join(f"'{x}'" for x in binning.spread_labels(2, 16, 12, 0))
+    + "][k_bin] AS k_label, ["
+    + ", ".join(f"'{x}'" for x in binning.spread_labels(0.1, 0.9, 8, 2))
+    + f"][e_bin] AS e_label FROM ({_phase_sql(12, 8)})",
+    "binned_trend": f"WITH b AS (SELECT {_edges_sql('o_totalprice', 'orders', 40, 'x')}::BIGINT AS bin, o_totalprice AS x, o_custkey::DOUBLE AS y FROM orders, {_range_sql('o_totalprice', 'orders', 'x')}), a AS (SELECT bin, avg(x) AS mean_kappa, avg(y) AS mean_pass, count(*) AS \"count\", stddev_samp(y) / sqrt(count(*)) AS se FROM b GROUP BY bin HAVING count(*) >= 2) SELECT bin, round(mean_kappa, 6) AS mean_kappa, round(mean_pass, 6) AS mean_pass, \"count\", round(se, 6) AS se, round(mean_pass - 1.96 * se, 6) AS low, round(mean_pass + 1.96 * se, 6) AS high FROM a",
+    "violin_stats": "SELECT l_linenumber AS kappa, count(*) AS n, round(min(l_extendedprice), 6) AS min, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3, round(max(l_extendedprice), 6) AS max, round(avg(l_extendedprice), 6) AS mean FROM lineitem WHERE l_linenumber BETWEEN 1 AND 8 GROUP BY 1",
+    "corr_failures": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS corr FROM lineitem WHERE l_returnflag <> 'R'",
+    "ols_simple": "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem",
+    "iv_single": "SELECT round(covar_samp(z, y) / covar_samp(z, k), 4) AS slope, count(*) AS n FROM (SELECT l_quantity AS z, l_quantity + 20 * e AS k, l_extendedprice / 1000 + 30 * e AS y FROM (SELECT *, ('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS e FROM lineitem))",
+    "threshold_curve": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
+    "threshold_best": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c WHERE f IS NOT NULL ORDER BY round(f, 6) DESC, gamma LIMIT 1",
+    "wild_bootstrap": _curve_sql(BOOT, "y", "x", "iter") + " " + SUP,
+    "placebo": _curve_sql(PLACEBO, "y", "x", "iter") + " " + SUP,
+    "draw_report": "SELECT round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS sd, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem",
+    "exact_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 100",
+    "kfold_sizes": f"SELECT fold::BIGINT AS fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM ({FOLDS}) GROUP BY fold",
+    "cv_metrics": f"WITH d AS (SELECT fold, o_totalprice / 1000 AS y, o_custkey / 10.0::DOUBLE AS p FROM ({FOLDS})), f AS (SELECT fold, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae FROM d GROUP BY fold) SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, round(avg(mae), 6) AS mean_mae, (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) FROM d) AS oof_r2 FROM f",
+    "tfidf_max_cosine": TFIDF_SQL,
+}
+
+NAMES = (
+    "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
+    "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
+    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "iv_single", "iv_2sls", "first_stage", "hausman", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
+    "wild_bootstrap", "placebo", "resampling_report", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "ast_metrics", "enrich_records",
+)
 
 
 def queries() -> dict:
-    return {}
+    return {name: globals()[name] for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
