@@ -136,11 +136,13 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", keep: tup
     """Columns ``keep`` with ``lang_pred`` and ``score``; ``keep`` must not hold those two names."""
     small_batches(docs.sparkSession)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    wanted = [*keep, *([] if text_col in keep else [text_col])]
+    at = wanted.index(text_col)
 
     def score(batches):
         for batch in batches:
-            found = [score_text(model, text) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            found = [score_text(model, text) for text in batch.column(at).to_pylist()]
+            columns = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(score, schema)
+    return docs.select(*wanted).mapInArrow(score, schema)

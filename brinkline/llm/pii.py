@@ -246,7 +246,7 @@ def labelled(rows: int, seed: int) -> list[tuple[str, str, int]]:
             lead, label = rnd.choice(CUES["other"]) + rnd.choice([": ", " ", " #"]), 0
         else:
             lead, label = "", int(sure)
-            if kind == "at_mail":
+            if kind == "at_mail" and rnd.random() < 0.5:
                 v, label = f"{rnd.choice(filler)} at {rnd.choice(filler)}. {rnd.choice(filler).capitalize()}", 0
         out.append((f"{word(4)} {lead}{v} {word(3)}", v, label))
     return out

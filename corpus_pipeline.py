@@ -1,15 +1,67 @@
-"""The corpus pipeline: stages applied one after another to ``documents``."""
+"""The corpus pipeline: stages applied one after another to ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns all that it kept with its
+decisions in effect; all but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brinkline.llm import decontaminate, jaccard, langid, pii, sentencepiece_nbest
+from brinkline.llm.common import held_out, table, written
+from brinkline.llm.queries import piece_model
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.34
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the known languages go (``und``, or a score near the even chance); a missing ``lang`` is filled in."""
+    model = langid.fit(docs, train=~held_out())
+    found = langid.predict(docs, model, keep=COLUMNS)
+    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles (Jaccard 0.8 or more) that with the smallest id stays."""
+    found = jaccard.join(docs.select("doc_id", "text"), size=5, percent=80)
+    gone = written(found.filter("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct(), "copies")
+    ids = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("k")).first()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if ids["n"] == ids["k"]:
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    found = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    gone = written(found.select(F.col("doc").alias("doc_id")).distinct(), "leaks")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; no document goes."""
+    found = pii.scan(docs, pii.fit(spark), keep=COLUMNS)
+    text = pii.redact(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document."""
+    found = sentencepiece_nbest.encode(docs, piece_model(), keep=("doc_id", "lang", "source"), n=2)
+    return found.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "score", "round_trip")
+
 
-STAGES: list = []
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("private_data", private_data), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
