@@ -3,18 +3,19 @@
 A document's set of word shingles is hashed into a bit sketch by XOR: each
 shingle flips one bit, so the Hamming distance of two sketches is at most the
 size of the symmetric difference of the sets.  Per size band the sketch is cut
-into so many sections that two documents which link must agree in more than
+into so many sections that two documents which link agree in more than
 ``slack`` of them (pigeonhole).  A section's key is a hash of its bits (each
-section has 2**20, kept sparsely).  Sections with few shingles say little;
-each document leaves out the weakest, ``slack`` of them at most, so one key
-that two linked documents share always remains.
-
-Documents that share a key form a run.  A run is first joined as a tree with
-256 children a node, whose pairs are verified exactly on the shingle sets;
-pairs of a run that are still in different components are then verified as
-well, so no link that matters to the components is lost and a group of n near
-copies costs about n verified pairs.  Documents with equal sets are one class
-from the start.
+section has 2**20, kept sparsely).  Because more than ``slack`` sections agree,
+each document may leave out that many keys, the most frequent ones in one
+order for all: the rarest key that two linked documents share then remains in
+both.  What stands in many documents, as common lines do, thus makes no
+candidates.
+
+Documents that share a remaining key form a run.  First each document is held
+against one other of its runs, verified exactly on the shingle sets; then all
+pairs of a run that are still in different components, so no link that
+matters to the components is lost and a group of n near copies costs about n
+verified pairs.  Documents with equal sets are one class from the start.
 
 Defined results: null or blank text has no shingles and is its own
 component; a text of fewer words than a shingle has one, the whole sequence;
@@ -30,13 +31,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, written
 from .components import components
-from .words import U, WordHash, hashed_words, mix, shingles
+from .words import U, hashed_words, mix, shingles
 
 BAND_RATIO = 1.6
+SLACK = 0.25
 FAN = 256
 FILTER_BITS = 1 << 25
 
@@ -69,36 +72,31 @@ def spaces(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
     made = []
     for space, most in out:
         differing = 2 * most * (100 - percent) // (100 + percent)
-        slack = math.ceil(0.08 * differing) + 1
+        slack = math.ceil(SLACK * differing) + 1
         made.append((space, differing + 1 + slack, slack))
     return tuple(made)
 
 
-def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The section keys that a set emits."""
-    out = []
+def keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The section keys of a set, and for each how many keys of its space may be left out.
+
+    The lowest bit of a key tells the two spaces of a set apart.  Empty
+    sections come first among those left out.
+    """
+    out, drop = [], []
     for space, sections, slack in spaces(len(tokens), percent):
         spread = mix(tokens + U(space + 1))
-        section = ((spread >> U(32)) * U(sections)) >> U(32)
-        bit = spread & U((1 << 20) - 1)
-        order = np.argsort(section, kind="stable")
-        section = section[order]
+        spot = np.sort(((((spread >> U(32)) * U(sections)) >> U(32)) << U(20)) | (spread & U((1 << 20) - 1)))
+        section = spot >> U(20)
         first = np.flatnonzero(np.concatenate(([True], section[1:] != section[:-1])))
-        flips = np.bitwise_xor.reduceat(mix((bit[order] << U(32)) + section), first)
-        held = np.diff(np.append(first, len(section)))
+        flips, at = np.bitwise_xor.reduceat(mix(spot), first), section[first]
         empty = sections - len(first)
-        strength = 0
-        for p in (3, 2, 1):
-            if empty + np.count_nonzero(held < p) <= slack:
-                strength = p
-                break
-        at = section[first]
-        if strength == 0:
+        if empty > slack:
             flips, at = np.concatenate((flips, np.zeros(empty, U))), np.concatenate((at, np.setdiff1d(np.arange(sections, dtype=U), at)))
-        else:
-            flips, at = flips[held >= strength], at[held >= strength]
-        out.append(mix(flips ^ mix((U(space) << U(32)) + at)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+            empty = 0
+        out.append((mix(flips ^ mix((U(space) << U(32)) + at)) & ~U(1)) | U(space & 1))
+        drop.append(np.full(len(at), slack - empty, np.int32))
+    return (np.concatenate(out), np.concatenate(drop)) if out else (np.zeros(0, U), np.zeros(0, np.int32))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -117,11 +115,10 @@ def describe(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
     """``doc, n, fp1, fp2``: set size and fingerprint of every document."""
 
     def run(batches):
-        known = WordHash()
         for batch in batches:
             n, fp = [], []
             for text in batch.column(1).to_pylist():
-                s = shingles(hashed_words(text, known), size)
+                s = shingles(hashed_words(text), size)
                 n.append(len(s))
                 fp.append((np.bitwise_xor.reduce(mix(s)) if len(s) else U(0), np.add.reduce(mix(s + U(77))) if len(s) else U(0)))
             fp = np.array(fp, U).reshape(-1, 2)
@@ -131,76 +128,79 @@ def describe(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
 
 
 def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
-    """``key, doc``: the section keys.  A set seen before in the same task emits nothing
+    """``key, doc, spare``: the section keys.  A set seen before in the same task emits nothing
     again: its first document stands for it (equal sets are one class anyway)."""
+    names = ["key", "doc", "spare"]
 
     def run(batches):
-        known, seen = WordHash(), {}
+        seen: set = set()
         for batch in batches:
-            out_key, out_doc, held = [], [], 0
+            out, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(hashed_words(text, known), size)
+                s = shingles(hashed_words(text), size)
                 if doc is None or len(s) < least_size(percent):
                     continue
                 mark = (int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s + U(77)))))
                 if mark in seen:
                     continue
                 if len(seen) < 1_000_000:
-                    seen[mark] = True
-                k = keys(s, percent)
-                out_key.append(k)
-                out_doc.append(np.full(len(k), doc, np.int64))
+                    seen.add(mark)
+                k, spare = keys(s, percent)
+                out.append((k.view(np.int64), np.full(len(k), doc, np.int64), spare))
                 held += len(k)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(out_key)), pa.array(np.concatenate(out_doc))], names=["key", "doc"])
-                    out_key, out_doc, held = [], [], 0
-            if out_key:
-                yield pa.RecordBatch.from_arrays([as_long(np.concatenate(out_key)), pa.array(np.concatenate(out_doc))], names=["key", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "key long, doc long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "key long, doc long, spare int")
 
 
-def runs_of(keys_: DataFrame) -> DataFrame:
-    """``key, doc, parent``: keys that several documents share, each run as a tree with ``FAN``
-    children a node in the order of the documents (the root has no parent)."""
+def shared_keys(keys_: DataFrame) -> DataFrame:
+    """The rows of keys that several documents have, with their number ``g``."""
 
     def run(batches):
-        ks, ds = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
         for batch in batches:
             # rows of one key follow each other; the last run may go on in the next batch
-            ks, ds = np.concatenate((ks, batch.column(0).to_numpy())), np.concatenate((ds, batch.column(1).to_numpy()))
-            ends = np.flatnonzero(ks[1:] != ks[:-1])
+            held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
+            ends = np.flatnonzero(held[0][1:] != held[0][:-1])
             if len(ends):
                 cut = ends[-1] + 1
-                yield from tree(ks[:cut], ds[:cut])
-                ks, ds = ks[cut:], ds[cut:]
-        if len(ks):
-            yield from tree(ks, ds)
-
-    def tree(ks, ds):
-        fresh = np.concatenate(([True], (ks[1:] != ks[:-1]) | (ds[1:] != ds[:-1])))
-        ks, ds = ks[fresh], ds[fresh]
-        first = np.concatenate(([True], ks[1:] != ks[:-1]))
-        begin = np.flatnonzero(first)
-        length = np.diff(np.append(begin, len(ks)))
-        many = np.repeat(length > 1, length)
-        if not many.any():
-            return
-        at = np.arange(len(ks)) - np.repeat(begin, length)
-        up, unit = np.full(len(ks), -1, np.int64), 1
-        open_ = at > 0
-        while open_.any():
-            here = open_ & (at // unit % FAN > 0)
-            up[here] = at[here] - at[here] % (unit * FAN)
-            open_ &= ~here
-            unit *= FAN
-        base = np.repeat(begin, length)
-        parent = ds[np.where(up >= 0, base + up, base)]
-        mask = pa.array(~(up >= 0)[many])
-        yield pa.RecordBatch.from_arrays([pa.array(ks[many]), pa.array(ds[many]), pa.array(parent[many], pa.int64(), mask=np.asarray(mask))], names=["key", "doc", "parent"])
+                yield from several(*(h[:cut] for h in held))
+                held = [h[cut:] for h in held]
+        if len(held[0]):
+            yield from several(*held)
+
+    def several(key, doc, spare):
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(begin, len(key)))
+        g = np.repeat(length, length)
+        many = g > 1
+        if many.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.array(spare[many]), pa.array(g[many])], names=["key", "doc", "spare", "g"])
 
     n = int(keys_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys_.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(run, "key long, doc long, parent long")
+    return keys_.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, doc long, spare int, g long")
+
+
+def rare_runs(shared: DataFrame, same: DataFrame) -> DataFrame:
+    """``key, doc``: what remains after each document left out its most frequent keys, with
+    one document for each class of equal sets; only keys of several such documents."""
+    order = W.partitionBy("doc", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("g"), "key")
+    kept = shared.withColumn("place", F.row_number().over(order)).filter("place > spare").select("key", "doc")
+    one = kept.join(same.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct()
+    return one.withColumn("g", F.count("*").over(W.partitionBy("key"))).filter("g > 1")
+
+
+def first_pairs(runs: DataFrame) -> DataFrame:
+    """``a, b``: one partner for each document of a run.  Long runs are dealt into parts of
+    about ``FAN`` by a hash of the document, each around its smallest, which goes to the smallest of all."""
+    part = F.pmod(F.xxhash64("doc"), F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(1.0, g / {FAN}.0))) as int))"))
+    rows = runs.withColumn("part", part)
+    rows = rows.withColumn("hub", F.min("doc").over(W.partitionBy("key", "part"))).withColumn("root", F.min("doc").over(W.partitionBy("key")))
+    return rows.select(F.when(F.col("doc") == F.col("hub"), F.col("root")).otherwise(F.col("hub")).alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -218,13 +218,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: s
     mine = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def run(batches):
-        known, bits = WordHash(), mine.value
+        bits = mine.value
         for batch in batches:
             spot = batch.column(2).to_numpy()
             wanted = np.flatnonzero((bits[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1))
             for at in range(0, len(wanted), 200):
                 part = batch.take(pa.array(wanted[at : at + 200]))
-                sets = [shingles(hashed_words(t, known), size) for t in part.column(1).to_pylist()]
+                sets = [shingles(hashed_words(t), size) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "tokens"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -277,10 +277,13 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     small_batches(spark)
     known = written(describe(docs, size, text_col, id_col), "sets")
     classes = written(known.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k")), "classes")
-    runs = written(runs_of(keyed(docs, size, percent, text_col, id_col)), "runs")
     sizes = known.filter("doc is not null").select("doc", "n")
-    links = verified(docs, runs.filter("parent is not null").select(F.col("parent").alias("a"), F.col("doc").alias("b")).distinct(), sizes, size, percent, text_col, id_col)
+    shared = written(shared_keys(keyed(docs, size, percent, text_col, id_col)), "shared")
     same = known.join(classes.filter("k > 1"), ["fp1", "fp2", "n"]).filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    same = written(same.distinct(), "same")
+    runs = written(rare_runs(shared, same), "runs")
+    dropped(shared)
+    links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
     more = written(cross_pairs(runs, roots), "cross")
     extra = None if more.isEmpty() else verified(docs, more, sizes, size, percent, text_col, id_col)

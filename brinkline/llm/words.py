@@ -26,10 +26,61 @@ class WordHash(dict):
         return value
 
 
-def hashed_words(text: str | None, known: WordHash) -> np.ndarray:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as 64-bit hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(known.__getitem__, words), U, len(words))
+SEGMENT = 1 << 20
+BASE = 0x5851F42D4C957F2D
+SPACES = np.zeros(256, bool)
+SPACES[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, U)
+    np.multiply.accumulate(np.full(n - 1, base, U), out=out[1:])
+    return out
+
+
+class Powers:
+    """Powers of the base of the polynomial hash and of its inverse, made as they are needed."""
+
+    up, down = np.ones(1, U), np.ones(1, U)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up), 1 << 14)
+            cls.up, cls.down = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
+        return cls.up[:n], cls.down[:n]
+
+
+def hashed_words(text: str | None) -> np.ndarray:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as 64-bit hashes.
+
+    A word's hash is its polynomial in the base, taken from running sums over
+    the whole text; long texts are cut at blanks.
+    """
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    out, at = [], 0
+    while at < len(data):
+        end = at + SEGMENT
+        if end < len(data):
+            blank = np.flatnonzero(SPACES[data[at:end]])
+            while not len(blank) and end < len(data):  # one word longer than a segment
+                end += SEGMENT
+                blank = np.flatnonzero(SPACES[data[at:end]])
+            end = at + int(blank[-1]) + 1 if len(blank) and end < len(data) else len(data)
+        out.append(_segment(data[at:end]))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, U)
+
+
+def _segment(data: np.ndarray) -> np.ndarray:
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = SPACES[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = Powers.upto(len(data) + 1)
+    run = np.zeros(len(data) + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * up[:-1], out=run[1:])
+    return mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
