@@ -80,21 +80,24 @@ class Index:
         bound = q @ self.top[at]
         order = np.argsort(-bound, kind="stable")
         place, score, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
-        step = 4
-        for lo in range(0, len(order), step):
+        lo, step = 0, 4
+        while lo < len(order) and bound[order[lo]] > 0 and not (len(score) >= self.k and bound[order[lo]] < worst - 1e-12):
             part = order[lo : lo + step]
-            if bound[part[0]] <= 0 or (len(score) >= self.k and bound[part[0]] < worst - 1e-12):
-                break
-            acc = np.zeros((len(part), BLOCK))
-            for t, w in zip(at, q, strict=True):
-                for i, b in enumerate(part):
-                    s, e = self.start[t, b], self.start[t, b + 1]
-                    if e > s:
-                        acc[i, self.doc[s:e] - b * BLOCK] += w * self.weight[s:e]
-            i, j = np.nonzero(acc)
-            p, s = part[i] * BLOCK + j, acc[i, j]
-            keep = p != without
-            place, score = np.concatenate((place, p[keep])), np.concatenate((score, s[keep]))
+            lo, step = lo + step, step * 3
+            # the postings of all the query's terms in these blocks, summed per example
+            begin = self.start[at[:, None], part].ravel()
+            length = self.start[at[:, None], part + 1].ravel() - begin
+            ends = np.cumsum(length)
+            spot = np.arange(ends[-1]) + np.repeat(begin - ends + length, length)
+            acc = np.bincount(self.doc[spot], weights=self.weight[spot] * np.repeat(np.repeat(q, len(part)), length), minlength=1)
+            p = np.flatnonzero(acc)
+            p = p[p != without]
+            place, score = np.concatenate((place, p)), np.concatenate((score, acc[p]))
+            if len(score) > self.k:
+                # exact ties go to the smaller id
+                cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
+                near = np.flatnonzero(score >= cut - 1e-9)
+                place, score = place[near], score[near]
             best = np.lexsort((self.ids[place], -np.round(score, 12)))[: self.k]
             place, score = place[best], score[best]
             worst = score[-1] if len(score) >= self.k else -1.0
