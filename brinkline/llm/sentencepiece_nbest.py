@@ -33,7 +33,7 @@ MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 BYTE_LOSS = 10.0
 UNRANKED = -1e8  # scores below are those of pieces without rank
-REMEMBERED = 180_000
+REMEMBERED = 400_000
 
 
 @dataclass
