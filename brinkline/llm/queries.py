@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, pii, secrets, sentencepiece_nbest, toxicity, vector_dedup, warc
+from . import decontaminate, jaccard, langid, pii, secrets, sentencepiece_nbest, suffix_dedup, toxicity, vector_dedup, warc
 from .common import held_out, table
 
 
@@ -23,6 +23,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.BASE), F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def piece_model() -> str:
     """Place of the public piece vocabulary; a parameter of the operator."""
     return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
