@@ -39,19 +39,28 @@ WORD = re.compile(r"\w+")
 
 def word_hashes(text: str | None, known: WordHash) -> np.ndarray:
     found = WORD.findall((text or "").lower())
-    return np.fromiter((known[w.encode("utf-8", "surrogatepass")] for w in found), U, len(found))
-
-
-def masked(words: np.ndarray, mask: str, tag: int) -> np.ndarray:
-    """Hash of each window under a mask."""
-    n = len(words) - len(mask) + 1
-    if n <= 0:
-        return words[:0]
-    total = np.full(n, tag * 1_000_003 + 17, U)
-    for k, bit in enumerate(mask):
-        if bit == "1":
-            total = mix(total + words[k : k + n])
-    return total
+    return np.fromiter(map(known.__getitem__, found), U, len(found))
+
+
+#: One odd factor for each place of a window.
+FACTORS = [U(x | 1) for x in mix(np.arange(1, SPAN + 1, dtype=U)).tolist()]
+
+
+def windows(words: np.ndarray, masks: list[tuple[int, str]]) -> list[np.ndarray]:
+    """Hash of each window under each mask, from products that the masks share."""
+    products = [words[k:] * f for k, f in enumerate(FACTORS[: len(words)])]
+    out = []
+    for tag, mask in masks:
+        n = len(words) - len(mask) + 1
+        if n <= 0:
+            out.append(words[:0])
+            continue
+        total = np.full(n, tag * 1_000_003 + 17, U)
+        for k, bit in enumerate(mask):
+            if bit == "1":
+                total += products[k][:n]
+        out.append(mix(total))
+    return out
 
 
 def masks_for(lengths: list[int]) -> list[tuple[int, str]]:
@@ -99,8 +108,7 @@ def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
                 w = np.frombuffer(data.as_buffer(), U)
                 if len(w) < least:
                     continue
-                for tag, mask in masks_for([len(w)] if len(w) < SPAN else []):
-                    got = masked(w, mask, tag)
+                for got in windows(w, masks_for([len(w)] if len(w) < SPAN else [])):
                     h.append(got)
                     item.append(np.full(len(got), i, np.int64))
                     at.append(np.arange(len(got)))
@@ -145,8 +153,7 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
             h, doc, at = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = word_hashes(text, known)
-                for tag, mask in masks:
-                    got = masked(w, mask, tag)
+                for got in windows(w, masks):
                     spot = np.flatnonzero(has_bit(map_, got))
                     if len(spot):
                         h.append(got[spot])

@@ -19,10 +19,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Hashes of words, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
 
