@@ -177,9 +177,9 @@ class Memory:
 class Encoder:
     """N-best segmentation of whole texts, words remembered up to a bound."""
 
-    def __init__(self, pieces: Pieces, n: int):
+    def __init__(self, pieces: Pieces, n: int, remember: int = REMEMBERED):
         self.p, self.n = pieces, n
-        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.words, self.parts = Memory(remember), Memory(remember)
 
     def cuts(self, text: str):
         """The parts of a chunk between neighbours that no piece holds side by side."""
@@ -273,9 +273,13 @@ def kept_encoder(pieces: Pieces, model_file: str, n: int) -> Encoder:
 EDITS = "array<struct<score:double,edits:array<struct<start:int,length:int,ids:array<int>>>>>"
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 3) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 3, reuse: bool = True) -> DataFrame:
     """Columns ``keep`` with ``ids``, ``score``, ``alternatives`` (the other N - 1 best as edits of
-    ``ids``) and ``round_trip`` (whether decoding gave back the text)."""
+    ``ids``) and ``round_trip`` (whether decoding gave back the text).
+
+    ``reuse``: a Python worker keeps its words for later tasks; without it each
+    task starts anew with a smaller memory and leaves none behind.
+    """
     spark = docs.sparkSession
     small_batches(spark, 500)
     shared = spark.sparkContext.broadcast(load(model_file))
@@ -285,7 +289,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
 
     def run(batches):
         p = shared.value
-        encoder = kept_encoder(p, model_file, n)
+        encoder = kept_encoder(p, model_file, n) if reuse else Encoder(p, n, REMEMBERED // 4)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             offsets, flat, scores, more, same = [0], [], [], [], []

@@ -52,7 +52,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document."""
-    found = sentencepiece_nbest.encode(docs, piece_model(), keep=("doc_id", "lang", "source"), n=2)
+    found = sentencepiece_nbest.encode(docs, piece_model(), keep=("doc_id", "lang", "source"), n=2, reuse=False)
     return found.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "score", "round_trip")
 
 
