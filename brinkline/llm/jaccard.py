@@ -12,10 +12,12 @@ both.  What stands in many documents, as common lines do, thus makes no
 candidates.
 
 Documents that share a remaining key form a run.  First each document is held
-against one other of its runs, verified exactly on the shingle sets; then all
-pairs of a run that are still in different components, so no link that
-matters to the components is lost and a group of n near copies costs about n
-verified pairs.  Documents with equal sets are one class from the start.
+against one other of its runs, verified exactly on the shingle sets; then, while
+that finds links, against the nearest of a run in another component, by the
+Hamming distance of short sketches; in the end all pairs of a run that are
+still in different components and that sizes and sketches allow.  So no link
+that matters to the components is lost and a group of n near copies costs
+about n verified pairs.  Documents with equal sets are one class from the start.
 
 Defined results: null or blank text has no shingles and is its own
 component; a text of fewer words than a shingle has one, the whole sequence;
@@ -42,6 +44,7 @@ BAND_RATIO = 1.6
 SLACK = 0.25
 FAN = 256
 FILTER_BITS = 1 << 25
+SKETCH_BITS = 2048
 
 
 def least_size(percent: int) -> int:
@@ -261,13 +264,77 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, per
     return found
 
 
-def cross_pairs(runs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: pairs of a run whose ends are still in different components."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the set's hashes over ``SKETCH_BITS`` bits."""
+    odd = np.bincount((mix(tokens + U(99)) % U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
+
+
+def sketches_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
+    """``doc, n, sketch`` of the documents named in ``ids``."""
+
+    def run(batches):
+        for batch in batches:
+            made = [sketch(np.frombuffer(t.as_buffer(), U)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc", "n", "sketch"])
+
+    return sets_of(docs, ids, size, text_col, id_col).mapInArrow(run, "doc long, n long, sketch binary")
+
+
+def open_rows(runs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, doc, root`` of the runs whose documents are in several components."""
     rows = runs.select("key", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    open_ = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
-    left = rows.join(open_, "key")
-    other = left.select("key", F.col("doc").alias("b"), F.col("root").alias("rb"))
-    return left.join(other, "key").filter((F.col("root") != F.col("rb")) & (F.col("doc") < F.col("b"))).select(F.col("doc").alias("a"), "b").distinct()
+    several = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("key")
+    return rows.join(several, "key").select("key", "doc", "root")
+
+
+def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``a, b``: pairs of a run in different components that sizes and sketches allow to link.
+
+    ``nearest``: for each document of a run only the one with the least Hamming distance."""
+
+    def pairs(doc, root, n, bits):
+        g = len(doc)
+        step = max(1, 2_000_000 // (g * bits.shape[1]))
+        for at in range(0, g, step):
+            own = slice(at, at + step)
+            apart = np.bitwise_count(bits[own, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            low, high = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
+            fit = (root[own, None] != root) & (100 * low >= percent * high) & (apart * (100 + percent) <= (100 - percent) * (low + high))
+            if nearest:
+                some = np.flatnonzero(fit.any(axis=1))
+                other = np.where(fit[some], apart[some], 1 << 40).argmin(axis=1)
+                yield doc[own][some], doc[other], apart[some, other]
+            else:
+                i, j = np.nonzero(fit & (doc[own, None] < doc))
+                yield doc[own][i], doc[j], apart[i, j]
+
+    def run(batches):
+        held: list = []
+        last = None
+
+        def made():
+            doc, root, n = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            bits = np.frombuffer(b"".join(r[3] for r in held), U).reshape(len(held), -1)
+            for x, y, d in pairs(doc, root, n, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["x", "y", "d"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if key != last and held:
+                    yield from made()
+                    held = []
+                last = key
+                held.append(row)
+        if held:
+            yield from made()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.join(sketches, "doc").select("key", "doc", "root", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key", "doc")
+    found = full.mapInArrow(run, "x long, y long, d long")
+    if nearest:
+        found = found.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -285,11 +352,24 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     dropped(shared)
     links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
-    more = written(cross_pairs(runs, roots), "cross")
-    extra = None if more.isEmpty() else verified(docs, more, sizes, size, percent, text_col, id_col)
-    if extra is not None and not extra.isEmpty():
-        tree = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        roots = written(components(tree.unionByName(extra)), "roots")
+    sketches, nearest = None, True
+    while True:
+        left = written(open_rows(runs, roots), "open")
+        if left.isEmpty():
+            break
+        if sketches is None:
+            sketches = written(sketches_of(docs, left.select("doc").distinct(), size, text_col, id_col), "sketches")
+        more = written(cross_pairs(left, sketches, percent, nearest), "cross")
+        extra = None if more.isEmpty() else verified(docs, more, sizes, size, percent, text_col, id_col)
+        dropped(left)
+        if extra is not None and not extra.isEmpty():
+            tree = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = written(components(tree.unionByName(extra)), "roots")
+        elif nearest and extra is not None:
+            nearest = False  # no nearest pair links any more: all that is left is verified once
+            continue
+        if not nearest or extra is None:
+            break
     dropped(runs)
     own = known.select("doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
     return own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
