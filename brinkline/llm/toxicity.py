@@ -1,12 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is indexed; the terms of the space are the
-``terms`` most associated with the label (chi-squared on the sample), their
-document frequencies are counted over all documents.  The inverted index
-keeps, per term and block of examples, the largest weight; blocks are scored
-in the order of their upper bounds until no block left can hold one of the
-``k`` nearest, so the result is that of the full scan.  Neighbours vote with
-their cosine; the votes are calibrated by a logistic fit on the examples
+A bounded sample of labelled texts is indexed; the terms of the space are all
+words of the sample, their document frequencies are counted over all
+documents.  (A word that no example holds would shorten all cosines of a text
+alike; it is not in the space.)  The inverted index keeps, per term and block
+of examples, the largest weight; blocks are scored in the order of their upper
+bounds until no block left can hold one of the ``k`` nearest, or, where a
+term has few postings in a block, all at once; so the result is that of the
+full scan.  Neighbours vote with their cosine.  A second vote, the cue, is that
+of the nearest by the ``terms`` words most associated with the label alone
+(chi-squared on the sample): few labelled words weigh little among all words
+of a long text.  Both votes are calibrated by a logistic fit on the examples
 themselves, each scored without itself, weighted to the labels' real shares.
 
 Defined results: a text without any term of the space (null and empty ones
@@ -25,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ from .common import small_batches
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
+#: With fewer postings of a term in a block on average, skipping blocks costs more than it saves.
+FEW = 8
 
 
 def words(text: str | None) -> list[str]:
@@ -45,29 +52,42 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     k: int
-    scale: tuple[float, float, float] = (0.0, 0.0, 0.0)  # log-odds = a * vote + b; and the chance without neighbours
-    start: np.ndarray = field(default=None)  # (terms, blocks + 1): where a term's postings of a block start
+    cue: Index | None = None  # the same examples by the words most associated with the label
+    scale: tuple[np.ndarray, float] = (np.zeros(4), 0.0)  # weights of the evidence in the log-odds; and the chance without neighbours
+    first: np.ndarray = field(default=None)  # (terms + 1): where a term's postings start
     doc: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
+    start: np.ndarray = field(default=None)  # (terms, blocks + 1): where a term's postings of a block start
     top: np.ndarray = field(default=None)  # (terms, blocks): the largest weight
 
+    def __getstate__(self) -> dict:
+        """Without the tables by block, which are much larger than the postings and are made where they are used."""
+        return self.__dict__ | {"start": None, "top": None}
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        at = sorted(self.vocabulary[w] for w in counts if w in self.vocabulary)
-        if not at:
+        known = self.vocabulary
+        by = [(known[w], n) for w, n in counts.items() if w in known]
+        if not by:
             return np.zeros(0, np.int64), np.zeros(0)
-        by = {self.vocabulary[w]: n for w, n in counts.items() if w in self.vocabulary}
-        v = np.array([1 + math.log(by[t]) for t in at]) * self.idf[at]
-        return np.array(at, np.int64), v / math.sqrt(float(v @ v))
+        at, n = np.array(sorted(by), np.int64).T
+        v = (1 + np.log(n)) * self.idf[at]
+        norm = math.sqrt(float(v @ v))
+        # a word of every document weighs nothing
+        return (at, v / norm) if norm else (at[:0], v[:0])
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         doc = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        spot = term * blocks + self.doc // BLOCK
-        edges = np.searchsorted(spot, np.arange(len(self.idf) * blocks + 1))
+        term, self.doc, self.weight = term[order], doc[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(term, np.arange(len(self.idf) + 1)).astype(np.int32)
+        self.start = self.top = None
+
+    def by_block(self) -> None:
+        blocks = max(1, -(-len(self.ids) // BLOCK))
+        spot = np.repeat(np.arange(len(self.idf)), np.diff(self.first)) * blocks + self.doc // BLOCK
+        edges = np.searchsorted(spot, np.arange(len(self.idf) * blocks + 1)).astype(np.int32)
         self.start = np.lib.stride_tricks.as_strided(edges, (len(self.idf), blocks + 1), (blocks * edges.itemsize, edges.itemsize)).copy()
         self.top = np.zeros(len(self.idf) * blocks)
         np.maximum.at(self.top, spot, self.weight)
@@ -77,6 +97,13 @@ class Index:
         """The ``k`` nearest examples (places and cosines), as a full scan would give them."""
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
+        if (self.first[at + 1] - self.first[at]).sum() < FEW * len(at) * (len(self.ids) / BLOCK):
+            acc = self.sums(self.first[at], self.first[at + 1], q)
+            place = np.flatnonzero(acc)
+            place = place[place != without]
+            return self.best(place, acc[place])
+        if self.top is None:
+            self.by_block()
         bound = q @ self.top[at]
         order = np.argsort(-bound, kind="stable")
         place, score, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
@@ -85,32 +112,45 @@ class Index:
             part = order[lo : lo + step]
             lo, step = lo + step, step * 3
             # the postings of all the query's terms in these blocks, summed per example
-            begin = self.start[at[:, None], part].ravel()
-            length = self.start[at[:, None], part + 1].ravel() - begin
-            ends = np.cumsum(length)
-            spot = np.arange(ends[-1]) + np.repeat(begin - ends + length, length)
-            acc = np.bincount(self.doc[spot], weights=self.weight[spot] * np.repeat(np.repeat(q, len(part)), length), minlength=1)
+            acc = self.sums(self.start[at[:, None], part].ravel(), self.start[at[:, None], part + 1].ravel(), np.repeat(q, len(part)))
             p = np.flatnonzero(acc)
             p = p[p != without]
-            place, score = np.concatenate((place, p)), np.concatenate((score, acc[p]))
-            if len(score) > self.k:
-                # exact ties go to the smaller id
-                cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
-                near = np.flatnonzero(score >= cut - 1e-9)
-                place, score = place[near], score[near]
-            best = np.lexsort((self.ids[place], -np.round(score, 12)))[: self.k]
-            place, score = place[best], score[best]
+            place, score = self.best(np.concatenate((place, p)), np.concatenate((score, acc[p])))
             worst = score[-1] if len(score) >= self.k else -1.0
         return place, score
 
+    def sums(self, begin: np.ndarray, end: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By example, the weights of the postings from ``begin`` to ``end``, each list times its ``q``."""
+        length = end - begin
+        ends = np.cumsum(length)
+        spot = np.arange(ends[-1]) + np.repeat(begin - ends + length, length)
+        return np.bincount(self.doc[spot], weights=self.weight[spot] * np.repeat(q, length), minlength=1)
+
+    def best(self, place: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(score) > self.k:
+            # exact ties go to the smaller id
+            cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
+            near = np.flatnonzero(score >= cut - 1e-9)
+            place, score = place[near], score[near]
+        best = np.lexsort((self.ids[place], -np.round(score, 12)))[: self.k]
+        return place[best], score[best]
+
     def vote(self, score: np.ndarray, place: np.ndarray) -> float | None:
         weight = score**2
         return float((weight * self.labels[place]).sum() / weight.sum()) if len(place) else None
 
-    def chance(self, vote: float | None) -> float:
+    def evidence(self, vote: float | None, counts: Counter, without: int = -1) -> list[float] | None:
+        """The vote of the neighbours, that of the cue, whether there is no cue, and 1."""
+        if vote is None:
+            return None
+        place, cosine = self.cue.nearest(*self.cue.vector(counts), without)
+        cue = self.cue.vote(cosine, place)
+        return [vote, cue or 0.0, float(cue is None), 1.0]
+
+    def chance(self, evidence: list[float] | None) -> float:
         if not len(self.ids):
             return 0.0
-        return self.scale[2] if vote is None else 1 / (1 + math.exp(-min(50.0, max(-50.0, self.scale[0] * vote + self.scale[1]))))
+        return self.scale[1] if evidence is None else 1 / (1 + math.exp(-min(50.0, max(-50.0, float(self.scale[0] @ evidence)))))
 
 
 def chi_squared(vectors: list[Counter], labels: np.ndarray, terms: int, least: int = 3) -> list[str]:
@@ -152,55 +192,58 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     got = sorted(rows.select("id", "y", "text").mapInArrow(bags, f"id {kind}, y int, w string, n array<int>").collect(), key=lambda r: (r["y"], r["id"]))
     bag = [Counter(dict(zip(r["w"].split(" "), r["n"], strict=True))) if r["w"] else Counter() for r in got]
     y = np.array([r["y"] for r in got], float)
-    vocabulary = {w: i for i, w in enumerate(chi_squared(bag, y, terms))}
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bag)))}
     total, df = frequencies(docs, vocabulary, text_col)
     index = Index(vocabulary, np.log((1 + total) / (1 + df)), np.array([r["id"] for r in got]), y, k)
+    cues = chi_squared(bag, y, terms)
+    index.cue = Index({w: i for i, w in enumerate(cues)}, index.idf[[vocabulary[w] for w in cues]], index.ids, y, k)
     vectors = [index.vector(c) for c in bag]
     index.build(vectors)
+    index.cue.build([index.cue.vector(c) for c in bag])
     if len(got):
-        index.scale = calibrate(index, vectors, counts)
+        index.scale = calibrate(index, bag, vectors, counts)
     return index
 
 
 def frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many of them each term stands."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def count(batches):
-        n, df = 0, np.zeros(len(vocabulary), np.int64)
+        known = shared.value
+        n, df = 0, np.zeros(len(known), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                df[[vocabulary[w] for w in set(words(text)) & vocabulary.keys()]] += 1
-        yield pa.record_batch({"t": pa.array([*range(len(df)), -1], pa.int32()), "n": pa.array([*df, n], pa.int64())})
+                df[[known[w] for w in set(words(text)) if w in known]] += 1
+        some = np.flatnonzero(df)
+        yield pa.record_batch({"t": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(df[some], n), pa.int64())})
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    t, n = got["t"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     df = np.zeros(len(vocabulary))
-    total = 0
-    for r in got:
-        if r["t"] < 0:
-            total = r["n"]
-        else:
-            df[r["t"]] = r["n"]
-    return total, df
+    df[t[t >= 0]] = n[t >= 0]
+    return int(n[t < 0].sum()), df
 
 
-def calibrate(index: Index, vectors: list, counts: dict[int, int]) -> tuple[float, float, float]:
-    votes = [index.vote(*reversed(index.nearest(t, v, i))) for i, (t, v) in enumerate(vectors)]
+def calibrate(index: Index, bag: list[Counter], vectors: list, counts: dict[int, int]) -> tuple[np.ndarray, float]:
+    votes = [index.evidence(index.vote(*reversed(index.nearest(t, v, i))), bag[i], i) for i, (t, v) in enumerate(vectors)]
     y = index.labels
     share = {c: counts.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.array([share[int(c)] for c in y])
     weight = weight / weight.mean()
     none = np.array([v is None for v in votes])
     base = float((weight * y)[none].sum() + 0.5) / float(weight[none].sum() + 1) if none.any() else float((weight * y).mean())
-    x = np.stack([[v for v in votes if v is not None], np.ones((~none).sum())], axis=1) if (~none).any() else np.zeros((0, 2))
-    w, goal, u = np.array([4.0, -2.0]), y[~none], weight[~none]
+    x = np.array([v for v in votes if v is not None], float).reshape(-1, 4)
+    w, goal, u = np.zeros(4), y[~none], weight[~none]
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve(x.T @ (x * (u * p * (1 - p))[:, None]) + 0.01 * np.eye(2), x.T @ (u * (goal - p)) - 0.01 * w)
+        step = np.linalg.solve(x.T @ (x * (u * p * (1 - p))[:, None]) + 0.01 * np.eye(4), x.T @ (u * (goal - p)) - 0.01 * w)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1]), base
+    return w, base
 
 
 def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "doc_id", evidence: int = 3) -> DataFrame:
@@ -212,17 +255,16 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
 
     def run(batches):
         model, seen = shared.value, {}
-        vocabulary = model.vocabulary.keys()
         for batch in batches:
             scores, found = [], []
             for text in batch.column(1).to_pylist():
-                counts = Counter(w for w in words(text) if w in vocabulary)
-                key = frozenset(counts.items())
+                key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                 if key not in seen:
+                    counts = Counter(words(text))
                     place, cosine = model.nearest(*model.vector(counts))
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[key] = (model.chance(model.vote(cosine, place)), [{"id": int(model.ids[p]), "label": int(model.labels[p]), "cosine": float(c)} for p, c in zip(place[:evidence], cosine[:evidence], strict=True)])
+                    seen[key] = (model.chance(model.evidence(model.vote(cosine, place), counts)), [{"id": int(model.ids[p]), "label": int(model.labels[p]), "cosine": float(c)} for p, c in zip(place[:evidence], cosine[:evidence], strict=True)])
                 scores.append(seen[key][0])
                 found.append(seen[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, near)], names=[id_col, "score", "neighbours"])

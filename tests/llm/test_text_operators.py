@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,31 @@ def test_toxicity_odd_rows(spark):
     assert {r["score"] for r in toxicity.score(docs(spark, texts), toxicity.fit(docs(spark, texts), y.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_space_holds_all_words_of_the_examples(spark):
+    ordinary = [f"w{i}" for i in range(900)]
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(ordinary, k=40) + ["foul"] * (i % 2)) for i in range(60)] + [f"unseen {w}" for w in ordinary[:40]] + ["unseen"]
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    index = toxicity.fit(docs(spark, texts), y, k=5)
+    bags = [Counter(toxicity.words(t)) for t in texts]
+    assert index.vocabulary.keys() == set().union(*bags[:60]) and len(index.vocabulary) > 300
+    df = Counter(w for b in bags for w in b)
+
+    def vector(b):
+        v = {w: (1 + np.log(n)) * np.log((1 + len(texts)) / (1 + df[w])) for w, n in b.items() if w in index.vocabulary}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(b) for b in bags[:60]]
+    got = {r["doc_id"]: r for r in toxicity.score(docs(spark, texts), index).collect()}
+    for i, b in enumerate(bags):
+        q = vector(b) if b.keys() & index.vocabulary.keys() else {}
+        cosine = [sum(x * e.get(w, 0) for w, x in q.items()) for e in examples]
+        want = sorted((-round(c, 9), j) for j, c in enumerate(cosine) if c > 0)[:3]
+        assert [(-round(n["cosine"], 9), n["id"]) for n in got[i]["neighbours"]] == want
+    assert got[100]["neighbours"] == [] and sum(r["neighbours"] != [] for r in got.values()) > 90
+
+
 def test_block_max_equals_full_scan():
     g = np.random.default_rng(2)
     index = toxicity.Index({f"w{i}": i for i in range(80)}, g.uniform(0.5, 4, 80), np.arange(700), g.integers(0, 2, 700).astype(float), 15)
