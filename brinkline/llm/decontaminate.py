@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks over a window of words ignore the positions marked 0, so a hash
-survives substitutions there.  Hashes of the test items and of the documents
+survives substitutions there.  The masks hit every overlap that is accepted: of
+20 words or more with at most a fifth changed, four in a row are equal; shorter
+items, whose overlaps may have no more than three, have a second mask.  Hashes of the test items and of the documents
 are joined; around the hits of a document with an item on one diagonal the
 word sequences are compared, and an overlap counts if it spans ``overlap``
-words (or the whole item, if that is shorter) of which the share ``rate`` is
-equal.  Items shorter than the window are hashed whole; items of fewer than
+words (or the share ``rate`` of the item, if that is shorter) of which the share
+``rate`` is equal.  Items of fewer than
 ``least`` words are too common to show a leak and are left out.
 
 The documents are first held against a bit map of the test hashes, whose size
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 from .words import U, WordHash, mix
 
-#: Nine of thirteen positions count.
-MASKS = ("1111001100111", "1101101110011", "1011011101101", "1110100111011")
-SPAN = len(MASKS[0])
+#: The first hits all stretches of 16 words or more with at least 0.8 equal, both all of 7 or more.
+MASKS = ("1111", "110111")
+SPAN = max(map(len, MASKS))
+LONG = 19
 BITS = 1 << 24
 WORD = re.compile(r"\w+")
 
@@ -64,8 +67,8 @@ def windows(words: np.ndarray, masks: list[tuple[int, str]]) -> list[np.ndarray]
 
 
 def masks_for(lengths: list[int]) -> list[tuple[int, str]]:
-    """The seeds, and a full window for each short item length."""
-    return [*enumerate(MASKS), *((100 + n, "1" * n) for n in sorted(lengths))]
+    """The seeds for items of such lengths (the second is for those under ``LONG`` words)."""
+    return [*enumerate(MASKS)] if min(lengths, default=LONG) < LONG else [(0, MASKS[0])]
 
 
 def bit_map(values: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def tokens(rows: DataFrame, text_col: str, id_col: str, name: str, only: np.ndar
 
 
 def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
-    """``hash, item, at`` of the test items, and the lengths of those shorter than the window."""
+    """``hash, item, at`` of the test items, and the lengths of those under ``LONG`` words."""
 
     def run(batches):
         for batch in batches:
@@ -108,11 +111,11 @@ def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
                 w = np.frombuffer(data.as_buffer(), U)
                 if len(w) < least:
                     continue
-                for got in windows(w, masks_for([len(w)] if len(w) < SPAN else [])):
+                for got in windows(w, masks_for([len(w)])):
                     h.append(got)
                     item.append(np.full(len(got), i, np.int64))
                     at.append(np.arange(len(got)))
-                    short.append(np.full(len(got), len(w) if len(w) < SPAN else 0))
+                    short.append(np.full(len(got), len(w) if len(w) < LONG else 0))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (h, item, at, short)], names=["hash", "item", "at", "short"])
 

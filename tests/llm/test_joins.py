@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -149,6 +150,54 @@ def overlap_brute(d, q, overlap=20, rate=0.8):
     return best if best >= min(overlap, len(q)) or (len(q) < overlap and best >= rate * len(q)) else 0
 
 
+def accepted(n, k):
+    """All patterns of n words of which the first, the last and a share of 0.8 or more are equal, k changed."""
+    for changed in itertools.combinations(range(1, n - 1), k):
+        yield "".join("0" if i in changed else "1" for i in range(n))
+
+
+def hit(pattern, masks):
+    return any(all(pattern[i + k] == "1" for k, bit in enumerate(m) if bit == "1") for _, m in masks for i in range(len(pattern) - len(m) + 1))
+
+
+def test_masks_hit_every_accepted_overlap():
+    for length in range(8, 24):
+        masks = decontaminate.masks_for([length])
+        for n in range(min(20, -(-4 * length // 5)), length + 1):
+            assert all(hit(p, masks) for k in range(n // 5 + 1) for p in accepted(n, k)), (length, n)
+    # longer ones consist of parts of 20 to 39 words: without four in a row none has a share of 0.8
+    most = {0: 0}  # by the equal words at the end
+    for n in range(1, 40):
+        most = {0: max(most.values())} | {k + 1: v + 1 for k, v in most.items() if k < 3}
+        assert n < 20 or 5 * max(most.values()) < 4 * n
+
+
+@pytest.mark.parametrize(("length", "changes"), [(13, 1), (15, 2), (15, 3), (16, 3), (20, 4), (30, 5)])
+def test_decontamination_finds_changed_items(spark, length, changes):
+    rnd = random.Random(length * 10 + changes)
+    item = [f"q{i}" for i in range(length)]
+    texts = []
+    for _ in range(40):
+        q = list(item)
+        for i in rnd.sample(range(length), changes):
+            q[i] = "changed"
+        texts.append(["before"] * 5 + q + ["after"] * 5)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc"]: r["n_words"] for r in decontaminate.overlaps(docs, bench).collect()}
+    want = {i: n for i, t in enumerate(texts) if (n := overlap_all(t, item))}
+    assert got == want and len(want) > 20
+
+
+def overlap_all(d, q, overlap=20, rate=0.8):
+    """The longest overlap on any diagonal, whether a seed hits it or not."""
+    best = 0
+    for shift in range(-len(q) + 1, len(d)):
+        e = [d[i + shift] == q[i] for i in range(max(0, -shift), min(len(q), len(d) - shift))]
+        best = max([best, *(j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and sum(e[i:j]) >= rate * (j - i) - 1e-9)])
+    return best if best >= (overlap if len(q) >= overlap else rate * len(q)) else 0
+
+
 def test_decontamination(spark):
     rnd = random.Random(7)
     words = [f"v{i}" for i in range(60)]
