@@ -84,7 +84,7 @@ def keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The section keys of a set, and for each how many keys of its space may be left out.
 
     The lowest bit of a key tells the two spaces of a set apart.  Empty
-    sections come first among those left out.
+    sections have keys like the others: two sets may agree in little else.
     """
     out, drop = [], []
     for space, sections, slack in spaces(len(tokens), percent):
@@ -93,12 +93,9 @@ def keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         section = spot >> U(20)
         first = np.flatnonzero(np.concatenate(([True], section[1:] != section[:-1])))
         flips, at = np.bitwise_xor.reduceat(mix(spot), first), section[first]
-        empty = sections - len(first)
-        if empty > slack:
-            flips, at = np.concatenate((flips, np.zeros(empty, U))), np.concatenate((at, np.setdiff1d(np.arange(sections, dtype=U), at)))
-            empty = 0
+        flips, at = np.concatenate((flips, np.zeros(sections - len(first), U))), np.concatenate((at, np.setdiff1d(np.arange(sections, dtype=U), at)))
         out.append((mix(flips ^ mix((U(space) << U(32)) + at)) & ~U(1)) | U(space & 1))
-        drop.append(np.full(len(at), slack - empty, np.int32))
+        drop.append(np.full(len(at), slack, np.int32))
     return (np.concatenate(out), np.concatenate(drop)) if out else (np.zeros(0, U), np.zeros(0, np.int32))
 
 

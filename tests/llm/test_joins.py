@@ -108,6 +108,20 @@ def test_linked_sets_share_a_rare_key():
             assert left[0] & left[1]
 
 
+def test_small_sets_share_a_key_whatever_is_left_out():
+    g = np.random.default_rng(6)
+    for _ in range(3000):
+        n = int(g.integers(4, 9))
+        a = np.unique(g.integers(0, 1 << 63, n + 1).astype(np.uint64))
+        b = np.delete(a, g.integers(0, n + 1))
+        assert jaccard.linked(a, b, 80)
+        (ka, sa), (kb, sb) = jaccard.keys(a, 80), jaccard.keys(b, 80)
+        # the worst order: common keys are left out first
+        common = set(ka.tolist()) & set(kb.tolist())
+        spare = lambda k, s, space: max((int(t) for v, t in zip(k, s, strict=True) if int(v) & 1 == space), default=0)
+        assert any(sum(v & 1 == space for v in common) > max(spare(ka, sa, space), spare(kb, sb, space)) for space in (0, 1))
+
+
 def test_jaccard_join(spark):
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
