@@ -1,4 +1,4 @@
-"""Language identification: multinomial naive Bayes over hashed character n-grams.
+"""Language identification: multinomial naive Bayes over hashed byte n-grams (UTF-8).
 
 The model is a ``buckets x languages`` matrix of log probabilities.  It is
 fitted on at most about ``per_lang`` training rows of each language, chosen
