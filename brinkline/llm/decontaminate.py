@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 from .words import U, WordHash, mix
 
 #: The first hits all stretches of 16 words or more with at least 0.8 equal, both all of 7 or more.
@@ -98,7 +98,7 @@ def tokens(rows: DataFrame, text_col: str, id_col: str, name: str, only: np.ndar
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_hashes(t, known).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=[name, "words"])
 
     source = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), F.col(text_col).alias("text"))
-    return source.withColumn("spot", F.xxhash64(name)).mapInArrow(run, f"{name} long, words binary")
+    return source.withColumn("spot", F.xxhash64(name)).mapInArrow(tidy(run), f"{name} long, words binary")
 
 
 def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
@@ -119,7 +119,7 @@ def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (h, item, at, short)], names=["hash", "item", "at", "short"])
 
-    out = written(items.mapInArrow(run, "hash long, item long, at long, short long"), "seeds")
+    out = written(items.mapInArrow(tidy(run), "hash long, item long, at long, short long"), "seeds")
     return out, [r[0] for r in out.select("short").filter("short > 0").distinct().collect()]
 
 
@@ -166,7 +166,7 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (h, doc, at)], names=["hash", "doc", "place"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    hits = written(source.mapInArrow(find, "hash long, doc long, place long"), "hits")
+    hits = written(source.mapInArrow(tidy(find), "hash long, doc long, place long"), "hits")
     diagonal = written(hits.join(seed, "hash").groupBy("doc", "item", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("n_hits")), "diagonals")
     mine = tokens(docs, text_col, id_col, "doc", bit_map(diagonal.select(F.xxhash64("doc").alias("spot")), "spot", BITS))
     pairs = diagonal.groupBy("doc", "item").agg(F.collect_set("shift").alias("shifts"))
@@ -192,6 +192,6 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "item", "n_words", "n_equal", "doc_at", "item_at"])
 
-    found = joined.select("doc", "item", "shifts", "theirs", "words").mapInArrow(verify, "doc long, item long, n_words long, n_equal long, doc_at long, item_at long")
+    found = joined.select("doc", "item", "shifts", "theirs", "words").mapInArrow(tidy(verify), "doc long, item long, n_words long, n_equal long, doc_at long, item_at long")
     best = F.max(F.struct("n_words", "n_equal", (-F.col("doc_at")).alias("doc_at"), (-F.col("item_at")).alias("item_at"))).alias("b")
     return found.groupBy("doc", "item").agg(best).select("doc", "item", "b.n_words", "b.n_equal", (-F.col("b.doc_at")).alias("doc_at"), (-F.col("b.item_at")).alias("item_at"))

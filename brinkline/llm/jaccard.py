@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, written
+from .common import dropped, small_batches, tidy, written
 from .components import components
 from .words import U, hashed_words, mix, shingles
 
@@ -124,7 +124,7 @@ def describe(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
             fp = np.array(fp, U).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(fp[:, 0].copy()), as_long(fp[:, 1].copy())], names=["doc", "n", "fp1", "fp2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n long, fp1 long, fp2 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc long, n long, fp1 long, fp2 long")
 
 
 def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
@@ -154,7 +154,7 @@ def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "key long, doc long, spare int")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "key long, doc long, spare int")
 
 
 def shared_keys(keys_: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def shared_keys(keys_: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.array(spare[many]), pa.array(g[many])], names=["key", "doc", "spare", "g"])
 
     n = int(keys_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys_.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, doc long, spare int, g long")
+    return keys_.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, doc long, spare int, g long")
 
 
 def rare_runs(shared: DataFrame, same: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "tokens"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.withColumn("spot", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))).mapInArrow(run, "doc long, n long, tokens binary")
+    return rows.withColumn("spot", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))).mapInArrow(tidy(run), "doc long, n long, tokens binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
@@ -256,7 +256,7 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, per
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("hub", "doc", "tokens").repartition(n, "hub").sortWithinPartitions("hub", F.col("doc") != F.col("hub"))
-    found = written(dealt.mapInArrow(run, "a long, b long"), "links")
+    found = written(dealt.mapInArrow(tidy(run), "a long, b long"), "links")
     dropped(fit)
     return found
 
@@ -275,7 +275,7 @@ def sketches_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_co
             made = [sketch(np.frombuffer(t.as_buffer(), U)).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc", "n", "sketch"])
 
-    return sets_of(docs, ids, size, text_col, id_col).mapInArrow(run, "doc long, n long, sketch binary")
+    return sets_of(docs, ids, size, text_col, id_col).mapInArrow(tidy(run), "doc long, n long, sketch binary")
 
 
 def open_rows(runs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -328,7 +328,7 @@ def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, nearest: boo
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = rows.join(sketches, "doc").select("key", "doc", "root", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key", "doc")
-    found = full.mapInArrow(run, "x long, y long, d long")
+    found = full.mapInArrow(tidy(run), "x long, y long, d long")
     if nearest:
         found = found.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

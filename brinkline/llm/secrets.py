@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -236,7 +236,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", model:
                 full.append(rows(all_spans(text or "", model, found, seen)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, to), pa.array(full, to)], names=[id_col, "base", "spans"])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
@@ -281,7 +281,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     task starts anew with a smaller memory and leaves none behind.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(load(model_file))
     schema = f"{', '.join(f'`{k}` {docs.schema[k].dataType.simpleString()}' for k in keep)}, ids array<int>, score double, alternatives {EDITS}, round_trip boolean"
     edit = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -304,4 +304,4 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(scores, pa.float64()), pa.array(more, other), pa.array(same)], names=[*keep, "ids", "score", "alternatives", "round_trip"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, written
+from .common import dropped, small_batches, tidy, written
 from .words import U, Powers, mix
 
 GRAM = 32
@@ -179,7 +179,7 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "text_key string, anchor long, start long, starts long, fp1 long, fp2 long")
+    return texts.mapInArrow(tidy(run), "text_key string, anchor long, start long, starts long, fp1 long, fp2 long")
 
 
 def shared_contexts(texts: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
@@ -212,7 +212,7 @@ def shared_contexts(texts: DataFrame, anchors: np.ndarray, length: int) -> DataF
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "anchor long, fp1 long, fp2 long, starts long, data binary")
+    return texts.mapInArrow(tidy(run), "anchor long, fp1 long, fp2 long, starts long, data binary")
 
 
 def repeats(found: DataFrame, length: int) -> DataFrame:
@@ -264,7 +264,7 @@ def repeats(found: DataFrame, length: int) -> DataFrame:
             yield emit(share(rows))
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "anchor").sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(run, "fp1 long, fp2 long, lo long, hi long")
+    return found.repartition(n, "anchor").sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, hi long")
 
 
 def removed(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
@@ -317,4 +317,4 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
                 got.append((len(raw), *kept_bytes(raw, [(r["lo"], r["hi"]) for r in ranges or []], length)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.select("__id", "__text", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.select("__id", "__text", "spans").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(c) for c in got]), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], names=["id", "y", "w", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows.select("id", "y", "text").mapInArrow(bags, f"id {kind}, y int, w string, n array<int>").collect(), key=lambda r: (r["y"], r["id"]))
+    got = sorted(rows.select("id", "y", "text").mapInArrow(tidy(bags), f"id {kind}, y int, w string, n array<int>").collect(), key=lambda r: (r["y"], r["id"]))
     bag = [Counter(dict(zip(r["w"].split(" "), r["n"], strict=True))) if r["w"] else Counter() for r in got]
     y = np.array([r["y"] for r in got], float)
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bag)))}
@@ -220,7 +220,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> t
         some = np.flatnonzero(df)
         yield pa.record_batch({"t": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(df[some], n), pa.int64())})
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
     t, n = got["t"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
     df = np.zeros(len(vocabulary))
     df[t[t >= 0]] = n[t >= 0]
@@ -269,4 +269,4 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
                 found.append(seen[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, near)], names=[id_col, "score", "neighbours"])
 
-    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, score double, neighbours array<struct<id:bigint,label:int,cosine:double>>")
+    return docs.select(id_col, F.col(text_col).alias("text")).mapInArrow(tidy(run), f"{id_col} {kind}, score double, neighbours array<struct<id:bigint,label:int,cosine:double>>")

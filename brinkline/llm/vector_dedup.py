@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 from .components import components
 
 BLOCK = 2048
@@ -183,7 +183,7 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     names=["label", "dim", "cell", "role", "id", "k", "vec", "codes", "err"],
                 )
 
-    placed = written(classes.select("label", "dim", "id", "k", "vec").mapInArrow(place, ROW), "placed")
+    placed = written(classes.select("label", "dim", "id", "k", "vec").mapInArrow(tidy(place), ROW), "placed")
     cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count_if(F.col("role") == 0) / BLOCK).cast("int").alias("nm"), F.ceil(F.count_if(F.col("role") == 1) / BLOCK).cast("int").alias("nq")).filter("nm > 0 and nq > 0")
     cells = written(cells, "cells")
     dealt = placed.join(cells, ["label", "dim", "cell"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, tidy, written
 
 CRLF = "\r\n"
 ROWS_PER_FILE = 2000
@@ -148,7 +148,7 @@ def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFr
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:

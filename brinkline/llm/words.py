@@ -17,16 +17,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of words, remembered up to a bound of about 20 MB."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 32:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = value
         return value
 
 
 SEGMENT = 1 << 20
+SHORT = 64
 BASE = 0x5851F42D4C957F2D
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -54,8 +57,11 @@ class Powers:
 def hashed_words(text: str | None) -> np.ndarray:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as 64-bit hashes.
 
-    A word's hash is its polynomial in the base, taken from running sums over
-    the whole text; long texts are cut at blanks.
+    A word of up to ``SHORT`` bytes has as hash its polynomial in the base
+    modulo 2**64, taken from running sums over the whole text; long texts are
+    cut at blanks.  Known pairs of equal polynomials in any base have 1,024
+    bytes, so longer words are hashed one by one (XXH3).  Two given words
+    share a hash with a chance of about 2**-64.
     """
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
     out, at = [], 0
@@ -80,7 +86,10 @@ def _segment(data: np.ndarray) -> np.ndarray:
     up, down = Powers.upto(len(data) + 1)
     run = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:-1], out=run[1:])
-    return mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
+    out = mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
+    for i in np.flatnonzero(end - start > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+    return out
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -119,8 +119,42 @@ def test_language_odd_rows(spark):
     for i, t in enumerate(ODD, 2):
         assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
     assert {r["lang_pred"] for r in langid.predict(d, langid.fit(d.limit(0))).collect()} == {"und"}
-    long = "abc " * 200_000
-    assert langid.score_text(model, long)[0] in ("de", "en")
+
+
+def grams_brute(text, orders):
+    t = text.lower()
+    return [t[i : i + n] for n in orders for i in range(len(t) - n + 1)]
+
+
+def test_language_equals_plain_naive_bayes(spark, monkeypatch):
+    """The prediction is the argmax of the full log posterior, whatever the parts a text is cut into."""
+    rnd = random.Random(8)
+    words = {"aa": "the of and thing that éa 日本 語", "bb": "der die und das nicht ça 本語", "cc": "le la et les des ñu 日日"}
+    texts = [(x, " ".join(rnd.choices(w.split(), k=rnd.randint(1, 60)))) for x, w in words.items() for _ in range(40)]
+    texts += [("aa", "the " * 400)] * 3
+    d = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    orders, buckets = (1, 2, 3), 1 << 20
+    model = langid.fit(d, orders=orders, buckets=buckets)
+    assert model.langs == ("aa", "bb", "cc")
+    n = {x: Counter() for x in words}
+    for x, t in texts:
+        n[x].update(grams_brute(t, orders))
+    total = {x: sum(c.values()) + 0.5 * buckets for x, c in n.items()}
+    prior = {x: np.log(sum(y == x for y, _ in texts) / len(texts)) for x in words}
+    new = [" ".join(rnd.choices(sum((w.split() for w in words.values()), []), k=rnd.randint(1, 90))) for _ in range(60)] + ["日", "x", "the " * 3000 + "und " * 2999]
+    for part in (1 << 17, 64, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        got = langid.log_posteriors(model, new)
+        want = np.array([[prior[x] + sum(np.log((n[x][g] + 0.5) / total[x]) for g in grams_brute(t, orders)) for x in model.langs] for t in new])
+        assert got == pytest.approx(want, rel=1e-4)
+        langs, scores = langid.score_texts(model, new)
+        assert langs == [model.langs[k] for k in want.argmax(axis=1)] and all(1 / 3 <= s <= 1 for s in scores)
+
+
+def test_language_of_long_texts_follows_all_evidence():
+    """A small steady difference outweighs any prior in a long text."""
+    model = langid.LangModel(("a", "b"), np.log(np.array([[0.49, 0.51]] * 8)).astype(np.float32), np.log([0.999, 0.001]), (1,))
+    assert langid.score_texts(model, ["x" * 20])[0] == ["a"] and langid.score_texts(model, ["x" * 900])[0] == ["b"]
 
 
 def test_toxicity_held_out(spark):
