@@ -3,12 +3,13 @@
 Fixed masks over a window of words ignore the positions marked 0, so a hash
 survives substitutions there.  The masks hit every overlap that is accepted: of
 20 words or more with at most a fifth changed, four in a row are equal; shorter
-items, whose overlaps may have no more than three, have a second mask.  Hashes of the test items and of the documents
-are joined; around the hits of a document with an item on one diagonal the
-word sequences are compared, and an overlap counts if it spans ``overlap``
-words (or the share ``rate`` of the item, if that is shorter) of which the share
-``rate`` is equal.  Items of fewer than
-``least`` words are too common to show a leak and are left out.
+items, whose overlaps may have no more than three, have a second mask.  Hashes
+of the test items and of the documents are joined; around the hits of a
+document with an item on one diagonal the word sequences are compared, and an
+overlap counts if it spans ``overlap`` words (or the share ``rate`` of the
+item, if that is shorter) of which the share ``rate`` is equal.  Items of fewer
+than ``least`` words are too short for changes: they have one mask over all
+their words and count only where they stand whole and unchanged.
 
 The documents are first held against a bit map of the test hashes, whose size
 is fixed; what passes is joined exactly by Spark, which broadcasts the test
@@ -34,7 +35,8 @@ from .words import U, WordHash, mix
 
 #: The first hits all stretches of 16 words or more with at least 0.8 equal, both all of 7 or more.
 MASKS = ("1111", "110111")
-SPAN = max(map(len, MASKS))
+LEAST = 8
+SPAN = max(*map(len, MASKS), LEAST - 1)
 LONG = 19
 BITS = 1 << 24
 WORD = re.compile(r"\w+")
@@ -67,8 +69,12 @@ def windows(words: np.ndarray, masks: list[tuple[int, str]]) -> list[np.ndarray]
 
 
 def masks_for(lengths: list[int]) -> list[tuple[int, str]]:
-    """The seeds for items of such lengths (the second is for those under ``LONG`` words)."""
-    return [*enumerate(MASKS)] if min(lengths, default=LONG) < LONG else [(0, MASKS[0])]
+    """The seeds for items of such lengths: the first for those of ``LEAST`` words or more, the
+    second too for those under ``LONG``, and one over all words for each shorter length."""
+    out = [(0, MASKS[0])] if max(lengths, default=LONG) >= LEAST else []
+    if any(LEAST <= n < LONG for n in lengths):
+        out.append((1, MASKS[1]))
+    return out + [(len(MASKS) + n, "1" * n) for n in sorted(set(lengths)) if 0 < n < LEAST]
 
 
 def bit_map(values: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -101,26 +107,26 @@ def tokens(rows: DataFrame, text_col: str, id_col: str, name: str, only: np.ndar
     return source.withColumn("spot", F.xxhash64(name)).mapInArrow(tidy(run), f"{name} long, words binary")
 
 
-def seeds(items: DataFrame, least: int) -> tuple[DataFrame, list[int]]:
-    """``hash, item, at`` of the test items, and the lengths of those under ``LONG`` words."""
+def seeds(items: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``hash, item, at`` of the test items, and the lengths that occur (``LONG`` for all from there on)."""
 
     def run(batches):
         for batch in batches:
             h, item, at, short = [], [], [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = np.frombuffer(data.as_buffer(), U)
-                if len(w) < least:
+                if not len(w):
                     continue
                 for got in windows(w, masks_for([len(w)])):
                     h.append(got)
                     item.append(np.full(len(got), i, np.int64))
                     at.append(np.arange(len(got)))
-                    short.append(np.full(len(got), len(w) if len(w) < LONG else 0))
+                    short.append(np.full(len(got), min(len(w), LONG)))
             if h:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64), pa.int64()) for x in (h, item, at, short)], names=["hash", "item", "at", "short"])
 
     out = written(items.mapInArrow(tidy(run), "hash long, item long, at long, short long"), "seeds")
-    return out, [r[0] for r in out.select("short").filter("short > 0").distinct().collect()]
+    return out, [r[0] for r in out.select("short").distinct().collect()]
 
 
 def longest(equal: np.ndarray, rate: float) -> tuple[int, int]:
@@ -141,12 +147,12 @@ def longest(equal: np.ndarray, rate: float) -> tuple[int, int]:
     return best
 
 
-def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", overlap: int = 20, rate: float = 0.8, least: int = 8) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", overlap: int = 20, rate: float = 0.8) -> DataFrame:
     """``doc, item, n_words, n_equal, doc_at, item_at``: one row per document and item that overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     known_items = written(tokens(items, item_text, item_id, "item"), "items")
-    seed, lengths = seeds(known_items, least)
+    seed, lengths = seeds(known_items)
     shared = spark.sparkContext.broadcast((bit_map(seed, "hash", BITS), masks_for(lengths)))
 
     def find(batches):
@@ -183,8 +189,8 @@ def overlaps(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
                     if hi <= lo:
                         continue
                     equal = d[lo + shift : hi + shift] == q[lo:hi]
-                    s, e = longest(equal, rate)
-                    if e - s >= min(overlap, len(q)) or (len(q) < overlap and e - s >= rate * len(q)):
+                    s, e = longest(equal, 1.0 if len(q) < LEAST else rate)
+                    if e - s >= len(q) or len(q) >= LEAST and (e - s >= min(overlap, len(q)) or (len(q) < overlap and e - s >= rate * len(q))):
                         row = (e - s, int(equal[s:e].sum()), -(lo + shift + s), -(lo + s))
                         best = max(best, row) if best else row
                 if best:

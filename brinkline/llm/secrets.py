@@ -2,11 +2,13 @@
 
 Labelled credentials of public formats and ordinary long tokens (made here
 from a seed) are turned into strings of character classes.  From each set a
-prefix tree is built and statistically compatible states are merged (Hoeffding
-test), which gives two probabilistic automata.  Every candidate token of
-every whole text is scored by the log-likelihood ratio of the two per
-character, and those above a threshold calibrated on held-out tokens become
-spans of kind ``format``, unless a base span covers them.
+prefix tree of the whole strings is built and statistically compatible states
+are merged (Hoeffding test on a pair of states and on all pairs below it; a
+state that fits no other stays one of its own), which gives two probabilistic
+automata.  Every candidate token of every whole text is scored by the
+log-likelihood ratio of the two per character, and those above a threshold
+calibrated on held-out tokens become spans of kind ``format``, whether or not
+a base span covers them.
 
 Defined results: null and empty texts have no span; spans of all kinds are
 ordered by start, then by kind in the order of ``KINDS``; repeated rows are
@@ -32,7 +34,7 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # a run shorter than 18 fails whole, as does every run inside it
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
 
 #: Character classes, one symbol each; other punctuation stands for itself.
@@ -40,18 +42,17 @@ CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "
 TO_CLASS = str.maketrans({c: k for k, chars in CLASSES.items() for c in chars})
 WITHIN = {k: -math.log(len(chars)) for k, chars in CLASSES.items()}
 END = "$"
-DEPTH = 40  # symbols of a training string; longer candidates are scored whole all the same
 
 
 class Automaton:
     """A probabilistic automaton from a prefix tree whose compatible states are merged."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05, least: int = 8):
+    def __init__(self, strings: list[str], alpha: float = 0.05):
         self.count = [{}]
         self.next = [{}]
         for text in strings:
             at = 0
-            for c in text[:DEPTH] + END:
+            for c in text + END:
                 self.count[at][c] = self.count[at].get(c, 0) + 1
                 if c == END:
                     break
@@ -61,24 +62,27 @@ class Automaton:
                     self.count.append({})
                 at = self.next[at][c]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.least = least
         self._merge()
 
     def _total(self, s: int) -> int:
         return sum(self.count[s].values())
 
-    def _alike(self, a: int, b: int, depth: int = 0) -> bool:
-        n, m = self._total(a), self._total(b)
-        if not n or not m:
-            return True
-        room = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        for c in self.count[a].keys() | self.count[b].keys():
-            if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > room:
-                return False
-        if depth < 3:
-            for c in self.next[a].keys() & self.next[b].keys():
-                if not self._alike(self.next[a][c], self.next[b][c], depth + 1):
+    def _alike(self, a: int, b: int) -> bool:
+        """The test on two states and, along the symbols that both have, on all states below.
+        ``b`` is the root of a tree, so the walk ends."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            n, m = self._total(a), self._total(b)
+            if not n or not m:
+                continue
+            room = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if room >= 1 and m <= 1:
+                continue  # nothing below can differ by more
+            for c in self.count[a].keys() | self.count[b].keys():
+                if abs(self.count[a].get(c, 0) / n - self.count[b].get(c, 0) / m) > room:
                     return False
+            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys()]
         return True
 
     def _distance(self, a: int, b: int) -> float:
@@ -108,9 +112,8 @@ class Automaton:
             if q in known:
                 continue
             near = [(self._distance(r, q), r) for r in red if self._alike(r, q)]
-            rare = self._total(q) < self.least
-            if near or rare:
-                target = min(near)[1] if near else min((self._distance(r, q), r) for r in red)[1]
+            if near:
+                target = min(near)[1]
                 self.next[parent][c] = target
                 self._fold(target, q)
             else:
@@ -148,7 +151,7 @@ def labelled(seed: int = 7, each: int = 120) -> tuple[list[str], list[str]]:
     syllables = "tion ing re con st an er ou le que en de sch ver la al or ed th ment pre un ra mi do ca".split()
     word = lambda n: "".join(rnd.choice(syllables) for _ in range(n))
     plain = (
-        lambda: word(rnd.randint(6, 10)), lambda: word(7).capitalize(), lambda: "_".join(word(3) for _ in range(3)), lambda: "-".join(word(3) for _ in range(4)),
+        lambda: word(rnd.randint(5, 10)), lambda: word(rnd.randint(5, 8)).capitalize(), lambda: word(rnd.randint(5, 8)) + rnd.choice(".,"[:1]), lambda: word(5).upper() + ".", lambda: "_".join(word(3) for _ in range(3)), lambda: "-".join(word(3) for _ in range(4)),
         lambda: "".join(word(2).capitalize() for _ in range(4)), lambda: f"www.{word(3)}.example.com/{word(3)}/{word(2)}", lambda: f"{word(4)}.{word(3)}.{rnd.randint(1, 99)}.html",
         lambda: "/".join(word(2) for _ in range(5)), lambda: rnd.choice("=-_.") * rnd.randint(16, 40), lambda: f"20{some(dig, 2)}-0{some(dig, 1)}-1{some(dig, 1)}-{word(4)}",
         lambda: word(6).upper(), lambda: f"{word(3)}={word(2)}{some(dig, 2)}.{word(3)}",
@@ -194,18 +197,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, model: SecretModel, base: list[tuple[int, int, int]], seen: dict[str, float]) -> list[tuple[int, int, int]]:
-    more, k, reach = [], 0, -1
+    more = []
     for m in TOKEN.finditer(text):
-        while k < len(base) and base[k][0] <= m.start():
-            reach = max(reach, base[k][2])
-            k += 1
-        if m.end() <= reach:
-            continue
         symbols = m[0].translate(TO_CLASS)
         score = seen.get(symbols)
         if score is None:
             score = model._ratio(symbols)
-            if len(seen) < 200_000 and len(symbols) <= 64:
+            if len(symbols) <= 64:
+                if len(seen) >= 50_000:
+                    seen.clear()
                 seen[symbols] = score
         if score > model.threshold:
             more.append((m.start(), 3, m.end()))

@@ -149,21 +149,6 @@ def test_shingles_are_sets():
     assert len(shingles(a, 4)) == 5 and len(np.intersect1d(shingles(a, 4), shingles(b, 4))) == 2
 
 
-def overlap_brute(d, q, overlap=20, rate=0.8):
-    best = 0
-    for shift in range(-len(q) + 1, len(d)):
-        lo, hi = max(0, -shift), min(len(q), len(d) - shift)
-        e = [d[i + shift] == q[i] for i in range(lo, hi)]
-        # only diagonals that some seed hits
-        if not any(all(e[i + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for i in range(len(e) - len(m) + 1)) and not (len(q) < 13 and len(e) == len(q) and all(e)):
-            continue
-        for i in range(len(e)):
-            for j in range(i + 1, len(e) + 1):
-                if e[i] and e[j - 1] and sum(e[i:j]) >= rate * (j - i) - 1e-9:
-                    best = max(best, j - i)
-    return best if best >= min(overlap, len(q)) or (len(q) < overlap and best >= rate * len(q)) else 0
-
-
 def accepted(n, k):
     """All patterns of n words of which the first, the last and a share of 0.8 or more are equal, k changed."""
     for changed in itertools.combinations(range(1, n - 1), k):
@@ -209,6 +194,8 @@ def overlap_all(d, q, overlap=20, rate=0.8):
     for shift in range(-len(q) + 1, len(d)):
         e = [d[i + shift] == q[i] for i in range(max(0, -shift), min(len(q), len(d) - shift))]
         best = max([best, *(j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and sum(e[i:j]) >= rate * (j - i) - 1e-9)])
+    if len(q) < decontaminate.LEAST:
+        return len(q) if any(d[i : i + len(q)] == q for i in range(len(d) - len(q) + 1)) and q else 0
     return best if best >= (overlap if len(q) >= overlap else rate * len(q)) else 0
 
 
@@ -216,7 +203,7 @@ def test_decontamination(spark):
     rnd = random.Random(7)
     words = [f"v{i}" for i in range(60)]
     some = lambda n: [rnd.choice(words) for _ in range(n)]
-    items = [some(n) for n in (30, 25, 18, 10, 8, 4)]
+    items = [some(n) for n in (30, 25, 18, 10, 8, 7, 5, 4, 1)]
     texts = [some(60) for _ in range(10)]
     for q in items:
         for changes in (0, 1, 4):
@@ -224,11 +211,11 @@ def test_decontamination(spark):
             for _ in range(changes):
                 q2[rnd.randrange(len(q2))] = "changed"
             texts.append(some(15) + q2 + some(9))
-    texts += [items[0][:22] + some(5), items[0][:10] + some(30), []]
+    texts += [items[0][:22] + some(5), items[0][:10] + some(30), [], [rnd.choice(words) for _ in range(30_000)] + items[2] + items[6] + ["end"] * 30_000]
     docs = spark.createDataFrame([*((i, " ".join(t)) for i, t in enumerate(texts)), (500, None), (None, " ".join(items[0]))], "doc_id long, text string").withColumn("item", F.lit(0))
     bench = spark.createDataFrame([*((i, " ".join(q)) for i, q in enumerate(items)), (90, None), (91, "")], "item_id long, text string")
     got = {(r["doc"], r["item"]): r["n_words"] for r in decontaminate.overlaps(docs, bench).collect()}
-    want = {(i, j): n for i, t in enumerate(texts) for j, q in enumerate(items) if len(q) >= 8 and (n := overlap_brute(t, q))}
+    want = {(i, j): n for i, t in enumerate(texts) for j, q in enumerate(items) if (n := overlap_all(t, q))}
     assert got == want and len(want) >= 12
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0 and decontaminate.overlaps(docs, bench.limit(0)).count() == 0
 

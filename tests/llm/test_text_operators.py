@@ -102,6 +102,61 @@ def test_secret_automata():
     assert model.secret.states > 5
 
 
+def test_automaton_merges_only_compatible_states():
+    """Against a plain prefix tree: nothing is lost, no training string is cut, no test is overruled."""
+    rnd = random.Random(3)
+    strings = ["l" * rnd.randint(1, 3) + "d" * rnd.randint(50, 130) for _ in range(150)] + ["U" + "-" * 3] * 40
+    made = secrets.Automaton(strings)
+    tree: dict = {}
+    for t in strings:
+        for i in range(len(t) + 1):
+            tree.setdefault(t[:i], Counter())[t[i] if i < len(t) else secrets.END] += 1
+
+    def alike(a, b):
+        x, y = tree.get(a, Counter()), tree.get(b, Counter())
+        n, m = sum(x.values()), sum(y.values())
+        if not n or not m:
+            return True
+        room = made.bound * (1 / n**0.5 + 1 / m**0.5)
+        if any(abs(x[c] / n - y[c] / m) > room for c in x.keys() | y.keys()):
+            return False
+        return all(alike(a + c, b + c) for c in (x.keys() & y.keys()) - {secrets.END})
+
+    plain = secrets.Automaton.__new__(secrets.Automaton)
+    plain.bound, plain.count, plain.next, place = made.bound, [], [], {}
+    for k, prefix in enumerate(sorted(tree, key=len)):
+        place[prefix] = k
+        plain.count.append(dict(tree[prefix]))
+        plain.next.append({})
+        if prefix:
+            plain.next[place[prefix[:-1]]][prefix[-1]] = k
+    heads = sorted({t[:i] for t in strings for i in (0, 1, 2, 3)})
+    assert all(plain._alike(place[a], place[b]) == alike(a, b) for a in heads for b in heads)
+    reached = {0}
+    for t in strings:  # every training string is walked to its end
+        at = 0
+        for c in t:
+            at = made.next[at][c]
+            reached.add(at)
+        assert made.count[at].get(secrets.END, 0) > 0
+    assert sum(made.count[s].get(secrets.END, 0) for s in reached) == len(strings) and 2 < len(reached) == made.states < 40
+    total, at = 0.0, 0
+    for c in strings[0]:
+        n = sum(made.count[at].values())
+        total += np.log((made.count[at].get(c, 0) + 0.1) / (n + 0.1 * (len(secrets.CLASSES) + 7))) + secrets.WITHIN.get(c, 0.0)
+        at = made.next[at][c]
+    assert made.per_symbol(strings[0]) == pytest.approx(total / len(strings[0]))
+
+
+def test_all_candidates_are_scored():
+    model = secrets.fit()
+    yes, no = secrets.labelled(seed=5, each=3)
+    text = " ".join([*yes, *no, "password=" + yes[0]])
+    spans = secrets.all_spans(text, model, secrets.base_spans(text), {})
+    want = {(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=.-]{12,}", text) if model.ratio(m[0]) > model.threshold}
+    assert {s for s in spans if s[1] == 3} == want and len(want) > 20 and set(secrets.base_spans(text)) <= set(spans)
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(d, train=~held_out())
