@@ -41,18 +41,18 @@ BASE_PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MORE_PATTERN = {
-    "at_mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}+){1,4}+",
-    "tel": r"(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}+(?![0-9])",
+    "at_mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20|@)\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{2,}+)++",
+    "tel": r"(?<![0-9])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})++(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2})(?![0-9])",
-    "number": r"(?<![0-9])[0-9]{7,12}+",
+    "number": r"(?<![0-9])[0-9]{7,}+",
 }
 #: Cheap tests that a text without any match fails.
 GUARD: dict[str, Callable[[Column], Column]] = {
     "email": lambda t: t.contains("@"),
     "phone": lambda t: t.contains("+"),
-    "at_mail": lambda t: t.rlike(r"@|\(at\)|\[at\]|\x20at\x20.{1,80}(?:\x20dot\x20|dot\)|dot\]|\.)"),
+    "at_mail": lambda t: t.contains("@") | t.contains("(at)") | t.contains("[at]") | (t.contains(" at ") & (t.contains(".") | t.contains("dot"))),
 }
 DIGITS = r"[0-9]"
 
@@ -91,8 +91,15 @@ def running(lengths: Column) -> Column:
 NO_SPAN = "array<struct<start:int,kind:int,end:int,hit:string,before:string,after:string>>"
 
 
+NEAR = 28  # characters in front of a candidate in which cues count
+
+
 def spans(text: Column, pattern: str, kind: int) -> Column:
-    """All matches of a pattern with their places in code points and what stands around them."""
+    """All matches of a pattern with their places in code points and what stands around them
+    (in front: to the match before the last one, if that is nearer than ``NEAR``)."""
+
+    def before(s: Column, i: Column) -> Column:
+        return F.lower(F.right(F.concat_ws("", F.right(F.get(s["gaps"], i - 1), F.lit(NEAR)), F.get(s["hits"], i - 1), F.get(s["gaps"], i)), F.lit(NEAR)))
 
     def placed(s: Column) -> Column:
         ends = running(F.transform(s["hits"], lambda h, i: F.length(h) + F.length(F.get(s["gaps"], i))))
@@ -102,7 +109,7 @@ def spans(text: Column, pattern: str, kind: int) -> Column:
                 s["hits"],
                 lambda h, i: F.struct(
                     (F.get(e, i) - F.length(h)).alias("start"), F.lit(kind).alias("kind"), F.get(e, i).alias("end"), h.alias("hit"),
-                    F.lower(F.right(F.get(s["gaps"], i), F.lit(28))).alias("before"), F.left(F.get(s["gaps"], i + 1), F.lit(1)).alias("after"),
+                    before(s, i).alias("before"), F.left(F.get(s["gaps"], i + 1), F.lit(1)).alias("after"),
                 ),
             ),
         )
@@ -225,11 +232,11 @@ def labelled(rows: int, seed: int) -> list[tuple[str, str, int]]:
     name = lambda: rnd.choice("ann bob carla dmitri eva farid grace hiro ines jon".split()) + rnd.choice(["", ".", "_"]) + rnd.choice("lee ortiz novak kim shah moreau weber".split())
     value = {
         "at_mail": lambda: f"{name()}{rnd.choice([' at ', ' (at) ', '[at]'])}{rnd.choice('mail post corp site'.split())}{rnd.choice([' dot ', '(dot)', '.'])}{rnd.choice('com org net'.split())}",
-        "tel": lambda: rnd.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"]),
+        "tel": lambda: rnd.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(2)} {d(3)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(3)} {d(2)} {d(2)}"]),
         "ssn": lambda: f"{d(3)}-{d(2)}-{d(4)}",
         "iban": lambda: f"{up(2)}{d(2)} {d(4)} {d(4)} {d(4)} {d(2)}" if rnd.random() < 0.5 else f"{up(2)}{d(2)}{d(16)}",
         "date": lambda: rnd.choice([f"19{d(2)}-0{rnd.randint(1, 9)}-{rnd.randint(10, 28)}", f"{rnd.randint(10, 28)}/0{rnd.randint(1, 9)}/19{d(2)}", f"{rnd.randint(1, 9)}.{rnd.randint(1, 12)}.20{d(2)}"]),
-        "number": lambda: d(rnd.randint(7, 12)),
+        "number": lambda: d(rnd.randint(7, 18)),
     }
     cue = {"at_mail": ("mail", "phone"), "tel": ("phone",), "ssn": ("person",), "iban": ("bank",), "date": ("birth",), "number": ("person", "bank", "phone")}
     filler = "lorem ipsum dolor sit amet the quick plan of many words was here today".split()

@@ -63,6 +63,37 @@ def test_pii_context_and_redaction(spark, pii_model):
     assert "4567" not in out[0]["clean"] and out[5]["clean"].startswith("é mail: [") and "@" not in out[5]["clean"]
 
 
+#: Lines of ordinary prose, written apart from the generator of the training lines; most cues are not among its words.
+PROSE = [
+    ("tel", "You can ring the office on 030 555 01 23 before noon", 1), ("tel", "Our hotline, 415-555-0199, is open all day", 1), ("tel", "mobile 0171 555 44 33 after six", 1), ("tel", "please call me back: (212) 555-0147", 1),
+    ("tel", "the fax is 212.555.0188 as ever", 1), ("tel", "they scored 100-200-300 points over three days", 0), ("tel", "order 555-010-2000 ships on Monday", 0), ("tel", "version 10.20.3000 of the tool was released", 0),
+    ("ssn", "his social security number is 219-09-9999", 1), ("ssn", "the form asks: 078-05-1120 was filled in", 1), ("ssn", "patient 457-55-5462 came in at nine", 1), ("ssn", "part no 457-55-5462 is out of stock", 0),
+    ("iban", "pay to DE89 3704 0044 0532 0130 00 by Friday", 1), ("iban", "transfer it to GB29NWBK60161331926819 today", 1), ("iban", "account FR14 2004 1010 0505 0001 3M02 606", 1), ("iban", "serial AB12 3456 7890 1234 on the back", 0),
+    ("date", "she was born 1984-03-12 in Lyon", 1), ("date", "date of birth 12/03/1984 as stated", 1), ("date", "dob: 3.12.1984", 1), ("date", "the build of 2014-03-12 failed", 0), ("date", "released 12/03/2014 to all", 0), ("date", "we met on 12/03/2014 in the park", 0),
+    ("number", "passport 533380006 was stamped", 1), ("number", "phone 123456789012345 as given", 1), ("number", "account 00123456789 at the bank", 1), ("number", "item 4455667788 is on page nine", 0), ("number", "isbn 9780306406157 may be ordered", 0), ("number", "there were 12000000 people", 0),
+    ("at_mail", "write to jane.doe at example dot com for help", 1), ("at_mail", "reach me: li(at)corp.net", 1), ("at_mail", "bob [at] mail [dot] org is mine", 1), ("at_mail", "we met at school. Later we left", 0), ("at_mail", "look at that. Fine", 0), ("at_mail", "he stays at home.", 0),
+]
+
+
+def test_pii_on_prose(spark, pii_model):
+    """Precision and recall by kind on lines that the model has not been made for."""
+    out = pii.scan(docs(spark, [t for _, t, _ in PROSE]), pii_model).collect()
+    kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in out}
+    found = Counter((kind, y, kind in kinds[i]) for i, (kind, _, y) in enumerate(PROSE))
+    recall = {k: found[k, 1, True] / (found[k, 1, True] + found[k, 1, False]) for k in pii.MORE}
+    precision = {k: found[k, 1, True] / max(1, found[k, 1, True] + found[k, 0, True]) for k in pii.MORE}
+    print("recall", recall, "precision", precision)
+    total = lambda y, hit: sum(found[k, y, hit] for k in pii.MORE)
+    assert total(1, True) / (total(1, True) + total(1, False)) >= 0.75 and total(1, True) / (total(1, True) + total(0, True)) >= 0.8
+
+
+def test_pii_long_values_are_whole(spark, pii_model):
+    name = "n" * 90
+    df = docs(spark, ["phone 123456789012345 x", f"mail: {name} at {'d' * 80}.a1.b2.c3.d4.e5.com now", "call 123456789 call 123456788 call 123456787"])
+    out = pii.scan(df, pii_model, keep=("doc_id", "text")).withColumn("clean", pii.redact(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert [r["clean"] for r in out] == ["phone [NUMBER] x", "mail: [AT_MAIL] now", "call [NUMBER] call [NUMBER] call [NUMBER]"]
+
+
 def test_pii_plan_has_no_python(spark, pii_model):
     plan = pii.scan(docs(spark, ["x"]), pii_model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
