@@ -44,6 +44,8 @@ BAND_RATIO = 1.6
 SLACK = 0.25
 FAN = 256
 FILTER_BITS = 1 << 25
+MANY = 200_000  # a key that so many documents have is as frequent as any
+BLOCK = 1024  # documents of a run compared at a time
 SKETCH_BITS = 2048
 
 
@@ -140,11 +142,12 @@ def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str)
                 s = shingles(hashed_words(text), size)
                 if doc is None or len(s) < least_size(percent):
                     continue
-                mark = (int(np.bitwise_xor.reduce(mix(s))), int(np.add.reduce(mix(s + U(77)))))
+                mark = np.array((np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s + U(77))))).tobytes()
                 if mark in seen:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(mark)
+                if len(seen) >= 50_000:
+                    seen.clear()
+                seen.add(mark)
                 k, spare = keys(s, percent)
                 out.append((k.view(np.int64), np.full(len(k), doc, np.int64), spare))
                 held += len(k)
@@ -158,20 +161,42 @@ def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str)
 
 
 def shared_keys(keys_: DataFrame) -> DataFrame:
-    """The rows of keys that several documents have, with their number ``g``."""
-
+    """The rows of keys that several documents have, with their number ``g``, or ``MANY`` from there on."""
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        # rows of one key follow each other; ``held`` has those of the last one, which may go on
+        held, size, hot = [], 0, None
         for batch in batches:
-            # rows of one key follow each other; the last run may go on in the next batch
-            held = [np.concatenate((h, batch.column(k).to_numpy())) for k, h in enumerate(held)]
-            ends = np.flatnonzero(held[0][1:] != held[0][:-1])
-            if len(ends):
-                cut = ends[-1] + 1
-                yield from several(*(h[:cut] for h in held))
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield from several(*held)
+            now = [batch.column(k).to_numpy() for k in range(3)]
+            if hot is not None:  # a key of which MANY rows have gone out
+                more = int(np.searchsorted(now[0] != hot, True))
+                if more:
+                    yield rows(*(c[:more] for c in now), np.full(more, MANY))
+                    now = [c[more:] for c in now]
+                if not len(now[0]):
+                    continue
+                hot = None
+            if not len(now[0]):
+                continue
+            more_of_it = size and held[0][0][0] == now[0][0] == now[0][-1]
+            held.append(now)
+            size += len(now[0])
+            if more_of_it and size < MANY:
+                continue
+            key, doc, spare = (np.concatenate(c) for c in zip(*held, strict=True))
+            ends = np.flatnonzero(key[1:] != key[:-1])
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield from several(key[:cut], doc[:cut], spare[:cut])
+            held, size = [[key[cut:], doc[cut:], spare[cut:]]], len(key) - cut
+            if size >= MANY:
+                hot = int(key[-1])
+                yield rows(*held[0], np.full(size, MANY))
+                held, size = [], 0
+        if size:
+            yield from several(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def rows(key, doc, spare, g):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(spare), pa.array(g, pa.int64())], names=["key", "doc", "spare", "g"])
 
     def several(key, doc, spare):
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -179,28 +204,29 @@ def shared_keys(keys_: DataFrame) -> DataFrame:
         g = np.repeat(length, length)
         many = g > 1
         if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.array(spare[many]), pa.array(g[many])], names=["key", "doc", "spare", "g"])
+            yield rows(key[many], doc[many], spare[many], np.minimum(g[many], MANY))
 
     n = int(keys_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keys_.repartition(n, "key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, doc long, spare int, g long")
 
 
-def rare_runs(shared: DataFrame, same: DataFrame) -> DataFrame:
+def rare_keys(shared: DataFrame, same: DataFrame) -> DataFrame:
     """``key, doc``: what remains after each document left out its most frequent keys, with
-    one document for each class of equal sets; only keys of several such documents."""
+    one document for each class of equal sets."""
     order = W.partitionBy("doc", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("g"), "key")
     kept = shared.withColumn("place", F.row_number().over(order)).filter("place > spare").select("key", "doc")
-    one = kept.join(same.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct()
-    return one.withColumn("g", F.count("*").over(W.partitionBy("key"))).filter("g > 1")
+    return kept.join(same.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct()
 
 
 def first_pairs(runs: DataFrame) -> DataFrame:
     """``a, b``: one partner for each document of a run.  Long runs are dealt into parts of
-    about ``FAN`` by a hash of the document, each around its smallest, which goes to the smallest of all."""
+    about ``FAN`` by a hash of the document, each around its smallest, which goes to the smallest of
+    all.  Minima are aggregated before the shuffle and joined, so a long run can be split."""
     part = F.pmod(F.xxhash64("doc"), F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(1.0, g / {FAN}.0))) as int))"))
     rows = runs.withColumn("part", part)
-    rows = rows.withColumn("hub", F.min("doc").over(W.partitionBy("key", "part"))).withColumn("root", F.min("doc").over(W.partitionBy("key")))
-    return rows.select(F.when(F.col("doc") == F.col("hub"), F.col("root")).otherwise(F.col("hub")).alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    hubs = rows.groupBy("key", "part").agg(F.min("doc").alias("hub"))
+    found = rows.join(hubs, ["key", "part"]).join(hubs.groupBy("key").agg(F.min("hub").alias("root")), "key")
+    return found.select(F.when(F.col("doc") == F.col("hub"), F.col("root")).otherwise(F.col("hub")).alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -288,47 +314,58 @@ def open_rows(runs: DataFrame, roots: DataFrame) -> DataFrame:
 def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """``a, b``: pairs of a run in different components that sizes and sketches allow to link.
 
-    ``nearest``: for each document of a run only the one with the least Hamming distance."""
+    ``nearest``: for each document of a run only the one with the least Hamming
+    distance.  A run is dealt into parts of about ``BLOCK`` documents, and each
+    pair of parts is compared by itself, in bounded memory.
+    """
 
-    def pairs(doc, root, n, bits):
-        g = len(doc)
-        step = max(1, 2_000_000 // (g * bits.shape[1]))
-        for at in range(0, g, step):
+    def pairs(x, y):
+        (doc, root, n, bits), (doc2, root2, n2, bits2) = x, y
+        step = max(1, 2_000_000 // (len(doc2) * bits2.shape[1]))
+        for at in range(0, len(doc), step):
             own = slice(at, at + step)
-            apart = np.bitwise_count(bits[own, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
-            low, high = np.minimum(n[own, None], n), np.maximum(n[own, None], n)
-            fit = (root[own, None] != root) & (100 * low >= percent * high) & (apart * (100 + percent) <= (100 - percent) * (low + high))
+            apart = np.bitwise_count(bits[own, None] ^ bits2[None]).sum(axis=2, dtype=np.int64)
+            low, high = np.minimum(n[own, None], n2), np.maximum(n[own, None], n2)
+            fit = (root[own, None] != root2) & (100 * low >= percent * high) & (apart * (100 + percent) <= (100 - percent) * (low + high))
             if nearest:
                 some = np.flatnonzero(fit.any(axis=1))
                 other = np.where(fit[some], apart[some], 1 << 40).argmin(axis=1)
-                yield doc[own][some], doc[other], apart[some, other]
+                yield doc[own][some], doc2[other], apart[some, other]
             else:
-                i, j = np.nonzero(fit & (doc[own, None] < doc))
-                yield doc[own][i], doc[j], apart[i, j]
+                i, j = np.nonzero(fit & (doc[own, None] < doc2))
+                yield doc[own][i], doc2[j], apart[i, j]
 
     def run(batches):
         held: list = []
         last = None
 
         def made():
-            doc, root, n = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            bits = np.frombuffer(b"".join(r[3] for r in held), U).reshape(len(held), -1)
-            for x, y, d in pairs(doc, root, n, bits):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(d)], names=["x", "y", "d"])
+            part, doc, root, n = (np.array([r[k] for r in held], np.int64) for k in range(4))
+            bits = np.frombuffer(b"".join(r[4] for r in held), U).reshape(len(held), -1)
+            side = lambda p: tuple(c[part == p] for c in (doc, root, n, bits))
+            low, high = int(part.min()), int(part.max())
+            if low == high and last[1] != last[2]:
+                return
+            for x, y in [(low, high)] if low == high else [(low, high), (high, low)]:
+                for a, b, d in pairs(side(x), side(y)):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], names=["x", "y", "d"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if key != last and held:
+            for *block, part, doc, root, n, bits in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if block != last and held:
                     yield from made()
                     held = []
-                last = key
-                held.append(row)
+                last = block
+                held.append((part, doc, root, n, bits))
         if held:
             yield from made()
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = rows.join(sketches, "doc").select("key", "doc", "root", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key", "doc")
-    found = full.mapInArrow(tidy(run), "x long, y long, d long")
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    full = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sketches, "doc")
+    full = full.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "doc", "root", "n", "sketch")
+    found = full.repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q", "doc").mapInArrow(tidy(run), "x long, y long, d long")
     if nearest:
         found = found.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -345,8 +382,10 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     shared = written(shared_keys(keyed(docs, size, percent, text_col, id_col)), "shared")
     same = known.join(classes.filter("k > 1"), ["fp1", "fp2", "n"]).filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     same = written(same.distinct(), "same")
-    runs = written(rare_runs(shared, same), "runs")
-    dropped(shared)
+    rare = written(rare_keys(shared, same), "rare")
+    runs = written(rare.join(rare.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1"), "key"), "runs")
+    for old in (shared, classes, rare):
+        dropped(old)
     links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
     sketches, nearest = None, True
@@ -367,6 +406,9 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
             continue
         if not nearest or extra is None:
             break
-    dropped(runs)
     own = known.select("doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    return own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
+    out = written(own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")), "near")
+    for old in (known, same, runs, links, roots, sketches):
+        if old is not None:
+            dropped(old)
+    return out

@@ -108,6 +108,44 @@ def test_linked_sets_share_a_rare_key():
             assert left[0] & left[1]
 
 
+def test_frequent_keys_are_counted_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MANY", 50)
+    rnd = random.Random(9)
+    rows = [(rnd.choice([5, 5, 5, 7, 8, rnd.randrange(300)]), i, i % 3) for i in range(2000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = sorted(tuple(r) for r in jaccard.shared_keys(spark.createDataFrame(rows, "key long, doc long, spare int")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n = Counter(r[0] for r in rows)
+    assert got == sorted((*r, min(50, n[r[0]])) for r in rows if n[r[0]] > 1)
+
+
+def test_jaccard_of_unlike_long_words(spark):
+    """Words that collide in any polynomial modulo 2**64 stay apart."""
+    thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [f"x y z {w} p q r s t u v" for w in (thue, other)]
+    assert hashed_words(thue)[0] != hashed_words(other)[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc"]: r["component_id"] for r in jaccard.join(df, size=4, percent=85).collect()} == {0: 0, 1: 1}
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_jaccard_of_a_hot_group(spark, monkeypatch, block):
+    """Many variants of one text, some of which link only through others, and unlike texts with the same passage."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rnd = random.Random(10)
+    words = [f"w{i}" for i in range(500)]
+    base = [rnd.choice(words) for _ in range(60)]
+    texts = [" ".join([*base[: rnd.randint(40, 60)], *rnd.choices(words, k=rnd.randint(0, 25))]) for _ in range(160)]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    got = {r["doc"]: r["component_id"] for r in jaccard.join(df, size=4, percent=85).collect()}
+    sets = [shingle_set(t, 4) for t in texts]
+    root = union(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    assert got == {**dict(enumerate(root)), None: None} and 1 < len(set(root)) < len(root)
+
+
 def test_small_sets_share_a_key_whatever_is_left_out():
     g = np.random.default_rng(6)
     for _ in range(3000):
