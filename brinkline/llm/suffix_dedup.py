@@ -11,14 +11,22 @@ suffixes at places 1 and 2 modulo 3 are sorted by their triples, named,
 sorted by recursion on the names while these are not unique, the others are
 sorted by their first byte and the rank behind it and merged in; then
 neighbours in the array are compared over ``length`` bytes.  The recursion
-may stop once names cover ``length`` bytes.  All contexts of an anchor are in
-one share, so memory follows the different contexts of one anchor.
+may stop once names cover ``length`` bytes.
 
-Results depend on a text's content alone, so texts are known by their MD5.
+An anchor with more than ``HOT`` different contexts (a line that many texts
+hold) is not sorted in one task.  Of its contexts only those go on that agree
+with another one around the anchor in nearly ``length`` bytes: a string that
+two contexts share reaches some way to the left of the anchor and the rest to
+the right, so in one of ``CUTS`` splits both have the same bytes on both
+sides.  The strings of these contexts are named by a 128-bit hash and counted
+by Spark, split by name.
+
+Contexts and texts are known by 128-bit XXH3 and by SHA-256 of their bytes.
 
 Defined results: null is the empty text; nothing is removed from texts
 shorter than ``length``, and matches never cross texts; strings that overlap
-themselves count; repeated rows and equal texts are removed in all copies.
+themselves count; repeated rows and equal texts are removed in all copies; an
+empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +35,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, tidy, written
@@ -37,6 +47,8 @@ GRAM = 32
 SEGMENT = 1 << 20
 SHARE = 1 << 20  # bytes for a suffix array, unless one anchor has more
 BITS = 1 << 26
+HOT = 512  # different contexts of an anchor
+CUTS = 8
 
 
 def order_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +136,13 @@ def repeated_starts(data: np.ndarray, owned: np.ndarray, length: int) -> np.ndar
 
 
 def contexts(data: np.ndarray, length: int):
-    """(anchor, start, starts, fp1, fp2) of each context of a text, as arrays."""
+    """(anchor, start, starts, place of the anchor) of each context of a text, as arrays."""
     out = []
     for base in range(0, max(0, len(data) - length + 1), SEGMENT):
         part = data[base : base + SEGMENT + length - 1]
-        wide = part.astype(U) + U(1)
         up, down = Powers.upto(len(part) + 1)
         run = np.zeros(len(part) + 1, U)
-        np.cumsum(wide * up[:-1], out=run[1:])
+        np.cumsum((part.astype(U) + U(1)) * up[:-1], out=run[1:])
         grams = mix((run[GRAM:] - run[:-GRAM]) * down[: len(part) - GRAM + 1])
         width = length - GRAM + 1
         # smallest hash in each window, the leftmost of equals
@@ -145,14 +156,14 @@ def contexts(data: np.ndarray, length: int):
         n = len(part) - length + 1
         spot = (np.minimum(tail[:n], head[width - 1 : width - 1 + n]) & U((1 << 22) - 1)).astype(np.int64)
         start = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1])))
-        count = np.diff(np.append(start, n))
-        end = start + count - 1 + length
-        fp1 = mix((run[end] - run[start]) * down[start] + (end - start).astype(U))
-        scrambled = np.zeros(len(part) + 1, U)
-        np.cumsum(mix(wide + U(3)) * up[:-1], out=scrambled[1:])
-        fp2 = mix((scrambled[end] - scrambled[start]) * down[start] + (spot[start] - start).astype(U))
-        out.append((grams[spot[start]].view(np.int64), start + base, count, fp1.view(np.int64), fp2.view(np.int64)))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        out.append((grams[spot[start]].view(np.int64), start + base, np.diff(np.append(start, n)), spot[start] + base))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+
+
+def names(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2): 128-bit hashes of stretches."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
 def as_bytes(text: str | None) -> bytes:
@@ -161,7 +172,7 @@ def as_bytes(text: str | None) -> bytes:
 
 def occurrences(texts: DataFrame, length: int) -> DataFrame:
     """``text_key, anchor, start, starts, fp1, fp2``."""
-    names = ["text_key", "anchor", "start", "starts", "fp1", "fp2"]
+    columns = ["text_key", "anchor", "start", "starts", "fp1", "fp2"]
 
     def run(batches):
         for batch in batches:
@@ -169,23 +180,24 @@ def occurrences(texts: DataFrame, length: int) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 raw = as_bytes(text)
                 if len(raw) >= length:
-                    got = contexts(np.frombuffer(raw, np.uint8), length)
-                    key = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(got[0]), np.int32)), pa.array([hashlib.md5(raw).hexdigest()])).cast(pa.string())
-                    out.append([key, *map(pa.array, got)])
-                    held += len(got[0])
+                    anchor, start, starts, _ = contexts(np.frombuffer(raw, np.uint8), length)
+                    fp = names(raw, start, start + starts + (length - 1))
+                    key = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(anchor), np.int32)), pa.array([hashlib.sha256(raw).digest()])).cast(pa.binary())
+                    out.append([key, *map(pa.array, (anchor, start, starts, fp[:, 0].copy(), fp[:, 1].copy()))])
+                    held += len(anchor)
                 if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=columns)
                     out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=columns)
 
-    return texts.mapInArrow(tidy(run), "text_key string, anchor long, start long, starts long, fp1 long, fp2 long")
+    return texts.mapInArrow(tidy(run), "text_key binary, anchor long, start long, starts long, fp1 long, fp2 long")
 
 
 def shared_contexts(texts: DataFrame, anchors: np.ndarray, length: int) -> DataFrame:
-    """``anchor, fp1, fp2, starts, data``: contexts whose anchor is in the bit map."""
+    """``anchor, fp1, fp2, starts, at, data``: contexts whose anchor is in the bit map (``at``: its place in them)."""
     shared = texts.sparkSession.sparkContext.broadcast(anchors)
-    names = ["anchor", "fp1", "fp2", "starts", "data"]
+    columns = ["anchor", "fp1", "fp2", "starts", "at", "data"]
 
     def run(batches):
         bits, seen = shared.value, set()
@@ -195,24 +207,89 @@ def shared_contexts(texts: DataFrame, anchors: np.ndarray, length: int) -> DataF
                 raw = as_bytes(text)
                 if len(raw) < length:
                     continue
-                anchor, start, starts, fp1, fp2 = contexts(np.frombuffer(raw, np.uint8), length)
+                anchor, start, starts, place = contexts(np.frombuffer(raw, np.uint8), length)
                 spot = anchor.view(U) & U(BITS - 1)
-                for i in np.flatnonzero((bits[spot >> U(5)] >> (spot & U(31)).astype(np.uint32)) & np.uint32(1)):
-                    mark = (int(fp1[i]), int(fp2[i]))
+                some = np.flatnonzero((bits[spot >> U(5)] >> (spot & U(31)).astype(np.uint32)) & np.uint32(1))
+                fp = names(raw, start[some], start[some] + starts[some] + (length - 1))
+                for i, own in zip(some.tolist(), fp, strict=True):
+                    mark = own.tobytes()
                     if mark in seen:
                         continue
-                    if len(seen) < 500_000:
-                        seen.add(mark)
+                    if len(seen) >= 50_000:
+                        seen.clear()
+                    seen.add(mark)
                     data = raw[start[i] : start[i] + starts[i] + length - 1]
-                    out.append((int(anchor[i]), *mark, int(starts[i]), data))
+                    out.append((int(anchor[i]), int(own[0]), int(own[1]), int(starts[i]), int(place[i] - start[i]), data))
                     held += len(data)
                     if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=columns)
                         out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=columns)
+
+    return texts.mapInArrow(tidy(run), "anchor long, fp1 long, fp2 long, starts long, at long, data binary")
+
 
-    return texts.mapInArrow(tidy(run), "anchor long, fp1 long, fp2 long, starts long, data binary")
+def splits(length: int) -> list[tuple[int, int, int, int]]:
+    """(bytes to the left of the anchor, bytes to its right, least and first greater reach to the
+    left): a string whose reach lies between the last two has at least the first two."""
+    room = length - GRAM
+    step = -(-(room + 1) // CUTS)
+    return [(low, max(0, room - low - step + 1), low, low + step) for low in range(0, room + 1, step)]
+
+
+def around(found: DataFrame, length: int) -> DataFrame:
+    """``fp1, fp2, cut, k1, k2``: names of what stands around the anchors, one for each split that fits in."""
+    cuts = splits(length)
+
+    def run(batches):
+        for batch in batches:
+            out, raws, lo, hi, base = [], [], [], [], 0
+            for fp1, fp2, at, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                for cut, (left, right, _, _) in enumerate(cuts):
+                    if at >= left and at + GRAM + right <= len(data):
+                        out.append((fp1, fp2, cut))
+                        lo.append(base + at - left)
+                        hi.append(base + at + GRAM + right)
+                raws.append(data)
+                base += len(data)
+            if out:
+                k = names(b"".join(raws), np.array(lo), np.array(hi))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["fp1", "fp2", "cut", "k1", "k2"])
+
+    return found.select("fp1", "fp2", "at", "data").mapInArrow(tidy(run), "fp1 long, fp2 long, cut long, k1 long, k2 long")
+
+
+def named_strings(found: DataFrame, length: int) -> DataFrame:
+    """``fp1, fp2, lo, n1, n2``: the strings of contexts (with the array ``cuts`` of their splits that others share)."""
+    cuts = splits(length)
+
+    def run(batches):
+        for batch in batches:
+            for fp1, fp2, starts, at, data, mine in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                lo = [s for c in sorted(mine) for s in range(max(0, at - cuts[c][3] + 1), min(starts, at - cuts[c][2] + 1))]
+                if lo:
+                    lo = np.array(lo)
+                    n = names(data, lo, lo + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), fp1)), pa.array(np.full(len(lo), fp2)), pa.array(lo), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["fp1", "fp2", "lo", "n1", "n2"])
+
+    return found.select("fp1", "fp2", "starts", "at", "data", "cuts").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, n1 long, n2 long")
+
+
+def hot_repeats(found: DataFrame, length: int) -> DataFrame:
+    """``fp1, fp2, lo, hi`` for the contexts of frequent anchors, dealt out by names, not by anchor."""
+    found = written(found.dropDuplicates(["fp1", "fp2"]), "hot")
+    key = written(around(found, length), "around")
+    again = key.join(key.groupBy("k1", "k2", "cut").agg(F.count("*").alias("n")).filter("n > 1"), ["k1", "k2", "cut"])
+    cuts = again.groupBy("fp1", "fp2").agg(F.collect_set("cut").alias("cuts"))  # at most CUTS of a context
+    strings = written(named_strings(found.join(cuts, ["fp1", "fp2"]), length), "strings")
+    for old in (found, key):
+        dropped(old)
+    hits = strings.join(strings.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1"), ["n1", "n2"])
+    run = F.col("lo") - F.row_number().over(W.partitionBy("fp1", "fp2").orderBy("lo"))  # at most ``length`` rows of a context
+    out = written(hits.select("fp1", "fp2", "lo").distinct().withColumn("run", run).groupBy("fp1", "fp2", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + 1).alias("hi")).select("fp1", "fp2", "lo", "hi"), "hot-marks")
+    dropped(strings)
+    return out
 
 
 def repeats(found: DataFrame, length: int) -> DataFrame:
@@ -264,25 +341,30 @@ def repeats(found: DataFrame, length: int) -> DataFrame:
             yield emit(share(rows))
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "anchor").sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, hi long")
+    return found.select("anchor", "fp1", "fp2", "starts", "data").repartition(n, "anchor").sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, hi long")
 
 
 def removed(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
-    """``text_key, spans``: for texts with repeated strings, the ranges of their starts (MD5 of the UTF-8 text)."""
+    """``text_key, spans``: for texts with repeated strings, the ranges of their starts (SHA-256 of the UTF-8 text)."""
     from .decontaminate import bit_map
 
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
     seen = written(occurrences(texts, length), "contexts")
-    counted = seen.groupBy("fp1", "fp2").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.max("starts").alias("starts"))
-    counted = written(counted, "counted")
+    counted = written(seen.groupBy("fp1", "fp2").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.max("starts").alias("starts")), "counted")
     twice = counted.filter("n > 1").select("fp1", "fp2", F.lit(0).cast("long").alias("lo"), F.col("starts").alias("hi"))
-    several = counted.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1")
-    found = repeats(shared_contexts(texts, bit_map(several, "anchor", BITS), length), length)
-    marks = written(twice.unionByName(found).distinct(), "marks")
+    several = written(counted.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "anchors")
+    found = shared_contexts(texts, bit_map(several, "anchor", BITS), length)
+    hot = several.filter(F.col("k") > HOT).select("anchor")
+    if not hot.isEmpty():
+        found = written(found, "shared")
+        marks = twice.unionByName(repeats(found.join(hot, "anchor", "left_anti"), length)).unionByName(hot_repeats(found.join(hot, "anchor", "left_semi"), length))
+    else:
+        marks = twice.unionByName(repeats(found, length))
+    marks = written(marks.distinct(), "marks")
     spans = seen.join(marks, ["fp1", "fp2"]).groupBy("text_key").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
     out = written(spans, "spans")
-    for old in (seen, counted, marks):
+    for old in (seen, counted, several, found, marks):
         dropped(old)
     return out
 
@@ -306,7 +388,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
     """The id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes) of every row."""
     spans = removed(docs, text_col, length)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("text_key", F.md5("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("text_key", F.unhex(F.sha2("__text", 256)))
     rows = rows.join(spans, "text_key", "left")
 
     def run(batches):

@@ -59,6 +59,32 @@ def removed_brute(texts, length):
     return out
 
 
+def test_splits_cover_every_reach():
+    for length in (33, 40, 80, 400):
+        cuts = suffix_dedup.splits(length)
+        for reach in range(length - suffix_dedup.GRAM + 1):
+            left, right, low, high = next(c for c in cuts if c[2] <= reach < c[3])
+            assert left <= reach and right <= length - suffix_dedup.GRAM - reach
+
+
+@pytest.mark.parametrize("hot", [2, 512])
+def test_suffix_dedup_of_frequent_lines(spark, monkeypatch, hot):
+    """Anchors with many different contexts, on both ways; texts over a segment; many copies."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    rnd = random.Random(13)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    line, passage, near = some(60), some(130), some(500)
+    texts = [some(rnd.randint(0, 90)) + rnd.choice([line, passage, line + some(3) + line]) + some(rnd.randint(0, 90)) for _ in range(60)]
+    for _ in range(40):
+        cut = rnd.randrange(500)
+        texts.append(near[:cut] + "#" + near[cut + 1 :])
+    texts += [some(3000) + passage + some(800) + passage[5:], *[near] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.dedup(df, length=80).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in out} == dict(enumerate(removed_brute(texts, 80)))
+
+
 def test_suffix_dedup(spark):
     rnd = random.Random(3)
     some = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
