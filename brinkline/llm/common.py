@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def with_row_key(docs: DataFrame, to: str) -> DataFrame:
+    """Add a key for each row of a table of files, whatever its ids: a hash of the file and the row's
+    number in it, so it is the same in every reading.  Two given rows share one with a chance of 2**-64.
+    Rows that are not read from Parquet files are written first."""
+    where = lambda df: df.withColumn(to, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    try:
+        return where(docs)
+    except AnalysisException:
+        return where(written(docs, "rows"))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "written_path", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, tidy, written
+from .common import dropped, new_path, tidy, written
 
 CRLF = "\r\n"
 ROWS_PER_FILE = 2000
@@ -152,15 +152,14 @@ def records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFr
 
 
 def captures(found: DataFrame) -> DataFrame:
-    """Transaction assembly: one nested row per response or revisit record, with the
-    request and metadata records that are concurrent to it."""
-    is_capture = F.col("type").isin("response", "revisit")
-    part = F.struct("type", "id", "uri", "fields")
-    whole = F.struct("type", "id", "uri", "refers_to", "digest", "payload_bytes", "payload")
-    keyed = found.select(F.when(is_capture, F.col("id")).otherwise(F.col("concurrent_to")).alias("key"), F.when(is_capture, whole).alias("capture"), F.when(~is_capture, part).alias("part"))
-    joined = keyed.groupBy("key").agg(F.collect_list("capture").alias("captures"), F.collect_list("part").alias("parts"))
-    of = lambda kind: F.filter("parts", lambda p: p["type"] == kind)
-    return joined.select(F.explode("captures").alias("capture"), of("request").alias("requests"), of("metadata").alias("metadata"))
+    """Transaction assembly: one nested row per response or revisit record, joined through the
+    concurrent-to identifier with its request and metadata records."""
+    parts = found.filter(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
+    parts = parts.groupBy(F.col("concurrent_to").alias("key")).agg(F.collect_list(F.struct("type", "id", "uri", "fields")).alias("parts"))
+    whole = F.struct("type", "id", "uri", "refers_to", "digest", "payload_bytes", "payload").alias("capture")
+    joined = found.filter(F.col("type").isin("response", "revisit")).select(F.col("id").alias("key"), whole).join(parts, "key", "left")
+    of = lambda kind: F.filter(F.coalesce("parts", F.array().cast(joined.schema["parts"].dataType)), lambda p: p["type"] == kind)
+    return joined.select("capture", of("request").alias("requests"), of("metadata").alias("metadata"))
 
 
 def page_id(name: Column) -> Column:
@@ -171,4 +170,7 @@ def archive(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
     """Write ``pages`` to the shared folder and assemble what is read back."""
     path = new_path(spark, "warc")
     write(pages, path, **columns)
-    return captures(records(spark, path, with_payload=False))
+    found = written(records(spark, path, with_payload=False), "warc-records")  # parsed once for both sides of the join
+    out = written(captures(found), "captures")
+    dropped(found)
+    return out

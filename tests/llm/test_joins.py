@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -348,12 +349,100 @@ def test_pipeline(spark):
     assert last.filter("not round_trip").count() == 0 and last.count() > 0
 
 
-@pytest.mark.parametrize("stage", range(5))
-def test_pipeline_stages_on_odd_rows(spark, stage):
+ROWS = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "ok fine text here", "en", "s", 17), (3, "ok fine text here", "en", "s", 17), (None, "x", None, "s", 1),
+    (7, "one two three four five six seven eight nine ten", "en", "s", 1), (7, "quite another text with the same id as before it", "en", "t", 1), (None, "one two three four five six seven eight nine ten", "en", "u", 1),
+    (None, "a third text that nobody else has and no id", "en", "v", 1), (6, "ONE two three four five six seven eight nine ten", "en", "w", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long").withColumn("__more", F.lit(1))
+
+
+def kept(stage, spark, docs, folder="/root/testdata/sf0.001"):
+    import corpus_pipeline
+
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, folder)
+    assert dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(0), folder).count() == 0
+    return sorted((tuple(r)[:4] for r in out.collect()), key=repr)
+
+
+def plain(*left_out):
+    return sorted((r[:4] for i, r in enumerate(ROWS) if i not in left_out), key=repr)
+
+
+def test_stage_language(spark, odd):
+    """Texts without a letter go; the one missing lang of a kept row is filled in."""
+    got = kept("language", spark, odd)
+    assert sorted(((*r[:2], None, r[3]) if r[1] == "x" else r for r in got), key=repr) == plain(0, 1)
+
+
+def test_stage_near_duplicates(spark, odd):
+    """Of rows 5, 7 and 9 that with id 6 stays, of rows 2 and 3 one; the two texts of id 7 are not one row."""
+    assert kept("near_duplicates", spark, odd) == plain(3, 5, 7)
+
+
+def test_stage_benchmark_leaks(spark, odd, tmp_path):
+    items = [(0, "before one two three four FIVE six seven eight nine ten"), (1, "nobody else has"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert kept("benchmark_leaks", spark, odd, str(tmp_path)) == plain(5, 7, 8, 9)
+
+
+def test_stage_private_data(spark, odd):
+    more = spark.createDataFrame([(20, "mail a.b@c.de now", "en", "s", 1)], odd.select("doc_id", "text", "lang", "source", "n_chars").schema).withColumn("__more", F.lit(1))
+    assert kept("private_data", spark, odd.unionByName(more)) == sorted([*plain(), (20, "mail [EMAIL] now", "en", "s")], key=repr)
+
+
+def test_stage_tokens(spark, odd):
+    import corpus_pipeline
+
+    out = corpus_pipeline.tokens(spark, odd, "").collect()
+    assert len(out) == len(ROWS) and all(r["round_trip"] for r in out) and sum(r["ids"] is None for r in out) == 1
+    assert corpus_pipeline.tokens(spark, odd.limit(0), "").count() == 0
+
+
+def brute_pipeline_joins(texts, items):
+    """Ids left by the second and third stage, by plain loops."""
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    left, ids = [], sorted(texts)
+    root = dict(zip(ids, ids, strict=True))
+    at = {}
+    for i in ids:
+        for g in sets[i]:
+            at.setdefault(g, []).append(i)
+    pairs = {(a, b) for own in at.values() for a in own for b in own if a < b}
+    linked = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            m = min(root[a], root[b])
+            changed |= root[a] != root[b]
+            root[a] = root[b] = m
+    first = [i for i in ids if root[i] == i]
+    for i in first:
+        d = re.findall(r"\w+", (texts[i] or "").lower())
+        grams = {tuple(d[k : k + 4]) for k in range(len(d) - 3)}
+        # a stretch of 20 words with 16 equal ones holds four equal ones in a row
+        if not any({tuple(q[k : k + 4]) for k in range(len(q) - 3)} & grams and overlap_all(d, q) for q in items):
+            left.append(i)
+    return first, left
+
+
+def test_pipeline_joins_equal_brute_force(spark):
     import corpus_pipeline
 
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "ok fine text here", "en", "s", 17), (3, "ok fine text here", "en", "s", 17), (None, "x", None, "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    f = corpus_pipeline.STAGES[stage][1]
-    assert f(spark, docs, "/root/testdata/sf0.001").count() <= 5
-    assert f(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if len(r["text"] or "") < 4000}
+    items = [re.findall(r"\w+", r["text"].lower()) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    docs = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 4000)
+    first, left = brute_pipeline_joins(texts, [q for q in items if len(q) >= 20])
+    once = corpus_pipeline.near_duplicates(spark, docs, folder)
+    assert sorted(r["doc_id"] for r in once.collect()) == first and len(first) < len(texts)
+    bench = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    many = spark.createDataFrame([(i, t) for i, t in enumerate(bench) if len(re.findall(r"\w+", t)) >= 20], "item_id long, text string")
+    got = decontaminate.overlaps(once, many).select("doc").distinct()
+    assert sorted(set(first) - {r[0] for r in got.collect()}) == left and len(left) < len(first)
