@@ -40,8 +40,8 @@ from .common import dropped, small_batches, tidy, written
 from .components import components
 from .words import U, hashed_words, mix, shingles
 
-BAND_RATIO = 1.6
-SLACK = 0.25
+BAND_RATIO = 1.7
+SLACK = 0.2
 FAN = 256
 FILTER_BITS = 1 << 25
 MANY = 200_000  # a key that so many documents have is as frequent as any
@@ -59,33 +59,25 @@ def least_size(percent: int) -> int:
 
 @lru_cache(maxsize=65536)
 def spaces(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
-    """(space, sections, slack) in which a set of this size is keyed: its band, and the
-    boundary next to it if a partner may lie beyond."""
+    """(space, sections, slack) in which a set of this size is keyed: that of its own size band,
+    and that of a lower band if a partner may lie there.  Two sets that link meet in the space
+    of the smaller one."""
     low, k, out = least_size(percent), 0, []
-    if size < low:
-        return ()
-    while True:
+    while size >= low:
         high = max(low + 1, math.ceil(low * BAND_RATIO))
-        if low <= size < high:
-            out.append((2 * k, high - 1))
-        reach = 100 * high // percent
-        if 100 * size >= percent * high and size <= reach:
-            out.append((2 * k + 1, reach))
-        if percent * low > 100 * size:
-            break
+        reach = 100 * (high - 1) // percent  # the largest partner of a set of this band
+        if size < high or size <= reach:
+            differing = (high - 1 + reach) * (100 - percent) // (100 + percent)
+            slack = math.ceil(SLACK * differing) + 1
+            out.append((k, differing + 1 + slack, slack))
         low, k = high, k + 1
-    made = []
-    for space, most in out:
-        differing = 2 * most * (100 - percent) // (100 + percent)
-        slack = math.ceil(SLACK * differing) + 1
-        made.append((space, differing + 1 + slack, slack))
-    return tuple(made)
+    return tuple(out)
 
 
 def keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The section keys of a set, and for each how many keys of its space may be left out.
 
-    The lowest bit of a key tells the two spaces of a set apart.  Empty
+    The two lowest bits of a key tell the spaces of a set apart.  Empty
     sections have keys like the others: two sets may agree in little else.
     """
     out, drop = [], []
@@ -96,7 +88,7 @@ def keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.concatenate(([True], section[1:] != section[:-1])))
         flips, at = np.bitwise_xor.reduceat(mix(spot), first), section[first]
         flips, at = np.concatenate((flips, np.zeros(sections - len(first), U))), np.concatenate((at, np.setdiff1d(np.arange(sections, dtype=U), at)))
-        out.append((mix(flips ^ mix((U(space) << U(32)) + at)) & ~U(1)) | U(space & 1))
+        out.append((mix(flips ^ mix((U(space) << U(32)) + at)) & ~U(3)) | U(space & 3))
         drop.append(np.full(len(at), slack, np.int32))
     return (np.concatenate(out), np.concatenate(drop)) if out else (np.zeros(0, U), np.zeros(0, np.int32))
 
@@ -213,20 +205,29 @@ def shared_keys(keys_: DataFrame) -> DataFrame:
 def rare_keys(shared: DataFrame, same: DataFrame) -> DataFrame:
     """``key, doc``: what remains after each document left out its most frequent keys, with
     one document for each class of equal sets."""
-    order = W.partitionBy("doc", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("g"), "key")
+    order = W.partitionBy("doc", F.col("key").bitwiseAND(F.lit(3))).orderBy(F.desc("g"), "key")
     kept = shared.withColumn("place", F.row_number().over(order)).filter("place > spare").select("key", "doc")
     return kept.join(same.select(F.col("b").alias("doc"), F.col("a").alias("rep")), "doc", "left").select("key", F.coalesce("rep", "doc").alias("doc")).distinct()
 
 
+def runs_of(rare: DataFrame) -> DataFrame:
+    """``key, doc, g, root``: the documents of each key that several have, with their number and the
+    smallest.  Of keys with the same documents (128-bit parity of their hashes) one is enough."""
+    mark = [F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")]
+    sizes = rare.groupBy("key").agg(F.count("*").alias("g"), F.min("doc").alias("root"), *mark).filter("g > 1")
+    return rare.join(sizes.groupBy("g", "root", "s1", "s2").agg(F.min("key").alias("key")).select("key", "g", "root"), "key")
+
+
 def first_pairs(runs: DataFrame) -> DataFrame:
-    """``a, b``: one partner for each document of a run.  Long runs are dealt into parts of
-    about ``FAN`` by a hash of the document, each around its smallest, which goes to the smallest of
-    all.  Minima are aggregated before the shuffle and joined, so a long run can be split."""
-    part = F.pmod(F.xxhash64("doc"), F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(1.0, g / {FAN}.0))) as int))"))
-    rows = runs.withColumn("part", part)
-    hubs = rows.groupBy("key", "part").agg(F.min("doc").alias("hub"))
-    found = rows.join(hubs, ["key", "part"]).join(hubs.groupBy("key").agg(F.min("hub").alias("root")), "key")
-    return found.select(F.when(F.col("doc") == F.col("hub"), F.col("root")).otherwise(F.col("hub")).alias("a"), F.col("doc").alias("b")).filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    """``a, b``: one partner for each document of a run, the smallest.  Long runs are dealt into parts
+    of about ``FAN`` by a hash of the document, each around its smallest, which goes to the smallest
+    of all.  Minima are aggregated before the shuffle and joined, so a long run can be split."""
+    part = F.pmod(F.xxhash64("doc"), F.expr(f"shiftleft(1L, cast(ceil(log2(g / {FAN}.0)) as int))"))
+    long_ = runs.filter(F.col("g") > FAN).withColumn("part", part)
+    hubs = long_.groupBy("key", "part").agg(F.min("doc").alias("hub"))
+    dealt = long_.join(hubs, ["key", "part"]).select(F.when(F.col("doc") == F.col("hub"), F.col("root")).otherwise(F.col("hub")).alias("a"), F.col("doc").alias("b"))
+    found = runs.filter(F.col("g") <= FAN).select(F.col("root").alias("a"), F.col("doc").alias("b")).unionByName(dealt)
+    return found.filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -379,33 +380,33 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     known = written(describe(docs, size, text_col, id_col), "sets")
     classes = written(known.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k")), "classes")
     sizes = known.filter("doc is not null").select("doc", "n")
-    shared = written(shared_keys(keyed(docs, size, percent, text_col, id_col)), "shared")
+    shared = shared_keys(keyed(docs, size, percent, text_col, id_col))
     same = known.join(classes.filter("k > 1"), ["fp1", "fp2", "n"]).filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     same = written(same.distinct(), "same")
     rare = written(rare_keys(shared, same), "rare")
-    runs = written(rare.join(rare.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1"), "key"), "runs")
-    for old in (shared, classes, rare):
+    runs = written(runs_of(rare), "runs")
+    for old in (classes, rare):
         dropped(old)
     links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
     sketches, nearest = None, True
-    while True:
-        left = written(open_rows(runs, roots), "open")
-        if left.isEmpty():
-            break
+    while not (left := written(open_rows(runs, roots), "open")).isEmpty():
         if sketches is None:
             sketches = written(sketches_of(docs, left.select("doc").distinct(), size, text_col, id_col), "sketches")
         more = written(cross_pairs(left, sketches, percent, nearest), "cross")
-        extra = None if more.isEmpty() else verified(docs, more, sizes, size, percent, text_col, id_col)
-        dropped(left)
-        if extra is not None and not extra.isEmpty():
+        extra = verified(docs, more, sizes, size, percent, text_col, id_col)
+        asked, gained = more.count(), extra.count()
+        if gained:
             tree = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-            roots = written(components(tree.unionByName(extra)), "roots")
-        elif nearest and extra is not None:
-            nearest = False  # no nearest pair links any more: all that is left is verified once
-            continue
-        if not nearest or extra is None:
+            before, roots = roots, written(components(tree.unionByName(extra)), "roots")
+            dropped(before)
+        for old in (left, more, extra):
+            dropped(old)
+        if not nearest:
             break
+        # nearest pairs that mostly do not link have done their part: all that is left is verified once
+        nearest = 2 * gained > asked
+    dropped(left)
     own = known.select("doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
     out = written(own.select("doc", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")), "near")
     for old in (known, same, runs, links, roots, sketches):

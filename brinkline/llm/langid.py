@@ -10,9 +10,10 @@ at once and summed by text; long texts go on in the next part, which counts
 only the n-grams that end in it, so every n-gram counts once.
 
 The prediction is the language of the greatest log posterior, with every
-n-gram of the whole text.  ``score`` is its share of the posterior after all
-log posteriors are divided by one temperature, fitted on training rows that
-the counts have not seen; this changes no prediction.
+n-gram of the whole text.  ``score`` is its share of the posterior after the
+log posteriors of the text are divided by a temperature that grows with its
+number of n-grams (they do not tell independently); the rule is fitted on
+training rows that the counts have not seen and changes no prediction.
 
 Defined results: null text or text without a letter gives ``und`` and score
 0; with no training row at all every text gives ``und``; repeated rows are
@@ -45,7 +46,7 @@ class LangModel:
     log_prob: np.ndarray  # (buckets, langs) float32
     prior: np.ndarray
     orders: tuple[int, ...]
-    temperature: float = 1.0
+    temperature: tuple[float, float] = (1.0, 0.0)  # (c, e): max(1, c * n ** e) for a text of n characters
 
 
 def gram_ids(chars: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -109,8 +110,8 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def shares(log: np.ndarray, temperature: float) -> np.ndarray:
-    weight = np.exp((log - log.max(axis=1, keepdims=True)) / temperature)
+def shares(log: np.ndarray, n: np.ndarray, rule: tuple[float, float]) -> np.ndarray:
+    weight = np.exp((log - log.max(axis=1, keepdims=True)) / np.maximum(1.0, rule[0] * np.maximum(n, 1) ** rule[1])[:, None])
     return weight / weight.sum(axis=1, keepdims=True)
 
 
@@ -167,21 +168,23 @@ def fit(
 
     def test(batches):
         for batch in batches:
-            log = log_posteriors(trial.value, batch.column(1).to_pylist())
-            yield pa.record_batch({"k": pa.array([index[x] for x in batch.column(0).to_pylist()], pa.int32()), "log": pa.array(list(log), pa.list_(pa.float64()))})
+            texts = batch.column(1).to_pylist()
+            log = log_posteriors(trial.value, texts)
+            yield pa.record_batch({"k": pa.array([index[x] for x in batch.column(0).to_pylist()], pa.int32()), "n": pa.array([len(t) for t in texts], pa.int64()), "log": pa.array(list(log), pa.list_(pa.float64()))})
 
-    seen = picked.filter("test").select("lang", "text").mapInArrow(tidy(test), "k int, log array<double>").collect()
+    seen = picked.filter("test").select("lang", "text").mapInArrow(tidy(test), "k int, n long, log array<double>").collect()
     model = made(own + counted(picked.filter("test")))
-    return LangModel(langs, model.log_prob, prior, orders, temperature(np.array([r["log"] for r in seen], float).reshape(-1, len(langs)), np.array([r["k"] for r in seen], np.int64)))
+    log, n = np.array([r["log"] for r in seen], float).reshape(-1, len(langs)), np.array([r["n"] for r in seen], np.int64)
+    return LangModel(langs, model.log_prob, prior, orders, temperature(log, n, np.array([r["k"] for r in seen], np.int64)))
 
 
-def temperature(log: np.ndarray, right: np.ndarray) -> float:
-    """The temperature of 1 or more with the least log loss, on a grid of ratio 2**0.25."""
+def temperature(log: np.ndarray, n: np.ndarray, right: np.ndarray) -> tuple[float, float]:
+    """The rule with the least log loss on a grid."""
     if not len(right):
-        return 1.0
-    grid = [2 ** (k / 4) for k in range(33)]
-    loss = [-np.log(np.maximum(shares(log, t)[np.arange(len(right)), right], 1e-12)).sum() for t in grid]
-    return grid[int(np.argmin(loss))]
+        return 1.0, 0.0
+    rules = [(2 ** (k / 2) / 64**e, e) for e in (0.0, 0.5, 1.0) for k in range(-8, 17)]
+    loss = lambda rule: -np.log(np.maximum(shares(log, n, rule)[np.arange(len(right)), right], 1e-12)).sum()
+    return min(rules, key=loss)
 
 
 def score_texts(model: LangModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -191,7 +194,7 @@ def score_texts(model: LangModel, texts: list[str | None]) -> tuple[list[str], l
     if some:
         log = log_posteriors(model, [texts[i] for i in some])
         best = log.argmax(axis=1)
-        share = shares(log, model.temperature)
+        share = shares(log, np.array([len(texts[i]) for i in some]), model.temperature)
         for i, b, s in zip(some, best.tolist(), share[np.arange(len(some)), best].tolist(), strict=True):
             langs[i], scores[i] = model.langs[b], s
     return langs, scores

@@ -127,9 +127,9 @@ def test_linked_sets_share_a_rare_key():
             left = []
             for k, s in ((ka, sa), (kb, sb)):
                 keep = set()
-                for space in (0, 1):
-                    own = sorted(((order[int(v)], int(v)) for v in k if int(v) & 1 == space), reverse=True)
-                    spare = {int(t) for v, t in zip(k, s, strict=True) if int(v) & 1 == space}
+                for space in range(4):
+                    own = sorted(((order[int(v)], int(v)) for v in k if int(v) & 3 == space), reverse=True)
+                    spare = {int(t) for v, t in zip(k, s, strict=True) if int(v) & 3 == space}
                     keep |= {v for _, v in own[max(spare, default=0) :]}
                 left.append(keep)
             assert left[0] & left[1]
@@ -183,8 +183,8 @@ def test_small_sets_share_a_key_whatever_is_left_out():
         (ka, sa), (kb, sb) = jaccard.keys(a, 80), jaccard.keys(b, 80)
         # the worst order: common keys are left out first
         common = set(ka.tolist()) & set(kb.tolist())
-        spare = lambda k, s, space: max((int(t) for v, t in zip(k, s, strict=True) if int(v) & 1 == space), default=0)
-        assert any(sum(v & 1 == space for v in common) > max(spare(ka, sa, space), spare(kb, sb, space)) for space in (0, 1))
+        spare = lambda k, s, space: max((int(t) for v, t in zip(k, s, strict=True) if int(v) & 3 == space), default=0)
+        assert any(sum(v & 3 == space for v in common) > max(spare(ka, sa, space), spare(kb, sb, space)) for space in range(4))
 
 
 def test_jaccard_join(spark):
