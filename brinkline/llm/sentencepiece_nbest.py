@@ -33,7 +33,9 @@ MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 BYTE_LOSS = 10.0
 UNRANKED = -1e8  # scores below are those of pieces without rank
-REMEMBERED = 400_000
+REMEMBERED = 150_000  # chunks, of about 150 bytes each
+SMALL = 20_000
+PARTS = 100_000  # chunks handled at a time, or those of one text
 
 
 @dataclass
@@ -156,22 +158,56 @@ def viterbi(p: Pieces, chunk: str) -> tuple[float, tuple[int, ...], float]:
     return best[size], tuple(x for part in reversed(ids) for x in part), loss
 
 
-class Memory:
-    """A map of bounded size that keeps what was used of late (two generations)."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+class Words(dict):
+    """Number of each chunk that was met of late; by number its score, pieces, loss of the second best,
+    and whether decoding its pieces gives it back.  Bounded by ``most`` chunks and ``4 * most`` pieces:
+    when there are more, the less used half and all long chunks are forgotten."""
+
+    def __init__(self, encoder: Encoder, most: int):
+        self.encoder, self.most = encoder, most
+        self.clear_all()
+
+    def clear_all(self) -> None:
+        self.clear()
+        self.used = np.zeros(0, np.int64)
+        self.fresh: list[tuple[float, tuple[int, ...], float, bool]] = []
+        self.score, self.loss, self.same, self.start, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, text: str) -> int:
+        total, ids, loss = self.encoder.chunk(text)
+        self.fresh.append((total, ids, loss, decoded(self.encoder.p, ids) == text.encode("utf-8", "surrogatepass")))
+        k = self[text] = len(self)
+        return k
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        k = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        if self.fresh:
+            score, ids, loss, same = zip(*self.fresh, strict=True)
+            self.score, self.loss, self.same = np.append(self.score, score), np.append(self.loss, loss), np.append(self.same, same)
+            self.start = np.append(self.start, self.start[-1] + np.cumsum([len(x) for x in ids]))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32))
+            self.used = np.append(self.used, np.zeros(len(ids), np.int64))
+            self.fresh = []
+        self.used += np.bincount(k, minlength=len(self.used))
+        return k
+
+    def pieces(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of the chunks one after another, number of pieces of each)."""
+        size = self.start[k + 1] - self.start[k]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[k] - ends + size, size)], size
+
+    def forget(self) -> None:
+        if len(self) < self.most and len(self.flat) < 4 * self.most:
+            return
+        by = sorted((x for x in self.items() if len(x[0]) <= 40), key=lambda x: -self.used[x[1]])[: self.most // 2]
+        k = np.array([i for _, i in by], np.int64)
+        flat, size = self.pieces(k)
+        score, loss, same, used = self.score[k], self.loss[k], self.same[k], self.used[k] // 2
+        self.clear()
+        self.update((x, i) for i, (x, _) in enumerate(by))
+        self.score, self.loss, self.same, self.used = score, loss, same, used
+        self.flat, self.start = flat, np.concatenate(([0], np.cumsum(size)))
 
 
 class Encoder:
@@ -179,7 +215,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, n: int, remember: int = REMEMBERED):
         self.p, self.n = pieces, n
-        self.words, self.parts = Memory(remember), Memory(remember)
+        self.words, self.parts, self.others = Words(self, remember), {}, {}
 
     def cuts(self, text: str):
         """The parts of a chunk between neighbours that no piece holds side by side."""
@@ -192,44 +228,78 @@ class Encoder:
 
     def chunk(self, text: str) -> tuple[float, tuple[int, ...], float]:
         """(score, ids, loss of the second best) of a chunk."""
-        got = self.words.get(text)
+        total, ids, loss = 0.0, [], float("inf")
+        for part in self.cuts(text):
+            own = self.parts.get(part)
+            if own is None:
+                own = viterbi(self.p, part)
+                if len(part) <= 40:
+                    if len(self.parts) >= SMALL:
+                        self.parts.clear()
+                    self.parts[part] = own
+            total, loss = total + own[0], min(loss, own[2])
+            ids.extend(own[1])
+        return total, tuple(ids), loss
+
+    def rivals(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+        """(loss, ids) of the other N - 1 best of a chunk, by A-star over its parts."""
+        got = self.others.get(text)
         if got is None:
-            total, ids, loss = 0.0, (), float("inf")
+            found = [(0.0, ())]
             for part in self.cuts(text):
-                own = self.parts.get(part)
-                if own is None:
-                    own = viterbi(self.p, part)
-                    if len(part) <= 40:
-                        self.parts.put(part, own)
-                total, ids, loss = total + own[0], ids + own[1] if ids else own[1], min(loss, own[2])
-            got = (total, ids, loss)
+                own = n_best(self.p, part, self.n)
+                found = sorted(((s + t, a + b) for s, a in found for t, b in own), key=lambda x: -x[0])[: self.n]
+            got = [(found[0][0] - s, ids) for s, ids in found[1:]]
             if len(text) <= 40:
-                self.words.put(text, got)
+                if len(self.others) >= SMALL:
+                    self.others.clear()
+                self.others[text] = got
         return got
 
-    def rivals(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        """(loss, ids) of the other N - 1 best of a chunk, by A-star over its parts."""
-        found = [(0.0, ())]
-        for part in self.cuts(text):
-            own = n_best(self.p, part, self.n)
-            found = sorted(((s + t, a + b) for s, a in found for t, b in own), key=lambda x: -x[0])[: self.n]
-        return [(found[0][0] - s, ids) for s, ids in found[1:]]
-
     def encode(self, text: str) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """(ids, score, alternatives); an alternative is its score and edits (start, length, ids) of the best ids."""
-        if not text:
-            return [], 0.0, []
-        parts, known, chunk = CHUNK.findall(" " + text), self.words.new, self.chunk
-        found = [known.get(x) or chunk(x) for x in parts]
-        total = sum([x[0] for x in found])
-        ids = list(chain.from_iterable([x[1] for x in found]))
-        few = heapq.nsmallest(self.n - 1, zip([x[2] for x in found], range(len(found)), strict=True))
+        ids, _, scores, more, _ = self.batch([text])
+        return ids.tolist(), scores[0], more[0]
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[float], list[list], list[bool]]:
+        """(pieces of all texts, where each text's start, scores, alternatives, whether decoding gives each text back)."""
+        ids, sizes, scores, more, same = [], [], [], [], []
+        at = 0
+        while at < len(texts):
+            parts, ends = [], []
+            while at < len(texts) and (not parts or len(parts) < PARTS):
+                if texts[at]:
+                    parts += CHUNK.findall(" " + texts[at])
+                ends.append(len(parts))
+                at += 1
+            k = self.words.numbers(parts)
+            flat, size = self.words.pieces(k)
+            ids.append(flat)
+            score, loss, fine = self.words.score[k], self.words.loss[k], self.words.same[k]
+            lo = 0
+            for hi in ends:
+                own = np.concatenate(([0], np.cumsum(size[lo:hi])))
+                total = float(score[lo:hi].sum())
+                sizes.append(int(own[-1]))
+                scores.append(total)
+                same.append(bool(fine[lo:hi].all()))
+                more.append(self.alternatives(total, parts, loss, lo, hi, own))
+                lo = hi
+            self.words.forget()
+        return np.concatenate([*ids, np.zeros(0, np.int32)]), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), scores, more, same
+
+    def alternatives(self, total: float, parts: list[str], loss: np.ndarray, lo: int, hi: int, own: np.ndarray) -> list:
+        """The other N - 1 best of a text, from the words with the smallest losses (the first of equals)."""
+        own_loss = loss[lo:hi]
+        few = min(self.n - 1, hi - lo)
+        if few <= 0:
+            return []
+        near = np.flatnonzero(own_loss <= np.partition(own_loss, few - 1)[few - 1]) if few < hi - lo else np.arange(hi - lo)
         single = []
-        for loss, k in few:
-            if loss < float("inf"):
-                start = sum(len(x[1]) for x in found[:k])
-                single += [(lost, k, j, start, len(found[k][1]), other) for j, (lost, other) in enumerate(self.rivals(parts[k]))]
-        return ids, total, self.combine(total, sorted(single)[: self.n - 1])
+        for k in near[np.argsort(own_loss[near], kind="stable")][:few].tolist():
+            if own_loss[k] < np.inf:
+                single += [(lost, k, j, int(own[k]), int(own[k + 1] - own[k]), other) for j, (lost, other) in enumerate(self.rivals(parts[lo + k]))]
+        return self.combine(total, sorted(single)[: self.n - 1])
 
     def combine(self, total: float, single: list) -> list:
         """The best sets of single changes, one for a word at most."""
@@ -244,10 +314,13 @@ class Encoder:
         return out
 
 
+def decoded(p: Pieces, ids: list[int] | tuple[int, ...]) -> bytes:
+    """What pieces stand for, one after another; so a text is given back if all its chunks are."""
+    return b"".join(map(p.text.__getitem__, ids))
+
+
 def decode(p: Pieces, ids: list[int] | None) -> str | None:
-    if ids is None:
-        return None
-    return b"".join(map(p.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+    return None if ids is None else decoded(p, ids).decode("utf-8", "surrogatepass")[1:]
 
 
 def apply_edits(ids: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
@@ -278,7 +351,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     ``ids``) and ``round_trip`` (whether decoding gave back the text).
 
     ``reuse``: a Python worker keeps its words for later tasks; without it each
-    task starts anew with a smaller memory and leaves none behind.
+    task starts anew and leaves none behind.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -289,19 +362,13 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
 
     def run(batches):
         p = shared.value
-        encoder = kept_encoder(p, model_file, n) if reuse else Encoder(p, n, REMEMBERED // 4)
+        encoder = kept_encoder(p, model_file, n) if reuse else Encoder(p, n)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            offsets, flat, scores, more, same = [0], [], [], [], []
-            for text in texts:
-                ids, score, alternatives = encoder.encode(text or "")
-                flat.append(np.array(ids, np.int32))
-                offsets.append(offsets[-1] + len(ids))
-                scores.append(None if text is None else score)
-                more.append([{"score": s, "edits": [{"start": a, "length": b, "ids": list(c)} for a, b, c in edits]} for s, edits in alternatives])
-                same.append(decode(p, ids) == (text or ""))
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([t is None for t in texts], pa.bool_()))
+            ids, offsets, scores, found, same = encoder.batch([t or "" for t in texts])
+            scores = [None if t is None else s for t, s in zip(texts, scores, strict=True)]
+            more = [[{"score": s, "edits": [{"start": a, "length": b, "ids": list(c)} for a, b, c in edits]} for s, edits in one] for one in found]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(scores, pa.float64()), pa.array(more, other), pa.array(same)], names=[*keep, "ids", "score", "alternatives", "round_trip"])
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)

@@ -341,6 +341,33 @@ def test_n_best_against_brute_force(pieces):
             assert sentencepiece_nbest.decode(pieces, sentencepiece_nbest.apply_edits(ids, edits)) == t
 
 
+def test_first_of_a_star_is_viterbi(pieces):
+    """The search backward gives as its best segmentation that of the forward pass, with its second best's loss."""
+    rnd = random.Random(12)
+    letters = "etaoin shrdlu ETA éß日本😀▁.,0123456789"
+    for _ in range(1500):
+        word = "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 14)))
+        score, ids, loss = sentencepiece_nbest.viterbi(pieces, word)
+        found = sentencepiece_nbest.n_best(pieces, word, 2)
+        assert found[0][1] == ids and found[0][0] == pytest.approx(score)
+        assert loss == (pytest.approx(found[0][0] - found[1][0], abs=1e-9) if len(found) > 1 else float("inf"))
+
+
+def test_bounded_words_change_nothing(pieces, monkeypatch):
+    rnd = random.Random(14)
+    texts = [" ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(0, 60))) + "x" * rnd.choice([0, 0, 90]) for _ in range(80)]
+    whole = sentencepiece_nbest.Encoder(pieces, 3)
+    want = [whole.encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_nbest, "PARTS", 50)
+    monkeypatch.setattr(sentencepiece_nbest, "SMALL", 5)
+    small = sentencepiece_nbest.Encoder(pieces, 3, 40)
+    for _ in range(2):
+        ids, at, scores, more, same = small.batch(texts)
+        assert all(same) and len(small.words) <= 200
+        for i, (w, s, m) in enumerate(want):
+            assert ids[at[i] : at[i + 1]].tolist() == w and scores[i] == pytest.approx(s) and [x[1] for x in more[i]] == [x[1] for x in m]
+
+
 def test_piece_round_trip(spark, pieces):
     texts = [*ODD[:6], "x" * 3000, "▁", "  two  blanks ", "\x00\x01", "tab\tnew\nline", "same", "same"]
     out = sentencepiece_nbest.encode(docs(spark, texts), piece_model(), n=2).orderBy("doc_id").collect()
