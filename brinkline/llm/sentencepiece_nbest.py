@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
+U = np.uint64
 MARK = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 BYTE_LOSS = 10.0
 UNRANKED = -1e8  # scores below are those of pieces without rank
-REMEMBERED = 150_000  # chunks, of about 150 bytes each
+REMEMBERED = 400_000  # chunks, of about 230 bytes each
 SMALL = 20_000
+TOGETHER = 4096
 PARTS = 100_000  # chunks handled at a time, or those of one text
 
 
@@ -158,6 +160,109 @@ def viterbi(p: Pieces, chunk: str) -> tuple[float, tuple[int, ...], float]:
     return best[size], tuple(x for part in reversed(ids) for x in part), loss
 
 
+def poly(h: np.ndarray | np.uint64, c: np.ndarray) -> np.ndarray:
+    """The hash of a string from that of its front and its last character."""
+    return (h ^ (c.astype(U) + U(1))) * U(0x9E3779B97F4A7C15) ^ (c.astype(U) * U(0xD6E8FEB86659FD93))
+
+
+class Lattice:
+    """Viterbi on many short chunks at once, with the results of :func:`viterbi`.
+
+    Pieces are found by a 64-bit hash of every substring in two tables without
+    collisions of their own.  (A substring that only shares a piece's hash
+    would show when the pieces are decoded.)
+    """
+
+    def __init__(self, p: Pieces, bits: int = 19):
+        self.p, self.bits = p, bits
+        text = list(p.id_of)
+        self.ids = np.array([*map(p.id_of.__getitem__, text), -1], np.int64)
+        self.score = np.append(np.array(p.score)[self.ids[:-1]], -np.inf)
+        code, size = padded(text)
+        h = np.zeros(len(text), U)
+        for k in range(code.shape[1]):
+            h = np.where(size > k, poly(h, code[:, k]), h)
+        self.key = np.append(h, U(0))
+        self.shift = (64 - bits, 64 - 2 * bits)
+        self.first, self.second = (np.full(1 << bits, len(text), np.int32) for _ in range(2))
+        place = np.arange(len(text), dtype=np.int32)
+        self.first[self.slot(h, 0)] = place
+        rest = place[self.first[self.slot(h, 0)] != place]
+        self.second[self.slot(h[rest], 1)] = rest
+        self.missed = rest[self.second[self.slot(h[rest], 1)] != rest]  # pieces in neither table
+        self.longest = int(size.max(initial=1))
+
+    def slot(self, h: np.ndarray, table: int) -> np.ndarray:
+        return ((h >> U(self.shift[table])) & U((1 << self.bits) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of the piece with each hash; the last place stands for none."""
+        at = self.first[self.slot(h, 0)]
+        other = np.flatnonzero(self.key[at] != h)
+        at[other] = self.second[self.slot(h[other], 1)]
+        at[other[self.key[at[other]] != h[other]]] = len(self.key) - 1
+        for k in self.missed:
+            at[h == self.key[k]] = k
+        return at
+
+    def best(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(score, loss, pieces one after another, number of pieces) of chunks of like length."""
+        code, size = padded(chunks)
+        m, width = code.shape
+        most = min(self.longest, width)
+        none = len(self.key) - 1
+        place = np.full((most, m, width), none, np.int32)  # by length - 1 and start
+        h = np.zeros((m, width), U)
+        for k in range(most):
+            inside = np.arange(width - k)[None] + k < size[:, None]
+            h = poly(h[:, : width - k], code[:, k:])
+            place[k, :, : width - k][inside] = self.find(h[inside])
+        spelt = place[0] == none  # one place more than the pieces: the bytes of a character
+        bytes_ = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        value, ids = self.score[place], self.ids[place]
+        value[0][spelt] = self.p.unknown * bytes_[spelt]
+        ids[0][spelt] = 0
+        best = np.full((m, width + 1), -np.inf)
+        best[:, 0] = 0.0
+        gap, back = np.full((m, width + 1), np.inf), np.zeros((m, width + 1), np.int64)
+        rows = np.arange(m)
+        for end in range(1, width + 1):
+            k = np.arange(min(most, end))
+            arc = best[:, end - 1 - k] + value[k[:, None], rows, (end - 1 - k)[:, None]].T
+            top = arc.max(axis=1)
+            own = np.where(arc == top[:, None], ids[k[:, None], rows, (end - 1 - k)[:, None]].T, 1 << 40).argmin(axis=1)
+            arc[rows, own] = -np.inf
+            best[:, end], back[:, end] = top, own + 1
+            with np.errstate(invalid="ignore"):
+                gap[:, end] = top - arc.max(axis=1)
+        at, loss = size.copy(), np.full(m, np.inf)
+        # a spelt character takes as many places as it has bytes
+        room = int((size + (spelt * (bytes_ - 1) * (np.arange(width)[None] < size[:, None])).sum(axis=1)).max())
+        path, steps = np.zeros((m, room), np.int64), np.zeros(m, np.int64)
+        while (live := np.flatnonzero(at)).size:
+            here, long_ = at[live], back[live, at[live]]
+            loss[live] = np.minimum(loss[live], gap[live, here])
+            before = here - long_
+            path[live, room - 1 - steps[live]] = ids[long_ - 1, live, before]
+            single = np.flatnonzero((long_ == 1) & spelt[live, before])
+            steps[live] += 1
+            for i, k in zip(live[single].tolist(), before[single].tolist(), strict=True):
+                raw = chunks[i][k].encode("utf-8", "surrogatepass")
+                end = room + 1 - int(steps[i])
+                path[i, end - len(raw) : end] = [self.p.byte_id[b] for b in raw]
+                steps[i] += len(raw) - 1
+            at[live] = before
+        return best[rows, size], loss, path[np.arange(room)[None] >= (room - steps)[:, None]], steps
+
+
+def padded(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points in rows filled up with 0, lengths)."""
+    size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    out = np.zeros((len(chunks), max(1, int(size.max(initial=0)))), np.uint32)
+    out[np.arange(out.shape[1])[None] < size[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, size
+
+
 class Words(dict):
     """Number of each chunk that was met of late; by number its score, pieces, loss of the second best,
     and whether decoding its pieces gives it back.  Bounded by ``most`` chunks and ``4 * most`` pieces:
@@ -170,23 +275,24 @@ class Words(dict):
     def clear_all(self) -> None:
         self.clear()
         self.used = np.zeros(0, np.int64)
-        self.fresh: list[tuple[float, tuple[int, ...], float, bool]] = []
+        self.fresh: list[str] = []
         self.score, self.loss, self.same, self.start, self.flat = np.zeros(0), np.zeros(0), np.zeros(0, bool), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def __missing__(self, text: str) -> int:
-        total, ids, loss = self.encoder.chunk(text)
-        self.fresh.append((total, ids, loss, decoded(self.encoder.p, ids) == text.encode("utf-8", "surrogatepass")))
+        self.fresh.append(text)
         k = self[text] = len(self)
         return k
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         k = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
         if self.fresh:
-            score, ids, loss, same = zip(*self.fresh, strict=True)
+            score, loss, ids, size = self.encoder.chunks(self.fresh)
+            ends, spelling = np.cumsum(size).tolist(), list(map(self.encoder.p.text.__getitem__, ids.tolist()))
+            same = [b"".join(spelling[a:b]) == text.encode("utf-8", "surrogatepass") for text, a, b in zip(self.fresh, [0, *ends], ends, strict=False)]
             self.score, self.loss, self.same = np.append(self.score, score), np.append(self.loss, loss), np.append(self.same, same)
-            self.start = np.append(self.start, self.start[-1] + np.cumsum([len(x) for x in ids]))
-            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32))
-            self.used = np.append(self.used, np.zeros(len(ids), np.int64))
+            self.start = np.append(self.start, self.start[-1] + np.cumsum(size))
+            self.flat = np.append(self.flat, ids.astype(np.int32))
+            self.used = np.append(self.used, np.zeros(len(size), np.int64))
             self.fresh = []
         self.used += np.bincount(k, minlength=len(self.used))
         return k
@@ -214,7 +320,7 @@ class Encoder:
     """N-best segmentation of whole texts, words remembered up to a bound."""
 
     def __init__(self, pieces: Pieces, n: int, remember: int = REMEMBERED):
-        self.p, self.n = pieces, n
+        self.p, self.n, self.lattice = pieces, n, Lattice(pieces)
         self.words, self.parts, self.others = Words(self, remember), {}, {}
 
     def cuts(self, text: str):
@@ -241,6 +347,26 @@ class Encoder:
             ids.extend(own[1])
         return total, tuple(ids), loss
 
+    def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(score, loss, pieces one after another, number of pieces) of chunks; those of like length together."""
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(length, kind="stable")
+        score, loss, size = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        ids: list[np.ndarray] = [np.zeros(0, np.int64)]  # in the order of the lengths
+        short = int(np.searchsorted(length[order], 40, side="right"))
+        for at in range(0, short, TOGETHER):
+            some = order[at : min(short, at + TOGETHER)]
+            score[some], loss[some], flat, size[some] = self.lattice.best([texts[i] for i in some.tolist()])
+            ids.append(flat)
+        for i in order[short:].tolist():
+            score[i], own, loss[i] = self.chunk(texts[i])
+            ids.append(np.array(own, np.int64))
+            size[i] = len(own)
+        start = np.zeros(len(texts), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        ends = np.cumsum(size)
+        return score, loss, np.concatenate(ids)[np.arange(size.sum()) + np.repeat(start - ends + size, size)], size
+
     def rivals(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
         """(loss, ids) of the other N - 1 best of a chunk, by A-star over its parts."""
         got = self.others.get(text)

@@ -18,7 +18,9 @@ hold) is not sorted in one task.  Of its contexts only those go on that agree
 with another one around the anchor in nearly ``length`` bytes: a string that
 two contexts share reaches some way to the left of the anchor and the rest to
 the right, so in one of ``CUTS`` splits both have the same bytes on both
-sides.  The strings of these contexts are named by a 128-bit hash and counted
+sides.  If all bytes that the strings of a split cover stand around another
+context's anchor too, all these strings are repeated, and one of the contexts
+names them for all; other strings are named too, by a 128-bit hash, and counted
 by Spark, split by name.
 
 Contexts and texts are known by 128-bit XXH3 and by SHA-256 of their bytes.
@@ -47,7 +49,7 @@ GRAM = 32
 SEGMENT = 1 << 20
 SHARE = 1 << 20  # bytes for a suffix array, unless one anchor has more
 BITS = 1 << 26
-HOT = 512  # different contexts of an anchor
+HOT = 2048  # different contexts of an anchor: more than a share
 CUTS = 8
 
 
@@ -238,40 +240,45 @@ def splits(length: int) -> list[tuple[int, int, int, int]]:
     return [(low, max(0, room - low - step + 1), low, low + step) for low in range(0, room + 1, step)]
 
 
+def starts_of(cut: tuple[int, int, int, int], at: int, starts: int) -> tuple[int, int]:
+    """The range of a context's starts that belong to a split."""
+    return max(0, at - cut[3] + 1), min(starts, at - cut[2] + 1)
+
+
 def around(found: DataFrame, length: int) -> DataFrame:
-    """``fp1, fp2, cut, k1, k2``: names of what stands around the anchors, one for each split that fits in."""
+    """``fp1, fp2, cut, whole, lo, hi, k1, k2``: names of what stands around the anchors in each
+    split that fits in, and (``whole``) of all bytes that the split's starts ``lo`` to ``hi`` cover."""
     cuts = splits(length)
 
     def run(batches):
         for batch in batches:
-            out, raws, lo, hi, base = [], [], [], [], 0
-            for fp1, fp2, at, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                for cut, (left, right, _, _) in enumerate(cuts):
-                    if at >= left and at + GRAM + right <= len(data):
-                        out.append((fp1, fp2, cut))
-                        lo.append(base + at - left)
-                        hi.append(base + at + GRAM + right)
+            out, raws, begin, end, base = [], [], [], [], 0
+            for fp1, fp2, starts, at, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                for k, cut in enumerate(cuts):
+                    lo, hi = starts_of(cut, at, starts)
+                    if lo < hi and at >= cut[0] and at + GRAM + cut[1] <= len(data):
+                        out += [(fp1, fp2, k, 0, lo, hi), (fp1, fp2, k, 1, lo, hi)]
+                        begin += [base + at - cut[0], base + lo]
+                        end += [base + at + GRAM + cut[1], base + hi - 1 + length]
                 raws.append(data)
                 base += len(data)
             if out:
-                k = names(b"".join(raws), np.array(lo), np.array(hi))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["fp1", "fp2", "cut", "k1", "k2"])
+                k = names(b"".join(raws), np.array(begin), np.array(end))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["fp1", "fp2", "cut", "whole", "lo", "hi", "k1", "k2"])
 
-    return found.select("fp1", "fp2", "at", "data").mapInArrow(tidy(run), "fp1 long, fp2 long, cut long, k1 long, k2 long")
+    return found.select("fp1", "fp2", "starts", "at", "data").mapInArrow(tidy(run), "fp1 long, fp2 long, cut long, whole long, lo long, hi long, k1 long, k2 long")
 
 
 def named_strings(found: DataFrame, length: int) -> DataFrame:
-    """``fp1, fp2, lo, n1, n2``: the strings of contexts (with the array ``cuts`` of their splits that others share)."""
+    """``fp1, fp2, lo, n1, n2``: the strings of contexts in the splits ``cuts`` (an array of numbers)."""
     cuts = splits(length)
 
     def run(batches):
         for batch in batches:
             for fp1, fp2, starts, at, data, mine in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                lo = [s for c in sorted(mine) for s in range(max(0, at - cuts[c][3] + 1), min(starts, at - cuts[c][2] + 1))]
-                if lo:
-                    lo = np.array(lo)
-                    n = names(data, lo, lo + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), fp1)), pa.array(np.full(len(lo), fp2)), pa.array(lo), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["fp1", "fp2", "lo", "n1", "n2"])
+                lo = np.array([s for c in sorted(mine) for s in range(*starts_of(cuts[c], at, starts))], np.int64)
+                n = names(data, lo, lo + length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), fp1)), pa.array(np.full(len(lo), fp2)), pa.array(lo), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["fp1", "fp2", "lo", "n1", "n2"])
 
     return found.select("fp1", "fp2", "starts", "at", "data", "cuts").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, n1 long, n2 long")
 
@@ -280,15 +287,20 @@ def hot_repeats(found: DataFrame, length: int) -> DataFrame:
     """``fp1, fp2, lo, hi`` for the contexts of frequent anchors, dealt out by names, not by anchor."""
     found = written(found.dropDuplicates(["fp1", "fp2"]), "hot")
     key = written(around(found, length), "around")
-    again = key.join(key.groupBy("k1", "k2", "cut").agg(F.count("*").alias("n")).filter("n > 1"), ["k1", "k2", "cut"])
-    cuts = again.groupBy("fp1", "fp2").agg(F.collect_set("cut").alias("cuts"))  # at most CUTS of a context
+    own = F.struct("fp1", "fp2")
+    shared = key.groupBy("k1", "k2", "cut", "whole").agg(F.count("*").alias("n"), F.min(own).alias("first")).filter("n > 1")
+    # of the contexts that share a whole split one names its strings for all
+    speaks = ((F.col("whole") == 1) & (F.col("first") == own)).alias("speaks")
+    again = key.join(shared, ["k1", "k2", "cut", "whole"]).select("fp1", "fp2", "cut", "lo", "hi", "whole", speaks)
+    again = written(again.groupBy("fp1", "fp2", "cut", "lo", "hi").agg(F.max("whole").alias("whole"), F.max("speaks").alias("speaks")), "splits")
+    cuts = again.filter("whole = 0 or speaks").groupBy("fp1", "fp2").agg(F.collect_set("cut").alias("cuts"))  # at most CUTS of a context
     strings = written(named_strings(found.join(cuts, ["fp1", "fp2"]), length), "strings")
-    for old in (found, key):
-        dropped(old)
     hits = strings.join(strings.groupBy("n1", "n2").agg(F.count("*").alias("n")).filter("n > 1"), ["n1", "n2"])
     run = F.col("lo") - F.row_number().over(W.partitionBy("fp1", "fp2").orderBy("lo"))  # at most ``length`` rows of a context
-    out = written(hits.select("fp1", "fp2", "lo").distinct().withColumn("run", run).groupBy("fp1", "fp2", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + 1).alias("hi")).select("fp1", "fp2", "lo", "hi"), "hot-marks")
-    dropped(strings)
+    single = hits.select("fp1", "fp2", "lo").distinct().withColumn("run", run).groupBy("fp1", "fp2", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + 1).alias("hi"))
+    out = written(again.filter("whole = 1").select("fp1", "fp2", "lo", "hi").unionByName(single.select("fp1", "fp2", "lo", "hi")), "hot-marks")
+    for old in (found, key, again, strings):
+        dropped(old)
     return out
 
 

@@ -353,6 +353,20 @@ def test_first_of_a_star_is_viterbi(pieces):
         assert loss == (pytest.approx(found[0][0] - found[1][0], abs=1e-9) if len(found) > 1 else float("inf"))
 
 
+def test_many_chunks_at_once_equal_viterbi(pieces):
+    rnd = random.Random(15)
+    letters = "etaoinshrdluETAéß日本😀▁.,0123456789ſ "
+    words = list(dict.fromkeys("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 45))) for _ in range(3000)))
+    words += [w for w in list(pieces.id_of)[:4000] if w not in set(words)]
+    encoder = sentencepiece_nbest.Encoder(pieces, 2)
+    score, loss, ids, size = encoder.chunks(words)
+    ends = np.cumsum(size)
+    for i, w in enumerate(words):
+        want = sentencepiece_nbest.viterbi(pieces, w)
+        assert ids[ends[i] - size[i] : ends[i]].tolist() == list(want[1]), w
+        assert score[i] == pytest.approx(want[0]) and loss[i] == (pytest.approx(want[2], abs=1e-9) if want[2] < float("inf") else want[2])
+
+
 def test_bounded_words_change_nothing(pieces, monkeypatch):
     rnd = random.Random(14)
     texts = [" ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(0, 60))) + "x" * rnd.choice([0, 0, 90]) for _ in range(80)]
