@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .config import FEATURES
+from .config import Settings
 from .operators import forest
 from .plans import enrich, stages
 from .sources import tasks
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         out.scores.show()
         out.importances.show()
     else:
-        df = forest.predict(forest.load(args.model), tasks.load_stage2(spark, args.input), list(FEATURES))
+        df = forest.predict(forest.load(args.model), tasks.load_stage2(spark, args.input), list(Settings().instruments))
         if args.command == "stage2":
             print(stages.stage2(df, summary_path=args.output)["facts"])
         else:

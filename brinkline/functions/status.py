@@ -19,10 +19,8 @@ def list_pass_rate(items: Column) -> Column:
     return F.when(items.isNotNull() & (n > 0), F.size(F.filter(items, passes)) / n).otherwise(0.0)
 
 
-def literal_pass_rate(text: str | None) -> float | None:
-    """The rule for strings: a Python literal if it is one, else a substring test."""
-    if text is None:
-        return None
+def literal_pass_rate(text: str | None) -> float:
+    """The rule for strings: a Python literal if it is one, else a substring test; 0 for none."""
     if not text:
         return 0.0
     try:
@@ -36,7 +34,7 @@ def literal_pass_rate(text: str | None) -> float | None:
 
 def string_pass_rate(text: Column | str) -> Column:
     def rate(values: pd.Series) -> pd.Series:
-        return values.map(literal_pass_rate, na_action="ignore").astype("float64")
+        return values.map(lambda x: literal_pass_rate(x if isinstance(x, str) else None)).astype("float64")
 
     rate.__annotations__ = {"values": pd.Series, "return": pd.Series}
     return F.pandas_udf(rate, "double")(text)
@@ -58,7 +56,7 @@ def variant_pass_rate(status: Column, mode: str = "extract", stored: Column | No
     listed = variant_list_rate(status)
     if mode == "extract":
         text = F.when(F.schema_of_variant(status) == "STRING", F.try_variant_get(status, "$", "string"))
-        return F.coalesce(listed, string_pass_rate(text), F.lit(0.0))
+        return F.coalesce(listed, string_pass_rate(text))
     if mode == "load" and stored is not None:
         return F.coalesce(stored, listed, F.lit(0.0))
     if mode in ("load", "figure"):

@@ -13,9 +13,29 @@ from ..config import ALGORITHMS, LEXICON, NESTING
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+#: Letters that fold to ASCII ones in a match that ignores case.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def word_pattern(words: tuple[str, ...]) -> str:
+    """Whole words in either case; ``U`` makes word boundaries Unicode-aware on every Java version."""
+    return r"(?iU)\b(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\b"
+
+
 def word_count(text: Column, words: tuple[str, ...]) -> Column:
     """Whole-word matches of any of the words, in either case (Unicode)."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"(?iu)\b(" + "|".join(words) + r")\b")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(word_pattern(words))), F.lit(0))
+
+
+def word_counts(text: Column, lexicon: dict[str, tuple[str, ...]], body) -> Column:
+    """``body`` of the counts of each list, from one scan where no phrase holds another list's word."""
+    words = tuple(dict.fromkeys(w for own in lexicon.values() for w in own))
+    if any(x in words for w in words if " " in w for x in w.split()):
+        return body({k: word_count(text, own) for k, own in lexicon.items()})
+    hits = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(word_pattern(words)), F.lit(1)), lambda w: F.lower(F.translate(w, *FOLDED)))
+    among = lambda found, own: F.size(F.filter(found, lambda w: w.isin(*own)))
+    # a transform over one element keeps the hits from being found anew for every list
+    return F.element_at(F.transform(F.array(hits), lambda found: body({k: among(found, own) for k, own in lexicon.items()})), 1)
 
 
 def token_count(text: Column) -> Column:
@@ -33,18 +53,22 @@ def mean_token_length(text: Column) -> Column:
 
 def instruction_features(text: Column, lexicon: dict[str, tuple[str, ...]] = LEXICON) -> Column:
     """Struct of the ten ``inst_`` features; all zero for null and blank text."""
-    count = {k: word_count(text, lexicon[k]) for k in lexicon}
-    return F.struct(
-        token_count(text).alias("inst_tokens"),
-        *[count[k].alias(f"inst_{k}_count") for k in ("if", "conditional", "loop", "collection", "class", "func", "logic")],
-        (count["if"] + count["loop"] + count["class"] + count["func"]).alias("inst_total_structural"),
-        mean_token_length(text).alias("inst_avg_word_len"),
-    )
+
+    def body(count: dict[str, Column]) -> Column:
+        return F.struct(
+            token_count(text).alias("inst_tokens"),
+            *[count[k].alias(f"inst_{k}_count") for k in ("if", "conditional", "loop", "collection", "class", "func", "logic")],
+            (count["if"] + count["loop"] + count["class"] + count["func"]).alias("inst_total_structural"),
+            mean_token_length(text).alias("inst_avg_word_len"),
+        )
+
+    return word_counts(text, lexicon, body)
 
 
 def patterns_present(text: Column, patterns: tuple[str, ...]) -> Column:
     """How many of the patterns occur at all, as substrings in either case."""
-    return reduce(lambda a, b: a + b, [F.coalesce(text.rlike(f"(?iu){p}"), F.lit(False)).cast("int") for p in patterns])
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(lambda a, b: a + b, [F.contains(low, F.lit(p)).cast("int") for p in patterns])
 
 
 def lexical_diversity(text: Column) -> Column:

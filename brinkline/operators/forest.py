@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -40,16 +41,32 @@ def importances(model: RandomForestRegressionModel, features: list[str], spark)
     return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
 
 
-def out_of_fold(df: DataFrame, features: list[str], target: str, key: str, settings: Settings) -> DataFrame:
-    """``key, fold, target, prediction``: each row predicted by the model that has not seen its fold."""
-    rows = assembled(folds(df, key, settings.folds, settings.seed), features).select(key, "fold", F.col(target).cast("double").alias(target), "features").cache()
+def out_of_fold(rows: DataFrame, target: str, key: str, settings: Settings) -> DataFrame:
+    """``key, fold, target, prediction`` of rows with a ``features`` vector and a unique key: each row
+    predicted by the model that has not seen its fold.  One pass over the predictions of all folds."""
+    rows = folds(rows, key, settings.folds, settings.seed).select(key, "fold", F.col(target).cast("double").alias(target), "features").persist()
     out = None
     for k in range(settings.folds):
         part = forest(settings, target).fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)).select(key, "fold", target, "prediction")
         out = part if out is None else out.unionByName(part)
+    out = out.persist()
+    out.count()
+    rows.unpersist()
     return out
 
 
+ROW = "__row"
+
+
+def with_row_key(df: DataFrame, to: str = ROW) -> DataFrame:
+    """Add a unique key that follows from a row's values: their hash and a running number among equal
+    rows.  Ids may be missing or repeat, so they cannot tell rows apart."""
+    value = lambda f: F.col(f"`{f.name}`") if f.dataType.typeName() not in ("variant", "map") else F.to_json(f"`{f.name}`")
+    whole = F.md5(F.to_json(F.struct(*[value(f).alias(f.name) for f in df.schema.fields]), {"ignoreNullFields": "false"}))
+    number = F.row_number().over(W.partitionBy(to).orderBy(to))
+    return df.withColumn(to, whole).withColumn(to, F.concat_ws("-", to, number.cast("string")))
+
+
 @dataclass
 class Stage1:
     model: RandomForestRegressionModel
@@ -57,26 +74,34 @@ class Stage1:
     scores: DataFrame
     importances: DataFrame
     fake_simple: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back what is kept in memory; the frames then compute it anew."""
+        for df in self.held:
+            df.unpersist()
 
 
-def train(df: DataFrame, features: list[str], key: str, target: str = "kappa_actual", flag: str = "is_success", settings: Settings | None = None) -> Stage1:
+def train(df: DataFrame, features: list[str], target: str = "kappa_actual", flag: str = "is_success", settings: Settings | None = None) -> Stage1:
     """Cross-validate and fit on the successes, score all rows.  The same held-out
     predictions give every score, so ``folds + 1`` fits are enough."""
     settings = settings or Settings()
-    good = successes(df, flag)
-    oof = out_of_fold(good, features, target, key, settings).cache()
-    model = forest(settings, target).fit(assembled(good, features).withColumn(target, F.col(target).cast("double")))
-    scored = predict(model, df, features).join(oof.select(key, F.col("prediction").alias("__oof")), key, "left")
-    scored = scored.withColumn("kappa_predicted_oof", F.coalesce("__oof", "kappa_predicted")).drop("__oof")
-    return Stage1(model, scored, cv_report(oof, target, "prediction"), importances(model, features, df.sparkSession), spread_report(fake_simple(scored, target, flag), "kappa_predicted"))
+    base = assembled(with_row_key(df), features).withColumn(target, F.col(target).cast("double")).persist()
+    good = successes(base, flag)
+    oof = out_of_fold(good, target, ROW, settings)
+    model = forest(settings, target).fit(good)
+    scored = model.transform(base).withColumnRenamed("prediction", "kappa_predicted").drop("features").join(oof.select(ROW, F.col("prediction").alias("__oof")), ROW, "left")
+    scored = scored.withColumn("kappa_predicted_oof", F.coalesce("__oof", "kappa_predicted")).drop("__oof", ROW)
+    return Stage1(model, scored, cv_report(oof, target, "prediction"), importances(model, features, df.sparkSession), spread_report(fake_simple(scored, target, flag), "kappa_predicted"), [base, oof])
 
 
-def sensitivity(df: DataFrame, model: RandomForestRegressionModel, features: list[str], key: str, target: str = "kappa_actual", flag: str = "is_success", settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+def sensitivity(df: DataFrame, model: RandomForestRegressionModel, features: list[str], target: str = "kappa_actual", flag: str = "is_success", settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """Cross-validation on all rows, and the correlation of both models' predictions on the failures."""
     settings = settings or Settings()
-    oof = out_of_fold(df, features, target, key, settings)
-    full = forest(settings, target).fit(assembled(df, features).withColumn(target, F.col(target).cast("double")))
-    both = predict(full, predict(model, failures(df, flag), features, "by_successes"), features, "by_all")
+    base = assembled(with_row_key(df), features).withColumn(target, F.col(target).cast("double")).persist()
+    oof = out_of_fold(base, target, ROW, settings)
+    full = forest(settings, target).fit(base)
+    both = full.transform(model.transform(failures(base, flag)).withColumnRenamed("prediction", "by_successes")).withColumnRenamed("prediction", "by_all")
     return cv_report(oof, target, "prediction"), correlation(both, "by_successes", "by_all")
 
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows on which all the columns are numbers."""
-    for c in columns:
-        value = F.col(c).cast("double")
-        df = df.filter(value.isNotNull() & ~F.isnan(value))
-    return df
+    values = [F.col(c).cast("double") for c in columns]
+    return df.filter(reduce(lambda a, b: a & b, [v.isNotNull() & ~F.isnan(v) for v in values]))
 
 
 def means(df: DataFrame, columns: list[str]) -> dict[str, float]:
@@ -45,31 +45,41 @@ class Moments:
         return self.matrix[np.ix_(self.at(rows), self.at(columns))]
 
 
-def _sums(columns: list[str], mean: dict[str, float]) -> list[Column]:
-    terms = [F.lit(1.0), *[centred(c, mean) for c in columns]]
-    return [F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
+def outer_sums(df: DataFrame, terms: list[Column], weight: Column | None = None, cell: Column | None = None, cells: int = 1) -> np.ndarray:
+    """(cells, k, k): sums of the outer products of the terms, weighted if asked, for each cell.
 
+    Inputs are projected once; each task adds up its matrices and sends one row for each, which Spark sums.
+    """
+    k = len(terms)
+    rows = df.select((F.lit(0) if cell is None else cell).cast("int").alias("c"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"), *[t.cast("double").alias(f"t{i}") for i, t in enumerate(terms)])
 
-def _matrix(row, size: int) -> np.ndarray:
-    out = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i, size):
-            out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
-    return out
+    def run(batches):
+        total = np.zeros((cells, k, k))
+        for batch in batches:
+            c, w, *t = (np.asarray(batch.column(i)) for i in range(k + 2))
+            x = np.stack(t, axis=1)
+            for one in np.unique(c):
+                mine = slice(None) if cells == 1 else c == one
+                total[one] += x[mine].T @ (x[mine] * w[mine][:, None])
+        some = np.flatnonzero(total.any(axis=(1, 2)))
+        yield pa.record_batch({"c": pa.array(some, pa.int32()), "m": pa.array([m.ravel() for m in total[some]], pa.list_(pa.float64()))})
+
+    sums = rows.mapInArrow(run, "c int, m array<double>").select("c", F.posexplode("m").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v"))
+    out = np.zeros((cells, k * k))
+    for c, at, v in sums.collect():  # at most cells * k * k rows
+        out[c, at] = v
+    return out.reshape(cells, k, k)
 
 
 def gram(df: DataFrame, columns: list[str], mean: dict[str, float] | None = None) -> Moments:
     df = complete(df, columns)
     mean = mean or means(df, columns)
-    return Moments(columns, mean, _matrix(df.agg(*_sums(columns, mean)).first(), len(columns) + 1))
+    return Moments(columns, mean, outer_sums(df, [F.lit(1.0), *[centred(c, mean) for c in columns]])[0])
 
 
 def gram_by_cell(df: DataFrame, cell: Column, cells: int, columns: list[str], mean: dict[str, float]) -> list[Moments]:
-    """Moments for each cell 0 .. ``cells`` - 1; the shuffle carries one row per cell and task."""
-    out = [Moments(columns, mean, np.zeros((len(columns) + 1,) * 2)) for _ in range(cells)]
-    for row in df.withColumn("__cell", cell).groupBy("__cell").agg(*_sums(columns, mean)).collect():
-        out[row["__cell"]].matrix = _matrix(row, len(columns) + 1)
-    return out
+    """Moments for each cell 0 .. ``cells`` - 1."""
+    return [Moments(columns, mean, m) for m in outer_sums(df, [F.lit(1.0), *[centred(c, mean) for c in columns]], cell=cell, cells=cells)]
 
 
 def solve(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import chi2_tail, f_tail, normal_two_sided
-from .moments import Moments, centred, complete, gram, solve
+from .moments import Moments, centred, complete, gram, outer_sums, solve
 
 
 @dataclass
@@ -51,13 +51,7 @@ def linear(names: list[str], coef: np.ndarray, mean: dict[str, float]) -> Column
 
 def weighted_outer(df: DataFrame, weight: Column, terms: list[Column]) -> np.ndarray:
     """Sum of ``weight`` times the outer product of the terms."""
-    k = len(terms)
-    row = df.select(weight.alias("w"), *[t.alias(f"t{i}") for i, t in enumerate(terms)]).agg(*[F.sum(F.col("w") * F.col(f"t{i}") * F.col(f"t{j}")).alias(f"o{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            out[i, j] = out[j, i] = row[f"o{i}_{j}"] or 0.0
-    return out
+    return outer_sums(df, terms, weight)[0]
 
 
 def ols(df: DataFrame, y: str, x: list[str], robust: bool = False) -> Fit:

@@ -8,9 +8,15 @@ the correction, and nothing is fitted per row.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WORDS = re.compile(r"\w{2,}")
 TERM = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -30,12 +36,60 @@ def term_counts(df: DataFrame, key: str, text: str, to: str, longest: int = 3) -
     return df.select(F.col(key).alias(to), F.explode(ngrams(F.col(text), longest)).alias("term")).groupBy(to, "term").agg(F.count("*").alias("tf"))
 
 
+TERMS = 1_000_000  # terms of a corpus that is sent to the executors
+
+
+def against_small(instructions: DataFrame, terms: list, n: float, key: str, text: str, longest: int) -> DataFrame:
+    """:func:`max_similarity` against a corpus of a checked size: its postings are broadcast and each
+    text is scored whole where it is read, without a shuffle."""
+    at = {t: i for i, t in enumerate(sorted({r["term"] for r in terms}))}
+    term = np.array([at[r["term"]] for r in terms], np.int64)
+    order = np.argsort(term, kind="stable")
+    names = {b: i for i, b in enumerate(sorted({r["b"] for r in terms}))}
+    proxy = np.array([names[r["b"]] for r in terms], np.int64)[order]
+    tf = np.array([r["tf"] for r in terms], float)[order]
+    df = np.bincount(term, minlength=len(at))
+    first = np.concatenate(([0], np.cumsum(df)))
+    i0, i1, none = np.log(n / (1.0 + df)) + 1.0, np.log(n / (2.0 + df)) + 1.0, np.log(n / 2.0) + 1.0
+    norm_b = np.bincount(proxy, weights=(tf * i0[term[order]]) ** 2, minlength=len(names))
+    shared = instructions.sparkSession.sparkContext.broadcast((at, first, proxy, tf, i0, i1, norm_b))
+
+    def best(value: str | None) -> float:
+        at, first, proxy, tf, i0, i1, norm_b = shared.value
+        words = WORDS.findall((value or "").lower())
+        counts = Counter(words)
+        for size in range(2, longest + 1):
+            counts.update(map(" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+        known = [(at[t], c) for t, c in counts.items() if t in at]
+        if not known:
+            return 0.0
+        t, c = np.array(known, np.int64).T
+        own = float((c * i1[t]) ** 2 @ np.ones(len(t))) + none**2 * float(sum(x * x for x in counts.values()) - (c * c).sum())
+        size = first[t + 1] - first[t]
+        ends = np.cumsum(size)
+        spot = np.arange(ends[-1]) + np.repeat(first[t] - ends + size, size)
+        w1, w0 = np.repeat(i1[t] ** 2, size), np.repeat(i0[t] ** 2, size)
+        dot = np.bincount(proxy[spot], weights=np.repeat(c, size) * tf[spot] * w1, minlength=len(norm_b))
+        fix = np.bincount(proxy[spot], weights=tf[spot] ** 2 * (w1 - w0), minlength=len(norm_b))
+        return float((dot / np.sqrt(own * (norm_b + fix))).max())
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["k", "similarity"])
+
+    kind = instructions.schema[key].dataType.simpleString()
+    return instructions.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, similarity double").withColumnRenamed("k", key)
+
+
 def max_similarity(instructions: DataFrame, proxies: DataFrame, key: str, text: str, proxy_key: str, proxy_text: str, longest: int = 3) -> DataFrame:
     """``key, similarity`` for every instruction; 0 without tokens, without corpus or without a shared term."""
     p = proxies.count()
     n = p + 2.0  # corpus, instruction and one for smoothing
-    mine = term_counts(instructions, key, text, "a", longest)
     theirs = term_counts(proxies, proxy_key, proxy_text, "b", longest)
+    terms = theirs.limit(TERMS + 1).collect()
+    if len(terms) <= TERMS:
+        return against_small(instructions, terms, n, key, text, longest)
+    mine = term_counts(instructions, key, text, "a", longest)
     df = theirs.groupBy("term").agg(F.count("*").alias("df"))
     idf = lambda d: F.log(F.lit(n) / (1.0 + d)) + 1.0
     seen = mine.join(df, "term", "left").withColumn("i1", idf(F.coalesce("df", F.lit(0)) + 1.0))

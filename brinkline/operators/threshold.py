@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,43 +101,72 @@ def figure_threshold(df: DataFrame, y: str, kappa: str, controls: list[str], set
     return settings.fallback_gamma if n < 2 * settings.min_regime or found.gamma is None else found.gamma
 
 
-def draw_sign(key: Column, draw: Column) -> Column:
-    """+1 or -1 from a hash of key and draw number."""
-    return F.when(F.substring(F.md5(F.concat_ws("-", key.cast("string"), draw.cast("string"))), 1, 1).isin(*"01234567"), 1.0).otherwise(-1.0)
+BLOCK = 128  # draws that one hash of a row serves
+
+
+def sign_hashes(key: Column, draws: int) -> list[Column]:
+    """Hashes of 128 bits; bit ``j`` of hash ``i``, from the left, is the sign of draw ``BLOCK * i + j + 1`` (0 for +1)."""
+    return [F.unhex(F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(i))))).alias(f"h{i}") for i in range(-(-draws // BLOCK))]
 
 
 def wild_bootstrap(found: Search, key: Column, draws: int) -> list[tuple[int, float, float | None]]:
     """(draw, sup statistic, gamma) with residuals of the pooled model under random signs.
 
-    The design stays, so a draw needs only the sums of signed residuals per
-    cell: rows are expanded by draw and aggregated at once, before any shuffle.
+    ``key`` must tell rows apart, else equal ones move together.  The design
+    stays, so a draw needs only the sums of signed residuals per cell: each
+    task forms them for all draws at once, and only these sums are shuffled.
     """
-    if found.gamma is None:
+    if found.gamma is None or draws < 1:
         return []
     total, x, y = np.sum(found.cells, axis=0), found.x, len(found.controls) + 2
     b = solve(total[np.ix_(x, x)], total[x, y])
     terms = [F.lit(1.0), centred(found.kappa, found.mean), *[centred(c, found.mean) for c in found.controls]]
-    fitted = sum((F.lit(float(w)) * t for w, t in zip(b[1:], terms[1:], strict=True)), F.lit(float(b[0])))
-    rows = found.rows.select(key.alias("key"), cell_of(F.col(found.kappa).cast("double"), found.grid).alias("cell"), *[t.alias(f"x{i}") for i, t in enumerate(terms)], fitted.alias("f"), centred(found.y, found.mean).alias("y"))
-    rows = rows.withColumn("r", F.col("y") - F.col("f"))
-    k = len(terms)
-    still = {r["cell"]: r for r in rows.groupBy("cell").agg(F.sum(F.col("f") * F.col("f")).alias("ff"), F.sum(F.col("r") * F.col("r")).alias("rr"), *[F.sum(F.col("f") * F.col(f"x{i}")).alias(f"xf{i}") for i in range(k)]).collect()}
-    signed = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("s", draw_sign(F.col("key"), F.col("draw")) * F.col("r"))
-    moved = signed.groupBy("draw", "cell").agg(F.sum(F.col("s") * F.col("f")).alias("sf"), *[F.sum(F.col("s") * F.col(f"x{i}")).alias(f"sx{i}") for i in range(k)]).collect()
-    cells = {d: [c.copy() for c in found.cells] for d in range(1, draws + 1)}
-    for r in moved:
-        c, old = cells[r["draw"]][r["cell"]], still[r["cell"]]
-        c[y, y] = old["ff"] + 2 * r["sf"] + old["rr"]
-        for i in range(k):
-            c[i, y] = c[y, i] = old[f"xf{i}"] + r[f"sx{i}"]
+    k, cells = len(terms), len(found.grid) + 1
+    hashes = sign_hashes(key, draws)
+    blocks = len(hashes)
+    cell = cell_of(F.col(found.kappa).cast("double"), found.grid)
+    rows = found.rows.select(cell.cast("int").alias("c"), centred(found.y, found.mean).alias("y"), *[t.cast("double").alias(f"x{i}") for i, t in enumerate(terms)], *hashes)
+
+    def run(batches):
+        still, moved = np.zeros((cells, k + 2)), np.zeros((cells, draws, k + 1))
+        for batch in batches:
+            c, y_, *x_ = (np.asarray(batch.column(i)) for i in range(k + 2))
+            design = np.stack(x_, axis=1)
+            f = design @ b
+            r = y_ - f
+            raw = [np.frombuffer(b"".join(batch.column(k + 2 + i).to_pylist()), np.uint8).reshape(len(c), -1) for i in range(blocks)]
+            bits = np.unpackbits(np.concatenate(raw, axis=1), axis=1)[:, :draws] if len(c) else np.zeros((0, draws))
+            sign = (1.0 - 2.0 * bits) * r[:, None]
+            wide = np.concatenate((f[:, None], design), axis=1)
+            for one in np.unique(c):
+                mine = c == one
+                still[one] += [(f[mine] ** 2).sum(), (r[mine] ** 2).sum(), *(f[mine] @ design[mine])]
+                moved[one] += sign[mine].T @ wide[mine]
+        some = np.flatnonzero(still.any(axis=1))
+        yield pa.record_batch({"c": pa.array(some, pa.int32()), "m": pa.array([np.concatenate((still[i], moved[i].ravel())) for i in some], pa.list_(pa.float64()))})
+
+    sums = rows.mapInArrow(run, "c int, m array<double>").select("c", F.posexplode("m").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v")).toPandas()
+    flat = np.zeros((cells, k + 2 + draws * (k + 1)))
+    flat[sums["c"].to_numpy(int), sums["at"].to_numpy(int)] = sums["v"].to_numpy(float)
     out = []
-    for d, own in cells.items():
+    for d in range(draws):
+        own = [c.copy() for c in found.cells]
+        for i, c in enumerate(own):
+            ff, rr, *xf = flat[i, : k + 2]
+            sf, *sx = flat[i, k + 2 + d * (k + 1) : k + 2 + (d + 1) * (k + 1)]
+            c[y, y] = ff + 2 * sf + rr
+            c[:k, y] = c[y, :k] = np.add(xf, sx)
         gamma, sup = best(f_curve(own, x, y, found.min_regime), found.grid)
         if sup is not None:
-            out.append((d, sup, gamma))
+            out.append((d + 1, sup, gamma))
     return out
 
 
+def hash_part(hash_: Column, parts: int) -> Column:
+    """Part 0 .. ``parts`` - 1 in the order of a hexadecimal hash."""
+    return F.floor(F.conv(F.substring(hash_, 1, 7), 16, 10).cast("double") * parts / 16.0**7).cast("int")
+
+
 def ranked(df: DataFrame, group: list[str], hash_: str, rows: int) -> DataFrame:
     """Add ``rank`` (from 1) in the order of a hexadecimal hash within each group.
 
@@ -144,7 +174,7 @@ def ranked(df: DataFrame, group: list[str], hash_: str, rows: int) -> DataFrame:
     order, so no task ranks a whole group.
     """
     parts = max(1, -(-rows // GROUP))
-    df = df.withColumn("__part", F.floor(F.conv(F.substring(hash_, 1, 7), 16, 10).cast("double") * parts / 16.0**7).cast("int"))
+    df = df.withColumn("__part", hash_part(F.col(hash_), parts))
     sizes = df.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
     order = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0))).drop("__n")
@@ -153,27 +183,61 @@ def ranked(df: DataFrame, group: list[str], hash_: str, rows: int) -> DataFrame:
     return out.withColumn("rank", F.col("__before") + place).drop("__part", "__before")
 
 
+def steps(draw: int, n: int) -> tuple[int, int]:
+    """(factor, shift) of the permutation ``place -> (factor * place + shift) modulo n`` of a draw."""
+    a = (PRIMES[0] * draw) % n
+    while math.gcd(a, n) != 1:
+        a += 1
+    return a, (PRIMES[1] * draw) % n
+
+
+PRIMES = (1_000_003, 7_368_787)
+
+
 def placebo(found: Search, key: Column, draws: int) -> list[tuple[int, float, float]]:
-    """(draw, sup statistic, gamma) with the threshold variable permuted over the rows."""
+    """(draw, sup statistic, gamma) with the threshold variable permuted over the rows.
+
+    ``key`` must tell rows apart.  Rows are dealt into random parts of about
+    ``GROUP`` by a hash and put in its order there; each draw then permutes the
+    places of a part by arithmetic.  So a row is shuffled once, whatever the
+    number of draws, and only sums by cell leave a part.
+    """
+    if draws < 1:
+        return []
     n = int(sum(c[0, 0] for c in found.cells))
-    rows = found.rows.select(key.cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in (found.kappa, *found.controls, found.y)])
-    own = ranked(rows.withColumn("h", F.md5(F.concat_ws("-", "key", F.lit("0")))), [], "h", n).select("rank", F.col(found.kappa).alias("moved"))
-    mixed = rows.drop(found.kappa).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("h", F.md5(F.concat_ws("-", "key", F.col("draw").cast("string"))))
-    mixed = ranked(mixed, ["draw"], "h", n).join(own, "rank").withColumnRenamed("moved", found.kappa)
-    columns = [found.kappa, *found.controls, found.y]
-    terms = [F.lit(1.0), *[centred(c, found.mean) for c in columns]]
-    k = len(terms)
-    cell = cell_of(F.col(found.kappa), found.grid)
-    cells = {d: [np.zeros((k, k)) for _ in range(len(found.grid) + 1)] for d in range(1, draws + 1)}
-    for r in mixed.groupBy("draw", cell.alias("cell")).agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).collect():
-        for i in range(k):
-            for j in range(i, k):
-                cells[r["draw"]][r["cell"]][i, j] = cells[r["draw"]][r["cell"]][j, i] = r[f"s{i}_{j}"]
+    columns = [*found.controls, found.y]
+    k, cells, grid = len(columns) + 2, len(found.grid) + 1, np.array(found.grid)
+    rows = found.rows.select(F.md5(F.concat_ws("-", key.cast("string"), F.lit("0"))).alias("h"), F.col(found.kappa).cast("double").alias("k"), centred(found.kappa, found.mean).alias("x"), *[centred(c, found.mean).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = rows.withColumn("part", hash_part(F.col("h"), max(1, -(-n // GROUP))))
+    where = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def moved(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        kappa, x, *rest = (table[c].to_numpy() for c in ("k", "x", *[f"c{i}" for i in range(k - 2)]))
+        m = len(x)
+        cell_at = np.searchsorted(grid, kappa, side="left")
+        place = np.arange(m)
+        out = np.zeros((draws, cells, len(where)))
+        for d in range(draws):
+            a, shift = steps(d + 1, m)
+            here = (a * place + shift) % m
+            cell = cell_at[here]
+            terms = [np.ones(m), x[here], *rest]
+            for p, (i, j) in enumerate(where):
+                out[d, :, p] = np.bincount(cell, weights=terms[i] * terms[j], minlength=cells)
+        return pa.table({"d": pa.array(np.repeat(np.arange(draws), cells), pa.int32()), "c": pa.array(np.tile(np.arange(cells), draws), pa.int32()), "m": pa.array(list(out.reshape(-1, len(where))), pa.list_(pa.float64()))})
+
+    sums = rows.groupBy("part").applyInArrow(moved, "d int, c int, m array<double>").select("d", "c", F.posexplode("m").alias("at", "v")).groupBy("d", "c", "at").agg(F.sum("v").alias("v")).toPandas()
+    flat = np.zeros((draws, cells, len(where)))
+    flat[sums["d"].to_numpy(int), sums["c"].to_numpy(int), sums["at"].to_numpy(int)] = sums["v"].to_numpy(float)
+    full = np.zeros((draws, cells, k, k))
+    for p, (i, j) in enumerate(where):
+        full[:, :, i, j] = full[:, :, j, i] = flat[:, :, p]
     out = []
-    for d, c in cells.items():
-        gamma, sup = best(f_curve(c, found.x, k - 1, found.min_regime), found.grid)
+    for d in range(draws):
+        gamma, sup = best(f_curve(list(full[d]), found.x, k - 1, found.min_regime), found.grid)
         if sup is not None:
-            out.append((d, sup, gamma))
+            out.append((d + 1, sup, gamma))
     return out
 
 

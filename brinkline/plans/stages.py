@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FEATURES, Settings, present
+from ..config import Settings, present
 from ..operators import forest, regression, summary, threshold
 from ..sources import tasks
 
@@ -13,31 +13,33 @@ from ..sources import tasks
 def stage1(spark: SparkSession, source: str, model_path: str | None = None, settings: Settings | None = None) -> forest.Stage1:
     settings = settings or Settings()
     df = tasks.load_stage1(spark, source)
-    features = present(FEATURES, df.columns)
+    features = present(settings.instruments, df.columns)
     if not features:
         raise ValueError("no feature column is present")
-    out = forest.train(df, features, "id", settings=settings)
+    out = forest.train(df, features, settings=settings)
     if model_path:
         forest.save(out.model, model_path)
     return out
 
 
-def stage2(df: DataFrame, settings: Settings | None = None, key: str = "id", kappa: str = "kappa_predicted", summary_path: str | None = None) -> dict:
-    """The whole battery on a scored frame; ``kappa`` may name the out-of-fold column."""
+def stage2(df: DataFrame, settings: Settings | None = None, kappa: str = "kappa_predicted", summary_path: str | None = None) -> dict:
+    """The whole battery on a scored frame; ``kappa`` may name the out-of-fold column.  Resampling tells
+    rows apart by a key of their own, as ids may be missing or repeat."""
     settings = settings or Settings()
     controls, instruments = present(settings.controls, df.columns), present(settings.instruments, df.columns)
-    df = df.cache()
+    df = forest.with_row_key(df).persist()
     naive = regression.ols(df, "pass_rate", ["kappa_actual", *controls], robust=True)
     iv = regression.two_stage(df, "pass_rate", "kappa_actual", controls, instruments)
     h, h_p = regression.hausman(df, "pass_rate", "kappa_actual", controls, instruments)
     found = threshold.search(df, "pass_rate", kappa, controls, settings)
-    boot = threshold.wild_bootstrap(found, F.col(key), settings.bootstrap)
+    boot = threshold.wild_bootstrap(found, F.col(forest.ROW), settings.bootstrap)
     p = threshold.share_at_least(boot, found.sup)
-    fake = threshold.placebo(found, F.col(key), settings.placebo) if found.gamma is not None else []
+    fake = threshold.placebo(found, F.col(forest.ROW), settings.placebo) if found.gamma is not None else []
     facts = {
         "coefficient": iv.of("kappa_actual")[0] if iv else None, "coefficient_p": iv.table()[iv.names.index("kappa_actual")][3] if iv else None, "first_stage_f": iv.info["f"] if iv else None,
         "hausman": h, "hausman_p": h_p, "gamma": found.gamma, "bootstrap_p": p,
     }
+    df.unpersist()
     if summary_path:
         tasks.write_summary(df.sparkSession, facts, summary_path)
     return {"naive": naive, "iv": iv, "search": found, "bootstrap": boot, "placebo": fake, "comparison": threshold.compare(found, fake), "verdict": threshold.verdict(p), "facts": facts}

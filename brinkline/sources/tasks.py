@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def read_proxy(spark: SparkSession, path: str) -> DataFrame:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
         return spark.createDataFrame([], "id long, text string")
-    return spark.read.text(path).select(F.xxhash64("value", F.monotonically_increasing_id()).alias("id"), F.col("value").alias("text"))
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -75,8 +76,16 @@ def sample_lines(spark: SparkSession, path: str, n: int = 2000, seed: int = 42)
 
 
 def write_temporary(lines: DataFrame, folder: str | None = None) -> str:
-    """Write sampled lines to a new folder and return it."""
-    out = f"{folder or tempfile.mkdtemp(prefix='brinkline-')}/sample"
+    """Write sampled lines to a new place in a folder that driver and executors share, and return it.
+
+    Without ``folder`` that is the session's ``spark.checkpoint.dir``; only a
+    local session may have none, and then uses a temporary folder.
+    """
+    spark = lines.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    out = f"{folder or tempfile.mkdtemp(prefix='brinkline-')}/sample-{uuid.uuid4().hex}"
     lines.write.mode("overwrite").text(out)
     return out
 

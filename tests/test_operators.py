@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -96,13 +97,12 @@ def test_threshold_curve_and_bootstrap(spark):
     want = brute_curve(d, d[:, 3], TINY.grid, 30)
     assert found.curve == pytest.approx(want, rel=1e-8)
     assert abs(found.gamma - 6.5) <= 0.5 and len(TINY.grid) == 26 and TINY.grid[-1] == 14.5
-    draws = threshold.wild_bootstrap(found, F.col("id").cast("long"), 3)
+    draws = [x for x in threshold.wild_bootstrap(found, F.col("id").cast("long"), 130) if x[0] in (1, 2, 130)]
     x = np.stack([np.ones(900), d[:, 1], d[:, 2]], axis=1)
     b, _ = lstsq_rss(x, d[:, 3])
-    import hashlib
-
     for draw, sup, _ in draws:
-        s = np.array([1.0 if hashlib.md5(f"{int(i)}-{draw}".encode()).hexdigest()[0] in "01234567" else -1.0 for i in d[:, 0]])
+        block, bit = divmod(draw - 1, 128)
+        s = np.array([1.0 - 2 * (int(hashlib.md5(f"{int(i)}-{block}".encode()).hexdigest(), 16) >> (127 - bit) & 1) for i in d[:, 0]])
         y = x @ b + (d[:, 3] - x @ b) * s
         assert sup == pytest.approx(max(v for v in brute_curve(d, y, TINY.grid, 30) if v is not None), rel=1e-7)
     assert threshold.share_at_least(draws, found.sup) == 0.0 and threshold.verdict(0.0) == "significant at 1%"
@@ -113,6 +113,13 @@ def test_placebo_keeps_the_values(spark):
     found = threshold.search(frame(spark, d), "y", "k", ["c"], TINY)
     fake = threshold.placebo(found, F.col("id").cast("long"), 3)
     assert len(fake) == 3 and all(2 <= g < 15 and s > 0 for _, s, g in fake)
+    order = np.argsort([hashlib.md5(f"{int(i)}-0".encode()).hexdigest() for i in d[:, 0]])
+    for draw, sup, _ in fake:
+        a, shift = threshold.steps(draw, 400)
+        moved = d[order].copy()
+        moved[:, 1] = moved[(a * np.arange(400) + shift) % 400, 1]
+        assert sorted(moved[:, 1]) == sorted(d[:, 1]) and (moved[:, 1] != d[order, 1]).mean() > 0.9
+        assert sup == pytest.approx(max(v for v in brute_curve(moved, moved[:, 3], TINY.grid, 30) if v is not None), rel=1e-7)
     ranks = threshold.ranked(spark.range(1000).withColumn("h", F.md5(F.col("id").cast("string"))), [], "h", 400_000)
     got = ranks.orderBy("h").collect()
     assert [r["rank"] for r in got] == list(range(1, 1001))
@@ -139,6 +146,16 @@ def test_similarity(spark):
     assert best("", ["zzz yyy"]) == 0.0
 
 
+def test_similarity_to_a_large_corpus_is_the_same(spark, monkeypatch):
+    a = spark.createDataFrame([(1, "sort a list of integers Sort"), (2, None), (3, "nothing shared"), (4, "the list of the list of")], "i int, t string")
+    b = spark.createDataFrame([(1, "sort a list of strings"), (2, "reverse the list"), (3, None)], "j int, t string")
+    both = []
+    for limit in (0, 1000):
+        monkeypatch.setattr(similarity, "TERMS", limit)
+        both.append({r["i"]: r["similarity"] for r in similarity.max_similarity(a, b, "i", "t", "j", "t").collect()})
+    assert both[0] == pytest.approx(both[1]) and both[0][1] > 0
+
+
 def record(i, **more):
     words = "if loop class function list word " * (1 + i % 4) + "z " * (i % 11)
     return {"id": str(i), "input": words, "status": ["passed"] if i % 3 else ["failed", "pass"], "lang": "python", "code_cleaned": "x = 1", "kappa_cyclomatic": float(1 + i % 4), "e_norm": (i % 7) / 7} | more
@@ -171,8 +188,8 @@ def test_stages(spark, enriched, tmp_path):
     out = stages.stage1(spark, enriched, str(tmp_path / "model"), TINY)
     scored = out.scored
     assert scored.count() == 160 and scored.filter("kappa_predicted is null or kappa_predicted < 0 or kappa_predicted_oof is null").count() == 0
-    assert out.importances.count() == 10
-    again = forest.predict(forest.load(str(tmp_path / "model")), tasks.load_stage2(spark, enriched), list(FEATURES))
+    assert [r["feature"] for r in out.importances.collect() if r["feature"] in ("inst_conditional_count", "inst_collection_count")] == [] and out.importances.count() == 8
+    again = forest.predict(forest.load(str(tmp_path / "model")), tasks.load_stage2(spark, enriched), list(Settings().instruments))
     assert again.count() == 160
     result = stages.stage2(scored, TINY, summary_path=str(tmp_path / "summary"))
     assert result["naive"].n == 160 and set(result["facts"]) >= {"gamma", "hausman"}
@@ -182,6 +199,21 @@ def test_stages(spark, enriched, tmp_path):
     assert tasks.load_static_figures(spark, enriched).count() == tasks.load_interactive_figures(spark, enriched).count() == 160
 
 
+def test_rows_without_ids_stay_apart(spark):
+    """Missing and repeated ids neither multiply rows nor move together."""
+    g = np.random.default_rng(3)
+    rows = [("" if i % 2 else "same", float(i % 5), float(x), int(i % 3 > 0), 1.0) for i, x in enumerate(g.uniform(1, 9, 60))] + [("", 1.0, 2.0, 1, 1.0)] * 5
+    df = spark.createDataFrame(rows, "id string, f double, kappa_actual double, is_success int, pass_rate double")
+    out = forest.train(df, ["f"], settings=TINY)
+    got = out.scored.toPandas()
+    assert len(got) == 65 and got["kappa_predicted_oof"].notna().all() and list(out.scored.columns[:5]) == df.columns
+    out.release()
+    keys = [r[0] for r in forest.with_row_key(df).select(forest.ROW).collect()]
+    assert len(set(keys)) == 65
+    signs = forest.with_row_key(df).select(threshold.sign_hashes(F.col(forest.ROW), 1)[0]).distinct().count()
+    assert signs == 65
+
+
 def test_samples_and_folds(spark, enriched, tmp_path):
     lines = tasks.sample_lines(spark, enriched, 25)
     assert lines.count() == 25 and tasks.sample_lines(spark, enriched, 999).count() == 160
