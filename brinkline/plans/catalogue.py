@@ -69,23 +69,25 @@ def pass_rate_list(spark, sf_dir):
     return rows.select("conv_id", r6(rate).alias("pass_rate"), status.success(rate).alias("is_success"))
 
 
-STATUS_ROWS = [None, "[]", "pass", "passed", "not passed", "'pass'", "['pass','fail']", "('pass',)", '["pass", null]', '["fail", null]', " ['pass']", "1", "true", "['PASS', 'bypass', 3, 'x']"]
-STATUS_RATES = [None, 0.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.5]
-
-
 def pass_rate_string(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(STATUS_ROWS)), "id long, status string")
-    return rows.select("id", status.string_pass_rate("status").alias("pass_rate"))
+    """Status strings of three kinds made from parts: a literal list, text that is no literal, none."""
+    words = lambda word, n: F.array_repeat(F.lit(word), (F.col("p_size") % n).cast("int"))
+    listed = F.concat(F.lit("["), F.array_join(F.concat(words("'Pass'", 4), words("'fail'", 3)), ", "), F.lit("]"))
+    loose = F.concat(F.when(F.col("p_size") % 2 == 1, "PASSED ").otherwise("no "), F.col("p_name"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, listed).when(F.col("p_partkey") % 3 == 1, loose)
+    return read(spark, sf_dir, "part").select("p_partkey", r6(status.string_pass_rate(kind)).alias("pass_rate"))
 
 
 def json_flatten(spark, sf_dir):
-    record = F.parse_json("props")
-    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(record, "$.k", "long").alias("k"))
+    records = read(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("record"))
+    return records.select("event_id", tasks.field(F.col("record"), "k", "long", 0).alias("k"))
 
 
 def defaults_fill(spark, sf_dir):
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return docs.select("doc_id", "lang").join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(1)).alias("kappa"), F.coalesce("toxic", F.lit(0)).alias("is_success"), F.coalesce("lang", F.lit("unknown")).alias("lang"))
+    """Records without some keys, flattened as every load does."""
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    member = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("quality").alias("kappa_cyclomatic"), F.col("toxic").alias("is_success"), "lang")
+    return tasks.flat(rows.select(F.parse_json(F.to_json(member)).alias("record"))).select("id", "kappa_actual", "is_success", "lang", "e_norm", "coupling_depth", "pass_rate")
 
 
 def success_split(spark, sf_dir):
@@ -187,8 +189,20 @@ def ols_simple(spark, sf_dir):
     return spark.createDataFrame([(round(float(fit.coef[0]), 4), round(float(fit.coef[1]), 6), round(fit.r2, 6), int(fit.n))], "intercept double, slope double, r2 double, n long")
 
 
+def _coefficients(spark, fit) -> DataFrame:
+    return spark.createDataFrame([(n, round(b, 4), round(se, 4), round(b / se, 4)) for n, b, se, _ in fit.table()], "name string, coef double, se double, t double")
+
+
 def ols_multi_hc1(spark, sf_dir):
-    return regression.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], robust=True).frame(spark)
+    return _coefficients(spark, regression.ols(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], robust=True))
+
+
+def joint_nulls(spark, sf_dir):
+    """Rows that lack any of the columns count for nothing."""
+    price = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
+    rate = F.when(F.col("l_linenumber") == 5, float("nan")).otherwise(F.col("l_discount"))
+    fit = regression.ols(read(spark, sf_dir, "lineitem").select(price.alias("y"), rate.alias("x")), "y", ["x"])
+    return spark.createDataFrame([(round(float(fit.coef[1]), 4), int(fit.n))], "slope double, n long")
 
 
 def iv_single(spark, sf_dir):
@@ -203,19 +217,22 @@ def _lines(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("z1"), (F.col("l_partkey") % 7).cast("double").alias("z2"), (F.col("l_quantity") + F.col("l_partkey") % 7).alias("z3"), F.col("l_discount"), F.col("l_tax"), (F.col("l_quantity") + 20 * noise).alias("kappa"), (F.col("l_extendedprice") / 1000 + 30 * noise).alias("y"))
 
 
+CONTROLS, INSTRUMENTS = ["l_discount", "l_tax"], ["z1", "z2", "z3"]
+
+
 def iv_2sls(spark, sf_dir):
-    return regression.two_stage(_lines(spark, sf_dir), "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"]).frame(spark)
+    return _coefficients(spark, regression.two_stage(_lines(spark, sf_dir), "y", "kappa", CONTROLS, INSTRUMENTS))
 
 
 def first_stage(spark, sf_dir):
-    fit = regression.two_stage(_lines(spark, sf_dir), "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"])
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in fit.info.items()), "name string, value double")
+    info = regression.two_stage(_lines(spark, sf_dir), "y", "kappa", CONTROLS, INSTRUMENTS).info
+    return spark.createDataFrame([(k, round(float(info[k]), 4)) for k in ("f", "wald", "partial_r2", "rank", "q", "strong")], "name string, value double")
 
 
 def hausman(spark, sf_dir):
     rows = _lines(spark, sf_dir)
-    out = [(name, *regression.hausman(rows, "y", "kappa", ["l_discount", "l_tax"], ["z1", "z2", "z3"], corrected=c)) for name, c in (("fitted", False), ("corrected", True))]
-    return spark.createDataFrame(out, "variant string, h double, p double")
+    out = [(name, regression.hausman(rows, "y", "kappa", CONTROLS, INSTRUMENTS, corrected=c)[0]) for name, c in (("fitted", False), ("corrected", True))]
+    return spark.createDataFrame([(n, None if h is None else round(float(h), 4)) for n, h in out], "variant string, h double")
 
 
 # --- threshold -----------------------------------------------------------
@@ -260,10 +277,16 @@ def placebo(spark, sf_dir):
 
 def resampling_report(spark, sf_dir):
     found = threshold.search(_orders(spark, sf_dir), "y", "kappa", [])
-    boot = threshold.wild_bootstrap(found, F.col("key"), 20)
-    p = threshold.share_at_least(boot, found.sup)
+    p = threshold.share_at_least(threshold.wild_bootstrap(found, F.col("key"), 20), found.sup)
     fake = threshold.compare(found, threshold.placebo(found, F.col("key"), 20))
-    return spark.createDataFrame([(found.gamma, found.sup, p, threshold.verdict(p), fake["z"], fake["p"], fake["verdict"])], "gamma double, sup_f double, p double, significance string, z double, placebo_p double, verdict string")
+    return spark.createDataFrame([(found.gamma, round(found.sup, 6), p, threshold.verdict(p), round(fake["z"], 6), fake["p"], fake["verdict"])], "gamma double, sup_f double, p double, significance string, z double, placebo_p double, verdict string")
+
+
+def resampling_500(spark, sf_dir):
+    """Both resamplings with all their draws: their number and their means."""
+    found = threshold.search(_orders(spark, sf_dir), "y", "kappa", [])
+    rows = [("bootstrap", threshold.wild_bootstrap(found, F.col("key"), Settings().bootstrap)), ("placebo", threshold.placebo(found, F.col("key"), Settings().placebo))]
+    return spark.createDataFrame([(name, len(draws), round(sum(s for _, s, _ in draws) / len(draws), 6)) for name, draws in rows], "kind string, n long, mean_sup double")
 
 
 def draw_report(spark, sf_dir):
@@ -288,7 +311,8 @@ def cv_metrics(spark, sf_dir):
 
 
 def _forest_rows(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", text.instruction_features(F.col("text"), FIXTURE_LEXICON).alias("f"), "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    rows = rows.select("doc_id", "n_chars", "quality", text.instruction_features(F.col("text"), FIXTURE_LEXICON).alias("f"))
     return rows.select(F.col("doc_id").alias("id"), "f.*", F.log(F.col("n_chars") + 1.0).alias("kappa_actual"), F.col("quality").alias("is_success"))
 
 
@@ -297,19 +321,29 @@ FOREST_FEATURES = ["inst_tokens", "inst_if_count", "inst_loop_count", "inst_avg_
 
 
 def forest_oof(spark, sf_dir):
-    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, "id", settings=SMALL)
-    return out.scored.select("id", "kappa_predicted", "kappa_predicted_oof")
+    """Each row once: its predictions lie in the range of the successes' outcomes (a forest averages
+    them), and a failure's held-out prediction is that of the one model."""
+    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=SMALL)
+    low, high = summary.successes(out.scored).agg(F.min("kappa_actual"), F.max("kappa_actual")).first()
+    inside = lambda c: F.col(c).between(low, high)
+    same = F.col("kappa_predicted") == F.col("kappa_predicted_oof")
+    return out.scored.select("id", inside("kappa_predicted").alias("in_range"), inside("kappa_predicted_oof").alias("oof_in_range"), F.when(F.col("is_success") == 0, same).alias("failure_keeps_model"))
 
 
 def forest_importance(spark, sf_dir):
-    return forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, "id", settings=SMALL).importances
+    """The features, and what their importances add up to."""
+    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=SMALL).importances
+    total = out.agg(r6(F.sum("importance")).alias("total"), F.min(F.col("importance") >= 0).alias("none_negative"))
+    return out.select("feature").crossJoin(total)  # one row
 
 
 def forest_sensitivity(spark, sf_dir):
+    """Scores of the folds over all rows in their order, and a correlation that is one."""
     rows = _forest_rows(spark, sf_dir)
-    model = forest.train(rows, FOREST_FEATURES, "id", settings=SMALL).model
-    scores, corr = forest.sensitivity(rows, model, FOREST_FEATURES, "id", settings=SMALL)
-    return scores.crossJoin(corr)  # one row each
+    model = forest.train(rows, FOREST_FEATURES, settings=SMALL).model
+    scores, corr = forest.sensitivity(rows, model, FOREST_FEATURES, settings=SMALL)
+    both = scores.crossJoin(corr)  # one row each
+    return both.select(F.expr("min_r2 <= mean_r2 and mean_r2 <= max_r2 and max_r2 <= 1").alias("ordered"), F.expr("mean_mae > 0 and oof_r2 <= 1").alias("bounded"), F.expr("corr between -1 and 1").alias("correlation"))
 
 
 def tfidf_max_cosine(spark, sf_dir):
@@ -317,27 +351,43 @@ def tfidf_max_cosine(spark, sf_dir):
     return rounded(out, "similarity")
 
 
-SNIPPETS = [
-    ("python", "def f(x):\n    if x:\n        return 1\n    elif x > 2:\n        return 2\n    for i in x:\n        pass\n"),
-    ("python", "class A:\n    def g(self):\n        try:\n            with x as y:\n                return a and b or c\n        except E:\n            return [i for i in z if i]\n"),
-    ("python", "def broken(:\n    if x\n"),
-    ("python", ""),
-    ("java", "class A {}"),
-]
+def ast_metrics(spark, sf_dir):
+    """Python made from the size of parts: functions, classes and branches one after another."""
+    many = lambda code, n: F.repeat(F.lit(code), (F.col("p_size") % n).cast("int"))
+    code = F.concat(many("def f():\n    return 1\n", 3), many("class A:\n    pass\n", 2), many("if a and b:\n    x = [i for i in y]\n", 5))
+    lang = F.when(F.col("p_partkey") % 4 == 0, "java").otherwise("python")
+    rows = read(spark, sf_dir, "part").select("p_partkey", code_metrics.gated_code_metrics(code, lang).alias("g"), code_metrics.code_metrics(code).alias("m"))
+    return whole(rows.select("p_partkey", F.col("g.ast_cyclomatic").alias("gated"), "m.ast_cyclomatic", "m.ast_nesting_depth", "m.ast_function_count", "m.ast_class_count"), "gated", "ast_cyclomatic", "ast_nesting_depth", "ast_function_count", "ast_class_count")
 
 
-def ast_metrics(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SNIPPETS)], "id long, lang string, code string")
-    return rows.select("id", code_metrics.gated_code_metrics(F.col("code"), F.col("lang")).alias("gated"), code_metrics.code_metrics(F.col("code")).alias("plain"))
+def _records(spark, sf_dir) -> DataFrame:
+    """Scored records, one for each conversation: all its turns, "user" turns as passed checks, a
+    line of code for each turn, and members that only some records have."""
+    turns = read(spark, sf_dir, "conversations")
+    role = F.when(F.col("role") == "user", "PASSED").otherwise(F.col("role"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.collect_list(role).alias("status"), F.count("*").alias("n"))
+    some = lambda at, value: F.when(F.col("conv_id") % at != 0, value)  # noqa: E731  a null member is left out
+    member = F.struct(
+        F.col("conv_id").cast("string").alias("id"), F.array_join("t.text", " ").alias("input"), some(7, F.col("status")).alias("status"), some(2, F.lit("python")).alias("lang"),
+        F.repeat(F.lit("x = 1 if y else 2\n"), F.col("n").cast("int")).alias("code_cleaned"), some(3, F.col("n").cast("double")).alias("kappa_cyclomatic"), some(5, F.col("n") / 8).alias("e_norm"), F.lit(3).alias("extra"),
+    )
+    return rows.select(F.parse_json(F.to_json(member)).alias("record"))
 
 
 def enrich_records(spark, sf_dir):
-    """The whole extractor over records made from conversations."""
-    turns = read(spark, sf_dir, "conversations")
-    rows = turns.groupBy("conv_id").agg(F.collect_list("role").alias("status"), F.min("text").alias("input"))
-    records = rows.select(F.parse_json(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "input", "status", F.lit("python").alias("lang"), F.lit("x = 1 if y else 2").alias("code_cleaned"), F.lit(3).alias("extra")))).alias("record"))
-    out = enrich(records)
-    return out.select(F.variant_get("record", "$.id", "string").alias("id"), "pass_rate", "is_success", F.col("iv_features.inst_tokens").alias("inst_tokens"), F.col("ast_features.ast_cyclomatic").alias("ast_cyclomatic"), "json")
+    """The whole extractor; members are read back from the objects that it writes."""
+    out = enrich(_records(spark, sf_dir)).select(F.parse_json("json").alias("j"))
+    get = lambda path, kind: F.try_variant_get("j", f"$.{path}", kind).alias(path.split(".")[-1])
+    return out.select(get("id", "string"), r6(get("pass_rate", "double")).alias("pass_rate"), get("is_success", "long"), get("iv_features.inst_tokens", "long"), get("iv_features.inst_class_count", "long"), get("iv_features.inst_collection_count", "long"), get("ast_features.ast_cyclomatic", "long"), get("kappa_cyclomatic", "double"), get("e_norm", "double"), get("coupling_depth", "long"), get("extra", "long"))
+
+
+def load_records(spark, sf_dir):
+    """Enriched lines written, read and flattened by the loads of both stages and of the figures."""
+    path = tasks.write_temporary(enrich(_records(spark, sf_dir)).select(F.col("json").alias("value")))
+    one = tasks.load_stage1(spark, path).select("id", "inst_tokens", "inst_collection_count", "kappa_actual", "is_success", "lang", "e_norm", "m_mem_jaccard", "coupling_depth", r6("pass_rate").alias("pass_rate"))
+    two = tasks.load_interactive_figures(spark, path).select("id", r6("pass_rate").alias("figure_rate"))
+    three = tasks.load_static_figures(spark, path).select("id", F.col("e_norm").alias("figure_e"))
+    return whole(one.join(two, "id").join(three, "id"), "inst_tokens", "inst_collection_count", "is_success", "coupling_depth")
 
 
 WORDS = "[^\\p{L}\\p{N}_]+"
@@ -399,10 +449,22 @@ c AS (SELECT {by}gamma, CASE WHEN nl >= 100 AND nh >= 100 THEN ((s - sl - sh) /
 
 
 ORDERS = "SELECT o_orderkey AS key, o_orderkey % 17 + 0.25::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders"
-BOOT = f"""WITH o AS ({ORDERS}), b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM o)
-  SELECT iter, x, b0 + b1 * x + (y - b0 - b1 * x) * CASE WHEN substr(md5(key::VARCHAR || '-' || iter::VARCHAR), 1, 1) IN ('0','1','2','3','4','5','6','7') THEN 1 ELSE -1 END AS y FROM o, b, range(1, 6) i(iter)"""
-PLACEBO = f"""WITH o AS ({ORDERS}), p AS (SELECT x AS moved, row_number() OVER (ORDER BY md5(key::VARCHAR || '-0')) AS k FROM o),
-  d AS (SELECT iter, y, row_number() OVER (PARTITION BY iter ORDER BY md5(key::VARCHAR || '-' || iter::VARCHAR)) AS k FROM o, range(1, 6) i(iter)) SELECT iter, moved AS x, y FROM d JOIN p USING (k)"""
+
+
+def _boot_sql(draws: int) -> str:
+    digit = f"('0x' || substr(md5(key::VARCHAR || '-' || ((iter - 1) // {threshold.BLOCK})::VARCHAR), (1 + ((iter - 1) % {threshold.BLOCK}) // 4)::INT, 1))::UBIGINT::INT"
+    return f"""WITH o AS ({ORDERS}), b AS (SELECT regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM o)
+  SELECT iter, x, b0 + b1 * x + (y - b0 - b1 * x) * CASE WHEN ({digit} >> (3 - (iter - 1) % 4)::INT) & 1 = 0 THEN 1 ELSE -1 END AS y FROM o, b, range(1, {draws + 1}) i(iter)"""
+
+
+def _placebo_sql(draws: int) -> str:
+    return f"""WITH o AS ({ORDERS}), h AS (SELECT *, md5(key::VARCHAR || '-0') AS h, ceil((SELECT count(*) FROM o) / {threshold.GROUP}.0)::DOUBLE AS parts FROM o),
+  p AS (SELECT *, floor(('0x' || substr(h, 1, 7))::UBIGINT::DOUBLE * parts / 268435456.0)::BIGINT AS part FROM h),
+  r AS MATERIALIZED (SELECT x, y, part, row_number() OVER (PARTITION BY part ORDER BY h) - 1 AS place, count(*) OVER (PARTITION BY part) AS m FROM p),
+  s AS MATERIALIZED (SELECT part, iter, min(({threshold.PRIMES[0]} * iter) % m + j) AS a, min(({threshold.PRIMES[1]} * iter) % m) AS shift FROM (SELECT DISTINCT part, m FROM r), range(1, {draws + 1}) i(iter), range(300) t(j) WHERE gcd(({threshold.PRIMES[0]} * iter) % m + j, m) = 1 GROUP BY part, iter)
+  SELECT iter, q.x AS x, r.y AS y FROM r JOIN s USING (part) JOIN r q ON q.part = r.part AND q.place = (s.a * r.place + s.shift) % r.m"""
+
+
 SUP = "SELECT iter::INT AS iter, round(max(f), 6) AS sup_f, arg_max(gamma, round(f, 9) - gamma * 1e-12) AS gamma FROM c WHERE f IS NOT NULL GROUP BY iter"
 FOLDS = "SELECT *, (row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '-42')) - 1) % 10 AS fold FROM orders"
 
@@ -420,6 +482,129 @@ d AS (SELECT s.id AS a, t.id AS b, sum(s.tf * t.tf * i1 ** 2) AS dot, sum(t.tf *
 m AS (SELECT a, max(dot / sqrt(na * (nb + fix))) AS s FROM d JOIN na ON na.id = a JOIN nb ON nb.id = b GROUP BY a)
 SELECT doc_id, round(coalesce(s, 0), 6) AS similarity FROM documents LEFT JOIN m ON a = doc_id"""
 
+def _drop(rows: str, k: int, last: int, by: str) -> str:
+    """Eliminates columns 0 .. ``k`` - 1 of the symmetric matrices ``a_i_j`` of a table, one a step;
+    what is left of the others is what the eliminated ones do not explain."""
+    out = rows
+    for p in range(k):
+        left = [f"a_{i}_{j} - a_{p}_{i} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}" for i in range(p + 1, last + 1) for j in range(i, last + 1)]
+        out = f"SELECT {by}{', '.join(left)} FROM ({out})"
+    return out
+
+
+def _gram_sql(columns: list[str], where: str = "true", name: str = "a") -> str:
+    return ", ".join(f"sum({x} * {y}) FILTER ({where}) AS {name}_{i}_{j}" for i, x in enumerate(columns) for j, y in enumerate(columns) if j >= i)
+
+
+def _inverse_sql(source: str, k: int, keep: str) -> str:
+    """``v_i_j``: the inverses of the symmetric k x k matrices ``a_i_j``, by Gauss-Jordan steps."""
+    at = lambda i, j: f"a_{min(i, j)}_{max(i, j)}"
+    out = f"SELECT {keep}{', '.join([f'{at(i, j)} AS m_{i}_{j}' for i in range(k) for j in range(k)] + [f'{float(i == j)}::DOUBLE AS v_{i}_{j}' for i in range(k) for j in range(k)])} FROM ({source})"
+    for p in range(k):
+        rows = [f"{c}_{i}_{j} - m_{i}_{p} * {c}_{p}_{j} / m_{p}_{p} AS {c}_{i}_{j}" if i != p else f"{c}_{p}_{j} / m_{p}_{p} AS {c}_{p}_{j}" for c in "mv" for i in range(k) for j in range(k)]
+        out = f"SELECT {keep}{', '.join(rows)} FROM ({out})"
+    return out
+
+
+def _total(parts) -> str:
+    return "(" + " + ".join(parts) + ")"
+
+
+def _sandwich(k: int, i: int) -> str:
+    s = lambda p, q: f"s_{min(p, q)}_{max(p, q)}"
+    return _total(f"v_{i}_{p} * {s(p, q)} * v_{q}_{i}" for p in range(k) for q in range(k))
+
+
+def _table_sql(names: list[str], scale: str) -> str:
+    k = len(names)
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, round(b_{i}, 4) AS coef, round(sqrt({scale} * {_sandwich(k, i)}), 4) AS se, round(b_{i} / sqrt({scale} * {_sandwich(k, i)}), 4) AS t FROM f" for i, n in enumerate(names))
+
+
+def _ols_sql(source: str, x: list[str], y: str, names: list[str]) -> str:
+    k = len(x)
+    keep = "n, " + ", ".join(f"y_{i}" for i in range(k)) + ", "
+    b = ", ".join(f"{_total(f'v_{i}_{j} * y_{j}' for j in range(k))} AS b_{i}" for i in range(k))
+    e = f"({y} - {_total(f'b_{i} * {c}' for i, c in enumerate(x))})"
+    return f"""WITH t AS ({source}), g AS (SELECT count(*) AS n, {', '.join(f'sum({c} * {y}) AS y_{i}' for i, c in enumerate(x))}, {_gram_sql(x)} FROM t),
+i AS MATERIALIZED (SELECT *, {b} FROM ({_inverse_sql('SELECT * FROM g', k, keep)})),
+m AS (SELECT {', '.join(f'sum({e} ** 2 * {p} * {q}) AS s_{i}_{j}' for i, p in enumerate(x) for j, q in enumerate(x) if j >= i)} FROM t, i), f AS MATERIALIZED (SELECT * FROM i, m)
+{_table_sql(names, f'(n / (n - {k}))')}"""
+
+
+LINES = """SELECT 1.0::DOUBLE AS one, l_discount AS w1, l_tax AS w2, l_quantity AS z1, (l_partkey % 7)::DOUBLE AS z2, l_quantity + 20 * e AS k, l_extendedprice / 1000 + 30 * e AS y
+FROM (SELECT *, ('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS e FROM lineitem)"""
+
+
+def _iv_sql() -> str:
+    """CTEs of two-stage least squares without the third, collinear instrument: ``z`` has the inverse of
+    Z'Z and cross sums, ``h`` the first-stage coefficients ``p_z_x`` and ``b``, ``f`` the middle of the sandwich."""
+    z, x = ["one", "w1", "w2", "z1", "z2"], ["one", "w1", "w2", "k"]
+    cross = [f"sum({c} * {d}) AS c_{i}_{j}" for i, c in enumerate(z) for j, d in enumerate(x)] + [f"sum({c} * y) AS y_{i}" for i, c in enumerate(z)]
+    names = [f"c_{i}_{j}" for i in range(5) for j in range(4)] + [f"y_{i}" for i in range(5)]
+    keep = "n, kk, yy, " + ", ".join(names) + ", "
+    pi = [f"{_total(f'v_{i}_{p} * c_{p}_{j}' for p in range(5))} AS p_{i}_{j}" for i in range(5) for j in range(4)]
+    hat = [f"{_total(f'c_{p}_{i} * p_{p}_{j}' for p in range(5))} AS a_{i}_{j}" for i in range(4) for j in range(i, 4)] + [f"{_total(f'p_{p}_{i} * y_{p}' for p in range(5))} AS r_{i}" for i in range(4)]
+    keep2 = "n, yy, " + ", ".join(f"p_{i}_{j}" for i in range(5) for j in range(4)) + ", " + ", ".join(f"r_{i}" for i in range(4)) + ", "
+    b = ", ".join(f"{_total(f'v_{i}_{j} * r_{j}' for j in range(4))} AS b_{i}" for i in range(4))
+    e = f"(y - {_total(f'b_{i} * {c}' for i, c in enumerate(x))})"
+    fitted = [_total(f"p_{p}_{i} * {c}" for p, c in enumerate(z)) for i in range(4)]
+    return f"""t AS MATERIALIZED ({LINES}), g AS (SELECT count(*) AS n, sum(k * k) AS kk, sum(y * y) AS yy, {', '.join(cross)}, {_gram_sql(z)} FROM t),
+z AS MATERIALIZED (SELECT *, {', '.join(pi)} FROM ({_inverse_sql('SELECT * FROM g', 5, keep)})),
+h AS MATERIALIZED (SELECT *, {b} FROM ({_inverse_sql(f'SELECT *, {", ".join(hat)} FROM z', 4, keep2)})),
+m AS (SELECT sum({e} ** 2) AS rss, {', '.join(f'sum({e} ** 2 * {fitted[i]} * {fitted[j]}) AS s_{i}_{j}' for i in range(4) for j in range(i, 4))} FROM t, h), f AS MATERIALIZED (SELECT * FROM h, m)"""
+
+
+def _first_stage_sql() -> str:
+    z = ["one", "w1", "w2", "z1", "z2"]
+    u = f"(k - {_total(f'p_{i}_3 * {c}' for i, c in enumerate(z))})"
+    s = lambda p, q: f"s_{min(p, q)}_{max(p, q)}"
+    v = {(i, j): _total(f"v_{i}_{p} * {s(p, q)} * v_{q}_{j}" for p in range(5) for q in range(5)) for i in (3, 4) for j in (3, 4)}
+    return f"""WITH {_iv_sql()}, short AS ({_drop('SELECT ' + _gram_sql(['one', 'w1', 'w2', 'k']) + ' FROM t', 3, 3, '')}),
+u AS (SELECT sum({u} ** 2) AS rss1, {', '.join(f'sum({u} ** 2 * {z[i]} * {z[j]}) AS s_{i}_{j}' for i in range(5) for j in range(i, 5))} FROM t, z),
+w AS (SELECT n, rss1, a_3_3 AS rss0, p_3_3 AS p3, p_4_3 AS p4, {v[3, 3]} AS v33, {v[3, 4]} AS v34, {v[4, 4]} AS v44 FROM z, u, short),
+r AS (SELECT (rss0 - rss1) / 2 / (rss1 / (n - 5)) AS f, (p3 * p3 * v44 - 2 * p3 * p4 * v34 + p4 * p4 * v33) / (v33 * v44 - v34 * v34) AS wald, (rss0 - rss1) / rss0 AS partial_r2 FROM w)
+SELECT 'f' AS name, round(f, 4) AS value FROM r UNION ALL SELECT 'wald', round(wald, 4) FROM r UNION ALL SELECT 'partial_r2', round(partial_r2, 4) FROM r
+UNION ALL SELECT 'rank', 5.0 UNION ALL SELECT 'q', 2.0 UNION ALL SELECT 'strong', (f > 10)::INT::DOUBLE FROM r"""
+
+
+def _hausman_sql() -> str:
+    x = ["one", "w1", "w2", "k"]
+    keep = ", ".join(f"y_{i}" for i in range(4)) + ", n, yy, "
+    own = f"SELECT count(*) AS n, sum(y * y) AS yy, {', '.join(f'sum({c} * y) AS y_{i}' for i, c in enumerate(x))}, {_gram_sql(x)} FROM t"
+    b = lambda i: _total(f"v_{i}_{j} * y_{j}" for j in range(4))
+    return f"""WITH {_iv_sql()}, o AS (SELECT {b(3)} AS b1, v_3_3 * (yy - {_total(f'{b(i)} * y_{i}' for i in range(4))}) / (n - 4) AS v1 FROM ({_inverse_sql(own, 4, keep)})),
+d AS (SELECT 'fitted' AS variant, yy - {_total(f'b_{i} * r_{i}' for i in range(4))} AS rss2 FROM f UNION ALL SELECT 'corrected', rss FROM f)
+SELECT variant, CASE WHEN v_3_3 * rss2 / (n - 4) > v1 THEN round((b_3 - b1) ** 2 / (v_3_3 * rss2 / (n - 4) - v1), 4) END AS h FROM d, f, o"""
+
+
+def _wide_curve_sql(x: str, controls: list[str], y: str, table: str) -> str:
+    """F statistic per grid point with controls: what elimination leaves of y'y is the residual sum."""
+    columns = ["one", x, *controls, y]
+    k = len(columns) - 1
+    side = lambda where, name: f"SELECT gamma, '{name}' AS side, count(*) FILTER ({where}) AS n, {_gram_sql(columns, where)} FROM (SELECT *, 1.0::DOUBLE AS one FROM {table}), g GROUP BY gamma"
+    every = " UNION ALL ".join(side(w, n) for w, n in (("true", "all"), (f"{x} <= gamma", "low"), (f"{x} > gamma", "high")))
+    return f"""WITH g AS (SELECT (2.0 + 0.5 * i)::DOUBLE AS gamma FROM range(26) r(i)), e AS ({_drop(every, k, k, 'gamma, side, n, ')}),
+c AS (SELECT gamma, max(n) FILTER (side = 'all') AS n, min(n) AS least, max(a_{k}_{k}) FILTER (side = 'all') AS s, sum(a_{k}_{k}) FILTER (side <> 'all') AS parts FROM e GROUP BY gamma),
+f AS (SELECT gamma, CASE WHEN least >= 100 THEN ((s - parts) / {k}) / (parts / (n - {2 * k})) END AS f FROM c)"""
+
+
+def _resampling_sql() -> str:
+    best = f"({_curve_sql(ORDERS, 'y', 'x')} SELECT gamma, f FROM c WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1)"
+    draws = lambda source: f"({_curve_sql(source, 'y', 'x', 'iter')} SELECT iter, max(f) AS f, arg_max(gamma, round(f, 9) - gamma * 1e-12) AS gamma FROM c WHERE f IS NOT NULL GROUP BY iter)"
+    words = "CASE WHEN p < 0.01 THEN 'significant at 1%' WHEN p < 0.05 THEN 'significant at 5%' WHEN p < 0.1 THEN 'significant at 10%' ELSE 'not significant' END"
+    return f"""WITH best AS {best}, boot AS (SELECT avg((d.f >= best.f)::INT) AS p FROM {draws(_boot_sql(20))} d, best),
+fake AS (SELECT avg(d.gamma) AS m, stddev_pop(d.gamma) AS sd, avg((d.f >= best.f)::INT) AS q FROM {draws(_placebo_sql(20))} d, best)
+SELECT gamma, round(f, 6) AS sup_f, p, {words} AS significance, round((gamma - m) / sd, 6) AS z, q AS placebo_p, CASE WHEN q < 0.05 THEN 'real' ELSE 'may be spurious' END AS verdict FROM best, boot, fake"""
+
+
+CODE = "p_size % 3 + p_size % 2 + p_size % 5"
+TALKS = "SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS input, avg((role = 'user')::INT) AS rate FROM conversations GROUP BY conv_id"
+
+
+def _talk(column: str) -> str:
+    return {"rate": "CASE WHEN conv_id % 7 <> 0 THEN rate ELSE 0.0 END", "tokens": "len(regexp_extract_all(input, '\\S+'))::BIGINT"}[column]
+
+
 SQL: dict[str, str] = {
     "text_features_documents": _features_sql(),
     "lexicon_features_pages": "SELECT page_id, " + ", ".join(f"{_hits(Settings().lexicon[k], 'html')}::BIGINT AS inst_{k}_count" for k in ("class", "collection", "func")) + " FROM pages",
@@ -430,9 +615,23 @@ SQL: dict[str, str] = {
     + " + ".join(f"contains(lower(text), '{p}')::BIGINT" for p in text.ALGORITHMS)
     + ")::BIGINT AS algo_intent, round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / ln(len(w) + 1) ELSE 0 END, 6) AS instruction_complexity_score FROM (SELECT *, regexp_extract_all(lower(text), '\\S+') AS w FROM documents)",
     "pass_rate_list": "SELECT conv_id, round(avg((role = 'user')::INT), 6) AS pass_rate, (avg((role = 'user')::INT) >= 0.8)::INT AS is_success FROM conversations GROUP BY conv_id",
-    "pass_rate_string": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if r is None else r}::DOUBLE)" for i, r in enumerate(STATUS_RATES)) + ") t(id, pass_rate)",
-    "json_flatten": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
-    "defaults_fill": "SELECT doc_id, coalesce(quality, 1) AS kappa, coalesce(toxic, 0) AS is_success, coalesce(lang, 'unknown') AS lang FROM documents LEFT JOIN labels USING (doc_id)",
+    "pass_rate_string": "SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_size % 4 + p_size % 3 > 0 THEN (p_size % 4) / (p_size % 4 + p_size % 3) ELSE 0 END WHEN p_partkey % 3 = 1 THEN (p_size % 2 = 1 OR contains(lower(p_name), 'pass'))::INT ELSE 0 END, 6)::DOUBLE AS pass_rate FROM part",
+    "json_flatten": "SELECT event_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS k FROM events",
+    "defaults_fill": "SELECT doc_id::VARCHAR AS id, coalesce(quality, 1)::DOUBLE AS kappa_actual, coalesce(toxic, 0)::INT AS is_success, coalesce(lang, 'unknown') AS lang, 0.0::DOUBLE AS e_norm, 0::INT AS coupling_depth, 0.0::DOUBLE AS pass_rate FROM documents LEFT JOIN labels USING (doc_id)",
+    "enrich_records": f"SELECT conv_id::VARCHAR AS id, round({_talk('rate')}, 6) AS pass_rate, ({_talk('rate')} >= 0.8)::BIGINT AS is_success, {_talk('tokens')} AS inst_tokens, {_hits(Settings().lexicon['class'], 'input')}::BIGINT AS inst_class_count, {_hits(Settings().lexicon['collection'], 'input')}::BIGINT AS inst_collection_count, CASE WHEN conv_id % 2 <> 0 THEN 1 + n END::BIGINT AS ast_cyclomatic, CASE WHEN conv_id % 3 <> 0 THEN n ELSE 1 END::DOUBLE AS kappa_cyclomatic, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS e_norm, 0::BIGINT AS coupling_depth, 3::BIGINT AS extra FROM ({TALKS})",
+    "load_records": f"SELECT conv_id::VARCHAR AS id, {_talk('tokens')} AS inst_tokens, {_hits(Settings().lexicon['collection'], 'input')}::BIGINT AS inst_collection_count, CASE WHEN conv_id % 3 <> 0 THEN n ELSE 1 END::DOUBLE AS kappa_actual, ({_talk('rate')} >= 0.8)::BIGINT AS is_success, CASE WHEN conv_id % 2 <> 0 THEN 'python' ELSE 'unknown' END AS lang, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS e_norm, 0.0::DOUBLE AS m_mem_jaccard, 0::BIGINT AS coupling_depth, round({_talk('rate')}, 6) AS pass_rate, round({_talk('rate')}, 6) AS figure_rate, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS figure_e FROM ({TALKS})",
+    "ast_metrics": f"SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND {CODE} > 0 THEN 1 + 3 * (p_size % 5) END::BIGINT AS gated, (1 + 3 * (p_size % 5))::BIGINT AS ast_cyclomatic, ({CODE} > 0)::BIGINT AS ast_nesting_depth, (p_size % 3)::BIGINT AS ast_function_count, (p_size % 2)::BIGINT AS ast_class_count FROM part",
+    "ols_multi_hc1": _ols_sql("SELECT 1.0::DOUBLE AS one, * FROM lineitem", ["one", "l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["const", "l_quantity", "l_discount", "l_tax"]),
+    "joint_nulls": "SELECT round(regr_slope(l_extendedprice, l_discount), 4) AS slope, count(*) AS n FROM lineitem WHERE l_linenumber NOT IN (3, 5)",
+    "iv_2sls": f"WITH {_iv_sql()} " + _table_sql(["const", "l_discount", "l_tax", "kappa"], "1.0"),
+    "first_stage": _first_stage_sql(),
+    "hausman": _hausman_sql(),
+    "threshold_controls": _wide_curve_sql("l_quantity", ["l_discount", "l_tax"], "l_extendedprice", "lineitem") + " SELECT gamma, round(f, 6) AS f_stat FROM f",
+    "figure_threshold": _wide_curve_sql("l_quantity", ["l_discount"], "l_extendedprice", "lineitem") + " SELECT coalesce((SELECT gamma FROM f WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1), 6.0)::DOUBLE AS gamma",
+    "resampling_report": _resampling_sql(),
+    "forest_oof": "SELECT doc_id AS id, true AS in_range, true AS oof_in_range, CASE WHEN quality = 0 THEN true END AS failure_keeps_model FROM labels JOIN documents USING (doc_id)",
+    "forest_importance": "SELECT unnest(['inst_tokens', 'inst_if_count', 'inst_loop_count', 'inst_avg_word_len']) AS feature, 1.0::DOUBLE AS total, true AS none_negative",
+    "forest_sensitivity": 'SELECT true AS ordered, true AS bounded, true AS "correlation"',
     "success_split": "SELECT count(*) AS n, round(avg(toxic), 6) AS mean_toxic, CASE WHEN quality = 1 THEN 'success' ELSE 'failure' END AS side FROM labels GROUP BY side",
     "load_report": "SELECT count(*) AS n, round(avg(quality), 6) AS success_rate, round(avg(toxic), 6) AS mean_pass_rate, round(avg(n_chars), 6) AS mean_actual, round(avg(n_chars / 100.0::DOUBLE), 6) AS mean_predicted FROM documents JOIN labels USING (doc_id)",
     "fake_simple_report": "SELECT count(*) AS n, round(avg(t), 6) AS mean, round(median(t), 6) AS median, max(t)::BIGINT AS max FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND quality = 0)",
@@ -459,8 +658,8 @@ SQL: dict[str, str] = {
     "iv_single": "SELECT round(covar_samp(z, y) / covar_samp(z, k), 4) AS slope, count(*) AS n FROM (SELECT l_quantity AS z, l_quantity + 20 * e AS k, l_extendedprice / 1000 + 30 * e AS y FROM (SELECT *, ('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS e FROM lineitem))",
     "threshold_curve": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
     "threshold_best": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c WHERE f IS NOT NULL ORDER BY round(f, 6) DESC, gamma LIMIT 1",
-    "wild_bootstrap": _curve_sql(BOOT, "y", "x", "iter") + " " + SUP,
-    "placebo": _curve_sql(PLACEBO, "y", "x", "iter") + " " + SUP,
+    "wild_bootstrap": _curve_sql(_boot_sql(5), "y", "x", "iter") + " " + SUP,
+    "placebo": _curve_sql(_placebo_sql(5), "y", "x", "iter") + " " + SUP,
     "draw_report": "SELECT round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS sd, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem",
     "exact_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 100",
     "kfold_sizes": f"SELECT fold::BIGINT AS fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM ({FOLDS}) GROUP BY fold",
@@ -471,8 +670,8 @@ SQL: dict[str, str] = {
 NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
-    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "iv_single", "iv_2sls", "first_stage", "hausman", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
-    "wild_bootstrap", "placebo", "resampling_report", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "ast_metrics", "enrich_records",
+    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
+    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "ast_metrics", "enrich_records", "load_records",
 )
 
 

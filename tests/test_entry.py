@@ -12,7 +12,7 @@ def test_entry_and_names(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", ["text_features_documents", "explicit_bins_flow", "threshold_curve", "placebo", "cv_metrics"])
+@pytest.mark.parametrize("name", ["text_features_documents", "explicit_bins_flow", "threshold_curve", "placebo", "cv_metrics", "ols_multi_hc1", "iv_2sls", "first_stage", "hausman", "threshold_controls", "enrich_records", "load_records", "pass_rate_string", "ast_metrics", "forest_oof", "tfidf_max_cosine"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -21,5 +21,5 @@ def test_sql_agrees(spark, name):
     mine = entry_module.queries()[name](spark, SF)
     names = sorted(mine.columns)
     theirs = c.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({entry_module.oracle_sql()[name]})").fetchall()
-    key = lambda rows: sorted([tuple(float(v) if isinstance(v, int | float) else v for v in r) for r in rows], key=repr)
+    key = lambda rows: sorted([tuple(float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v for v in r) for r in rows], key=repr)
     assert key([tuple(r) for r in mine.select(*names).collect()]) == key(theirs)
