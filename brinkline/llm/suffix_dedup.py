@@ -60,8 +60,14 @@ def order_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         packed = keys[0].astype(np.int64)
         for k, w in zip(keys[1:], wide[1:], strict=True):
             packed = (packed << w) | k
-        order = np.argsort(packed, kind="stable")
-        packed = packed[order]
+        room = max(1, len(packed).bit_length())
+        if sum(wide) + room <= 63:  # the places fit in too, so values are sorted, which is faster
+            packed = (packed << room) | np.arange(len(packed))
+            packed.sort()
+            order, packed = packed & ((1 << room) - 1), packed >> room
+        else:
+            order = np.argsort(packed)
+            packed = packed[order]
         return order, np.concatenate(([True], packed[1:] != packed[:-1]))
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
@@ -398,10 +404,31 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[b
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = 400) -> DataFrame:
     """The id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes) of every row."""
+    from .decontaminate import bit_map, has_bit
+
     spans = removed(docs, text_col, length)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("text_key", F.unhex(F.sha2("__text", 256)))
-    rows = rows.join(spans, "text_key", "left")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(spans.select(F.xxhash64("text_key").alias("spot")), "spot", BITS))
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn("text_key", F.unhex(F.sha2("__text", 256))).withColumn("spot", F.xxhash64("text_key"))
+    out = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
+
+    def finished(ids: pa.Array, found: list[tuple[int, bytes, int, int]]) -> pa.RecordBatch:
+        kept, removed_, runs = (pa.array([g[k] for g in found], t) for k, t in ((1, pa.binary()), (2, pa.int64()), (3, pa.int64())))
+        return pa.RecordBatch.from_arrays([ids, pa.array([g[0] for g in found], pa.int64()), removed_, runs, kept], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    def parts(want: bool):
+        """Rows whose text may have spans, or, as they stay, the others."""
+
+        def run(batches):
+            for batch in batches:
+                mine = batch.take(pa.array(np.flatnonzero(has_bit(bits.value, batch.column(3).to_numpy().view(U)) == want)))
+                if want:
+                    yield mine.select([0, 1, 2])
+                else:
+                    raws = map(as_bytes, mine.column(1).to_pylist())
+                    yield finished(mine.column(0), [(len(raw), raw, 0, 0) for raw in raws])
+
+        return run
 
     def run(batches):
         for batch in batches:
@@ -409,6 +436,8 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = as_bytes(text)
                 got.append((len(raw), *kept_bytes(raw, [(r["lo"], r["hi"]) for r in ranges or []], length)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield finished(batch.column(0), got)
 
-    return rows.select("__id", "__text", "spans").mapInArrow(tidy(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    # only texts that may have spans are shuffled to meet them
+    some = rows.mapInArrow(tidy(parts(True)), f"__id {kind}, __text string, text_key binary").join(spans, "text_key", "left")
+    return rows.mapInArrow(tidy(parts(False)), out).unionByName(some.select("__id", "__text", "spans").mapInArrow(tidy(run), out))
