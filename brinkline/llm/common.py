@@ -99,6 +99,13 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffle files of plans that are
+    over now and not only when the driver happens to run short of memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model may learn labels from; rows without id are none of them."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))

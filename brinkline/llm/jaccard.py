@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, tidy, written
+from .common import dropped, small_batches, swept, tidy, written
 from .components import components
 from .words import U, hashed_words, mix, shingles
 
@@ -45,6 +45,7 @@ SLACK = 0.2
 FAN = 256
 FILTER_BITS = 1 << 25
 MANY = 200_000  # a key that so many documents have is as frequent as any
+FEW = 200_000  # pairs, of which each side is sent to the executors (6 MB); more are shuffled
 BLOCK = 1024  # documents of a run compared at a time
 SKETCH_BITS = 2048
 
@@ -212,10 +213,10 @@ def rare_keys(shared: DataFrame, same: DataFrame) -> DataFrame:
 
 def runs_of(rare: DataFrame) -> DataFrame:
     """``key, doc, g, root``: the documents of each key that several have, with their number and the
-    smallest.  Of keys with the same documents (128-bit parity of their hashes) one is enough."""
-    mark = [F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("s2")]
-    sizes = rare.groupBy("key").agg(F.count("*").alias("g"), F.min("doc").alias("root"), *mark).filter("g > 1")
-    return rare.join(sizes.groupBy("g", "root", "s1", "s2").agg(F.min("key").alias("key")).select("key", "g", "root"), "key")
+    smallest.  Of keys with the same documents (as many, the same smallest, and the same 64-bit parity
+    of their hashes) one is enough."""
+    sizes = rare.groupBy("key").agg(F.count("*").alias("g"), F.min("doc").alias("root"), F.bit_xor(F.xxhash64("doc")).alias("mark")).filter("g > 1")
+    return rare.join(sizes.groupBy("g", "root", "mark").agg(F.min("key").alias("key")).select("key", "g", "root"), "key")
 
 
 def first_pairs(runs: DataFrame) -> DataFrame:
@@ -263,8 +264,9 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, per
     document that it is compared with."""
     fit = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
     fit = written(fit.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct(), "pairs")
+    few = fit.count() <= FEW
     want = fit.select(F.col("b").alias("doc"), F.col("a").alias("hub")).unionByName(fit.select(F.col("a").alias("doc"), F.col("a").alias("hub")).distinct())
-    rows = want.join(sets_of(docs, want.select("doc").distinct(), size, text_col, id_col), "doc")
+    rows = sets_of(docs, want.select("doc").distinct(), size, text_col, id_col).join(F.broadcast(want) if few else want, "doc")
 
     def run(batches):
         hub, own = None, []
@@ -380,13 +382,15 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     known = written(describe(docs, size, text_col, id_col), "sets")
     classes = written(known.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k")), "classes")
     sizes = known.filter("doc is not null").select("doc", "n")
-    shared = shared_keys(keyed(docs, size, percent, text_col, id_col))
+    shared = written(shared_keys(keyed(docs, size, percent, text_col, id_col)), "shared")
+    swept(spark)
     same = known.join(classes.filter("k > 1"), ["fp1", "fp2", "n"]).filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     same = written(same.distinct(), "same")
     rare = written(rare_keys(shared, same), "rare")
     runs = written(runs_of(rare), "runs")
-    for old in (classes, rare):
+    for old in (classes, shared, rare):
         dropped(old)
+    swept(spark)
     links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
     sketches, nearest = None, True
@@ -402,6 +406,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
             dropped(before)
         for old in (left, more, extra):
             dropped(old)
+        swept(spark)
         if not nearest:
             break
         # nearest pairs that mostly do not link have done their part: all that is left is verified once

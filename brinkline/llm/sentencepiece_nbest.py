@@ -477,7 +477,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     ``ids``) and ``round_trip`` (whether decoding gave back the text).
 
     ``reuse``: a Python worker keeps its words for later tasks; without it each
-    task starts anew and leaves none behind.
+    task starts anew with a smaller store and leaves none behind.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -488,7 +488,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
 
     def run(batches):
         p = shared.value
-        encoder = kept_encoder(p, model_file, n) if reuse else Encoder(p, n)
+        encoder = kept_encoder(p, model_file, n) if reuse else Encoder(p, n, REMEMBERED // 4)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids, offsets, scores, found, same = encoder.batch([t or "" for t in texts])

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import dropped, small_batches, tidy, written
+from .common import dropped, small_batches, swept, tidy, written
 from .words import U, Powers, mix
 
 GRAM = 32
@@ -380,10 +380,12 @@ def removed(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataF
     else:
         marks = twice.unionByName(repeats(found, length))
     marks = written(marks.distinct(), "marks")
+    swept(docs.sparkSession)
     spans = seen.join(marks, ["fp1", "fp2"]).groupBy("text_key").agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
     out = written(spans, "spans")
     for old in (seen, counted, several, found, marks):
         dropped(old)
+    swept(docs.sparkSession)
     return out
 
 
