@@ -36,8 +36,8 @@ BYTE_LOSS = 10.0
 UNRANKED = -1e8  # scores below are those of pieces without rank
 REMEMBERED = 400_000  # chunks, of about 230 bytes each
 SMALL = 20_000
-TOGETHER = 4096
-PARTS = 100_000  # chunks handled at a time, or those of one text
+CELLS = 400_000  # arcs of the lattices that are handled at a time (20 bytes each)
+PARTS = 50_000  # chunks handled at a time, or those of one text
 
 
 @dataclass
@@ -354,8 +354,13 @@ class Encoder:
         score, loss, size = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         ids: list[np.ndarray] = [np.zeros(0, np.int64)]  # in the order of the lengths
         short = int(np.searchsorted(length[order], 40, side="right"))
-        for at in range(0, short, TOGETHER):
-            some = order[at : min(short, at + TOGETHER)]
+        at = 0
+        while at < short:
+            # as many as CELLS arcs allow, by the length of the last one that would fit by the first one's
+            much = lambda k: int(length[order[k]]) * min(int(length[order[k]]), self.lattice.longest)
+            last = min(short, at + max(1, CELLS // much(at)))
+            some = order[at : min(last, at + max(1, CELLS // much(last - 1)))]
+            at += len(some)
             score[some], loss[some], flat, size[some] = self.lattice.best([texts[i] for i in some.tolist()])
             ids.append(flat)
         for i in order[short:].tolist():
