@@ -262,7 +262,7 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
                 if key not in seen:
                     counts = Counter(words(text))
                     place, cosine = model.nearest(*model.vector(counts))
-                    if len(seen) > 100_000:
+                    if len(seen) >= 20_000:
                         seen.clear()
                     seen[key] = (model.chance(model.evidence(model.vote(cosine, place), counts)), [{"id": int(model.ids[p]), "label": int(model.labels[p]), "cosine": float(c)} for p, c in zip(place[:evidence], cosine[:evidence], strict=True)])
                 scores.append(seen[key][0])
