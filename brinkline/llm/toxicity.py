@@ -25,7 +25,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Collection
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def places(vocabulary: dict[str, int], found: Collection[str]) -> np.ndarray:
+    """The number of each word in the vocabulary, -1 for others."""
+    return np.fromiter(map(vocabulary.get, found, repeat(-1)), np.int64, len(found))
+
+
 @dataclass
 class Index:
     vocabulary: dict[str, int]
@@ -54,6 +61,7 @@ class Index:
     k: int
     cue: Index | None = None  # the same examples by the words most associated with the label
     scale: tuple[np.ndarray, float] = (np.zeros(4), 0.0)  # weights of the evidence in the log-odds; and the chance without neighbours
+    cue_term: np.ndarray = field(default=None)  # (terms): a term's number among those of the cue, -1 for others
     first: np.ndarray = field(default=None)  # (terms + 1): where a term's postings start
     doc: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
@@ -64,12 +72,19 @@ class Index:
         """Without the tables by block, which are much larger than the postings and are made where they are used."""
         return self.__dict__ | {"start": None, "top": None}
 
+    def counted(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, their counts) of a text, in the order of the terms."""
+        at, n = places(self.vocabulary, counts), np.fromiter(counts.values(), np.int64, len(counts))
+        some = np.flatnonzero(at >= 0)
+        some = some[np.argsort(at[some])]
+        return at[some], n[some]
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        known = self.vocabulary
-        by = [(known[w], n) for w, n in counts.items() if w in known]
-        if not by:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, n = np.array(sorted(by), np.int64).T
+        return self.weighted(*self.counted(counts))
+
+    def weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(at):
+            return at, np.zeros(0)
         v = (1 + np.log(n)) * self.idf[at]
         norm = math.sqrt(float(v @ v))
         # a word of every document weighs nothing
@@ -123,8 +138,11 @@ class Index:
         """By example, the weights of the postings from ``begin`` to ``end``, each list times its ``q``."""
         length = end - begin
         ends = np.cumsum(length)
-        spot = np.arange(ends[-1]) + np.repeat(begin - ends + length, length)
-        return np.bincount(self.doc[spot], weights=self.weight[spot] * np.repeat(q, length), minlength=1)
+        spot = np.repeat(begin - ends + length, length)
+        spot += np.arange(ends[-1])
+        weight = self.weight[spot]
+        weight *= np.repeat(q, length)
+        return np.bincount(self.doc[spot], weights=weight, minlength=1)
 
     def best(self, place: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(score) > self.k:
@@ -139,11 +157,14 @@ class Index:
         weight = score**2
         return float((weight * self.labels[place]).sum() / weight.sum()) if len(place) else None
 
-    def evidence(self, vote: float | None, counts: Counter, without: int = -1) -> list[float] | None:
+    def evidence(self, vote: float | None, at: np.ndarray, n: np.ndarray, without: int = -1) -> list[float] | None:
         """The vote of the neighbours, that of the cue, whether there is no cue, and 1."""
         if vote is None:
             return None
-        place, cosine = self.cue.nearest(*self.cue.vector(counts), without)
+        own = self.cue_term[at]
+        some = np.flatnonzero(own >= 0)
+        some = some[np.argsort(own[some])]
+        place, cosine = self.cue.nearest(*self.cue.weighted(own[some], n[some]), without)
         cue = self.cue.vote(cosine, place)
         return [vote, cue or 0.0, float(cue is None), 1.0]
 
@@ -197,6 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     index = Index(vocabulary, np.log((1 + total) / (1 + df)), np.array([r["id"] for r in got]), y, k)
     cues = chi_squared(bag, y, terms)
     index.cue = Index({w: i for i, w in enumerate(cues)}, index.idf[[vocabulary[w] for w in cues]], index.ids, y, k)
+    index.cue_term = np.full(len(vocabulary), -1, np.int64)
+    index.cue_term[[vocabulary[w] for w in cues]] = np.arange(len(cues))
     vectors = [index.vector(c) for c in bag]
     index.build(vectors)
     index.cue.build([index.cue.vector(c) for c in bag])
@@ -216,7 +239,8 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> t
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                df[[known[w] for w in set(words(text)) if w in known]] += 1
+                at = places(known, set(words(text)))
+                df[at[at >= 0]] += 1
         some = np.flatnonzero(df)
         yield pa.record_batch({"t": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(df[some], n), pa.int64())})
 
@@ -228,7 +252,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[str, int], text_col: str) -> t
 
 
 def calibrate(index: Index, bag: list[Counter], vectors: list, counts: dict[int, int]) -> tuple[np.ndarray, float]:
-    votes = [index.evidence(index.vote(*reversed(index.nearest(t, v, i))), bag[i], i) for i, (t, v) in enumerate(vectors)]
+    votes = [index.evidence(index.vote(*reversed(index.nearest(t, v, i))), *index.counted(bag[i]), i) for i, (t, v) in enumerate(vectors)]
     y = index.labels
     share = {c: counts.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)}
     weight = np.array([share[int(c)] for c in y])
@@ -260,11 +284,11 @@ def score(docs: DataFrame, index: Index, text_col: str = "text", id_col: str = "
             for text in batch.column(1).to_pylist():
                 key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                 if key not in seen:
-                    counts = Counter(words(text))
-                    place, cosine = model.nearest(*model.vector(counts))
+                    terms = model.counted(Counter(words(text)))
+                    place, cosine = model.nearest(*model.weighted(*terms))
                     if len(seen) >= 20_000:
                         seen.clear()
-                    seen[key] = (model.chance(model.evidence(model.vote(cosine, place), counts)), [{"id": int(model.ids[p]), "label": int(model.labels[p]), "cosine": float(c)} for p, c in zip(place[:evidence], cosine[:evidence], strict=True)])
+                    seen[key] = (model.chance(model.evidence(model.vote(cosine, place), *terms)), [{"id": int(model.ids[p]), "label": int(model.labels[p]), "cosine": float(c)} for p, c in zip(place[:evidence], cosine[:evidence], strict=True)])
                 scores.append(seen[key][0])
                 found.append(seen[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, near)], names=[id_col, "score", "neighbours"])
