@@ -51,6 +51,7 @@ SHARE = 1 << 20  # bytes for a suffix array, unless one anchor has more
 BITS = 1 << 26
 HOT = 2048  # different contexts of an anchor: more than a share
 CUTS = 8
+FEW = 100_000  # frequent anchors that may be broadcast (some 5 MB)
 
 
 def order_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +360,9 @@ def repeats(found: DataFrame, length: int) -> DataFrame:
             yield emit(share(rows))
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.select("anchor", "fp1", "fp2", "starts", "data").repartition(n, "anchor").sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, hi long")
+    # by a hash of its own: after a join on the anchor Spark would leave a repartition by the anchor itself out, and
+    # then read the join's rows map by map where it finds that one side can be broadcast after all
+    return found.select("anchor", "fp1", "fp2", "starts", "data").repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "fp1", "fp2").mapInArrow(tidy(run), "fp1 long, fp2 long, lo long, hi long")
 
 
 def removed(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
@@ -374,8 +377,11 @@ def removed(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataF
     several = written(counted.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "anchors")
     found = shared_contexts(texts, bit_map(several, "anchor", BITS), length)
     hot = several.filter(F.col("k") > HOT).select("anchor")
-    if not hot.isEmpty():
+    known = hot.count()
+    if known:
         found = written(found, "shared")
+        # one in ``HOT`` contexts at most, so they are few; then the contexts need no shuffle of their own to be told apart
+        hot = F.broadcast(hot) if known <= FEW else hot
         marks = twice.unionByName(repeats(found.join(hot, "anchor", "left_anti"), length)).unionByName(hot_repeats(found.join(hot, "anchor", "left_semi"), length))
     else:
         marks = twice.unionByName(repeats(found, length))

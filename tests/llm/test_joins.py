@@ -86,6 +86,26 @@ def test_suffix_dedup_of_frequent_lines(spark, monkeypatch, hot):
     assert {r[0]: tuple(r)[1:] for r in out} == dict(enumerate(removed_brute(texts, 80)))
 
 
+def test_suffix_dedup_of_frequent_anchors_without_broadcast(spark, monkeypatch):
+    """The way for more frequent anchors than may be broadcast, with joins that Spark may plan anew at run time."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    monkeypatch.setattr(suffix_dedup, "FEW", 0)
+    rnd = random.Random(17)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    lines = [some(60) for _ in range(12)] + [some(60)] * 8
+    texts = [some(rnd.randint(30, 90)) + (line := rnd.choice(lines)) + (lines[0] + line)[:60] + some(rnd.randint(30, 90)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0"}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        out = suffix_dedup.dedup(df, length=80).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert {r[0]: tuple(r)[1:] for r in out} == dict(enumerate(removed_brute(texts, 80)))
+
+
 def test_suffix_dedup(spark):
     rnd = random.Random(3)
     some = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
