@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, pii, secrets, sentencepiece_nbest, suffix_dedup, toxicity, vector_dedup, warc
-from .common import held_out, table
+from . import align, decontaminate, jaccard, langid, pii, quality, secrets, sentencepiece_nbest, spelling, suffix_dedup, toxicity, vector_dedup, warc
+from .common import held_out, table, written
 
 
 def span_text(spans: Column) -> Column:
@@ -77,6 +77,29 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.neighbours(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def byte_vocabulary() -> str:
+    """Place of the public byte-level vocabulary; a parameter of the operator."""
+    return os.environ.get("BYTE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = byte_vocabulary(), piece_model()
+    counts = ("n_a", "n_b", "n_groups")
+    found = align.align(table(spark, sf_dir, "documents"), *files)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    found = written(found.select("doc_id", *counts, digest.alias("groups_sha256"), "links"), "aligned")
+    return align.score(found, align.pair_counts(found, align.pieces(files[1])), keep=("doc_id", *counts, "groups_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -122,5 +145,32 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, m AS component_id, vec_id = m
 """
 
 
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, lang IS NULL AS no_lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, p, array_to_string(ws[p:p + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 1))) AS u(p)),
+c AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g), unnest(range(5)) AS u(k) WHERE times > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, no_lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+  length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS upper_, length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) AS marks FROM w LEFT JOIN c ON w.doc_id IS NOT DISTINCT FROM c.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  [floor(1000 * n_symbols / greatest(n_words, 1)), floor(1000 * marks / greatest(word_chars, 1)), floor(1000 * upper_ / greatest(word_chars, 1)), floor(1000 * n_dup_lines / greatest(n_lines, 1)),
+   floor(1000 * n_repeat_words / greatest(n_words, 1)), floor(10 * word_chars / greatest(n_words, 1)), floor(1000 * n_words / greatest(word_chars, 1))] AS v FROM m),
+l AS (SELECT lang, no_lang, v, quality = 1 AS good, substr(md5(f.doc_id::VARCHAR), 1, 1) < '4' AS proposes FROM f JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL AND substr(md5(f.doc_id::VARCHAR), 1, 1) < 'c'),
+r AS (SELECT lang, no_lang, r, v[r] AS x FROM l, unnest(range(1, 8)) AS u(r) WHERE good AND proposes),
+a AS (SELECT DISTINCT lang, no_lang, r, x, count(*) OVER (PARTITION BY lang, no_lang, r) AS n, count(*) OVER (PARTITION BY lang, no_lang, r ORDER BY x DESC RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY lang, no_lang, r, x) AS above FROM r),
+k AS (SELECT lang, no_lang, step, r, min(x) AS x FROM a, (VALUES (0, 0.0), (1, 0.001), (2, 0.002), (3, 0.005), (4, 0.01)) AS s(step, level) WHERE above <= floor(level::DOUBLE * n) GROUP BY ALL),
+o AS (SELECT lang, no_lang, step, list(x ORDER BY r) AS x FROM k GROUP BY ALL),
+j AS (SELECT l.*, step, len(list_filter(range(1, 8), lambda i: v[i] > x[i])) > 0 AS over_ FROM l JOIN o USING (lang, no_lang)),
+e AS (SELECT lang, no_lang, step, count(*) FILTER (NOT proposes AND good) AS n, count(*) FILTER (NOT proposes AND good AND over_) AS k, count(*) FILTER (proposes AND NOT good AND over_) AS caught FROM j GROUP BY ALL),
+b AS (SELECT *, n > 0 AND k < 0.02 * n AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) <= 0.05 / (SELECT count(DISTINCT (lang, no_lang)) FROM o) AS fine FROM e),
+s AS (SELECT *, bool_and(fine) OVER (PARTITION BY lang, no_lang ORDER BY step) AS certified FROM b),
+h AS (SELECT lang, no_lang, arg_max(step, caught * 100 - step) AS step FROM s WHERE certified GROUP BY lang, no_lang),
+z AS (SELECT lang, no_lang, x FROM h JOIN o USING (lang, no_lang, step))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (x IS NULL OR len(list_filter(range(1, 8), lambda i: v[i] > x[i])) = 0) AS kept
+FROM f LEFT JOIN z USING (lang, no_lang)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op10_vectors": OP10_SQL}
+    return {"op6_jaccard": OP6_SQL, "op7_warc": OP7_SQL, "op10_vectors": OP10_SQL, "op13_quality": OP13_SQL}
