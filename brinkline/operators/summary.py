@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import clipped, cut, equal_width, half_even, label, spread_labels
+from .quantiles import with_quantiles
 
 
 def successes(df: DataFrame, flag: str = "is_success") -> DataFrame:
@@ -27,7 +28,8 @@ def load_report(df: DataFrame, flag: str, rate: str, actual: str, predicted: str
 
 def spread_report(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, exact median and maximum."""
-    return df.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"))
+    out = df.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_quantiles(out, df, [], value, {"median": 0.5}).select("n", "mean", "median", "max")
 
 
 def regime_report(df: DataFrame, kappa: str, outcome: str, gamma: float) -> DataFrame:
@@ -92,14 +94,15 @@ def flow_labels(flows: DataFrame, column: str) -> DataFrame:
 
 def violin(df: DataFrame, kappa: str, value: str, low: float = 1, high: float = 8) -> DataFrame:
     """Distribution of a value per observed complexity."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.filter(F.col(kappa).between(low, high)).groupBy(F.col(kappa).alias("kappa")).agg(F.count(value).alias("n"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    rows = df.filter(F.col(kappa).between(low, high)).select(F.col(kappa).alias("kappa"), F.col(value).alias("value"))
+    out = rows.groupBy("kappa").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+    return with_quantiles(out, rows, ["kappa"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}).select("kappa", "n", "min", "q1", "median", "q3", "max", "mean")
 
 
 def draw_report(draws: DataFrame, value: str) -> DataFrame:
     """Mean, population deviation, median and the 5th and 95th percentile of resampling draws."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return draws.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q(0.5).alias("median"), q(0.05).alias("p05"), q(0.95).alias("p95"))
+    out = draws.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return with_quantiles(out, draws, [], value, {"median": 0.5, "p05": 0.05, "p95": 0.95})
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
