@@ -2,8 +2,8 @@
 
 The weights are those of a vectoriser fitted on the corpus and the
 instruction together, for every instruction; only terms that both share
-change a proxy text's norm, so one join on the term gives the dot product and
-the correction, and nothing is fitted per row.
+change a proxy text's norm, so sums over them give the dot product and the
+correction, and nothing is fitted per row.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 WORDS = re.compile(r"\w{2,}")
 TERM = r"([\p{L}\p{N}_]{2,})"
 
@@ -36,7 +38,9 @@ def term_counts(df: DataFrame, key: str, text: str, to: str, longest: int = 3) -
     return df.select(F.col(key).alias(to), F.explode(ngrams(F.col(text), longest)).alias("term")).groupBy(to, "term").agg(F.count("*").alias("tf"))
 
 
-TERMS = 1_000_000  # terms of a corpus that is sent to the executors
+TERMS = 200_000  # terms of a corpus that is sent to the executors
+HOT = 256  # texts of a corpus that share a term, beyond which it makes no pairs
+BLOCK = 2_000  # texts that meet in one task
 
 
 def against_small(instructions: DataFrame, terms: list, n: float, key: str, text: str, longest: int) -> DataFrame:
@@ -45,7 +49,7 @@ def against_small(instructions: DataFrame, terms: list, n: float, key: str, text
     at = {t: i for i, t in enumerate(sorted({r["term"] for r in terms}))}
     term = np.array([at[r["term"]] for r in terms], np.int64)
     order = np.argsort(term, kind="stable")
-    names = {b: i for i, b in enumerate(sorted({r["b"] for r in terms}))}
+    names = {b: i for i, b in enumerate(dict.fromkeys(r["b"] for r in terms))}
     proxy = np.array([names[r["b"]] for r in terms], np.int64)[order]
     tf = np.array([r["tf"] for r in terms], float)[order]
     df = np.bincount(term, minlength=len(at))
@@ -81,23 +85,116 @@ def against_small(instructions: DataFrame, terms: list, n: float, key: str, text
     return instructions.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, similarity double").withColumnRenamed("k", key)
 
 
-def max_similarity(instructions: DataFrame, proxies: DataFrame, key: str, text: str, proxy_key: str, proxy_text: str, longest: int = 3) -> DataFrame:
-    """``key, similarity`` for every instruction; 0 without tokens, without corpus or without a shared term."""
-    p = proxies.count()
-    n = p + 2.0  # corpus, instruction and one for smoothing
-    theirs = term_counts(proxies, proxy_key, proxy_text, "b", longest)
-    terms = theirs.limit(TERMS + 1).collect()
-    if len(terms) <= TERMS:
-        return against_small(instructions, terms, n, key, text, longest)
-    mine = term_counts(instructions, key, text, "a", longest)
+def weighted_corpus(theirs: DataFrame, n: float) -> DataFrame:
+    """Postings ``term, b, tf, df, i0, i1, w, nb``: weights with (``i1``) and without (``i0``) the
+    instruction counted, ``w`` that of the text's unit vector by ``i1``, ``nb`` its squared norm by ``i0``."""
+    idf = lambda more: F.log(F.lit(n) / (more + F.col("df"))) + 1.0
     df = theirs.groupBy("term").agg(F.count("*").alias("df"))
-    idf = lambda d: F.log(F.lit(n) / (1.0 + d)) + 1.0
-    seen = mine.join(df, "term", "left").withColumn("i1", idf(F.coalesce("df", F.lit(0)) + 1.0))
-    norm_a = seen.groupBy("a").agg(F.sum(F.pow(F.col("tf") * F.col("i1"), 2)).alias("na"))
-    weighted = theirs.join(df, "term").withColumn("i0", idf(F.col("df") + 0.0))
-    norm_b = weighted.groupBy("b").agg(F.sum(F.pow(F.col("tf") * F.col("i0"), 2)).alias("nb"))
-    shared = seen.filter("df is not null").select("a", "term", F.col("tf").alias("ta"), "i1").join(weighted.select("b", "term", F.col("tf").alias("tb"), "i0"), "term")
-    pairs = shared.groupBy("a", "b").agg(F.sum(F.col("ta") * F.col("tb") * F.pow("i1", F.lit(2))).alias("dot"), F.sum(F.pow("tb", F.lit(2)) * (F.pow("i1", F.lit(2)) - F.pow("i0", F.lit(2)))).alias("fix"))
-    cosine = F.col("dot") / F.sqrt(F.col("na") * (F.col("nb") + F.col("fix")))
-    best = pairs.join(norm_a, "a").join(norm_b, "b").groupBy("a").agg(F.max(cosine).alias("s"))
-    return instructions.select(F.col(key).alias("a")).join(best, "a", "left").select(F.col("a").alias(key), F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    rows = theirs.join(df, "term").withColumn("i0", idf(F.lit(1.0))).withColumn("i1", idf(F.lit(2.0)))
+    norms = rows.groupBy("b").agg(F.sum(F.pow(F.col("tf") * F.col("i0"), 2)).alias("nb"), F.sum(F.pow(F.col("tf") * F.col("i1"), 2)).alias("n1"))
+    return rows.join(norms, "b").select("term", "b", "tf", "df", "i0", "i1", (F.col("tf") * F.col("i1") / F.sqrt("n1")).alias("w"), "nb")
+
+
+def cosine(dot: str, fix: str) -> Column:
+    return F.col(dot) / F.sqrt(F.col("na") * (F.col("nb") + F.col(fix)))
+
+
+def sums(join: DataFrame) -> DataFrame:
+    """``a, b`` with the dot product and the change of the norm over the terms of a join."""
+    return join.groupBy("a", "b").agg(F.sum(F.col("ta") * F.col("tf") * F.pow("i1", F.lit(2))).alias("dot"), F.sum(F.pow("tf", F.lit(2)) * (F.pow("i1", F.lit(2)) - F.pow("i0", F.lit(2)))).alias("fix"), F.sum(F.col("q") * F.col("w")).alias("near"), F.first("nb").alias("nb"))
+
+
+def against_large(mine: DataFrame, theirs: DataFrame, n: float, hot: int) -> DataFrame:
+    """``a, s``: the largest cosine of each text ``a`` with a shared term.
+
+    Only terms of at most ``hot`` corpus texts make pairs.  What the frequent
+    terms can add to a pair is bounded for each text by their largest weights
+    and by their length in its unit vector, so few pairs have to look them up,
+    by text and term.  Corpus texts that share frequent terms alone matter
+    where that bound beats the best pair; they are met in blocks, those left
+    out whose own largest weights cannot beat it either.
+    """
+    post = written(weighted_corpus(theirs, n), "postings")
+    top = post.groupBy("term").agg(F.first("df").alias("df"), F.first("i0").alias("i0"), F.first("i1").alias("i1"), F.max("w").alias("top"))
+    seen = mine.join(top, "term", "left").withColumn("i1", F.coalesce("i1", F.lit(np.log(n / 2.0) + 1.0)))
+    norm = F.sum(F.pow(F.col("ta") * F.col("i1"), 2))
+    norms = seen.groupBy("a").agg(norm.alias("na"))
+    seen = seen.filter("df is not null").join(norms, "a")
+    seen = written(seen.select("a", "term", "ta", "df", "top", "na", (F.col("ta") * F.col("i1") / F.sqrt("na")).alias("q")), "terms")
+    often = F.when(F.col("df") > hot, F.col("q")).otherwise(0.0)
+    texts = written(seen.groupBy("a").agg(F.first("na").alias("na"), F.least(F.sum(often * F.col("top")), F.sqrt(F.sum(often * often))).alias("more")), "texts")
+
+    rare = seen.filter(F.col("df") <= hot).select("a", "term", "ta", "q").join(post.filter(F.col("df") <= hot).drop("df"), "term")
+    pairs = written(sums(rare).join(texts, "a").withColumn("least", cosine("dot", "fix")), "pairs")
+    floor_ = pairs.groupBy("a").agg(F.max("least").alias("floor"))
+    # the largest of equals stays too: rounding may not decide
+    live = pairs.join(floor_, "a").filter(F.col("near") + F.col("more") >= F.col("floor") * (1 - 1e-9))
+    frequent = seen.filter(F.col("df") > hot).select("a", "term", "ta", "q")
+    looked = live.select("a", "b").join(frequent, "a").join(post.filter(F.col("df") > hot).drop("df"), ["b", "term"])
+    added = sums(looked).select("a", "b", F.col("dot").alias("dot1"), F.col("fix").alias("fix1"))
+    exact = live.join(added, ["a", "b"], "left").withColumn("dot", F.col("dot") + F.coalesce("dot1", F.lit(0.0))).withColumn("fix", F.col("fix") + F.coalesce("fix1", F.lit(0.0)))
+    best = written(exact.groupBy("a").agg(F.max(cosine("dot", "fix")).alias("s")), "best")
+
+    open_ = texts.join(best, "a", "left").select("a", "na", "more", F.coalesce("s", F.lit(0.0)).alias("s")).filter(F.col("more") > F.col("s"))
+    return best.unionByName(blocked(open_, frequent, post.filter(F.col("df") > hot))).groupBy("a").agg(F.max("s").alias("s"))
+
+
+def blocked(open_: DataFrame, frequent: DataFrame, post: DataFrame) -> DataFrame:
+    """``a, s``: the largest cosine of each text over corpus texts, by the given postings alone.
+
+    Corpus texts with the same heaviest term and a like weight of it share
+    blocks of about ``BLOCK``; a text meets the blocks whose largest weights
+    let it exceed its ``s``, ``BLOCK`` texts at a time.
+    """
+    kind = post.groupBy("b").agg(F.max_by("term", F.struct("w", "term")).alias("lead"), F.floor(8 * F.max("w")).alias("level"))
+    parts = kind.groupBy("lead", "level").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    block = F.concat_ws(":", F.col("level").cast("string"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("string"), "lead")
+    post = written(post.join(kind.join(parts, ["lead", "level"]).select("b", block.alias("block")), "b"), "blocks")
+    most = post.groupBy("block", "term").agg(F.max("w").alias("most"))
+    mine = frequent.join(open_.select("a", "na", "s"), "a")
+    meets = mine.join(most, "term").groupBy("a", "block").agg(F.sum(F.col("q") * F.col("most")).alias("bound"), F.first("s").alias("s")).filter(F.col("bound") > F.col("s"))
+    sizes = written(meets.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "meets")
+    texts = mine.groupBy("a").agg(F.first("na").alias("na"), F.collect_list(F.struct("term", "ta")).alias("terms"))
+    left = meets.select("a", "block").join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts"))).join(texts, "a").select("block", "part", "a", "na", "terms")
+    right = post.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.col("block").alias("in_block"), F.col("part").alias("in_part"), "term", "b", "tf", "i0", "i1", "nb")
+
+    def scored(texts: pa.Table, held: pa.Table) -> pa.Table:
+        names = {b: i for i, b in enumerate(dict.fromkeys(held["b"].to_pylist()))}
+        b = np.array([names[x] for x in held["b"].to_pylist()], np.int64)
+        tf, i0, i1 = (held[c].to_numpy().astype(float) for c in ("tf", "i0", "i1"))
+        nb = np.zeros(len(names))
+        nb[b] = held["nb"].to_numpy()
+        places: dict[str, list[int]] = {}
+        for i, term in enumerate(held["term"].to_pylist()):
+            places.setdefault(term, []).append(i)
+        at = {term: np.array(x) for term, x in places.items()}
+        out = []
+        for na, terms in zip(texts["na"].to_pylist(), texts["terms"].to_pylist(), strict=True):
+            dot, fix = np.zeros(len(names)), np.zeros(len(names))
+            for x in terms:
+                if (k := at.get(x["term"])) is not None:  # a corpus text has a term once
+                    dot[b[k]] += x["ta"] * tf[k] * i1[k] ** 2
+                    fix[b[k]] += tf[k] ** 2 * (i1[k] ** 2 - i0[k] ** 2)
+            out.append(float((dot / np.sqrt(na * (nb + fix))).max(initial=0.0)))
+        return pa.table({"a": texts["a"], "s": pa.array(out, pa.float64())})
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("in_block", "in_part")).applyInArrow(scored, "a string, s double")
+
+
+def max_similarity(instructions: DataFrame, proxies: DataFrame, key: str, text: str, proxy_key: str, proxy_text: str, longest: int = 3, terms: int = TERMS, hot: int = HOT) -> DataFrame:
+    """``key, similarity`` for every instruction; 0 without tokens, without corpus or without a shared term.
+
+    A corpus of at most ``terms`` different terms of texts is sent to the
+    executors, a larger one is joined (:func:`against_large`).  Proxy rows of
+    one key are one text; equal instructions are scored once.
+    """
+    n = proxies.count() + 2.0  # corpus, instruction and one for smoothing
+    theirs = term_counts(proxies, proxy_key, proxy_text, "b", longest)
+    if theirs.limit(terms + 1).count() <= terms:
+        return against_small(instructions, theirs.collect(), n, key, text, longest)
+    name = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = instructions.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("t"), name.alias("a"))
+    mine = term_counts(rows.groupBy("a").agg(F.first("t").alias("t")), "a", "t", "a", longest).withColumnRenamed("tf", "ta")
+    theirs = theirs.select(F.coalesce(F.concat(F.lit("="), F.col("b").cast("string")), F.lit("")).alias("b"), "term", "tf")
+    found = against_large(mine, theirs, n, hot)
+    return rows.join(found, "a", "left").select(F.col("__key").alias(key), F.coalesce("s", F.lit(0.0)).alias("similarity"))

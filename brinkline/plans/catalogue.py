@@ -351,6 +351,12 @@ def tfidf_max_cosine(spark, sf_dir):
     return rounded(out, "similarity")
 
 
+def tfidf_joined(spark, sf_dir):
+    """The same cosines by the joins that a corpus of any size takes; terms of over 8 items make no pairs."""
+    out = similarity.max_similarity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", terms=0, hot=8)
+    return rounded(out, "similarity")
+
+
 def ast_metrics(spark, sf_dir):
     """Python made from the size of parts: functions, classes and branches one after another."""
     many = lambda code, n: F.repeat(F.lit(code), (F.col("p_size") % n).cast("int"))
@@ -665,13 +671,14 @@ SQL: dict[str, str] = {
     "kfold_sizes": f"SELECT fold::BIGINT AS fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM ({FOLDS}) GROUP BY fold",
     "cv_metrics": f"WITH d AS (SELECT fold, o_totalprice / 1000 AS y, o_custkey / 10.0::DOUBLE AS p FROM ({FOLDS})), f AS (SELECT fold, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae FROM d GROUP BY fold) SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, round(avg(mae), 6) AS mean_mae, (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) FROM d) AS oof_r2 FROM f",
     "tfidf_max_cosine": TFIDF_SQL,
+    "tfidf_joined": TFIDF_SQL,
 }
 
 NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
     "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
-    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "ast_metrics", "enrich_records", "load_records",
+    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "enrich_records", "load_records",
 )
 
 
