@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .moments import centred, complete, gram_by_cell, means, residual_sum, solve
+from .moments import Cube, centred, complete, cube, residual_sum, solve
 
 CURVE = "gamma double, f_stat double"
 GROUP = 50_000  # rows ranked together
@@ -83,14 +83,17 @@ class Search:
 
 def search(df: DataFrame, y: str, kappa: str, controls: list[str], settings: Settings | None = None) -> Search:
     settings = settings or Settings()
-    grid = settings.grid
     columns = [kappa, *controls, y]
-    rows = complete(df, columns)
-    mean = means(rows, columns)
-    cells = [m.matrix for m in gram_by_cell(rows, cell_of(F.col(kappa).cast("double"), grid), len(grid) + 1, columns, mean)]
+    return searched(cube(df, columns, cell_of(F.col(kappa).cast("double"), settings.grid), len(settings.grid) + 1), df, y, kappa, controls, settings)
+
+
+def searched(found: Cube, df: DataFrame, y: str, kappa: str, controls: list[str], settings: Settings) -> Search:
+    """:func:`search` from a cube whose cells are those of ``kappa`` on the grid."""
+    columns, grid = [kappa, *controls, y], settings.grid
+    cells = [m.matrix for m in found.slices(columns)]
     curve = f_curve(cells, list(range(len(controls) + 2)), len(columns), settings.min_regime)
     gamma, sup = best(curve, grid)
-    return Search(rows, y, kappa, controls, grid, settings.min_regime, mean, cells, curve, gamma, sup)
+    return Search(complete(df, columns), y, kappa, controls, grid, settings.min_regime, found.mean, cells, curve, gamma, sup)
 
 
 def figure_threshold(df: DataFrame, y: str, kappa: str, controls: list[str], settings: Settings | None = None) -> float:

@@ -14,6 +14,7 @@ from ..config import Settings
 from ..functions import binning, code_metrics, status, text
 from ..operators import forest, regression, similarity, summary, threshold
 from ..sources import tasks
+from . import stages
 from .enrich import enrich
 
 #: Words that the driver's prose has, in place of the instruction lexicon.
@@ -235,6 +236,19 @@ def hausman(spark, sf_dir):
     return spark.createDataFrame([(n, None if h is None else round(float(h), 4)) for n, h in out], "variant string, h double")
 
 
+BATTERY = Settings(controls=("l_discount", "l_tax"), instruments=("z1", "z2", "z3"), bootstrap=0, placebo=0)
+
+
+def stage2(spark, sf_dir):
+    """The battery of the second stage but for its resampling, which has queries of its own."""
+    rows = _lines(spark, sf_dir).select(F.col("y").alias("pass_rate"), F.col("kappa").alias("kappa_actual"), F.col("z1").alias("kappa_predicted"), "l_discount", "l_tax", "z1", "z2", "z3")
+    out = stages.stage2(rows, BATTERY)
+    coef = lambda fit: (fit.of("kappa_actual")[0], fit.of("kappa_actual")[1] ** 0.5)
+    (b0, s0), (b1, s1), info, found = coef(out["naive"]), coef(out["iv"]), out["iv"].info, out["search"]
+    facts = {"naive_coef": b0, "naive_se": s0, "iv_coef": b1, "iv_se": s1, "first_stage_f": info["f"], "wald": info["wald"], "hausman": out["facts"]["hausman"], "gamma": found.gamma, "sup_f": found.sup}
+    return spark.createDataFrame([(k, None if v is None else round(float(v), 4)) for k, v in facts.items()], "name string, value double")
+
+
 # --- threshold -----------------------------------------------------------
 
 
@@ -603,6 +617,17 @@ fake AS (SELECT avg(d.gamma) AS m, stddev_pop(d.gamma) AS sd, avg((d.f >= best.f
 SELECT gamma, round(f, 6) AS sup_f, p, {words} AS significance, round((gamma - m) / sd, 6) AS z, q AS placebo_p, CASE WHEN q < 0.05 THEN 'real' ELSE 'may be spurious' END AS verdict FROM best, boot, fake"""
 
 
+def _stage2_sql() -> str:
+    naive = f"({_ols_sql(LINES, ['one', 'k', 'w1', 'w2'], 'y', ['const', 'kappa', 'l_discount', 'l_tax'])})"
+    iv = f"(WITH {_iv_sql()} {_table_sql(['const', 'l_discount', 'l_tax', 'kappa'], '1.0')})"
+    best = f"({_wide_curve_sql('z1', ['w1', 'w2'], 'y', f'(SELECT z1, w1, w2, y FROM ({LINES}))')} SELECT gamma, f FROM f WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1)"
+    one = lambda name, value, source, where="true": f"SELECT '{name}' AS name, {value} AS value FROM {source} WHERE {where}"
+    rows = [one(f"{kind}_{v}", v, source, "name = 'kappa'") for kind, source in (("naive", naive), ("iv", iv)) for v in ("coef", "se")]
+    rows += [one(to, "value", f"({_first_stage_sql()})", f"name = '{name}'") for to, name in (("first_stage_f", "f"), ("wald", "wald"))]
+    rows += [one("hausman", "h", f"({_hausman_sql()})", "variant = 'fitted'"), one("gamma", "gamma", best), one("sup_f", "round(f, 4)", best)]
+    return " UNION ALL ".join(rows)
+
+
 CODE = "p_size % 3 + p_size % 2 + p_size % 5"
 TALKS = "SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS input, avg((role = 'user')::INT) AS rate FROM conversations GROUP BY conv_id"
 
@@ -632,6 +657,7 @@ SQL: dict[str, str] = {
     "iv_2sls": f"WITH {_iv_sql()} " + _table_sql(["const", "l_discount", "l_tax", "kappa"], "1.0"),
     "first_stage": _first_stage_sql(),
     "hausman": _hausman_sql(),
+    "stage2": _stage2_sql(),
     "threshold_controls": _wide_curve_sql("l_quantity", ["l_discount", "l_tax"], "l_extendedprice", "lineitem") + " SELECT gamma, round(f, 6) AS f_stat FROM f",
     "figure_threshold": _wide_curve_sql("l_quantity", ["l_discount"], "l_extendedprice", "lineitem") + " SELECT coalesce((SELECT gamma FROM f WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1), 6.0)::DOUBLE AS gamma",
     "resampling_report": _resampling_sql(),
@@ -677,7 +703,7 @@ SQL: dict[str, str] = {
 NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
-    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
+    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
     "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "enrich_records", "load_records",
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, present
-from ..operators import forest, regression, summary, threshold
+from ..operators import forest, moments, regression, summary, threshold
 from ..sources import tasks
 
 
@@ -23,15 +23,21 @@ def stage1(spark: SparkSession, source: str, model_path: str | None = None, sett
 
 
 def stage2(df: DataFrame, settings: Settings | None = None, kappa: str = "kappa_predicted", summary_path: str | None = None) -> dict:
-    """The whole battery on a scored frame; ``kappa`` may name the out-of-fold column.  Resampling tells
-    rows apart by a key of their own, as ids may be missing or repeat."""
+    """The whole battery on a scored frame; ``kappa`` may name the out-of-fold column.
+
+    One scan for the moments of all estimators, one for their residuals and
+    one for each kind of resampling, which tells rows apart by a key of their
+    own, as ids may be missing or repeat.
+    """
     settings = settings or Settings()
     controls, instruments = present(settings.controls, df.columns), present(settings.instruments, df.columns)
     df = forest.with_row_key(df).persist()
-    naive = regression.ols(df, "pass_rate", ["kappa_actual", *controls], robust=True)
-    iv = regression.two_stage(df, "pass_rate", "kappa_actual", controls, instruments)
-    h, h_p = regression.hausman(df, "pass_rate", "kappa_actual", controls, instruments)
-    found = threshold.search(df, "pass_rate", kappa, controls, settings)
+    y, actual = "pass_rate", "kappa_actual"
+    found = moments.cube(df, [kappa, actual, *controls, *instruments, y], threshold.cell_of(F.col(kappa).cast("double"), settings.grid), len(settings.grid) + 1)
+    every = found.of([*controls, actual, *instruments, y])
+    h, h_p = regression.hausman_of(every, y, actual, controls, instruments)
+    naive, iv = regression.settled(df, [regression.least_squares(found.of([actual, *controls, y]), y, [actual, *controls], True), regression.instrumented(every, y, actual, controls, instruments)])
+    found = threshold.searched(found, df, y, kappa, controls, settings)
     boot = threshold.wild_bootstrap(found, F.col(forest.ROW), settings.bootstrap)
     p = threshold.share_at_least(boot, found.sup)
     fake = threshold.placebo(found, F.col(forest.ROW), settings.placebo) if found.gamma is not None else []

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinkline.config import FEATURES, Settings
-from brinkline.operators import forest, regression, similarity, summary, threshold
+from brinkline.operators import forest, moments, regression, similarity, summary, threshold
 from brinkline.plans import enrich, stages
 from brinkline.sources import tasks
 from brinkline.streaming import enrich_stream
@@ -62,6 +62,43 @@ def test_two_stage_with_collinear_instruments(spark):
     assert regression.two_stage(frame(spark, d), "y", "k", ["c"], ["z1", "z2", "z3"], strict=True) is None
 
 
+def test_cube_slices_equal_separate_rows(spark):
+    """Nulls and NaN in every column: each slice holds the rows that its own columns allow."""
+    d = kinked(600)
+    g = np.random.default_rng(3)
+    d[g.random(d.shape) < 0.08] = np.nan
+    rows = [tuple(None if np.isnan(v) and i % 2 else float(v) for v in r) for i, r in enumerate(d)]
+    df = spark.createDataFrame(rows, "id double, k double, c double, y double, z1 double, z2 double, z3 double").repartition(3)
+    grid = [3.0, 6.5, 10.0]
+    found = moments.cube(df, ["k", "c", "z1", "y"], threshold.cell_of(F.col("k"), grid), 4)
+    at = {"k": 1, "c": 2, "y": 3, "z1": 4}
+    for columns in (["k", "y"], ["y"], ["z1", "c", "k", "y"], ["c", "z1"]):
+        own = d[~np.isnan(d[:, [at[c] for c in columns]]).any(axis=1)]
+        x = np.stack([np.ones(len(own)), *[own[:, at[c]] - found.mean[c] for c in columns]], axis=1)
+        assert found.of(columns).matrix == pytest.approx(x.T @ x)
+        if "k" in columns:
+            for cell, m in enumerate(found.slices(columns)):
+                mine = x[np.searchsorted(grid, own[:, 1], side="left") == cell]
+                assert m.matrix == pytest.approx(mine.T @ mine)
+    assert moments.cube(df.filter("k > 99"), ["k", "y"]).of(["k", "y"]).n == 0
+
+
+def test_battery_reads_the_rows_twice(spark, monkeypatch):
+    d = kinked(800)
+    df = frame(spark, d).select(F.col("y").alias("pass_rate"), F.col("k").alias("kappa_actual"), F.col("k").alias("kappa_predicted"), "c", "z1", "z2")
+    scans, plain = [], moments.products
+    for module in (moments, regression):
+        monkeypatch.setattr(module, "products", lambda df, wanted: scans.append(len(wanted)) or plain(df, wanted))
+    settings = Settings(controls=("c",), instruments=("z1", "z2"), bootstrap=0, placebo=0, min_regime=30)
+    out = stages.stage2(df, settings)
+    assert scans == [1, 3]
+    naive = regression.ols(df, "pass_rate", ["kappa_actual", "c"], robust=True)
+    iv = regression.two_stage(df, "pass_rate", "kappa_actual", ["c"], ["z1", "z2"])
+    assert out["naive"].coef == pytest.approx(naive.coef) and out["naive"].cov == pytest.approx(naive.cov)
+    assert out["iv"].coef == pytest.approx(iv.coef) and out["iv"].cov == pytest.approx(iv.cov) and out["iv"].info == pytest.approx(iv.info)
+    assert out["search"].curve == pytest.approx(threshold.search(df, "pass_rate", "kappa_predicted", ["c"], settings).curve)
+
+
 def test_hausman(spark):
     d = kinked(500)
     h, p = regression.hausman(frame(spark, d), "y", "k", ["c"], ["z1", "z2"])
