@@ -149,7 +149,8 @@ def solve(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(xx, rcond=1e-12, hermitian=True) @ xy
 
 
-def residual_sum(m: np.ndarray, x: list[int], y: int) -> float:
-    """Residual sum of squares of column ``y`` on the columns ``x``."""
-    xy = m[x, y]
-    return float(m[y, y] - xy @ solve(m[np.ix_(x, x)], xy))
+def residual_sum(m: np.ndarray, x: list[int], y: int) -> np.ndarray:
+    """Residual sums of squares of column ``y`` on the columns ``x``, of one matrix or of a stack of them."""
+    xy = m[..., x, y]
+    b = np.linalg.pinv(m[..., np.array(x)[:, None], x], rcond=1e-12, hermitian=True) @ xy[..., None]
+    return m[..., y, y] - (xy[..., None, :] @ b)[..., 0, 0]

@@ -6,6 +6,7 @@ aggregation per draw replaces the regressions for each candidate.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.scratch import written
 from .moments import Cube, centred, complete, cube, residual_sum, solve
 
 CURVE = "gamma double, f_stat double"
@@ -31,21 +33,30 @@ def regime(kappa: Column, gamma: float) -> Column:
     return F.when(kappa > gamma, "high").otherwise("low")
 
 
+def f_curves(cells: np.ndarray, x: list[int], y: int, min_regime: int) -> list[list[float | None]]:
+    """The statistic at each grid point from the moments of the cells, for each draw of (draws, cells, k, k);
+    ``k`` counts columns, not rank."""
+    low = np.cumsum(cells, axis=1)[:, :-1]
+    total = cells.sum(axis=1)
+    high = total[:, None] - low
+    n, k = total[:, None, 0, 0], len(x)
+    valid = (low[..., 0, 0] >= min_regime) & (high[..., 0, 0] >= min_regime) & (n > 2 * k)
+    split = np.full(valid.shape, np.nan)
+    split[valid] = residual_sum(low[valid], x, y) + residual_sum(high[valid], x, y)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        f = np.where(split > 1e-12 * np.maximum(1.0, total[:, None, y, y]), (residual_sum(total, x, y)[:, None] - split) / k / (split / (n - 2 * k)), np.nan)
+    return [[None if math.isnan(v) else v for v in row] for row in f.tolist()]
+
+
 def f_curve(cells: list[np.ndarray], x: list[int], y: int, min_regime: int) -> list[float | None]:
-    """The statistic at each grid point from the moments of the cells; ``k`` counts columns, not rank."""
-    total = np.sum(cells, axis=0)
-    n, k = total[0, 0], len(x)
-    pooled = residual_sum(total, x, y)
-    low, out = np.zeros_like(total), []
-    for cell in cells[:-1]:
-        low = low + cell
-        high = total - low
-        if low[0, 0] < min_regime or high[0, 0] < min_regime or n <= 2 * k:
-            out.append(None)
-            continue
-        split = residual_sum(low, x, y) + residual_sum(high, x, y)
-        out.append(float(((pooled - split) / k) / (split / (n - 2 * k))) if split > 1e-12 * max(1.0, total[y, y]) else None)
-    return out
+    return f_curves(np.stack(cells)[None], x, y, min_regime)[0]
+
+
+def sups(cells: np.ndarray, found: Search) -> list[tuple[int, float, float]]:
+    """(draw, sup statistic, gamma) of the draws that have one."""
+    y = len(found.controls) + 2
+    tops = [best(curve, found.grid) for curve in f_curves(cells, found.x, y, found.min_regime)]
+    return [(d, sup, gamma) for d, (gamma, sup) in enumerate(tops, 1) if sup is not None]
 
 
 def best(curve: list[float | None], grid: list[float]) -> tuple[float | None, float | None]:
@@ -151,18 +162,12 @@ def wild_bootstrap(found: Search, key: Column, draws: int) -> list[tuple[int, fl
     sums = rows.mapInArrow(run, "c int, m array<double>").select("c", F.posexplode("m").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v")).toPandas()
     flat = np.zeros((cells, k + 2 + draws * (k + 1)))
     flat[sums["c"].to_numpy(int), sums["at"].to_numpy(int)] = sums["v"].to_numpy(float)
-    out = []
-    for d in range(draws):
-        own = [c.copy() for c in found.cells]
-        for i, c in enumerate(own):
-            ff, rr, *xf = flat[i, : k + 2]
-            sf, *sx = flat[i, k + 2 + d * (k + 1) : k + 2 + (d + 1) * (k + 1)]
-            c[y, y] = ff + 2 * sf + rr
-            c[:k, y] = c[y, :k] = np.add(xf, sx)
-        gamma, sup = best(f_curve(own, x, y, found.min_regime), found.grid)
-        if sup is not None:
-            out.append((d + 1, sup, gamma))
-    return out
+    ff, rr, xf = flat[:, 0], flat[:, 1], flat[:, 2 : k + 2]
+    moved = flat[:, k + 2 :].reshape(cells, draws, k + 1)
+    own = np.repeat(np.stack(found.cells)[None], draws, axis=0)
+    own[:, :, y, y] = ff + rr + 2 * moved[:, :, 0].T
+    own[:, :, :k, y] = own[:, :, y, :k] = xf + moved[:, :, 1:].transpose(1, 0, 2)
+    return sups(own, found)
 
 
 def hash_part(hash_: Column, parts: int) -> Column:
@@ -170,13 +175,13 @@ def hash_part(hash_: Column, parts: int) -> Column:
     return F.floor(F.conv(F.substring(hash_, 1, 7), 16, 10).cast("double") * parts / 16.0**7).cast("int")
 
 
-def ranked(df: DataFrame, group: list[str], hash_: str, rows: int) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], hash_: str, rows: int, size: int = GROUP) -> DataFrame:
     """Add ``rank`` (from 1) in the order of a hexadecimal hash within each group.
 
     Rows are dealt into parts by the hash's leading digits, which keep its
     order, so no task ranks a whole group.
     """
-    parts = max(1, -(-rows // GROUP))
+    parts = max(1, -(-rows // size))
     df = df.withColumn("__part", hash_part(F.col(hash_), parts))
     sizes = df.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
     order = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
@@ -186,62 +191,135 @@ def ranked(df: DataFrame, group: list[str], hash_: str, rows: int) -> DataFrame:
     return out.withColumn("rank", F.col("__before") + place).drop("__part", "__before")
 
 
-def steps(draw: int, n: int) -> tuple[int, int]:
-    """(factor, shift) of the permutation ``place -> (factor * place + shift) modulo n`` of a draw."""
-    a = (PRIMES[0] * draw) % n
-    while math.gcd(a, n) != 1:
-        a += 1
-    return a, (PRIMES[1] * draw) % n
+ROUNDS, PRIME = 6, 2_147_483_647
 
 
-PRIMES = (1_000_003, 7_368_787)
+class Bijection:
+    """A permutation of 0 .. ``n`` - 1 for each draw, without a table.
 
+    A place is written as ``left * b + right``; keyed rounds add to one side, modulo its size, a
+    quadratic polynomial of the other, so each can be undone.  Places beyond ``n`` are sent on until they
+    fall inside.  Keys are digits of a hash of draw and round.
+    """
+
+    def __init__(self, n: int, draw: int):
+        self.n = n
+        self.a = max(1, math.isqrt(max(0, n - 1)) + 1)
+        self.b = max(1, -(-n // self.a))
+        digits = [hashlib.md5(f"{draw}-{i}".encode()).hexdigest() for i in range(ROUNDS)]
+        self.keys = [tuple(int(d[7 * j : 7 * j + 7], 16) for j in range(3)) for d in digits]
+
+    def once(self, place: np.ndarray, rounds, sign: int) -> np.ndarray:
+        left, right = place // self.b, place % self.b
+        for i in rounds:
+            p, q, r = self.keys[i]
+            x = left if i % 2 else right
+            more = sign * (((x * x % PRIME) * p + x * q + r) % PRIME)
+            if i % 2:
+                right = (right + more) % self.b
+            else:
+                left = (left + more) % self.a
+        return left * self.b + right
+
+    def walked(self, place: np.ndarray, rounds, sign: int) -> np.ndarray:
+        out = self.once(place, rounds, sign)
+        while (far := out >= self.n).any():
+            out[far] = self.once(out[far], rounds, sign)
+        return out
+
+    def forward(self, place: np.ndarray) -> np.ndarray:
+        return self.walked(place, range(ROUNDS), 1)
+
+    def backward(self, place: np.ndarray) -> np.ndarray:
+        return self.walked(place, range(ROUNDS - 1, -1, -1), -1)
+
+
+HELD = 1_000_000  # values of a column that are sent to the executors
+DRAWS = 50  # draws of a part that meet in one task
+
+
+def permuted_sums(cells: int, grid: np.ndarray, shift: float, kappa: np.ndarray, rest: list[np.ndarray], where: list[tuple[int, int]], out: np.ndarray) -> None:
+    """Add the sums by cell of products of 1, the permuted variable and the other columns."""
+    cell = np.searchsorted(grid, kappa, side="left")
+    terms = [np.ones(len(kappa)), kappa - shift, *rest]
+    for p, (i, j) in enumerate(where):
+        out[:, p] += np.bincount(cell, weights=terms[i] * terms[j], minlength=cells)
 
-def placebo(found: Search, key: Column, draws: int) -> list[tuple[int, float, float]]:
-    """(draw, sup statistic, gamma) with the threshold variable permuted over the rows.
 
-    ``key`` must tell rows apart.  Rows are dealt into random parts of about
-    ``GROUP`` by a hash and put in its order there; each draw then permutes the
-    places of a part by arithmetic.  So a row is shuffled once, whatever the
-    number of draws, and only sums by cell leave a part.
+def placebo(found: Search, key: Column, draws: int, held: int = HELD, part: int = GROUP) -> list[tuple[int, float, float]]:
+    """(draw, sup statistic, gamma) with the threshold variable permuted over all rows, anew for each draw.
+
+    ``key`` must tell rows apart; its hash gives each row a place, and draw d
+    gives the row at place i the value of the row at place ``forward(i)`` of
+    its :class:`Bijection`.  Up to ``held`` rows the values are sent to the
+    executors; beyond, each value is sent to the part of places where it is
+    wanted, for all draws in one exchange.  A task meets ``part`` rows and
+    ``DRAWS`` draws; only sums by cell leave it.
     """
     if draws < 1:
         return []
     n = int(sum(c[0, 0] for c in found.cells))
     columns = [*found.controls, found.y]
-    k, cells, grid = len(columns) + 2, len(found.grid) + 1, np.array(found.grid)
-    rows = found.rows.select(F.md5(F.concat_ws("-", key.cast("string"), F.lit("0"))).alias("h"), F.col(found.kappa).cast("double").alias("k"), centred(found.kappa, found.mean).alias("x"), *[centred(c, found.mean).alias(f"c{i}") for i, c in enumerate(columns)])
-    rows = rows.withColumn("part", hash_part(F.col("h"), max(1, -(-n // GROUP))))
+    k, cells, grid, shift = len(columns) + 2, len(found.grid) + 1, np.array(found.grid), found.mean[found.kappa]
+    rows = found.rows.select(F.md5(F.concat_ws("-", key.cast("string"), F.lit("0"))).alias("h"), F.col(found.kappa).cast("double").alias("k"), *[centred(c, found.mean).alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = written(ranked(rows, [], "h", n, part).withColumn("place", F.col("rank") - 1).drop("h", "rank"), "places")
     where = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def moved(table: pa.Table) -> pa.Table:
-        table = table.sort_by("h")
-        kappa, x, *rest = (table[c].to_numpy() for c in ("k", "x", *[f"c{i}" for i in range(k - 2)]))
-        m = len(x)
-        cell_at = np.searchsorted(grid, kappa, side="left")
-        place = np.arange(m)
-        out = np.zeros((draws, cells, len(where)))
-        for d in range(draws):
-            a, shift = steps(d + 1, m)
-            here = (a * place + shift) % m
-            cell = cell_at[here]
-            terms = [np.ones(m), x[here], *rest]
-            for p, (i, j) in enumerate(where):
-                out[d, :, p] = np.bincount(cell, weights=terms[i] * terms[j], minlength=cells)
-        return pa.table({"d": pa.array(np.repeat(np.arange(draws), cells), pa.int32()), "c": pa.array(np.tile(np.arange(cells), draws), pa.int32()), "m": pa.array(list(out.reshape(-1, len(where))), pa.list_(pa.float64()))})
-
-    sums = rows.groupBy("part").applyInArrow(moved, "d int, c int, m array<double>").select("d", "c", F.posexplode("m").alias("at", "v")).groupBy("d", "c", "at").agg(F.sum("v").alias("v")).toPandas()
+    names = ["place", *[f"c{i}" for i in range(k - 2)]]
+
+    def sent(total: np.ndarray, first: int) -> pa.Table:
+        d = len(total)
+        return pa.table({"d": pa.array(np.repeat(np.arange(first, first + d), cells), pa.int32()), "c": pa.array(np.tile(np.arange(cells), d), pa.int32()), "m": pa.array(list(total.reshape(-1, len(where))), pa.list_(pa.float64()))})
+
+    if n <= held:
+        values = rows.select("place", "k").toPandas()
+        kappa = np.empty(n)
+        kappa[values["place"].to_numpy()] = values["k"].to_numpy()
+        shared = rows.sparkSession.sparkContext.broadcast(kappa)
+
+        def here(batches):
+            total, way = np.zeros((draws, cells, len(where))), [Bijection(n, d + 1) for d in range(draws)]
+            for batch in batches:
+                place, *rest = (batch.column(c).to_numpy() for c in names)
+                for d in range(draws):
+                    permuted_sums(cells, grid, shift, shared.value[way[d].forward(place)], rest, where, total[d])
+            yield from sent(total, 0).to_batches()
+
+        spread = rows.select(*names).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // GROUP))
+        sums = spread.mapInArrow(here, "d int, c int, m array<double>")
+    else:
+        parts = lambda place: F.floor(place / part).cast("int")
+
+        def away(batches):
+            way = [Bijection(n, d + 1) for d in range(draws)]
+            for batch in batches:
+                place, kappa = batch.column("place").to_numpy(), batch.column("k")
+                for d in range(draws):
+                    to = way[d].backward(place)
+                    yield pa.record_batch({"in_part": pa.array(to // part, pa.int32()), "in_lot": pa.array(np.full(len(to), d // DRAWS), pa.int32()), "d": pa.array(np.full(len(to), d % DRAWS), pa.int32()), "at": pa.array(to % part, pa.int32()), "k": kappa})
+
+        def met(own: pa.Table, arrived: pa.Table) -> pa.Table:
+            order = np.argsort(own["place"].to_numpy())
+            rest = [own[c].to_numpy()[order] for c in names[1:]]
+            kappa = np.empty((DRAWS, len(order)))
+            kappa[arrived["d"].to_numpy(), arrived["at"].to_numpy()] = arrived["k"].to_numpy()
+            some = int(arrived["d"].to_numpy().max()) + 1
+            total = np.zeros((some, cells, len(where)))
+            for d in range(some):
+                permuted_sums(cells, grid, shift, kappa[d], rest, where, total[d])
+            return sent(total, DRAWS * own["lot"][0].as_py())
+
+        lots = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS))).alias("lot")
+        own = rows.select(*names, parts(F.col("place")).alias("part"), lots)
+        arriving = rows.select("place", "k").mapInArrow(away, "in_part int, in_lot int, d int, at int, k double")
+        sums = own.groupBy("part", "lot").cogroup(arriving.groupBy("in_part", "in_lot")).applyInArrow(met, "d int, c int, m array<double>")
+
+    sums = sums.select("d", "c", F.posexplode("m").alias("at", "v")).groupBy("d", "c", "at").agg(F.sum("v").alias("v")).toPandas()
     flat = np.zeros((draws, cells, len(where)))
     flat[sums["d"].to_numpy(int), sums["c"].to_numpy(int), sums["at"].to_numpy(int)] = sums["v"].to_numpy(float)
     full = np.zeros((draws, cells, k, k))
     for p, (i, j) in enumerate(where):
         full[:, :, i, j] = full[:, :, j, i] = flat[:, :, p]
-    out = []
-    for d in range(draws):
-        gamma, sup = best(f_curve(list(full[d]), found.x, k - 1, found.min_regime), found.grid)
-        if sup is not None:
-            out.append((d + 1, sup, gamma))
-    return out
+    return sups(full, found)
 
 
 def draws_frame(spark: SparkSession, draws: list[tuple[int, float, float | None]]) -> DataFrame:

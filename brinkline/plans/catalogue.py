@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import binning, code_metrics, status, text
 from ..operators import forest, regression, similarity, summary, threshold
+from ..operators.moments import gram
 from ..sources import tasks
 from . import stages
 from .enrich import enrich
@@ -231,8 +232,8 @@ def first_stage(spark, sf_dir):
 
 
 def hausman(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
-    out = [(name, regression.hausman(rows, "y", "kappa", CONTROLS, INSTRUMENTS, corrected=c)[0]) for name, c in (("fitted", False), ("corrected", True))]
+    m = gram(_lines(spark, sf_dir), [*CONTROLS, "kappa", *INSTRUMENTS, "y"])
+    out = [(name, regression.hausman_of(m, "y", "kappa", CONTROLS, INSTRUMENTS, corrected=c)[0]) for name, c in (("fitted", False), ("corrected", True))]
     return spark.createDataFrame([(n, None if h is None else round(float(h), 4)) for n, h in out], "variant string, h double")
 
 
@@ -477,12 +478,22 @@ def _boot_sql(draws: int) -> str:
   SELECT iter, x, b0 + b1 * x + (y - b0 - b1 * x) * CASE WHEN ({digit} >> (3 - (iter - 1) % 4)::INT) & 1 = 0 THEN 1 ELSE -1 END AS y FROM o, b, range(1, {draws + 1}) i(iter)"""
 
 
+def _walk_sql(source: str) -> str:
+    """One pass of a draw's rounds over the places ``v``."""
+    out = f"SELECT iter, place, v // b AS l, v % b AS r, n, a, b, ks FROM {source}"
+    for i in range(threshold.ROUNDS):
+        own, other, size = ("r", "l", "b") if i % 2 else ("l", "r", "a")
+        more = f"((({other} * {other} % {threshold.PRIME}) * ks[{3 * i + 1}] + {other} * ks[{3 * i + 2}] + ks[{3 * i + 3}]) % {threshold.PRIME})"
+        out = f"SELECT iter, place, n, a, b, ks, {other}, ({own} + {more}) % {size} AS {own} FROM ({out})"
+    return f"SELECT iter, place, l * b + r AS v, n, a, b, ks FROM ({out})"
+
+
 def _placebo_sql(draws: int) -> str:
-    return f"""WITH o AS ({ORDERS}), h AS (SELECT *, md5(key::VARCHAR || '-0') AS h, ceil((SELECT count(*) FROM o) / {threshold.GROUP}.0)::DOUBLE AS parts FROM o),
-  p AS (SELECT *, floor(('0x' || substr(h, 1, 7))::UBIGINT::DOUBLE * parts / 268435456.0)::BIGINT AS part FROM h),
-  r AS MATERIALIZED (SELECT x, y, part, row_number() OVER (PARTITION BY part ORDER BY h) - 1 AS place, count(*) OVER (PARTITION BY part) AS m FROM p),
-  s AS MATERIALIZED (SELECT part, iter, min(({threshold.PRIMES[0]} * iter) % m + j) AS a, min(({threshold.PRIMES[1]} * iter) % m) AS shift FROM (SELECT DISTINCT part, m FROM r), range(1, {draws + 1}) i(iter), range(300) t(j) WHERE gcd(({threshold.PRIMES[0]} * iter) % m + j, m) = 1 GROUP BY part, iter)
-  SELECT iter, q.x AS x, r.y AS y FROM r JOIN s USING (part) JOIN r q ON q.part = r.part AND q.place = (s.a * r.place + s.shift) % r.m"""
+    return f"""WITH RECURSIVE o AS ({ORDERS}), r AS MATERIALIZED (SELECT x, y, row_number() OVER (ORDER BY md5(key::VARCHAR || '-0')) - 1 AS place FROM o),
+  d AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM o)),
+  k AS (SELECT iter, list_transform(range({3 * threshold.ROUNDS}), lambda j: ('0x' || substr(md5(iter::VARCHAR || '-' || (j // 3)::VARCHAR), (1 + 7 * (j % 3))::INT, 7))::UBIGINT::BIGINT) AS ks FROM range(1, {draws + 1}) i(iter)),
+  s AS ({_walk_sql('(SELECT iter, place, place AS v, n, a, b, ks FROM r, d, k)')} UNION ALL {_walk_sql('(SELECT * FROM s WHERE v >= n)')})
+  SELECT s.iter, q.x AS x, p.y AS y FROM s JOIN r p USING (place) JOIN r q ON q.place = s.v WHERE s.v < s.n"""
 
 
 SUP = "SELECT iter::INT AS iter, round(max(f), 6) AS sup_f, arg_max(gamma, round(f, 9) - gamma * 1e-12) AS gamma FROM c WHERE f IS NOT NULL GROUP BY iter"
@@ -617,6 +628,11 @@ fake AS (SELECT avg(d.gamma) AS m, stddev_pop(d.gamma) AS sd, avg((d.f >= best.f
 SELECT gamma, round(f, 6) AS sup_f, p, {words} AS significance, round((gamma - m) / sd, 6) AS z, q AS placebo_p, CASE WHEN q < 0.05 THEN 'real' ELSE 'may be spurious' END AS verdict FROM best, boot, fake"""
 
 
+def _resampling_500_sql() -> str:
+    draws = lambda kind, source: f"SELECT '{kind}' AS kind, count(*) AS n, round(avg(f), 6) AS mean_sup FROM ({_curve_sql(source, 'y', 'x', 'iter')} SELECT iter, max(f) AS f FROM c WHERE f IS NOT NULL GROUP BY iter)"
+    return draws("bootstrap", _boot_sql(Settings().bootstrap)) + " UNION ALL " + draws("placebo", _placebo_sql(Settings().placebo))
+
+
 def _stage2_sql() -> str:
     naive = f"({_ols_sql(LINES, ['one', 'k', 'w1', 'w2'], 'y', ['const', 'kappa', 'l_discount', 'l_tax'])})"
     iv = f"(WITH {_iv_sql()} {_table_sql(['const', 'l_discount', 'l_tax', 'kappa'], '1.0')})"
@@ -661,6 +677,7 @@ SQL: dict[str, str] = {
     "threshold_controls": _wide_curve_sql("l_quantity", ["l_discount", "l_tax"], "l_extendedprice", "lineitem") + " SELECT gamma, round(f, 6) AS f_stat FROM f",
     "figure_threshold": _wide_curve_sql("l_quantity", ["l_discount"], "l_extendedprice", "lineitem") + " SELECT coalesce((SELECT gamma FROM f WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1), 6.0)::DOUBLE AS gamma",
     "resampling_report": _resampling_sql(),
+    "resampling_500": _resampling_500_sql(),
     "forest_oof": "SELECT doc_id AS id, true AS in_range, true AS oof_in_range, CASE WHEN quality = 0 THEN true END AS failure_keeps_model FROM labels JOIN documents USING (doc_id)",
     "forest_importance": "SELECT unnest(['inst_tokens', 'inst_if_count', 'inst_loop_count', 'inst_avg_word_len']) AS feature, 1.0::DOUBLE AS total, true AS none_negative",
     "forest_sensitivity": 'SELECT true AS ordered, true AS bounded, true AS "correlation"',

@@ -152,9 +152,8 @@ def test_placebo_keeps_the_values(spark):
     assert len(fake) == 3 and all(2 <= g < 15 and s > 0 for _, s, g in fake)
     order = np.argsort([hashlib.md5(f"{int(i)}-0".encode()).hexdigest() for i in d[:, 0]])
     for draw, sup, _ in fake:
-        a, shift = threshold.steps(draw, 400)
         moved = d[order].copy()
-        moved[:, 1] = moved[(a * np.arange(400) + shift) % 400, 1]
+        moved[:, 1] = moved[threshold.Bijection(400, draw).forward(np.arange(400)), 1]
         assert sorted(moved[:, 1]) == sorted(d[:, 1]) and (moved[:, 1] != d[order, 1]).mean() > 0.9
         assert sup == pytest.approx(max(v for v in brute_curve(moved, moved[:, 3], TINY.grid, 30) if v is not None), rel=1e-7)
     ranks = threshold.ranked(spark.range(1000).withColumn("h", F.md5(F.col("id").cast("string"))), [], "h", 400_000)
@@ -162,6 +161,48 @@ def test_placebo_keeps_the_values(spark):
     assert [r["rank"] for r in got] == list(range(1, 1001))
 
 
+def test_bijections_of_all_sizes():
+    for n in [*range(1, 40), 1000, 9_999, 65_537]:
+        for draw in (1, 2, 77):
+            one, place = threshold.Bijection(n, draw), np.arange(n)
+            to = one.forward(place)
+            assert np.array_equal(np.sort(to), place) and np.array_equal(one.backward(to), place)
+
+
+def test_placebo_by_exchange_is_the_same(spark, monkeypatch):
+    """Parts of 64 places and lots of 3 draws give what the values sent to all executors give."""
+    monkeypatch.setattr(threshold, "DRAWS", 3)
+    found = threshold.search(frame(spark, kinked(500)), "y", "k", ["c"], TINY)
+    key = F.col("id").cast("long")
+    whole, parted = threshold.placebo(found, key, 7), threshold.placebo(found, key, 7, held=0, part=64)
+    assert [(d, g) for d, _, g in whole] == [(d, g) for d, _, g in parted]
+    assert [s for _, s, _ in whole] == pytest.approx([s for _, s, _ in parted], rel=1e-9)
+
+
+def test_placebo_has_the_distribution_of_independent_permutations(spark):
+    d = kinked(600, jump=0.0)
+    found = threshold.search(frame(spark, d), "y", "k", [], TINY)
+    mine = np.sort([s for _, s, _ in threshold.placebo(found, F.col("id").cast("long"), 400)])
+    g, free = np.random.default_rng(5), []
+    for _ in range(400):
+        moved = d.copy()
+        moved[:, 1] = g.permutation(moved[:, 1])
+        moved[:, 2] = 0
+        x = np.stack([np.ones(600), moved[:, 1]], axis=1)
+        pooled = lstsq_rss(x, moved[:, 3])[1]
+        best = 0.0
+        for gamma in TINY.grid:
+            low = moved[:, 1] <= gamma
+            if min(low.sum(), (~low).sum()) >= 30:
+                split = sum(lstsq_rss(x[m], moved[m, 3])[1] for m in (low, ~low))
+                best = max(best, (pooled - split) / 2 / (split / 596))
+        free.append(best)
+    both = np.sort(np.concatenate((mine, free)))
+    gap = np.abs(np.searchsorted(mine, both, side="right") / 400 - np.searchsorted(np.sort(free), both, side="right") / 400).max()
+    assert gap < 1.63 * (2 / 400) ** 0.5  # Kolmogorov-Smirnov at 1 %
+    assert len(set(np.round(mine, 9))) == 400
+
+
 def test_threshold_edge_cases(spark):
     none = frame(spark, kinked(20))
     found = threshold.search(none, "y", "k", ["c"], TINY)
@@ -183,13 +224,12 @@ def test_similarity(spark):
     assert best("", ["zzz yyy"]) == 0.0
 
 
-def test_similarity_to_a_large_corpus_is_the_same(spark, monkeypatch):
+def test_similarity_to_a_large_corpus_is_the_same(spark):
     a = spark.createDataFrame([(1, "sort a list of integers Sort"), (2, None), (3, "nothing shared"), (4, "the list of the list of")], "i int, t string")
     b = spark.createDataFrame([(1, "sort a list of strings"), (2, "reverse the list"), (3, None)], "j int, t string")
     both = []
     for limit in (0, 1000):
-        monkeypatch.setattr(similarity, "TERMS", limit)
-        both.append({r["i"]: r["similarity"] for r in similarity.max_similarity(a, b, "i", "t", "j", "t").collect()})
+        both.append({r["i"]: r["similarity"] for r in similarity.max_similarity(a, b, "i", "t", "j", "t", terms=limit).collect()})
     assert both[0] == pytest.approx(both[1]) and both[0][1] > 0
 
 
