@@ -28,7 +28,9 @@ class Settings:
     trees: int = 100
     depth: int = 10
     seed: int = 42
+    resample_rows: bool = True  # whether a tree sees a sample of the rows with replacement
     folds: int = 10
+    fits: int = 4  # forests that are fitted at a time
     grid_start: float = 2.0
     grid_end: float = 15.0
     grid_step: float = 0.5

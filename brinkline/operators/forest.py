@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -22,7 +24,15 @@ def assembled(df: DataFrame, features: list[str], to: str = "features") -> DataF
 
 
 def forest(settings: Settings, target: str) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", numTrees=settings.trees, maxDepth=settings.depth, featureSubsetStrategy="all", seed=settings.seed, maxBins=64, cacheNodeIds=True)
+    return RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", numTrees=settings.trees, maxDepth=settings.depth, featureSubsetStrategy="all", seed=settings.seed, bootstrap=settings.resample_rows, maxBins=64, cacheNodeIds=True)
+
+
+def fitted(frames: list[DataFrame], settings: Settings, target: str) -> list[RandomForestRegressionModel]:
+    """One model for each frame.  A fit is a chain of small jobs, so several chains run side by side."""
+    spark = frames[0].sparkSession
+    fit = inheritable_thread_target(spark)(lambda df: forest(settings, target).fit(df))
+    with ThreadPoolExecutor(max_workers=max(1, min(settings.fits, len(frames)))) as pool:
+        return list(pool.map(fit, frames))
 
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 42, to: str = "fold") -> DataFrame:
@@ -41,18 +51,19 @@ def importances(model: RandomForestRegressionModel, features: list[str], spark)
     return spark.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double")
 
 
-def out_of_fold(rows: DataFrame, target: str, key: str, settings: Settings) -> DataFrame:
-    """``key, fold, target, prediction`` of rows with a ``features`` vector and a unique key: each row
-    predicted by the model that has not seen its fold.  One pass over the predictions of all folds."""
+def out_of_fold(rows: DataFrame, target: str, key: str, settings: Settings) -> tuple[DataFrame, RandomForestRegressionModel]:
+    """``key, fold, target, prediction`` of rows with a ``features`` vector and a unique key, each row
+    predicted by the model that has not seen its fold; and the model of all rows, fitted beside the others."""
     rows = folds(rows, key, settings.folds, settings.seed).select(key, "fold", F.col(target).cast("double").alias(target), "features").persist()
+    *parts, whole = fitted([*[rows.filter(F.col("fold") != k) for k in range(settings.folds)], rows], settings, target)
     out = None
-    for k in range(settings.folds):
-        part = forest(settings, target).fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k)).select(key, "fold", target, "prediction")
+    for k, model in enumerate(parts):
+        part = model.transform(rows.filter(F.col("fold") == k)).select(key, "fold", target, "prediction")
         out = part if out is None else out.unionByName(part)
     out = out.persist()
     out.count()
     rows.unpersist()
-    return out
+    return out, whole
 
 
 ROW = "__row"
@@ -88,8 +99,7 @@ def train(df: DataFrame, features: list[str], target: str = "kappa_actual", flag
     settings = settings or Settings()
     base = assembled(with_row_key(df), features).withColumn(target, F.col(target).cast("double")).persist()
     good = successes(base, flag)
-    oof = out_of_fold(good, target, ROW, settings)
-    model = forest(settings, target).fit(good)
+    oof, model = out_of_fold(good, target, ROW, settings)
     scored = model.transform(base).withColumnRenamed("prediction", "kappa_predicted").drop("features").join(oof.select(ROW, F.col("prediction").alias("__oof")), ROW, "left")
     scored = scored.withColumn("kappa_predicted_oof", F.coalesce("__oof", "kappa_predicted")).drop("__oof", ROW)
     return Stage1(model, scored, cv_report(oof, target, "prediction"), importances(model, features, df.sparkSession), spread_report(fake_simple(scored, target, flag), "kappa_predicted"), [base, oof])
@@ -99,10 +109,13 @@ def sensitivity(df: DataFrame, model: RandomForestRegressionModel, features: lis
     """Cross-validation on all rows, and the correlation of both models' predictions on the failures."""
     settings = settings or Settings()
     base = assembled(with_row_key(df), features).withColumn(target, F.col(target).cast("double")).persist()
-    oof = out_of_fold(base, target, ROW, settings)
-    full = forest(settings, target).fit(base)
+    oof, full = out_of_fold(base, target, ROW, settings)
     both = full.transform(model.transform(failures(base, flag)).withColumnRenamed("prediction", "by_successes")).withColumnRenamed("prediction", "by_all")
-    return cv_report(oof, target, "prediction"), correlation(both, "by_successes", "by_all")
+    # a row each, kept so that the cached rows can go
+    out = tuple(df.sparkSession.createDataFrame(one.collect(), one.schema) for one in (cv_report(oof, target, "prediction"), correlation(both, "by_successes", "by_all")))
+    for held in (base, oof):
+        held.unpersist()
+    return out
 
 
 def save(model: RandomForestRegressionModel, path: str) -> None:

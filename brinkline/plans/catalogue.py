@@ -325,40 +325,42 @@ def cv_metrics(spark, sf_dir):
     return rounded(summary.cv_report(rows, "y", "p"), "mean_r2", "sd_r2", "min_r2", "max_r2", "mean_mae", "oof_r2")
 
 
+FOREST_FEATURES = ["inst_tokens", "inst_if_count", "inst_loop_count", "inst_class_count"]
+
+
 def _forest_rows(spark, sf_dir):
+    """Labelled documents: coarse counts, of few values each, as features and the length as what they predict."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
     rows = rows.select("doc_id", "n_chars", "quality", text.instruction_features(F.col("text"), FIXTURE_LEXICON).alias("f"))
-    return rows.select(F.col("doc_id").alias("id"), "f.*", F.log(F.col("n_chars") + 1.0).alias("kappa_actual"), F.col("quality").alias("is_success"))
+    coarse = [F.least(F.floor(F.col(f"f.{c}") / (25 if c == "inst_tokens" else 2)), F.lit(40)).cast("long").alias(c) for c in FOREST_FEATURES]
+    return rows.select(F.col("doc_id").cast("long").alias("id"), *coarse, F.col("n_chars").cast("long").alias("kappa_actual"), F.col("quality").cast("long").alias("is_success"))
 
 
-SMALL = Settings(trees=10, depth=4, folds=3)
-FOREST_FEATURES = ["inst_tokens", "inst_if_count", "inst_loop_count", "inst_avg_word_len"]
+TREE = Settings(trees=1, depth=3, folds=3, resample_rows=False)
 
 
 def forest_oof(spark, sf_dir):
-    """Each row once: its predictions lie in the range of the successes' outcomes (a forest averages
-    them), and a failure's held-out prediction is that of the one model."""
-    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=SMALL)
-    low, high = summary.successes(out.scored).agg(F.min("kappa_actual"), F.max("kappa_actual")).first()
-    inside = lambda c: F.col(c).between(low, high)
-    same = F.col("kappa_predicted") == F.col("kappa_predicted_oof")
-    return out.scored.select("id", inside("kappa_predicted").alias("in_range"), inside("kappa_predicted_oof").alias("oof_in_range"), F.when(F.col("is_success") == 0, same).alias("failure_keeps_model"))
+    """Predictions of all rows by the model of the successes, and held out ones, of single trees."""
+    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=TREE)
+    return rounded(out.scored.select("id", "kappa_predicted", "kappa_predicted_oof"), "kappa_predicted", "kappa_predicted_oof")
 
 
 def forest_importance(spark, sf_dir):
-    """The features, and what their importances add up to."""
-    out = forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=SMALL).importances
-    total = out.agg(r6(F.sum("importance")).alias("total"), F.min(F.col("importance") >= 0).alias("none_negative"))
-    return out.select("feature").crossJoin(total)  # one row
+    return rounded(forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES, settings=TREE).importances, "importance")
 
 
 def forest_sensitivity(spark, sf_dir):
-    """Scores of the folds over all rows in their order, and a correlation that is one."""
+    """Scores of the folds over all rows, and the correlation of both models on the failures."""
     rows = _forest_rows(spark, sf_dir)
-    model = forest.train(rows, FOREST_FEATURES, settings=SMALL).model
-    scores, corr = forest.sensitivity(rows, model, FOREST_FEATURES, settings=SMALL)
+    model = forest.train(rows, FOREST_FEATURES, settings=TREE).model
+    scores, corr = forest.sensitivity(rows, model, FOREST_FEATURES, settings=TREE)
     both = scores.crossJoin(corr)  # one row each
-    return both.select(F.expr("min_r2 <= mean_r2 and mean_r2 <= max_r2 and max_r2 <= 1").alias("ordered"), F.expr("mean_mae > 0 and oof_r2 <= 1").alias("bounded"), F.expr("corr between -1 and 1").alias("correlation"))
+    return rounded(both, *both.columns)
+
+
+def forest_full(spark, sf_dir):
+    """All trees and folds: every row's prediction and held-out prediction."""
+    return forest.train(_forest_rows(spark, sf_dir), FOREST_FEATURES).scored.select("id", "kappa_actual", "is_success", "kappa_predicted", "kappa_predicted_oof")
 
 
 def tfidf_max_cosine(spark, sf_dir):
@@ -644,6 +646,28 @@ def _stage2_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
+def _tree_sql(which: str) -> str:
+    """CTEs of regression trees of depth 3: ``pred`` has the prediction ``p`` of every row by each model ``m``,
+    ``splits`` the chosen splits with their gains.  Model -1 sees all rows of ``which``, -2 those of success, k
+    all of ``which`` but fold k.  Cuts lie halfway between neighbouring values of the rows that a model sees."""
+    json = ", ".join(f"'{c}': {e}" for c, e in [("id", "id"), *[(c, f"f{i}") for i, c in enumerate(FOREST_FEATURES, 1)], ("kappa_actual", "y"), ("is_success", "quality")])
+    coarse = [f"least({f'len(regexp_extract_all(text, {chr(39)}' + chr(92) + f'S+{chr(39)}))' if c == 'inst_tokens' else _hits(FIXTURE_LEXICON[c.split('_')[1]])} // {25 if c == 'inst_tokens' else 2}, 40)::BIGINT AS f{i}" for i, c in enumerate(FOREST_FEATURES, 1)]
+    out = f"""WITH src AS MATERIALIZED (SELECT doc_id::BIGINT AS id, {', '.join(coarse)}, n_chars::BIGINT AS y, quality::BIGINT AS quality FROM documents JOIN labels USING (doc_id)),
+rows AS MATERIALIZED (SELECT id, (row_number() OVER (ORDER BY md5(md5(to_json({{{json}}})::VARCHAR) || '-1-42')) - 1) % 3 AS fold FROM src WHERE {which}),
+train AS MATERIALIZED (SELECT m, id, y FROM src JOIN rows USING (id), range(-1, 3) t(m) WHERE fold <> m UNION ALL SELECT -2, id, y FROM src WHERE quality = 1),
+feature AS MATERIALIZED ({' UNION ALL '.join(f'SELECT id, {i} AS f, f{i} AS x FROM src' for i in range(1, 5))}),
+cuts AS MATERIALIZED (SELECT * FROM (SELECT m, f, (x + lead(x) OVER (PARTITION BY m, f ORDER BY x)) / 2 AS cut FROM (SELECT DISTINCT m, f, x FROM train JOIN feature USING (id))) WHERE cut IS NOT NULL),
+n0 AS MATERIALIZED (SELECT m, id, 1 AS node, false AS leaf FROM (SELECT DISTINCT m FROM train), src)"""
+    for d in range(3):
+        out += f""",
+g{d} AS (SELECT m, node, f, cut, count(*) AS n, sum(y) AS s, sum(y * y) AS ss, count(*) FILTER (x <= cut) AS nl, sum(y) FILTER (x <= cut) AS sl, sum(y * y) FILTER (x <= cut) AS ssl FROM train JOIN n{d} USING (m, id) JOIN feature USING (id) JOIN cuts USING (m, f) WHERE NOT leaf GROUP BY ALL),
+b{d} AS MATERIALIZED (SELECT m, node, unnest(arg_max({{'f': f, 'cut': cut, 'gain': gain}}, (round(gain, 3), -f, -cut))) FROM (SELECT *, (ss - s * s / n) - (ssl - sl * sl / nl) - ((ss - ssl) - (s - sl) * (s - sl) / (n - nl)) AS gain FROM g{d} WHERE nl > 0 AND nl < n) WHERE gain > 1e-6 GROUP BY m, node),
+n{d + 1} AS MATERIALIZED (SELECT m, id, CASE WHEN cut IS NULL THEN node ELSE 2 * node + (x > cut)::INT END AS node, cut IS NULL AS leaf FROM n{d} LEFT JOIN b{d} USING (m, node) LEFT JOIN feature USING (id, f))"""
+    means = "SELECT m, node, avg(y) AS p FROM train JOIN n3 USING (m, id) GROUP BY m, node"
+    return out + f""",
+splits AS ({' UNION ALL '.join(f'SELECT * FROM b{d}' for d in range(3))}), pred AS MATERIALIZED (SELECT m, id, p FROM n3 JOIN ({means}) USING (m, node))"""
+
+
 CODE = "p_size % 3 + p_size % 2 + p_size % 5"
 TALKS = "SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn) AS input, avg((role = 'user')::INT) AS rate FROM conversations GROUP BY conv_id"
 
@@ -678,9 +702,12 @@ SQL: dict[str, str] = {
     "figure_threshold": _wide_curve_sql("l_quantity", ["l_discount"], "l_extendedprice", "lineitem") + " SELECT coalesce((SELECT gamma FROM f WHERE f IS NOT NULL ORDER BY round(f, 9) DESC, gamma LIMIT 1), 6.0)::DOUBLE AS gamma",
     "resampling_report": _resampling_sql(),
     "resampling_500": _resampling_500_sql(),
-    "forest_oof": "SELECT doc_id AS id, true AS in_range, true AS oof_in_range, CASE WHEN quality = 0 THEN true END AS failure_keeps_model FROM labels JOIN documents USING (doc_id)",
-    "forest_importance": "SELECT unnest(['inst_tokens', 'inst_if_count', 'inst_loop_count', 'inst_avg_word_len']) AS feature, 1.0::DOUBLE AS total, true AS none_negative",
-    "forest_sensitivity": 'SELECT true AS ordered, true AS bounded, true AS "correlation"',
+    "forest_oof": _tree_sql("quality = 1") + " SELECT s.id, round(w.p, 6) AS kappa_predicted, round(coalesce(h.p, w.p), 6) AS kappa_predicted_oof FROM src s JOIN pred w ON w.id = s.id AND w.m = -1 LEFT JOIN rows r ON r.id = s.id LEFT JOIN pred h ON h.id = s.id AND h.m = r.fold",
+    "forest_importance": _tree_sql("quality = 1") + f" SELECT {FOREST_FEATURES}[f.i] AS feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM splits WHERE m = -1), 6) AS importance FROM range(1, 5) f(i) LEFT JOIN splits s ON s.f = f.i AND m = -1 GROUP BY f.i",
+    "forest_sensitivity": _tree_sql("true")
+    + """, d AS (SELECT r.fold, s.y, p.p FROM rows r JOIN src s USING (id) JOIN pred p ON p.id = r.id AND p.m = r.fold), e AS (SELECT fold, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae FROM d GROUP BY fold)
+SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, round(avg(mae), 6) AS mean_mae, (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) FROM d) AS oof_r2,
+(SELECT round(corr(a.p, b.p), 6) FROM src JOIN pred a ON a.id = src.id AND a.m = -2 JOIN pred b ON b.id = src.id AND b.m = -1 WHERE quality <> 1) AS corr FROM e""",
     "success_split": "SELECT count(*) AS n, round(avg(toxic), 6) AS mean_toxic, CASE WHEN quality = 1 THEN 'success' ELSE 'failure' END AS side FROM labels GROUP BY side",
     "load_report": "SELECT count(*) AS n, round(avg(quality), 6) AS success_rate, round(avg(toxic), 6) AS mean_pass_rate, round(avg(n_chars), 6) AS mean_actual, round(avg(n_chars / 100.0::DOUBLE), 6) AS mean_predicted FROM documents JOIN labels USING (doc_id)",
     "fake_simple_report": "SELECT count(*) AS n, round(avg(t), 6) AS mean, round(median(t), 6) AS median, max(t)::BIGINT AS max FROM (SELECT len(regexp_extract_all(text, '\\S+')) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 AND quality = 0)",
@@ -721,7 +748,7 @@ NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
     "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
-    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "enrich_records", "load_records",
+    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "enrich_records", "load_records",
 )
 
 

@@ -12,7 +12,7 @@ def test_entry_and_names(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", ["text_features_documents", "explicit_bins_flow", "threshold_curve", "placebo", "cv_metrics", "ols_multi_hc1", "iv_2sls", "first_stage", "hausman", "threshold_controls", "enrich_records", "load_records", "pass_rate_string", "ast_metrics", "forest_oof", "tfidf_max_cosine"])
+@pytest.mark.parametrize("name", ["text_features_documents", "explicit_bins_flow", "threshold_curve", "placebo", "cv_metrics", "ols_multi_hc1", "iv_2sls", "first_stage", "hausman", "threshold_controls", "enrich_records", "load_records", "pass_rate_string", "ast_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "tfidf_max_cosine", "tfidf_joined", "stage2", "violin_stats"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
