@@ -1,14 +1,18 @@
 """Complexity of Python snippets from the standard syntax tree.
 
-A snippet that does not parse is measured by its tokens: keywords for the
-branches, indentation for the depth.
+A snippet that does not parse is taken apart by its indentation: blocks that
+parse count as they are; of others the first line is mended (a missing colon
+or closing bracket) and what is indented below it is measured in the same way,
+one level deeper.  Of a line that cannot be mended its keywords count.
 """
 
 from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,13 +31,28 @@ def measured(code: str) -> tuple[int, int, int, int]:
     """(cyclomatic complexity, nesting depth, functions, classes)."""
     if not code:
         return 1, 0, 0, 0
+    tree = parsed(code)
+    if tree is None:
+        branches, *rest = recovered(code.replace("\0", " ").expandtabs().splitlines(), 0)
+    else:
+        branches, *rest = counted(tree, code, 0)
+    return 1 + branches, *rest
+
+
+def parsed(code: str) -> ast.Module | None:
     try:
-        tree = ast.parse(code)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # of odd escapes and comparisons in snippets
+            return ast.parse(code)
     except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return by_tokens(code)
+        return None
+
+
+def counted(tree: ast.Module, code: str, depth: int) -> tuple[int, int, int, int]:
+    """(branches, deepest level, functions, classes) of a tree that stands at a depth."""
     lines = code.split("\n")
-    branches = deepest = functions = classes = 0
-    todo: list[tuple[ast.AST, int, bool]] = [(tree, 0, False)]
+    branches, deepest, functions, classes = 0, depth, 0, 0
+    todo: list[tuple[ast.AST, int, bool]] = [(tree, depth, False)]
     while todo:
         node, depth, star = todo.pop()
         elif_ = _is_elif(node, lines)
@@ -48,25 +67,104 @@ def measured(code: str) -> tuple[int, int, int, int]:
         inner = depth + (isinstance(node, DEEPER) and not elif_)
         deepest = max(deepest, inner)
         todo += [(child, inner, isinstance(node, ast.TryStar)) for child in ast.iter_child_nodes(node)]
-    return 1 + branches, deepest, functions, classes
-
-
-def by_tokens(code: str) -> tuple[int, int, int, int]:
-    branches = functions = classes = level = deepest = 0
+    return branches, deepest, functions, classes
+
+
+OPENERS = ("if", "while", "for", "try", "with", "def", "class", "async")
+GOES_ON = ("elif", "else", "except", "finally")
+WORD = re.compile(r"\s*([A-Za-z_]\w*)?")
+DEEPEST = 100  # levels of recovery; what lies deeper counts by its keywords
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+
+
+def indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
+def first_word(line: str) -> str:
+    return WORD.match(line).group(1) or ""
+
+
+def added(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> tuple[int, int, int, int]:
+    return a[0] + b[0], max(a[1], b[1]), a[2] + b[2], a[3] + b[3]
+
+
+def recovered(lines: list[str], depth: int) -> tuple[int, int, int, int]:
+    """Counts of lines that do not parse together, block by block."""
+    lines = [line for line in lines if line.strip() and not line.lstrip().startswith("#")]
+    out = (0, depth, 0, 0)
+    if depth > DEEPEST:
+        return added(out, (sum(by_keywords(line)[0] for line in lines), depth, 0, 0))
+    at = 0
+    while at < len(lines):
+        base, end = indent(lines[at]), at + 1
+        # a block: a line, what is indented below it, and the clauses that go on with it
+        while end < len(lines) and (indent(lines[end]) > base or (indent(lines[end]) == base and (first_word(lines[end]) in GOES_ON or lines[end].lstrip()[0] in ")]}" or lines[end - 1].lstrip().startswith("@")))):
+            end += 1
+        out = added(out, block([line[base:] for line in lines[at:end]], depth))
+        at = end
+    return out
+
+
+def block(lines: list[str], depth: int) -> tuple[int, int, int, int]:
+    """Counts of one block whose first line is not indented."""
+    code = "\n".join(lines)
+    tree = parsed(code)
+    if tree is not None:
+        return counted(tree, code, depth)
+    out, at = (0, depth, 0, 0), 0
+    while at < len(lines):
+        end = at + 1
+        while end < len(lines) and indent(lines[end]) > 0:
+            end += 1
+        word = first_word(lines[at])
+        out = added(out, header(lines[at], depth))
+        if end > at + 1:
+            inner = depth + (word in OPENERS or word in GOES_ON)
+            out = added(out, recovered(lines[at + 1 : end], inner))
+        at = end
+    return out
+
+
+def header(line: str, depth: int) -> tuple[int, int, int, int]:
+    """Counts of a line without what is below it, mended if that helps."""
+    word, text = first_word(line), line.rstrip()
+    if word in GOES_ON:
+        text = {"elif": "if" + text[4:], "except": "try:\n    pass\n" + text}.get(word, "")
+    opens = word in OPENERS or word in ("elif", "except")
+    for own in (text, closed(text)):
+        for code in (own + "\n    pass", own.rstrip(":") + ":\n    pass") if opens else (own,):
+            code += "\nfinally:\n    pass" if word == "try" else ""
+            if (tree := parsed(code)) is not None:
+                found = counted(tree, code, depth)
+                return (found[0] - (word == "elif"), *found[1:])  # elif is no branch of its own
+    keywords, functions, classes = by_keywords(line)
+    return keywords, depth + (word in OPENERS), functions, classes
+
+
+def closed(text: str) -> str:
+    """A line with the brackets closed that it leaves open, before a colon at its end."""
+    open_: list[str] = []
+    for c in text:
+        if c in PAIRS:
+            open_.append(PAIRS[c])
+        elif open_ and c == open_[-1]:
+            open_.pop()
+    colon = ":" if text.endswith(":") else ""
+    return text.removesuffix(":") + "".join(reversed(open_)) + colon
+
+
+def by_keywords(line: str) -> tuple[int, int, int]:
+    """(branches, functions, classes) by the keywords of a line; a ``for`` in brackets and the ``if`` after it are one."""
+    words, level = [], 0
     try:
-        for t in tokenize.generate_tokens(io.StringIO(code).readline):
-            if t.type == tokenize.INDENT:
-                level += 1
-            elif t.type == tokenize.DEDENT:
-                level -= 1
-            deepest = max(deepest, level)
-            if t.type == tokenize.NAME:
-                branches += t.string in ("if", "while", "for", "except", "and", "or")
-                functions += t.string == "def"
-                classes += t.string == "class"
+        for t in tokenize.generate_tokens(io.StringIO(line.strip()).readline):
+            level += (t.string in PAIRS) - (t.string in PAIRS.values())
+            if t.type == tokenize.NAME and not (t.string == "if" and level > 0 and "for" in words):
+                words.append(t.string)
     except (tokenize.TokenError, SyntaxError):
         pass
-    return 1 + branches, deepest, functions, classes
+    return sum(w in ("if", "while", "for", "except", "and", "or") for w in words), words.count("def"), words.count("class")
 
 
 def _metrics(code: Column) -> Column:

@@ -383,6 +383,17 @@ def ast_metrics(spark, sf_dir):
     return whole(rows.select("p_partkey", F.col("g.ast_cyclomatic").alias("gated"), "m.ast_cyclomatic", "m.ast_nesting_depth", "m.ast_function_count", "m.ast_class_count"), "gated", "ast_cyclomatic", "ast_nesting_depth", "ast_function_count", "ast_class_count")
 
 
+def ast_recovered(spark, sf_dir):
+    """Code with planted errors: open and stray brackets, missing colons, lines that are no statement."""
+    many = lambda code, n: F.repeat(F.lit(code), (F.col("p_size") % n).cast("int"))
+    code = F.concat(
+        many("def f(:\n    return 1\n", 3), many("class A\n    pass\n", 2), many("if a and b\n    x = [i for i in y]\n", 5), F.lit("x = = 1\n"),
+        many("while c:\n    try:\n        d = )\n    except E:\n        pass\n", 4), F.lit("z = (1,\n"),
+    )
+    rows = read(spark, sf_dir, "part").select("p_partkey", code_metrics.code_metrics(code).alias("m")).select("p_partkey", "m.*")
+    return whole(rows, *rows.columns[1:])
+
+
 def _records(spark, sf_dir) -> DataFrame:
     """Scored records, one for each conversation: all its turns, "user" turns as passed checks, a
     line of code for each turn, and members that only some records have."""
@@ -692,6 +703,7 @@ SQL: dict[str, str] = {
     "enrich_records": f"SELECT conv_id::VARCHAR AS id, round({_talk('rate')}, 6) AS pass_rate, ({_talk('rate')} >= 0.8)::BIGINT AS is_success, {_talk('tokens')} AS inst_tokens, {_hits(Settings().lexicon['class'], 'input')}::BIGINT AS inst_class_count, {_hits(Settings().lexicon['collection'], 'input')}::BIGINT AS inst_collection_count, CASE WHEN conv_id % 2 <> 0 THEN 1 + n END::BIGINT AS ast_cyclomatic, CASE WHEN conv_id % 3 <> 0 THEN n ELSE 1 END::DOUBLE AS kappa_cyclomatic, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS e_norm, 0::BIGINT AS coupling_depth, 3::BIGINT AS extra FROM ({TALKS})",
     "load_records": f"SELECT conv_id::VARCHAR AS id, {_talk('tokens')} AS inst_tokens, {_hits(Settings().lexicon['collection'], 'input')}::BIGINT AS inst_collection_count, CASE WHEN conv_id % 3 <> 0 THEN n ELSE 1 END::DOUBLE AS kappa_actual, ({_talk('rate')} >= 0.8)::BIGINT AS is_success, CASE WHEN conv_id % 2 <> 0 THEN 'python' ELSE 'unknown' END AS lang, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS e_norm, 0.0::DOUBLE AS m_mem_jaccard, 0::BIGINT AS coupling_depth, round({_talk('rate')}, 6) AS pass_rate, round({_talk('rate')}, 6) AS figure_rate, CASE WHEN conv_id % 5 <> 0 THEN n / 8 ELSE 0 END::DOUBLE AS figure_e FROM ({TALKS})",
     "ast_metrics": f"SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND {CODE} > 0 THEN 1 + 3 * (p_size % 5) END::BIGINT AS gated, (1 + 3 * (p_size % 5))::BIGINT AS ast_cyclomatic, ({CODE} > 0)::BIGINT AS ast_nesting_depth, (p_size % 3)::BIGINT AS ast_function_count, (p_size % 2)::BIGINT AS ast_class_count FROM part",
+    "ast_recovered": f"SELECT p_partkey, (1 + 3 * (p_size % 5) + 2 * (p_size % 4))::BIGINT AS ast_cyclomatic, CASE WHEN p_size % 4 > 0 THEN 2 WHEN {CODE} > 0 THEN 1 ELSE 0 END::BIGINT AS ast_nesting_depth, (p_size % 3)::BIGINT AS ast_function_count, (p_size % 2)::BIGINT AS ast_class_count FROM part",
     "ols_multi_hc1": _ols_sql("SELECT 1.0::DOUBLE AS one, * FROM lineitem", ["one", "l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["const", "l_quantity", "l_discount", "l_tax"]),
     "joint_nulls": "SELECT round(regr_slope(l_extendedprice, l_discount), 4) AS slope, count(*) AS n FROM lineitem WHERE l_linenumber NOT IN (3, 5)",
     "iv_2sls": f"WITH {_iv_sql()} " + _table_sql(["const", "l_discount", "l_tax", "kappa"], "1.0"),
@@ -748,7 +760,7 @@ NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
     "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
-    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "enrich_records", "load_records",
+    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "ast_recovered", "enrich_records", "load_records",
 )
 
 

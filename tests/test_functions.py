@@ -49,10 +49,44 @@ def test_code_metrics():
     assert code_metrics.measured("def f(x):\n    if x:\n        return 1\n    elif x > 2:\n        return 2\n    for i in x:\n        pass\n") == (3, 2, 1, 0)
     assert code_metrics.measured("") == (1, 0, 0, 0)
     assert code_metrics.measured("a = b and c or d") == (3, 0, 0, 0)
-    assert code_metrics.measured("def broken(:\n    if x") == (2, 0, 1, 0)
+    assert code_metrics.measured("def broken(:\n    if x") == (2, 2, 1, 0)
     assert code_metrics.measured("async def f():\n    async for x in y:\n        pass") == (2, 2, 1, 0)
 
 
+GOOD = [
+    "def f(a, b):\n    for i in a:\n        if i and b:\n            return [x for x in b if x]\n    return None",
+    "class A(B):\n    def g(self):\n        try:\n            self.x()\n        except (E, F):\n            pass\n        finally:\n            y = 1 if z else 2",
+    "while a or b:\n    with c as d:\n        e = {k: v for k, v in d}\nelse:\n    f()",
+    "if a:\n    b()\nelif c and d:\n    e()\nelse:\n    g()",
+    "@dec\nasync def h():\n    async for q in r:\n        await q",
+]
+BROKEN = ["x = = 1", "d = )", "1 +", "return return", "y = 'open", "foo(a,", "%%%"]
+
+
+@pytest.mark.parametrize("bad", BROKEN)
+@pytest.mark.parametrize("good", GOOD)
+def test_broken_lines_leave_the_rest_as_it_is(good, bad):
+    """A broken statement before, after, and at the end of the innermost suite."""
+    want = code_metrics.measured(good)
+    deep = good + "\n" + " " * code_metrics.indent(good.split("\n")[-1]) + bad
+    for code in (bad + "\n" + good, good + "\n" + bad, deep, bad + "\n\n# note\n" + good + "\n" + bad):
+        assert code_metrics.measured(code) == want, code
+
+
+def test_broken_headers_are_mended():
+    whole = code_metrics.measured("def f(a):\n    if a and b:\n        while c(d):\n            pass\n    elif e:\n        pass\n    else:\n        g = [h for h in i]")
+    for bad in (
+        "def f(a\n    if a and b\n        while c(d:\n            pass\n    elif e\n        pass\n    else\n        g = [h for h in i",
+        "def f(a:\n    if a and b:\n        while c(d)\n            pass\n    elif e:\n        pass\n    else:\n        g = [h for h in i]",
+    ):
+        assert code_metrics.measured(bad) == whole
+    assert code_metrics.measured("try\n    a()\nexcept E\n    b()\n") == (2, 1, 0, 0)
+    assert code_metrics.measured("class A\n    x = 1\n  y = 2\n") == (1, 1, 0, 1)
+    assert code_metrics.measured("if x:\n\tif y\n\t\tz()") == (3, 2, 0, 0)
+    for odd in ("\0", "    ", "\n\n", "(" * 5000, "if a:\n" * 300, "\n".join(" " * i + "if a" for i in range(400)), "\x0c\x1c:", "'" * 3, "\\"):
+        assert code_metrics.measured(odd)[0] >= 1
+
+
 def test_bins(spark):
     assert binning.equal_edges(0, 10, 5) == [-0.01, 2, 4, 6, 8, 10]
     assert binning.equal_edges(3, 3, 5) == pytest.approx([2.997, 2.9982, 2.9994, 3.0006, 3.0018, 3.003])
