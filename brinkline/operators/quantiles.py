@@ -31,10 +31,10 @@ def order_key(value: Column) -> Column:
 def order_statistics(rows: DataFrame, ranks) -> DataFrame:
     """``g, n, wanted, value``: of each group ``g`` the ``value`` at each wanted rank, from 0.
 
-    ``rows`` has ``g`` and a double ``v``; ``ranks(n)`` is an array of structs
-    with a ``rank`` for a group of ``n`` rows.  Of equal ranks each is given.
+    ``rows`` has ``g``, values ``v`` and longs ``k`` that order as they do;
+    ``ranks(n)`` is an array of structs with a ``rank`` for a group of ``n``
+    rows.  Of equal ranks each is given.
     """
-    rows = rows.filter("v is not null").withColumn("k", order_key(F.col("v")))
     found, open_, before = [], None, None
     for shift in SHIFTS:
         left = rows
@@ -61,6 +61,23 @@ def order_statistics(rows: DataFrame, ranks) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The ``n`` rows of the smallest long ``key`` (nulls left out), all if there are fewer, without sorting
+    the table: counts by leading bits give the key of the last one, and a filter the rows.
+
+    Only rows with the very key of the last one pass through a limit, which is
+    free to choose among them.
+    """
+    rows = df.withColumn("__k", key).filter("__k is not null")
+    if n < 1:
+        return rows.limit(0).drop("__k")
+    last = order_statistics(rows.select(F.lit(0).alias("g"), F.col("__k").alias("v"), F.col("__k").alias("k")), lambda n_: F.filter(F.array(F.struct(F.lit(n - 1).cast("long").alias("rank"))), lambda w: w["rank"] < n_)).first()
+    if last is None:
+        return rows.drop("__k")
+    below = rows.filter(F.col("__k") < last["value"])
+    return below.unionByName(rows.filter(F.col("__k") == last["value"]).limit(n - below.count())).drop("__k")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Columns ``by`` and one for each name in ``probs``: the quantile between the two nearest ranks.
 
@@ -70,7 +87,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
     place = lambda n, p: F.lit(p) * (n - 1).cast("double")
     each = lambda n: [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), f(place(n, p)).cast("long").alias("rank")) for name, p in probs.items() for side, f in (("low", F.floor), ("high", F.ceil))]
     group = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(by)]) if by else F.lit(0)
-    found = order_statistics(df.select(group.alias("g"), F.col(value).cast("double").alias("v")), lambda n: F.array(*each(n)))
+    v = F.col(value).cast("double")
+    found = order_statistics(df.filter(v.isNotNull()).select(group.alias("g"), v.alias("v"), order_key(v).alias("k")), lambda n: F.array(*each(n)))
     at = lambda name, side: F.max(F.when((F.col("wanted.name") == name) & (F.col("wanted.side") == side), F.col("value")))
 
     def between(name: str, p: float) -> Column:

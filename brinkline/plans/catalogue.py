@@ -315,6 +315,12 @@ def exact_sample(spark, sf_dir):
     return tasks.exact_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
+def exact_sample_half(spark, sf_dir):
+    """Half of a table, which no task holds or sorts."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return tasks.exact_sample(rows, "o_orderkey", rows.count() // 2)
+
+
 def kfold_sizes(spark, sf_dir):
     rows = forest.folds(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 10)
     return rows.groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
@@ -750,6 +756,7 @@ SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(mi
     "placebo": _curve_sql(_placebo_sql(5), "y", "x", "iter") + " " + SUP,
     "draw_report": "SELECT round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS sd, round(median(l_extendedprice), 6) AS median, round(quantile_cont(l_extendedprice, 0.05), 6) AS p05, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem",
     "exact_sample": "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 100",
+    "exact_sample_half": "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '-42')) AS r FROM orders) WHERE r <= (SELECT count(*) // 2 FROM orders)",
     "kfold_sizes": f"SELECT fold::BIGINT AS fold, count(*) AS n, sum(o_orderkey)::BIGINT AS key_sum FROM ({FOLDS}) GROUP BY fold",
     "cv_metrics": f"WITH d AS (SELECT fold, o_totalprice / 1000 AS y, o_custkey / 10.0::DOUBLE AS p FROM ({FOLDS})), f AS (SELECT fold, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae FROM d GROUP BY fold) SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(min(r2), 6) AS min_r2, round(max(r2), 6) AS max_r2, round(avg(mae), 6) AS mean_mae, (SELECT round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) FROM d) AS oof_r2 FROM f",
     "tfidf_max_cosine": TFIDF_SQL,
@@ -760,7 +767,7 @@ NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
     "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
-    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "ast_recovered", "enrich_records", "load_records",
+    "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "exact_sample_half", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "ast_recovered", "enrich_records", "load_records",
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES
 from ..functions.status import variant_pass_rate
+from ..operators.quantiles import smallest
+from .scratch import folder as shared_folder
 
 FEATURE_TYPE = "struct<" + ",".join(f"{f}:{'double' if f == 'inst_avg_word_len' else 'int'}" for f in FEATURES) + ">"
 DEFAULTS = {"e_norm": ("double", 0.0), "m_mem_jaccard": ("double", 0.0), "coupling_depth": ("int", 0), "kappa_cyclomatic": ("double", 1.0)}
@@ -66,9 +67,13 @@ def read_proxy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows without replacement, those first by a hash of the key; all if there are fewer."""
-    order = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
-    return df.withColumn("__o", order).orderBy("__o", key).limit(n).drop("__o")
+    """Exactly ``n`` rows without replacement, those first by a hash of the key; all if there are fewer.
+
+    The 60 leading bits of the hash decide; rows that share them with the last
+    one, as rows of one key do, are taken in any order.  Nothing is sorted.
+    """
+    hash_ = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    return smallest(df, F.conv(F.substring(hash_, 1, 15), 16, 10).cast("long"), n)
 
 
 def sample_lines(spark: SparkSession, path: str, n: int = 2000, seed: int = 42) -> DataFrame:
@@ -81,11 +86,7 @@ def write_temporary(lines: DataFrame, folder: str | None = None) -> str:
     Without ``folder`` that is the session's ``spark.checkpoint.dir``; only a
     local session may have none, and then uses a temporary folder.
     """
-    spark = lines.sparkSession
-    folder = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    out = f"{folder or tempfile.mkdtemp(prefix='brinkline-')}/sample-{uuid.uuid4().hex}"
+    out = f"{folder or shared_folder(lines.sparkSession)}/sample-{uuid.uuid4().hex}"
     lines.write.mode("overwrite").text(out)
     return out
 

@@ -71,3 +71,14 @@ def test_violin_of_null_and_missing_values(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, None), (2, None), (None, 4.0), (9, 1.0)], "k int, v double")
     rows = {r.kappa: r for r in summary.violin(df, "k", "v").collect()}
     assert set(rows) == {1, 2} and (rows[1].n, rows[1].q1, rows[1].median, rows[1].q3) == (2, 1.5, 2.0, 2.5) and rows[2].n == 0 and rows[2].median is None
+
+
+def test_smallest_rows(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 101 - 50 if i < 101 else None) for i in range(110)], "i int, k long")
+    for n in (0, 1, 7, 100, 101, 500):
+        got = sorted(r.k for r in quantiles.smallest(df, F.col("k"), n).collect())
+        assert got == list(range(-50, -50 + min(n, 101)))
+    ties = spark.createDataFrame([(1, "a")] * 5 + [(2, "b")] * 5, "k long, t string")
+    assert [r.k for r in quantiles.smallest(ties, F.col("k"), 7).orderBy("k").collect()] == [1] * 5 + [2] * 2
+    plan = quantiles.smallest(df, F.col("k"), 60)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "rangepartitioning" not in plan
