@@ -32,7 +32,32 @@ def literal_pass_rate(text: str | None) -> float:
     return sum(isinstance(x, str) and "pass" in x.lower() for x in value) / len(value)
 
 
+#: A string literal without prefix, with escapes that stand for no letter; possessive, so long ones do not recurse.
+ITEM = r"(?:'[^'\\\n\r\x00]*+(?:\\['\"\\nrt][^'\\\n\r\x00]*+)*+'|\"[^\"\\\n\r\x00]*+(?:\\['\"\\nrt][^\"\\\n\r\x00]*+)*+\")"
+LIST = rf"\A[ \t]*+\[\s*+(?:{ITEM}\s*+(?:,\s*+{ITEM}\s*+)*+(?:,\s*+)?+)?+\][ \t\n]*+\z".replace(r"\s", r"[ \t\n]")
+ESCAPED = r"\\['\"\\nrt]"
+WORDS = r"\A[A-Za-z_ ]*+\z"
+
+
+def plain_pass_rate(text: Column) -> Column:
+    """The rule for strings by built-in functions where they can tell: lists of plain string literals, and
+    words alone, which are no list whatever they stand for; null else, and 0 for null.
+
+    No escape that is taken here stands for a letter, so they are blanked before the test.
+    """
+    items = F.regexp_extract_all(text, F.lit(ITEM), F.lit(0))
+    listed = F.transform(items, lambda x: F.regexp_replace(x, ESCAPED, " "))
+    return F.when(text.isNull(), 0.0).when(text.rlike(LIST), list_pass_rate(listed)).when(text.rlike(WORDS), passes(text).cast("double"))
+
+
 def string_pass_rate(text: Column | str) -> Column:
+    """The rule for strings; only what :func:`plain_pass_rate` leaves open goes to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = plain_pass_rate(text)
+    return F.coalesce(plain, _literal_rates(F.when(plain.isNull(), text)))
+
+
+def _literal_rates(text: Column) -> Column:
     def rate(values: pd.Series) -> pd.Series:
         return values.map(lambda x: literal_pass_rate(x if isinstance(x, str) else None)).astype("float64")
 

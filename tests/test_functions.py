@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,24 @@ def test_code_metrics():
     assert code_metrics.measured("async def f():\n    async for x in y:\n        pass") == (2, 2, 1, 0)
 
 
+def test_plain_pass_rates_equal_the_literal_rule(spark):
+    """Where built-in functions decide they agree with the parser, and they decide on plain lists."""
+    rnd = random.Random(8)
+    parts = ["'", '"', "[", "]", ",", " ", "\\", "\\'", "\\n", "pass", "PASS", "fail", "\n", "\t", "u", "b'", "\\x70", "None", "\x00", "é", "(", "#", "1"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 9))) for _ in range(3_000)]
+    items = ["'pass'", '"PASSED"', "'fail'", "'it\\'s a pass'", '"no\\npa\\nss"', "''", "'a, b]'", "'pa\\\\ss'", "'\\x70ass'", "u'pass'", "None", "'pass' 'x'"]
+    texts += ["[" + ", ".join(rnd.choice(items) for _ in range(rnd.randrange(0, 5))) + rnd.choice(["", ",", " , "]) + "]" for _ in range(600)]
+    texts += [" ['pass']", "\n['pass']", "['pass'] ", "['pass']\n", "['pass'", "[,]", "[ ]", "passed", "True", "not passed", "_pass_", "", "  ", "['" + "x" * 50_000 + "pass']", "[" + "'pass', 'no'," * 20_000 + "]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", status.plain_pass_rate(F.col("t")).alias("plain"), status.string_pass_rate("t").alias("rate")).collect()
+    for r in rows:
+        want = status.literal_pass_rate(texts[r.i])
+        assert r.rate == want and r.plain in (None, want), texts[r.i][:80]
+    decided = {texts[r.i] for r in rows if r.plain is not None}
+    assert {" ['pass']", "['pass'] ", "[ ]", "passed", "True", texts[-1], texts[-2]} <= decided and "[u'pass']" not in decided
+    assert "Python" not in df.select(status.plain_pass_rate(F.col("t")))._jdf.queryExecution().toString()
+
+
 GOOD = [
     "def f(a, b):\n    for i in a:\n        if i and b:\n            return [x for x in b if x]\n    return None",
     "class A(B):\n    def g(self):\n        try:\n            self.x()\n        except (E, F):\n            pass\n        finally:\n            y = 1 if z else 2",
