@@ -7,6 +7,8 @@ both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from ..config import Settings
 from ..functions import binning, code_metrics, status, text
 from ..operators import forest, regression, similarity, summary, threshold
 from ..operators.moments import gram
-from ..sources import tasks
+from ..sources import scratch, tasks
+from ..streaming import curve_stream
 from . import stages
 from .enrich import enrich
 
@@ -270,6 +273,16 @@ def threshold_controls(spark, sf_dir):
     return rounded(_search(spark, sf_dir, ("l_discount", "l_tax")).frame(spark), "f_stat")
 
 
+def stream_curve(spark, sf_dir):
+    """The curve of a stream of the orders that sends each of them twice."""
+    schema = read(spark, sf_dir, "orders").schema
+    orders = lambda: spark.readStream.schema(schema).parquet(f"{sf_dir}/order[s].parquet")  # noqa: E731  streams take a pattern or a folder, no single file
+    rows = orders().unionByName(orders()).select("o_orderkey", "o_orderdate", (F.col("o_orderkey") % 17 + 0.25).alias("kappa"), (F.col("o_totalprice") / 1000).alias("y"))
+    target = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
+    curve_stream.start(rows, "y", "kappa", [], "o_orderkey", "o_orderdate", f"{target}/curves", f"{target}/state", delay="20000 days", shift={"kappa": 8.0, "y": 150.0}).awaitTermination()
+    return rounded(curve_stream.latest(spark, f"{target}/curves"), "f_stat")
+
+
 def figure_threshold(spark, sf_dir):
     g = threshold.figure_threshold(read(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", ["l_discount"])
     return spark.createDataFrame([(g,)], "gamma double")
@@ -751,6 +764,7 @@ SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(mi
     "ols_simple": "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem",
     "iv_single": "SELECT round(covar_samp(z, y) / covar_samp(z, k), 4) AS slope, count(*) AS n FROM (SELECT l_quantity AS z, l_quantity + 20 * e AS k, l_extendedprice / 1000 + 30 * e AS y FROM (SELECT *, ('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS e FROM lineitem))",
     "threshold_curve": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
+    "stream_curve": _curve_sql(ORDERS, "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
     "threshold_best": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c WHERE f IS NOT NULL ORDER BY round(f, 6) DESC, gamma LIMIT 1",
     "wild_bootstrap": _curve_sql(_boot_sql(5), "y", "x", "iter") + " " + SUP,
     "placebo": _curve_sql(_placebo_sql(5), "y", "x", "iter") + " " + SUP,
@@ -766,7 +780,7 @@ SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(mi
 NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
-    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_best", "threshold_controls", "figure_threshold",
+    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "stream_curve", "threshold_best", "threshold_controls", "figure_threshold",
     "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "exact_sample_half", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "ast_recovered", "enrich_records", "load_records",
 )
 
