@@ -28,6 +28,7 @@ are one node.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, small_batches, swept, tidy, written
 from .components import components
-from .words import U, hashed_words, mix, shingles
+from .words import U, drawn_base, hashed_words, mix, shingles
 
 BAND_RATIO = 1.7
 SLACK = 0.2
@@ -106,14 +107,25 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def describe(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class Shingles:
+    """How the texts of a job become sets of hashes."""
+
+    size: int
+    base: int
+
+    def of(self, text: str | None) -> np.ndarray:
+        return shingles(hashed_words(text, self.base), self.size)
+
+
+def describe(docs: DataFrame, cut: Shingles, text_col: str, id_col: str) -> DataFrame:
     """``doc, n, fp1, fp2``: set size and fingerprint of every document."""
 
     def run(batches):
         for batch in batches:
             n, fp = [], []
             for text in batch.column(1).to_pylist():
-                s = shingles(hashed_words(text), size)
+                s = cut.of(text)
                 n.append(len(s))
                 fp.append((np.bitwise_xor.reduce(mix(s)) if len(s) else U(0), np.add.reduce(mix(s + U(77))) if len(s) else U(0)))
             fp = np.array(fp, U).reshape(-1, 2)
@@ -122,7 +134,7 @@ def describe(docs: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc long, n long, fp1 long, fp2 long")
 
 
-def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+def keyed(docs: DataFrame, cut: Shingles, percent: int, text_col: str, id_col: str) -> DataFrame:
     """``key, doc, spare``: the section keys.  A set seen before in the same task emits nothing
     again: its first document stands for it (equal sets are one class anyway)."""
     names = ["key", "doc", "spare"]
@@ -132,7 +144,7 @@ def keyed(docs: DataFrame, size: int, percent: int, text_col: str, id_col: str)
         for batch in batches:
             out, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(hashed_words(text), size)
+                s = cut.of(text)
                 if doc is None or len(s) < least_size(percent):
                     continue
                 mark = np.array((np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s + U(77))))).tobytes()
@@ -240,7 +252,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, cut: Shingles, text_col: str, id_col: str) -> DataFrame:
     """``doc, n, tokens``: shingle sets of the documents named in ``ids`` (a few others may come
     along; the joins that follow drop them)."""
     mine = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
@@ -252,21 +264,21 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: s
             wanted = np.flatnonzero((bits[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1))
             for at in range(0, len(wanted), 200):
                 part = batch.take(pa.array(wanted[at : at + 200]))
-                sets = [shingles(hashed_words(t), size) for t in part.column(1).to_pylist()]
+                sets = [cut.of(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "tokens"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return rows.withColumn("spot", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))).mapInArrow(tidy(run), "doc long, n long, tokens binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, percent: int, text_col: str, id_col: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, cut: Shingles, percent: int, text_col: str, id_col: str) -> DataFrame:
     """``a, b``: the pairs (columns a, b) that link.  Each member's set goes once to the
     document that it is compared with."""
     fit = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
     fit = written(fit.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct(), "pairs")
     few = fit.count() <= FEW
     want = fit.select(F.col("b").alias("doc"), F.col("a").alias("hub")).unionByName(fit.select(F.col("a").alias("doc"), F.col("a").alias("hub")).distinct())
-    rows = sets_of(docs, want.select("doc").distinct(), size, text_col, id_col).join(F.broadcast(want) if few else want, "doc")
+    rows = sets_of(docs, want.select("doc").distinct(), cut, text_col, id_col).join(F.broadcast(want) if few else want, "doc")
 
     def run(batches):
         hub, own = None, []
@@ -296,7 +308,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(U)
 
 
-def sketches_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_col: str) -> DataFrame:
+def sketches_of(docs: DataFrame, ids: DataFrame, cut: Shingles, text_col: str, id_col: str) -> DataFrame:
     """``doc, n, sketch`` of the documents named in ``ids``."""
 
     def run(batches):
@@ -304,7 +316,7 @@ def sketches_of(docs: DataFrame, ids: DataFrame, size: int, text_col: str, id_co
             made = [sketch(np.frombuffer(t.as_buffer(), U)).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc", "n", "sketch"])
 
-    return sets_of(docs, ids, size, text_col, id_col).mapInArrow(tidy(run), "doc long, n long, sketch binary")
+    return sets_of(docs, ids, cut, text_col, id_col).mapInArrow(tidy(run), "doc long, n long, sketch binary")
 
 
 def open_rows(runs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -379,10 +391,11 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     ``100 * intersection >= percent * union`` between sets of ``size``-word shingles."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    known = written(describe(docs, size, text_col, id_col), "sets")
+    cut = Shingles(size, drawn_base())
+    known = written(describe(docs, cut, text_col, id_col), "sets")
     classes = written(known.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("k")), "classes")
     sizes = known.filter("doc is not null").select("doc", "n")
-    shared = written(shared_keys(keyed(docs, size, percent, text_col, id_col)), "shared")
+    shared = written(shared_keys(keyed(docs, cut, percent, text_col, id_col)), "shared")
     swept(spark)
     same = known.join(classes.filter("k > 1"), ["fp1", "fp2", "n"]).filter("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     same = written(same.distinct(), "same")
@@ -391,14 +404,14 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size:
     for old in (classes, shared, rare):
         dropped(old)
     swept(spark)
-    links = verified(docs, first_pairs(runs), sizes, size, percent, text_col, id_col)
+    links = verified(docs, first_pairs(runs), sizes, cut, percent, text_col, id_col)
     roots = written(components(links.unionByName(same)), "roots")
     sketches, nearest = None, True
     while not (left := written(open_rows(runs, roots), "open")).isEmpty():
         if sketches is None:
-            sketches = written(sketches_of(docs, left.select("doc").distinct(), size, text_col, id_col), "sketches")
+            sketches = written(sketches_of(docs, left.select("doc").distinct(), cut, text_col, id_col), "sketches")
         more = written(cross_pairs(left, sketches, percent, nearest), "cross")
-        extra = verified(docs, more, sizes, size, percent, text_col, id_col)
+        extra = verified(docs, more, sizes, cut, percent, text_col, id_col)
         asked, gained = more.count(), extra.count()
         if gained:
             tree = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import xxhash
 
@@ -31,6 +33,13 @@ class WordHash(dict):
 SEGMENT = 1 << 20
 SHORT = 64
 BASE = 0x5851F42D4C957F2D
+
+
+def drawn_base() -> int:
+    """A base of the polynomial hash that nobody knows before the job; 5 modulo 8, so its powers do not soon repeat."""
+    return secrets.randbits(64) & ~7 | 5
+
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -42,26 +51,28 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base of the polynomial hash and of its inverse, made as they are needed."""
+    """Powers of the base of the polynomial hash and of its inverse, made as they are needed; those of one base are kept."""
 
-    up, down = np.ones(1, U), np.ones(1, U)
+    base, up, down = BASE, np.ones(1, U), np.ones(1, U)
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def upto(cls, n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n or cls.base != base:
             size = max(n, 2 * len(cls.up), 1 << 14)
-            cls.up, cls.down = _powers(BASE, size), _powers(pow(BASE, -1, 1 << 64), size)
+            cls.base, cls.up, cls.down = base, _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
         return cls.up[:n], cls.down[:n]
 
 
-def hashed_words(text: str | None) -> np.ndarray:
+def hashed_words(text: str | None, base: int = BASE) -> np.ndarray:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as 64-bit hashes.
 
     A word of up to ``SHORT`` bytes has as hash its polynomial in the base
     modulo 2**64, taken from running sums over the whole text; long texts are
-    cut at blanks.  Known pairs of equal polynomials in any base have 1,024
-    bytes, so longer words are hashed one by one (XXH3).  Two given words
-    share a hash with a chance of about 2**-64.
+    cut at blanks.  Longer words are hashed one by one (XXH3).  For a known
+    base, words with one hash are easily made, so jobs that trust it draw
+    their own (:func:`drawn_base`): two given words then share a hash with a
+    chance of some 2**-64, or, if they were made to do so in as many bases as
+    64 bytes allow, of some 2**-37.
     """
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
     out, at = [], 0
@@ -73,17 +84,17 @@ def hashed_words(text: str | None) -> np.ndarray:
                 end += SEGMENT
                 blank = np.flatnonzero(SPACES[data[at:end]])
             end = at + int(blank[-1]) + 1 if len(blank) and end < len(data) else len(data)
-        out.append(_segment(data[at:end]))
+        out.append(_segment(data[at:end], base))
         at = end
     return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, U)
 
 
-def _segment(data: np.ndarray) -> np.ndarray:
+def _segment(data: np.ndarray, base: int) -> np.ndarray:
     blank = np.ones(len(data) + 2, bool)
     blank[1:-1] = SPACES[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = Powers.upto(len(data) + 1)
+    up, down = Powers.upto(len(data) + 1, base)
     run = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[:-1], out=run[1:])
     out = mix((run[end] - run[start]) * down[start] + (end - start).astype(U))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinkline.llm import components, decontaminate, jaccard, suffix_dedup, vector_dedup, warc
-from brinkline.llm.words import hashed_words, shingles
+from brinkline.llm.words import drawn_base, hashed_words, shingles
 
 U = np.uint64
 
@@ -168,6 +168,16 @@ def test_frequent_keys_are_counted_in_bounded_parts(spark, monkeypatch):
     assert got == sorted((*r, min(50, n[r[0]])) for r in rows if n[r[0]] > 1)
 
 
+def test_jaccard_of_words_made_to_collide(spark):
+    """Two words with one hash in the base that the code states: a job draws its own."""
+    made = ("eaebafaaaaadaaaaaaaa", "abaaaacabcdabdeaebda")
+    assert hashed_words(made[0])[0] == hashed_words(made[1])[0]
+    base = drawn_base()
+    assert base % 8 == 5 and base != drawn_base() and hashed_words(made[0], base)[0] != hashed_words(made[1], base)[0]
+    df = spark.createDataFrame([(i, f"x y z {w} p q r s t u v") for i, w in enumerate(made)], "doc_id long, text string")
+    assert {r["doc"]: r["component_id"] for r in jaccard.join(df, size=4, percent=85).collect()} == {0: 0, 1: 1}
+
+
 def test_jaccard_of_unlike_long_words(spark):
     """Words that collide in any polynomial modulo 2**64 stay apart."""
     thue = "".join("ab"[i.bit_count() % 2] for i in range(1024))
