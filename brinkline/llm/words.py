@@ -53,12 +53,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Powers:
     """Powers of the base of the polynomial hash and of its inverse, made as they are needed; those of one base are kept."""
 
-    base, up, down = BASE, np.ones(1, U), np.ones(1, U)
+    base, up, down = BASE, _powers(BASE, 1 << 14), _powers(pow(BASE, -1, 1 << 64), 1 << 14)
 
     @classmethod
     def upto(cls, n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n or cls.base != base:
-            size = max(n, 2 * len(cls.up), 1 << 14)
+            size = max(n, 2 * len(cls.up) if cls.base == base else 1 << 14)
             cls.base, cls.up, cls.down = base, _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
         return cls.up[:n], cls.down[:n]
 
