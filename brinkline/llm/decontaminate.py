@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks over a window of words ignore the positions marked 0, so a hash
-survives substitutions there.  The masks hit every overlap that is accepted: of
-20 words or more with at most a fifth changed, four in a row are equal; shorter
-items, whose overlaps may have no more than three, have a second mask.  Hashes
-of the test items and of the documents are joined; around the hits of a
+survives substitutions there.  The masks hit every overlap that is accepted: a
+changed word spoils at most four places of the first mask, and the four changes
+of a stretch of 20 words never spoil just its 16 places; overlaps of 10 or 11
+words, which the first may miss, have a second mask.  Hashes of the test items and of the documents are joined; around the hits of a
 document with an item on one diagonal the word sequences are compared, and an
 overlap counts if it spans ``overlap`` words (or the share ``rate`` of the
 item, if that is shorter) of which the share ``rate`` is equal.  Items of fewer
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy, written
 from .words import U, WordHash, mix
 
-#: The first hits all stretches of 16 words or more with at least 0.8 equal, both all of 7 or more.
-MASKS = ("1111", "110111")
+#: The first hits all stretches of 7 to 9 and of 12 words or more with at least 0.8 equal, both all of 7 or more.
+MASKS = ("11011", "11001011")
 LEAST = 8
 SPAN = max(*map(len, MASKS), LEAST - 1)
-LONG = 19
+LONG = 14
 BITS = 1 << 24
 WORD = re.compile(r"\w+")
 
