@@ -1,14 +1,18 @@
 """Secret scans: base patterns, plus grammar inference over credential formats.
 
 Labelled credentials of public formats and ordinary long tokens (made here
-from a seed) are turned into strings of character classes.  From each set a
-prefix tree of the whole strings is built and statistically compatible states
+from a seed) are turned into strings of character classes; those of credentials
+are led by a symbol for their length, so that a format of fixed length is known
+by it and other lengths fit nothing.  From each set a prefix tree of the whole strings is built and statistically compatible states
 are merged (Hoeffding test on a pair of states and on all pairs below it; a
 state that fits no other stays one of its own), which gives two probabilistic
 automata.  Every candidate token of every whole text is scored by the
-log-likelihood ratio of the two per character, and those above a threshold
-calibrated on held-out tokens become spans of kind ``format``, whether or not
-a base span covers them.
+log-likelihood ratio of the two per symbol, that of ending there included, and
+those above a threshold calibrated on held-out tokens become spans of kind
+``format``, whether or not a base span covers them.  A token that fails whole is
+also tried without full stops at its end, then part by part between ``=`` and
+full stops, then between slashes and plus signs.  Digests in hexadecimal,
+UUIDs, numbers, dates, encoded text and short random strings count as ordinary.
 
 Defined results: null and empty texts have no span; spans of all kinds are
 ordered by start, then by kind in the order of ``KINDS``; repeated rows are
@@ -17,6 +21,7 @@ scanned each by itself; each text is scanned whole.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -42,6 +47,12 @@ CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "
 TO_CLASS = str.maketrans({c: k for k, chars in CLASSES.items() for c in chars})
 WITHIN = {k: -math.log(len(chars)) for k, chars in CLASSES.items()}
 END = "$"
+PARTS = (re.compile(r"[A-Za-z0-9+/_-]{12,}"), re.compile(r"[A-Za-z0-9_-]{12,}"))
+
+
+def symbols_of(token: str) -> str:
+    """The length of a token (one symbol for all from 65 on), then the class of each character."""
+    return chr(0x100 + min(len(token), 65)) + token.translate(TO_CLASS)
 
 
 class Automaton:
@@ -113,7 +124,8 @@ class Automaton:
                 continue
             near = [(self._distance(r, q), r) for r in red if self._alike(r, q)]
             if near:
-                target = min(near)[1]
+                few = self._total(q) < 30  # too few to tell which of the compatible states is nearest
+                target = max((self._total(r), -r, r) for _, r in near)[2] if few else min(near)[1]
                 self.next[parent][c] = target
                 self._fold(target, q)
             else:
@@ -128,13 +140,13 @@ class Automaton:
             self.log.append({c: math.log((k + 0.1) / (n + 0.1 * alphabet)) for c, k in self.count[s].items()} | {"": math.log(0.1 / (n + 0.1 * alphabet))} if s in known else None)
 
     def per_symbol(self, symbols: str) -> float:
-        """Mean log-likelihood of a class string; symbols never seen restart at the first state."""
+        """Mean log-likelihood of a string and its end; symbols never seen restart at the first state."""
         at, total = 0, 0.0
         for c in symbols:
             log = self.log[at]
             total += log.get(c, log[""]) + WITHIN.get(c, 0.0)
             at = self.next[at].get(c, 0)
-        return total / max(1, len(symbols))
+        return (total + self.log[at].get(END, self.log[at][""])) / (len(symbols) + 1)
 
 
 def labelled(seed: int = 7, each: int = 120) -> tuple[list[str], list[str]]:
@@ -144,10 +156,11 @@ def labelled(seed: int = 7, each: int = 120) -> tuple[list[str], list[str]]:
     some = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
     mixed = low + up + dig
     made = (
-        lambda: "AKIA" + some(up + dig, 16), lambda: "ghp_" + some(mixed, 36), lambda: f"xoxb-{some(dig, 11)}-{some(dig, 12)}-{some(mixed, 24)}",
-        lambda: "AIza" + some(mixed + "_-", 35), lambda: "sk_live_" + some(mixed, 24), lambda: f"eyJ{some(mixed, 30)}.eyJ{some(mixed, 40)}.{some(mixed + '_-', 40)}",
-        lambda: some(mixed + "+/", 40), lambda: some("0123456789abcdef", 40), lambda: "glpat-" + some(mixed, 20), lambda: "npm_" + some(mixed, 36),
+        lambda: "AKIA" + some(up + dig, 16), lambda: "ghp_" + some(mixed, 36), lambda: f"xoxb-{some(dig, rnd.randint(11, 12))}-{some(dig, rnd.randint(11, 12))}-{some(mixed, 24)}",
+        lambda: "AIza" + some(mixed + "_-", 35), lambda: "sk_live_" + some(mixed, 24), lambda: f"eyJ{some(mixed, rnd.randint(17, 60))}.eyJ{some(mixed, rnd.randint(20, 300))}.{some(mixed + '_-', 43)}",
+        lambda: some(mixed + "+/", 40), lambda: "glpat-" + some(mixed, 20), lambda: "npm_" + some(mixed, 36),
     )
+    low_hex = "0123456789abcdef"
     syllables = "tion ing re con st an er ou le que en de sch ver la al or ed th ment pre un ra mi do ca".split()
     word = lambda n: "".join(rnd.choice(syllables) for _ in range(n))
     plain = (
@@ -155,6 +168,13 @@ def labelled(seed: int = 7, each: int = 120) -> tuple[list[str], list[str]]:
         lambda: "".join(word(2).capitalize() for _ in range(4)), lambda: f"www.{word(3)}.example.com/{word(3)}/{word(2)}", lambda: f"{word(4)}.{word(3)}.{rnd.randint(1, 99)}.html",
         lambda: "/".join(word(2) for _ in range(5)), lambda: rnd.choice("=-_.") * rnd.randint(16, 40), lambda: f"20{some(dig, 2)}-0{some(dig, 1)}-1{some(dig, 1)}-{word(4)}",
         lambda: word(6).upper(), lambda: f"{word(3)}={word(2)}{some(dig, 2)}.{word(3)}",
+        lambda: "-".join(some(low_hex, n) for n in (8, 4, 4, 4, 12)), lambda: "-".join(some(low_hex, n) for n in (8, 4, 4, 4, 12)).upper(),
+        lambda: some(low_hex, rnd.choice((56, 96, 128))), lambda: word(rnd.randint(12, 200)), lambda: "/".join(word(rnd.randint(1, 3)) for _ in range(rnd.randint(4, 40))), lambda: rnd.choice("=-_.") * rnd.randint(41, 500),
+        lambda: base64.b64encode(" ".join(word(rnd.randint(1, 3)) for _ in range(rnd.randint(10, 50))).encode()).decode(),
+        lambda: some(low_hex, 32), lambda: some(low_hex, 40), lambda: some(low_hex, 64), lambda: some(low_hex, rnd.randint(12, 31)), lambda: some(low_hex, rnd.choice((32, 40, 64))).upper(),
+        lambda: some(dig, rnd.randint(12, 24)), lambda: f"{some(dig, rnd.randint(6, 12))}.{some(dig, rnd.randint(5, 12))}", lambda: f"20{some(dig, 6)}T{some(dig, 6)}Z", lambda: f"20{some(dig, 2)}-{some(dig, 2)}-{some(dig, 2)}T{some(dig, 2)}",
+        lambda: "-".join(some(dig, rnd.randint(2, 5)) for _ in range(4)), lambda: base64.b64encode(" ".join(word(rnd.randint(1, 3)) for _ in range(rnd.randint(2, 14))).encode()).decode(),
+        lambda: some(mixed, rnd.randint(12, 32)), lambda: some(low + dig, rnd.randint(12, 32)), lambda: some(up + dig, rnd.randint(12, 32)),
     )
     return [f() for f in made for _ in range(each)], [f() for f in plain for _ in range(each)]
 
@@ -166,10 +186,10 @@ class SecretModel:
     threshold: float
 
     def ratio(self, token: str) -> float:
-        return self._ratio(token.translate(TO_CLASS))
+        return self._ratio(symbols_of(token))
 
     def _ratio(self, symbols: str) -> float:
-        return self.secret.per_symbol(symbols) - self.plain.per_symbol(symbols)
+        return self.secret.per_symbol(symbols) - self.plain.per_symbol(symbols[1:])
 
 
 @lru_cache(maxsize=1)
@@ -177,7 +197,7 @@ def fit(seed: int = 7, each: int = 120, false_rate: float = 0.002) -> SecretMode
     """``2 * each`` tokens of a format are made; odd ones are held out to set the
     threshold, which at most ``false_rate`` of the ordinary held-out tokens pass."""
     yes, no = labelled(seed, 2 * each)
-    model = SecretModel(Automaton([x.translate(TO_CLASS) for x in yes[::2]]), Automaton([x.translate(TO_CLASS) for x in no[::2]]), 0.0)
+    model = SecretModel(Automaton([symbols_of(x) for x in yes[::2]]), Automaton([symbols_of(x)[1:] for x in no[::2]]), 0.0)
     bad = sorted(model.ratio(x) for x in no[1::2])
     cut = bad[min(len(bad) - 1, int(len(bad) * (1 - false_rate)))]
     good = sorted(model.ratio(x) for x in yes[1::2])
@@ -197,9 +217,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, model: SecretModel, base: list[tuple[int, int, int]], seen: dict[str, float]) -> list[tuple[int, int, int]]:
-    more = []
-    for m in TOKEN.finditer(text):
-        symbols = m[0].translate(TO_CLASS)
+    def passes(token: str) -> bool:
+        symbols = symbols_of(token)
         score = seen.get(symbols)
         if score is None:
             score = model._ratio(symbols)
@@ -207,8 +226,22 @@ def all_spans(text: str, model: SecretModel, base: list[tuple[int, int, int]], s
                 if len(seen) >= 50_000:
                     seen.clear()
                 seen[symbols] = score
-        if score > model.threshold:
-            more.append((m.start(), 3, m.end()))
+        return score > model.threshold
+
+    more = []
+    for m in TOKEN.finditer(text):
+        token, at = m[0], m.start()
+        bare = token.rstrip(".")
+        if passes(token):
+            more.append((at, 3, m.end()))
+        elif len(bare) < len(token) and len(bare) >= 12 and passes(bare):
+            more.append((at, 3, at + len(bare)))
+        else:
+            for part in PARTS:
+                found = [(at + p.start(), 3, at + p.end()) for p in part.finditer(token) if len(p[0]) < len(token) and passes(p[0])]
+                if found:
+                    more += found
+                    break
     return sorted(base + more) if more else base
 
 
