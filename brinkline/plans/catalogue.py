@@ -18,7 +18,7 @@ from ..operators import forest, regression, similarity, summary, threshold
 from ..operators.moments import gram
 from ..sources import scratch, tasks
 from ..streaming import curve_stream
-from . import stages
+from . import sql_surface, stages
 from .enrich import enrich
 
 #: Words that the driver's prose has, in place of the instruction lexicon.
@@ -265,6 +265,18 @@ def threshold_curve(spark, sf_dir):
     return rounded(_search(spark, sf_dir).frame(spark), "f_stat")
 
 
+CURVE_IN_SQL = """SELECT gamma, round(f_stat, 6) AS f_stat FROM threshold_f(TABLE (
+  SELECT threshold_cell(x) AS cell, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy
+  FROM (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM parquet.`{folder}/lineitem.parquet`)
+  WHERE x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) GROUP BY ALL) WITH SINGLE PARTITION)"""
+
+
+def threshold_sql(spark, sf_dir):
+    """The curve by SQL alone: cells and their moments are aggregated by Spark, one row per cell reaches the function."""
+    sql_surface.register(spark)
+    return spark.sql(CURVE_IN_SQL.format(folder=sf_dir))
+
+
 def threshold_best(spark, sf_dir):
     return summary.top(threshold_curve(spark, sf_dir).filter("f_stat is not null"), "f_stat", "gamma")
 
@@ -763,6 +775,7 @@ SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(mi
     "corr_failures": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS corr FROM lineitem WHERE l_returnflag <> 'R'",
     "ols_simple": "SELECT round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem",
     "iv_single": "SELECT round(covar_samp(z, y) / covar_samp(z, k), 4) AS slope, count(*) AS n FROM (SELECT l_quantity AS z, l_quantity + 20 * e AS k, l_extendedprice / 1000 + 30 * e AS y FROM (SELECT *, ('0x' || substr(md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR), 1, 8))::UBIGINT::DOUBLE / 4294967296.0 AS e FROM lineitem))",
+    "threshold_sql": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
     "threshold_curve": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
     "stream_curve": _curve_sql(ORDERS, "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c",
     "threshold_best": _curve_sql("SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem", "y", "x") + " SELECT gamma, round(f, 6) AS f_stat FROM c WHERE f IS NOT NULL ORDER BY round(f, 6) DESC, gamma LIMIT 1",
@@ -780,7 +793,7 @@ SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS sd_r2, round(mi
 NAMES = (
     "text_features_documents", "lexicon_features_pages", "token_stats", "intent_scores", "pass_rate_list", "pass_rate_string", "json_flatten", "defaults_fill", "success_split", "load_report", "fake_simple_report",
     "regime_report", "naive_view", "naive_view_clipped", "corrected_view", "corrected_view_clipped", "observed_labels", "equal_width_bins", "explicit_bins_flow", "flow_labels", "phase_cells", "phase_pivot", "phase_labelled",
-    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "stream_curve", "threshold_best", "threshold_controls", "figure_threshold",
+    "binned_trend", "violin_stats", "corr_failures", "ols_simple", "ols_multi_hc1", "joint_nulls", "iv_single", "iv_2sls", "first_stage", "hausman", "stage2", "threshold_curve", "threshold_sql", "stream_curve", "threshold_best", "threshold_controls", "figure_threshold",
     "wild_bootstrap", "placebo", "resampling_report", "resampling_500", "draw_report", "exact_sample", "exact_sample_half", "kfold_sizes", "cv_metrics", "forest_oof", "forest_importance", "forest_sensitivity", "forest_full", "tfidf_max_cosine", "tfidf_joined", "ast_metrics", "ast_recovered", "enrich_records", "load_records",
 )
 
