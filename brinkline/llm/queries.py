@@ -55,7 +55,7 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archive(spark, table(spark, sf_dir, "pages"))
+    found = warc.archive(spark, table(spark, sf_dir, "pages"), with_payload=False)
     c = F.col("capture")
     return found.select(warc.page_id(c["id"]).alias("page_id"), c["payload_bytes"].alias("payload_bytes"), c["digest"].alias("payload_digest"), c["type"].alias("record_type"), warc.page_id(c["refers_to"]).alias("refers_to"))
 

@@ -1,6 +1,7 @@
 """Suffix arrays, Jaccard join, decontamination, WARC, vectors and components against brute force."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -334,7 +335,7 @@ def test_warc_round_trip(spark, tmp_path):
         c = caps[i]["capture"]
         assert c["payload_bytes"] == len(raw) and c["digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         first = min(j for j, o in enumerate(html) if (o or "") == (h or ""))
-        assert (c["type"], c["refers_to"]) == (("response", None) if i == first else ("revisit", f"<urn:page:{first}>"))
+        assert (c["type"], c["refers_to"]) == (("response", None) if i == first else ("revisit", caps[first]["capture"]["id"]))
         assert c["payload"] is None if i != first else bytes(c["payload"]) == raw
         assert len(caps[i]["requests"]) == len(caps[i]["metadata"]) == 1
     assert warc.archive(spark, pages.limit(0)).count() == 0
@@ -342,8 +343,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["capture"]["type"] for r in big.collect()} == {"response"}
 
 
+def test_warc_repeated_and_missing_ids(spark):
+    rows = [(5, "http://a", "same"), (5, "http://b", "same"), (5, "http://c", "other"), (None, "http://d", "same"), (None, "http://e", "e"), (9, None, "same")]
+    got = warc.archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    again = {r["capture"]["uri"]: r for r in got.collect()}
+    assert len(again) == len(rows) and len({r["capture"]["id"] for r in again.values()}) == len(rows)
+    for _, url, html in rows:
+        r = again[url]
+        assert [p["uri"] for p in r["requests"]] == [p["uri"] for p in r["metadata"]] == [url]
+        revisit = url in ("http://d", None)
+        assert r["capture"]["type"] == ("revisit" if revisit else "response")
+        assert r["capture"]["payload"] is None if revisit else bytes(r["capture"]["payload"]).decode() == html
+        if revisit:
+            assert r["capture"]["refers_to"] in {again["http://a"]["capture"]["id"], again["http://b"]["capture"]["id"]}
+    assert {r["capture"]["uri"]: r["id"] for r in got.select("capture", warc.page_id(F.col("capture.id")).alias("id")).collect()} == {u: i for i, u, _ in rows}
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rnd = random.Random(4)
+    sizes = [rnd.choice([10, 3_000, 30_000, 200_000, 900_000]) for _ in range(150)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " + "é" * (n // 2)) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(str(tmp_path / "pages"))
+    warc.write(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "w"), file_bytes=8_000_000)
+    longest, files = 0, list((tmp_path / "w").glob("*/*.gz"))
+    for file in files:
+        raw = gzip.decompress(file.read_bytes())
+        longest = max(longest, len(raw))
+        assert len(raw) <= 8_000_000 or raw.count(b"WARC-Type: response") == 1
+    assert 2_000_000 < longest and len(files) > 4
+    got = {warc_id(r): r["capture"]["payload_bytes"] for r in warc.captures(warc.records(spark, str(tmp_path / "w"))).collect()}
+    assert got == {i: len(f"{i} ") + n // 2 * 2 for i, n in enumerate(sizes)}
+
+
 def warc_id(row):
-    return int(row["capture"]["id"].removeprefix("<urn:page:").rstrip(">"))
+    return int(row["capture"]["id"].split(":")[2])
 
 
 def test_vectors(spark):
