@@ -89,6 +89,74 @@ def test_pii_on_prose(spark, pii_model):
     assert total(1, True) / (total(1, True) + total(1, False)) >= 0.75 and total(1, True) / (total(1, True) + total(0, True)) >= 0.8
 
 
+def other_lines(each):
+    """Prose of a second generator: other sentences, names, sites and telephone forms than those of the training lines."""
+    rnd = random.Random(99)
+    d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    who, where = "olga.petrov sam_w r.diaz kenji04 m.ndiaye lucia-b".split(), "harbor farmhouse quartz-lab tulip".split()
+    tel = [lambda: f"07{d(3)} {d(6)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(2)} {d(2)} {d(2)}"]
+    mail = lambda: f"{rnd.choice(who)}{rnd.choice([' at ', '(at)', ' [at] '])}{rnd.choice(where)}{rnd.choice([' dot ', '(dot)', '.'])}{rnd.choice(['eu', 'com', 'ch'])}"
+    yes = {
+        "tel": ["Call me on %s please", "our helpline, %s, opens at nine", "Ring Lucia: %s", "her cell was %s back then", "in case of fire use %s", "contact the warden (%s)", "his landline is still %s"],
+        "at_mail": ["Send the sketch to %s soon", "%s knows more", "my address: %s", "forward it to %s", "sincerely, %s"],
+    }
+    shape = [lambda: f"{rnd.randint(12, 90)} 000 000", lambda: f"200{d(1)}-0{rnd.randint(1, 9)}-1{d(1)}", lambda: f"{d(2)}.{d(2)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(3)}", lambda: f"18{d(2)}-19{d(2)}", lambda: f"{d(2)} {d(2)} {d(2)}"]
+    no = {
+        "tel": ["the census counted %s heads", "the years %s were lean", "a draw of %s followed", "release %s came late", "drawing %s shows the valve", "batch %s was recalled"],
+        "at_mail": ["lunch at %s", "he waved at %s", "sold at %s", "tickets at %s"],
+    }
+    place = lambda: rnd.choice(["tulip.ch", "one.Nobody came", "dawn.She slept", "quartz-lab.com"])
+    lines = [("tel", rnd.choice(yes["tel"]) % rnd.choice(tel)(), 1) for _ in range(each)] + [("at_mail", rnd.choice(yes["at_mail"]) % mail(), 1) for _ in range(each)]
+    return lines + [("tel", rnd.choice(no["tel"]) % rnd.choice(shape)(), 0) for _ in range(each)] + [("at_mail", rnd.choice(no["at_mail"]) % place(), 0) for _ in range(each)]
+
+
+def test_pii_on_a_second_generator(spark, pii_model):
+    lines = other_lines(200)
+    out = pii.scan(docs(spark, [t for _, t, _ in lines]), pii_model).collect()
+    kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in out}
+    found = Counter((kind, y, kind in kinds[i]) for i, (kind, _, y) in enumerate(lines))
+    for kind in ("tel", "at_mail"):
+        hits = found[kind, 1, True]
+        print(kind, "recall", hits / 200, "precision", hits / (hits + found[kind, 0, True]))
+        assert hits / 200 >= 0.9 and hits / (hits + found[kind, 0, True]) >= 0.95
+
+
+#: A third set, with sentences and names of its own, that the model was never mended on.
+THIRD = [
+    ("tel", "Leave word at %s when the parcel arrives"), ("tel", "Tomas (%s) has the keys"), ("tel", "emergencies only: %s"), ("tel", "the school switched to %s last year"), ("tel", "voicemail of %s is full"),
+    ("at_mail", "invitations go out from %s"), ("at_mail", "feel free to ping %s"), ("at_mail", "author %s"), ("at_mail", "the list is kept by %s"),
+]
+THIRD_NONE = ["the bridge cost %s crowns", "sector %s is closed", "between %s and dusk", "grid square %s", "we dined at %s", "she works at %s"]
+
+
+def third_lines(each):
+    rnd = random.Random(2024)
+    d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    tel = [lambda: f"({d(3)}) {d(3)} {d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}", lambda: f"08{d(1)} {d(3)} {d(4)}", lambda: f"01{d(3)}-{d(6)}", lambda: f"0{d(1)}-{d(4)}-{d(4)}"]
+    mail = lambda: f"{rnd.choice(['yuki.sato', 'ab.cd', 'noor_1', 'piet.jan', 'x99'])}{rnd.choice([' at ', ' (at) ', '[at]'])}{rnd.choice(['willow', 'north-pier', 'seven'])}{rnd.choice([' dot ', '[dot]', '.'])}{rnd.choice(['se', 'info', 'org'])}"
+    none = [lambda: f"{d(2)} 000 000", lambda: f"199{d(1)}-1{rnd.randint(0, 2)}-0{d(1)}", lambda: f"{d(2)}.{d(2)}.{d(2)}"]
+    place = lambda: rnd.choice(["willow.org", "eight.Then", "seven.info"])
+    yes = [(kind, t % (tel[i % len(tel)]() if kind == "tel" else mail()), 1) for i in range(each) for kind, t in THIRD]
+    return yes + [("at_mail" if " at %s" in t else "tel", t % (place() if " at %s" in t else rnd.choice(none)()), 0) for _ in range(each) for t in THIRD_NONE]
+
+
+def test_pii_on_a_third_set(spark, pii_model):
+    lines = third_lines(40)
+    out = pii.scan(docs(spark, [t for _, t, _ in lines]), pii_model).collect()
+    kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in out}
+    found = Counter((kind, y, kind in kinds[i]) for i, (kind, _, y) in enumerate(lines))
+    for kind in ("tel", "at_mail"):
+        hits, missed, wrong = found[kind, 1, True], found[kind, 1, False], found[kind, 0, True]
+        print("third", kind, "recall", hits / (hits + missed), "precision", hits / (hits + wrong))
+        assert hits / (hits + missed) >= 0.75 and hits / (hits + wrong) >= 0.9
+
+
+def test_pii_cue_far_in_front(spark, pii_model):
+    out = pii.scan(docs(spark, ["phone " + "x" * 25 + " 212-555-0199", "123-45-6789", "1985-03-12"]), pii_model).orderBy("doc_id").collect()
+    assert "tel" in {s["kind"] for s in out[0]["spans"]}
+    assert "tel" not in {s["kind"] for r in out[1:] for s in r["spans"]}
+
+
 def test_pii_long_values_are_whole(spark, pii_model):
     name = "n" * 90
     df = docs(spark, ["phone 123456789012345 x", f"mail: {name} at {'d' * 80}.a1.b2.c3.d4.e5.com now", "call 123456789 call 123456788 call 123456787"])
