@@ -516,3 +516,27 @@ def test_pipeline_joins_equal_brute_force(spark):
     many = spark.createDataFrame([(i, t) for i, t in enumerate(bench) if len(re.findall(r"\w+", t)) >= 20], "item_id long, text string")
     got = decontaminate.overlaps(once, many).select("doc").distinct()
     assert sorted(set(first) - {r[0] for r in got.collect()}) == left and len(left) < len(first)
+
+
+def test_vectors_that_probe_all_lists_are_sent_a_few_times(spark, tmp_path, monkeypatch):
+    """Directions without clusters lie in reach of every list; what is dealt out may not grow with the lists."""
+    monkeypatch.setattr(vector_dedup, "SMALLEST", 64)
+    monkeypatch.setattr(vector_dedup, "KNOWN", 3)
+    g = np.random.default_rng(4)
+    x = g.normal(size=(1500, 32)).astype(np.float32)
+    x[1000:1100] = x[:100] + g.normal(scale=0.2, size=(100, 32))
+    x[1100:1300] = x[200] + g.normal(scale=0.15, size=(200, 32))
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string")
+    monkeypatch.setattr(vector_dedup, "written", lambda df, label: df.write.mode("overwrite").parquet(str(tmp_path / label)) or spark.read.schema(df.schema).parquet(str(tmp_path / label)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.neighbours(df, lists=120).collect()}
+    rows = {p.name: spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()}
+    assert rows.get("placed", 0) <= 1500  # one row per vector, not per list that it probes
+    assert rows["meets"] <= 13 * 14 // 2
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    root, before = np.arange(1500), None
+    while before is None or (root != before).any():
+        before = root
+        root = np.minimum(root, np.where(near, root, 1500).min(axis=1))
+    assert got == {i: (int(near[i].sum()), root[i]) for i in range(1500)}
