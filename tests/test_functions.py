@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinkline.functions import binning, code_metrics, probability, status, text
+from brinkline.sources import scratch
 
 
 def test_instruction_features(spark):
@@ -121,3 +122,25 @@ def test_tails():
     assert probability.chi2_tail(2 * math.log(20), 2) == pytest.approx(0.05)
     assert probability.f_tail(4.964602743730711, 1, 10) == pytest.approx(0.05)
     assert probability.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
+
+
+def test_equal_snippets_and_lines_are_parsed_once(monkeypatch):
+    """Repeated code costs one parse, at whatever depth it stands; long code is measured without being kept."""
+    parses, plain = [], code_metrics.ast.parse
+    monkeypatch.setattr(code_metrics.ast, "parse", lambda code: parses.append(code) or plain(code))
+    body = "if q_1 and b\n    x = (1\n"
+    once = code_metrics.measured(body + "y = = 1\n")
+    first = len(parses)
+    assert code_metrics.measured(body + "y = = 1\n") == once and len(parses) == first
+    many = code_metrics.measured(body * 40 + "y = = 1\n")
+    assert many == (1 + 40 * (once[0] - 1), *once[1:]) and len(parses) <= first + 3
+    deep = code_metrics.measured("while (\n    " + body.replace("\n", "\n    ") + "\ny = = 1\n")
+    assert deep[1] == once[1] + 1 and len(parses) <= first + 10
+    long = body * 200 + "y = = 1\n"
+    kept = code_metrics._measured_once.cache_info().currsize
+    assert code_metrics.measured(long) == (1 + 200 * (once[0] - 1), *once[1:]) and code_metrics._measured_once.cache_info().currsize == kept
+
+
+def test_rows_of_one_file_are_dealt_out(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    assert len({r[0] for r in scratch.spread(rows).select(F.spark_partition_id()).collect()}) >= spark.sparkContext.defaultParallelism
