@@ -144,3 +144,17 @@ def test_equal_snippets_and_lines_are_parsed_once(monkeypatch):
 def test_rows_of_one_file_are_dealt_out(spark):
     rows = spark.range(0, 1000, 1, 1)
     assert len({r[0] for r in scratch.spread(rows).select(F.spark_partition_id()).collect()}) >= spark.sparkContext.defaultParallelism
+
+
+def test_fast_scans_equal_the_plain_patterns(spark):
+    """Tests in front of a word and Python's splitting change no count, whatever stands around a word."""
+    rnd = random.Random(5)
+    parts = ["the", "THE", "ſet", "K", "Key", "İf", "ıf", "if", "set", "_", "é", "́", "‍", "-", "9", "'", *" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0       　​﻿", "\U0001f600", "x"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randrange(30)))) for i in range(600)] + [(601, None), (602, ""), (603, "  ")]
+    words = ("if", "set", "key", "the", "xi")
+    slow = r"(?iU)\b(set|the|key|if|xi)\b"
+    df = spark.createDataFrame(rows, "i int, t string").select("*", text.token_facts(F.col("t")).alias("f"), text.word_count(F.col("t"), words).alias("fast"), F.coalesce(F.regexp_count("t", F.lit(slow)), F.lit(0)).alias("plain"))
+    seen = F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(f"([^{text.WHITE}]+)"), F.lit(1))
+    got = df.select("i", "f.*", "fast", "plain", F.size(seen).alias("n2"), F.size(F.array_distinct(seen)).alias("d2"), F.length(F.array_join(seen, "")).alias("c2")).collect()
+    assert all((r.n, r.chars, r.different, r.fast) == (r.n2, r.c2, r.d2, r.plain) for r in got) and sum(r.plain for r in got) > 50
+    assert len(text.word_pattern(words)) > len(slow) and text.word_pattern(("été",)).startswith("(?iU)")
