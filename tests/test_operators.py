@@ -314,3 +314,23 @@ def test_stream(spark, tmp_path):
     q = enrich_stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert spark.read.text(str(tmp_path / "out")).count() == 2
+
+
+def test_exchange_of_a_placebo_sends_packed_values(spark):
+    """Many rows and few values: what is shuffled is about a byte for each row and draw."""
+    rows = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 17 + 0.25).alias("k"), F.sin("id").alias("y"))
+    found = threshold.search(rows, "y", "k", [])
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("exchange", "")
+    got = threshold.placebo(found, F.col("key"), 60, held=100, part=7_000)
+    sent = 0
+    for job in tracker.getJobIdsForGroup("exchange"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            try:
+                sent += store.lastStageAttempt(stage).shuffleWriteBytes()
+            except Exception:  # a stage that was skipped
+                continue
+    spark.sparkContext.setJobGroup("other", "")
+    assert np.allclose(got, threshold.placebo(found, F.col("key"), 60)) and sent < 3 * 60 * 60_000
+    wide = threshold.search(rows.withColumn("k", F.pmod(F.hash("key"), F.lit(10**6)) / 60_000.0), "y", "k", [])
+    assert np.allclose(threshold.placebo(wide, F.col("key"), 3, held=100, part=7_000), threshold.placebo(wide, F.col("key"), 3))
