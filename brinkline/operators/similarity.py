@@ -9,6 +9,7 @@ correction, and nothing is fitted per row.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -38,6 +39,44 @@ def term_counts(df: DataFrame, key: str, text: str, to: str, longest: int = 3) -
     return df.select(F.col(key).alias(to), F.explode(ngrams(F.col(text), longest)).alias("term")).groupBy(to, "term").agg(F.count("*").alias("tf"))
 
 
+BITS = 24  # of a term's hash; the map of the hashes that a corpus has is of 2 MB, whatever its size
+
+
+def known_counts(df: DataFrame, key: str, text: str, theirs: DataFrame, longest: int) -> DataFrame:
+    """``a, term, ta, rest``: the n-grams of each row that the corpus may have, counted where the text is
+    read, and the sum of the squared counts of its other n-grams.  What the map of hashes lets through
+    wrongly stays a term of its own, so nothing is lost or changed."""
+    hash_ = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << BITS))
+    bits = theirs.select(F.shiftrightunsigned(hash_, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(crc32(cast(term as binary)), 32) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    held = np.zeros(1 << (BITS - 5), np.uint32)
+    for w, b in bits:
+        held[w] = b
+    shared = df.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            out_a, out_term, out_n, out_rest = [], [], [], []
+            for a, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = Counter(words)
+                for size in range(2, longest + 1):
+                    counts.update(map(" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
+                keys = list(counts)
+                h = np.array([zlib.crc32(t.encode()) for t in keys], np.int64) & ((1 << BITS) - 1)
+                n = np.array(list(counts.values()), np.int64)
+                fit = (held[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1
+                some = np.flatnonzero(fit)
+                out_a += [a] * len(some)
+                out_term += [keys[i] for i in some]
+                out_n.append(n[some])
+                out_rest.append(np.full(len(some), float((n[~fit] ** 2).sum())))
+            none = [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_term, pa.string()), pa.array(np.concatenate(out_n or none).astype(np.int64)), pa.array(np.concatenate(out_rest or none))], names=["a", "term", "ta", "rest"])
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(1))
+    return df.select(F.col(key).alias("a"), words.alias("words")).mapInArrow(run, "a string, term string, ta long, rest double")
+
+
 TERMS = 200_000  # terms of a corpus that is sent to the executors
 HOT = 256  # texts of a corpus that share a term, beyond which it makes no pairs
 BLOCK = 2_000  # texts that meet in one task
@@ -118,7 +157,7 @@ def against_large(mine: DataFrame, theirs: DataFrame, n: float, hot: int) -> Dat
     top = post.groupBy("term").agg(F.first("df").alias("df"), F.first("i0").alias("i0"), F.first("i1").alias("i1"), F.max("w").alias("top"))
     seen = mine.join(top, "term", "left").withColumn("i1", F.coalesce("i1", F.lit(np.log(n / 2.0) + 1.0)))
     norm = F.sum(F.pow(F.col("ta") * F.col("i1"), 2))
-    norms = seen.groupBy("a").agg(norm.alias("na"))
+    norms = seen.groupBy("a").agg((norm + F.first("rest") * float((np.log(n / 2.0) + 1.0) ** 2)).alias("na"))
     seen = seen.filter("df is not null").join(norms, "a")
     seen = written(seen.select("a", "term", "ta", "df", "top", "na", (F.col("ta") * F.col("i1") / F.sqrt("na")).alias("q")), "terms")
     often = F.when(F.col("df") > hot, F.col("q")).otherwise(0.0)
@@ -194,7 +233,7 @@ def max_similarity(instructions: DataFrame, proxies: DataFrame, key: str, text:
         return against_small(instructions, theirs.collect(), n, key, text, longest)
     name = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
     rows = instructions.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("t"), name.alias("a"))
-    mine = term_counts(rows.groupBy("a").agg(F.first("t").alias("t")), "a", "t", "a", longest).withColumnRenamed("tf", "ta")
+    mine = known_counts(rows.groupBy("a").agg(F.first("t").alias("t")), "a", "t", theirs, longest)
     theirs = theirs.select(F.coalesce(F.concat(F.lit("="), F.col("b").cast("string")), F.lit("")).alias("b"), "term", "tf")
     found = against_large(mine, theirs, n, hot)
     return rows.join(found, "a", "left").select(F.col("__key").alias(key), F.coalesce("s", F.lit(0.0)).alias("similarity"))

@@ -87,3 +87,13 @@ def test_empty_corpus(spark):
     none = spark.createDataFrame([], "id int, text string")
     for terms in (10, -1):
         assert [r.similarity for r in similarity.max_similarity(a, none, "id", "text", "id", "text", terms=terms).collect()] == [0.0, 0.0]
+
+
+def test_terms_that_a_corpus_lacks_are_not_dealt_out(spark):
+    """They count in the norm alone, so rows of them are not sent."""
+    theirs = similarity.term_counts(spark.createDataFrame([(1, "alpha beta")], "id int, text string"), "id", "text", "b")
+    mine = spark.createDataFrame([("x", "alpha beta " + " ".join(f"w{i}" for i in range(50)) + " w1 w1"), ("y", None), ("z", "none of them")], "a string, text string")
+    got = similarity.known_counts(mine, "a", "text", theirs, 3).collect()
+    own = grams("alpha beta " + " ".join(f"w{i}" for i in range(50)) + " w1 w1")
+    assert {(r.a, r.term, r.ta) for r in got} == {("x", t, 1) for t in ("alpha", "beta", "alpha beta")}
+    assert {r.rest for r in got} == {float(sum(c * c for c in own.values()) - 3)}
