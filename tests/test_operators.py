@@ -334,3 +334,27 @@ def test_exchange_of_a_placebo_sends_packed_values(spark):
     assert np.allclose(got, threshold.placebo(found, F.col("key"), 60)) and sent < 3 * 60 * 60_000
     wide = threshold.search(rows.withColumn("k", F.pmod(F.hash("key"), F.lit(10**6)) / 60_000.0), "y", "k", [])
     assert np.allclose(threshold.placebo(wide, F.col("key"), 3, held=100, part=7_000), threshold.placebo(wide, F.col("key"), 3))
+
+
+def test_trees_of_drawn_rows_are_fitted_to_few_weighted_rows(spark, tmp_path):
+    """However many rows there are, a tree's fit sees one for each fold and different features, and predicts their drawn mean."""
+    own = Settings(trees=4, depth=5, folds=3)
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 4).alias("a"), (F.floor(F.col("id") / 12) % 3).alias("b"), F.sin("id").alias("y"))
+    rows = forest.assembled(df, ["a", "b"]).select("key", "fold", "y", "features").persist()
+    bag = forest.bags(rows, "y", "key", own).toPandas()
+    assert len(bag) == 4 * 3 * 12 and set(bag["tree"]) == {0, 1, 2, 3}
+    drawn = bag.groupby("tree")["weight"].sum()
+    assert drawn.between(2700, 3300).all() and drawn.nunique() > 1
+    *parts, whole = forest.fitted(rows, "y", "key", own)
+    assert len(parts) == 3 and whole.getNumTrees == 4
+    bag["point"], bag["sum"] = bag["features"].map(tuple), bag["y"] * bag["weight"]
+    for k, model in [*enumerate(parts), (None, whole)]:
+        seen = bag if k is None else bag[bag["fold"] != k]
+        sums = seen.groupby(["point", "tree"])[["sum", "weight"]].sum()
+        want = (sums["sum"] / sums["weight"]).groupby("point").mean()
+        got = {tuple(r["features"]): r["prediction"] for r in model.transform(rows.select("features").distinct()).collect()}
+        assert len(got) == 12 and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in got)
+    forest.save(whole, str(tmp_path / "trees"))
+    again = forest.load(str(tmp_path / "trees"))
+    assert again.getNumTrees == 4 and [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in whole.transform(rows).collect()]
+    rows.unpersist()
