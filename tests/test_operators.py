@@ -358,3 +358,18 @@ def test_trees_of_drawn_rows_are_fitted_to_few_weighted_rows(spark, tmp_path):
     again = forest.load(str(tmp_path / "trees"))
     assert again.getNumTrees == 4 and [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in whole.transform(rows).collect()]
     rows.unpersist()
+
+
+def test_fits_take_no_more_tasks_than_cores(spark, monkeypatch):
+    """Each level of each fit is a job over the rows, so their parts must not be as many as those of a shuffle."""
+    parts, fitted = [], forest.fitted
+    monkeypatch.setattr(forest, "fitted", lambda rows, *more: (parts.append(rows.rdd.getNumPartitions()), fitted(rows, *more))[1])
+    monkeypatch.setattr(forest, "ranked", lambda df, group, by, n: ranked_in_many_parts(df, by))
+    df = spark.range(300).select((F.col("id") % 7).alias("f"), F.sin("id").alias("kappa_actual"), F.lit(1).alias("is_success"))
+    out = forest.train(df, ["f"], settings=Settings(trees=1, depth=2, folds=2, resample_rows=False))
+    assert out.scored.count() == 300 and parts and max(parts) <= spark.sparkContext.defaultParallelism
+    out.release()
+
+
+def ranked_in_many_parts(df, by):
+    return threshold.ranked(df, [], by, 300).repartition(24)
