@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brinkline.config import FEATURES, Settings
 from brinkline.operators import forest, moments, regression, similarity, summary, threshold
-from brinkline.plans import enrich, stages
+from brinkline.plans import catalogue, enrich, stages
 from brinkline.sources import tasks
 from brinkline.streaming import enrich_stream
 
@@ -373,3 +373,13 @@ def test_fits_take_no_more_tasks_than_cores(spark, monkeypatch):
 
 def ranked_in_many_parts(df, by):
     return threshold.ranked(df, [], by, 300).repartition(24)
+
+
+def test_sensitivity_reads_the_texts_once(spark, monkeypatch):
+    kept, train, sensitivity = [], forest.train, forest.sensitivity
+    note = lambda own: lambda df, *a, **k: (kept.append((df, df.storageLevel.useMemory)), own(df, *a, **k))[1]
+    monkeypatch.setattr(forest, "train", note(train))
+    monkeypatch.setattr(forest, "sensitivity", note(sensitivity))
+    assert catalogue.forest_sensitivity(spark, "/root/testdata/sf0.001").count() == 1
+    assert len(kept) == 2 and kept[0][0] is kept[1][0] and all(memory for _, memory in kept)
+    assert not kept[0][0].storageLevel.useMemory
