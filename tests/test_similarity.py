@@ -97,3 +97,61 @@ def test_terms_that_a_corpus_lacks_are_not_dealt_out(spark):
     own = grams("alpha beta " + " ".join(f"w{i}" for i in range(50)) + " w1 w1")
     assert {(r.a, r.term, r.ta) for r in got} == {("x", t, 1) for t in ("alpha", "beta", "alpha beta")}
     assert {r.rest for r in got} == {float(sum(c * c for c in own.values()) - 3)}
+
+
+def test_texts_of_many_pairs_meet_the_corpus_at_once(spark):
+    """Rare terms that a text shares with every corpus text: no row for each of the pairs is dealt out."""
+    proxies = spark.createDataFrame([(i, f"one{i // 5} two{i // 7} own{i}") for i in range(200)], "id int, text string")
+    every = " ".join(f"one{i} two{i}" for i in range(40))
+    mine = spark.createDataFrame([(i, f"{every} own{i}") for i in range(150)], "id int, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many pairs", "")
+    out = similarity.max_similarity(mine, proxies, "id", "text", "id", "text", terms=0, hot=8).collect()
+    jobs = tracker.getJobIdsForGroup("many pairs")
+    spark.sparkContext.setJobGroup("other", "")
+    store, most = spark.sparkContext._jsc.sc().statusStore(), 0
+    for job in jobs:
+        for stage in tracker.getJobInfo(job).stageIds:
+            try:
+                most = max(most, store.lastStageAttempt(stage).shuffleWriteRecords())
+            except Exception:  # a stage that was skipped
+                continue
+    assert 0 < most < 10_000  # 30,000 pairs
+    want = plain([tuple(r) for r in mine.collect()], [tuple(r) for r in proxies.collect()])
+    assert [r.similarity for r in sorted(out)] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize(("dense", "block"), [(0, 2000), (0, 9), (3, 9)])
+def test_texts_that_meet_the_corpus_at_once_equal_plain_sums(spark, corpus, monkeypatch, dense, block):
+    """All texts, and some of them; one block and several; many parts and few sums at once."""
+    for name, value in (("DENSE", dense), ("PACKED", 10**6), ("BLOCK", block), ("WIDE", 20), ("PART", 40), ("SPOTS", 50)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    mine, theirs = corpus
+    a = spark.createDataFrame(mine, "id int, text string")
+    b = spark.createDataFrame(theirs, "id int, text string")
+    got = [tuple(r) for r in similarity.max_similarity(a, b, "id", "text", "id", "text", terms=0, hot=40).collect()]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = order([(k, s) for (k, _), s in zip(mine, plain(*corpus), strict=True)])
+    assert [k for k, _ in order(got)] == [k for k, _ in want]
+    assert [s for _, s in order(got)] == pytest.approx([s for _, s in want], abs=1e-9)
+
+
+@pytest.mark.parametrize(("longest", "chunk"), [(1, 200_000), (2, 1), (3, 30), (4, 200_000)])
+def test_terms_are_counted_as_word_by_word(spark, monkeypatch, longest, chunk):
+    """Texts cut into chunks; letters that only newer Unicode has end a word, as they do in the corpus."""
+    monkeypatch.setattr(similarity, "CHUNK", chunk, raising=False)
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "gamma", "x", "delta", "été", "alpha\u0870beta", "\u0661\u0662", "İx"]
+    texts = [(i, " ".join(rnd.choice(words + [f"w{k}" for k in range(9)]) for _ in range(rnd.randrange(25)))) for i in range(60)] + [(60, None), (61, "")]
+    a = spark.createDataFrame(texts, "a int, text string")
+    theirs = similarity.term_counts(spark.createDataFrame([(i, t) for i, t in texts[:12]], "id int, text string"), "id", "text", "b", longest)
+    known = {r.term for r in theirs.select("term").distinct().collect()}
+    all_ = {}
+    for r in similarity.term_counts(a, "a", "text", "a", longest).collect():
+        all_.setdefault(r.a, {})[r.term] = r.tf
+    got = similarity.known_lists(a, "a", "text", theirs, longest).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        mine, counts = dict(zip(r.terms, r.tas, strict=True)), all_.get(r.a, {})
+        assert mine.items() <= counts.items() and known & counts.keys() <= mine.keys()
+        assert r.rest == sum(n * n for t, n in counts.items() if t not in mine)
